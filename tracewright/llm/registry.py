@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tracewright.llm import quality
+from tracewright.llm import mixing, quality, warc
 
 
 def queries() -> dict:
-    return {"op7_quality_rules": quality.op7_quality_rules}
+    return {
+        "op2_mixing": mixing.op2_mixing,
+        "op7_quality_rules": quality.op7_quality_rules,
+        "op9_warc": warc.op9_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.SQL}
+    return {"op7_quality_rules": quality.SQL, "op9_warc": warc.SQL}
