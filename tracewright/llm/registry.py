@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tracewright.llm import mixing, quality, warc
+from tracewright.llm import chat, mixing, quality, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
+        "op3_chat_format": chat.op3_chat_format,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_simhash": simhash.op8_simhash,
         "op9_warc": warc.op9_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.SQL, "op9_warc": warc.SQL}
+    return {"op3_chat_format": chat.SQL, "op7_quality_rules": quality.SQL, "op9_warc": warc.SQL}
