@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, mixing, quality, simhash, warc
+from tracewright.llm import chat, mixing, pii, quality, simhash, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_simhash": simhash.op8_simhash,
         "op9_warc": warc.op9_warc,
+        "op10_pii": pii.op10_pii,
     }
 
 
