@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, mixing, pii, quality, simhash, warc
+from tracewright.llm import chat, langid, mixing, pii, quality, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
         "op3_chat_format": chat.op3_chat_format,
+        "op6_language_id": langid.op6_language_id,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_simhash": simhash.op8_simhash,
         "op9_warc": warc.op9_warc,
