@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, langid, mixing, pii, quality, simhash, warc
+from tracewright.llm import chat, langid, mixing, ngram_join, pii, quality, simhash, warc
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_mixing": mixing.op2_mixing,
         "op3_chat_format": chat.op3_chat_format,
         "op6_language_id": langid.op6_language_id,
