@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, langid, mixing, ngram_join, pii, quality, repeats, simhash, warc
+from tracewright.llm import chat, langid, mixing, ngram_join, pieces, pii, quality, repeats, simhash, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mixing": mixing.op2_mixing,
         "op3_chat_format": chat.op3_chat_format,
         "op4_suffix_dedup": repeats.op4_suffix_dedup,
+        "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_language_id": langid.op6_language_id,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_simhash": simhash.op8_simhash,
