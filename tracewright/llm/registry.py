@@ -5,8 +5,15 @@ from __future__ import annotations
 from tracewright.llm import chat, langid, mixing, ngram_join, pieces, pii, quality, repeats, simhash, warc
 
 
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_mixing": mixing.op2_mixing,
         "op3_chat_format": chat.op3_chat_format,
