@@ -61,4 +61,4 @@ def cutoff_grid(rows: DataFrame, p: str, label: str, wrong: float = 2.0) -> Data
 
 
 def confusion(rows: DataFrame, said: str, truth: str) -> DataFrame:
-    return rows.groupBy(said).pivot(truth, [0, 1]).agg(F.count("*")).na.fill(0)
+    return rows.groupBy(said).pivot(truth, [0, 1]).agg(F.count(F.lit(1))).na.fill(0)

@@ -165,10 +165,10 @@ def isolation_forest(rows: DataFrame, features: list[str], key: str = "entity",
     A group's trees grow on a bounded sample (sample x trees rows by a hash of the key); every row is then scored in a map, so
     a group is never gathered.
     """
-    held = rows.groupBy("group").agg(F.count("*").alias("n"))
+    held = rows.groupBy("group").agg(F.count("*").alias("_held"))
     cap = sample * 8
     u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = rows.join(F.broadcast(held), "group").where(u * F.col("n") < cap).select("group", key, *features)
+    picked = rows.join(F.broadcast(held), "group").where(u * F.col("_held") < cap).select("group", key, *features)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         import pickle
@@ -225,7 +225,8 @@ def naive_bayes(rows: DataFrame, tells: list[str], label: str = "label", key: st
     values = held.groupBy("tell").agg(F.countDistinct("value").alias("v"))
     overall = long.groupBy("tell", "value").agg(F.count("*").alias("k_all"))
     totals = long.groupBy("tell").agg(F.count("*").alias("n_all"))
-    grid = overall.join(n_label.select("label", "n")).join(held, ["label", "tell", "value"], "left").join(values, "tell").join(totals, "tell")  # labels x values, both vocabularies
+    classes = F.explode(F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["n"]).alias("n")) for r in n_label.collect()])).alias("c")  # one row a class
+    grid = overall.select("*", classes).select("tell", "value", "k_all", "c.label", "c.n").join(held, ["label", "tell", "value"], "left").join(values, "tell").join(totals, "tell")
     model = grid.select("label", "tell", "value", F.log((F.coalesce("k", F.lit(0)) + 1.0) / (F.col("n") + F.col("v"))).alias("lp"), (-F.log((F.col("k_all") + 1.0) / (F.col("n_all") + F.col("v")))).alias("surprise"))
     total = rows.count()
     scored = long.drop("label").join(model, ["tell", "value"]).groupBy(key, "label").agg(F.sum("lp").alias("lp"), F.max("surprise").alias("novelty"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tracewright.plans import features, models, network, walks  # noqa: F401  they register their queries
+from tracewright.plans.adapters import Views
+from tracewright.plans.registry import FOUND
+
 
 def queries() -> dict:
-    return {}
+    return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in FOUND.items() if sql}
