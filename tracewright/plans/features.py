@@ -35,14 +35,14 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "q_collapse",
-    """WITH r AS (SELECT 'T' || l_orderkey AS txid, l_linenumber AS o, 'S' || l_suppkey AS ip, l_quantity AS q FROM lineitem),
+    """WITH r AS (SELECT 'T' || l_orderkey AS txid, (l_linenumber, l_suppkey, l_quantity) AS o, 'S' || l_suppkey AS ip, l_quantity AS q FROM lineitem),
        p AS (SELECT txid, ip, min(o) AS seen_at FROM r GROUP BY 1, 2)
        SELECT txid, (SELECT arg_min(q, o) FROM r r2 WHERE r2.txid = r.txid) AS first_q, count(*) AS n_rows,
               (SELECT string_agg(ip, ',' ORDER BY seen_at, ip) FROM p WHERE p.txid = r.txid) AS ips FROM r GROUP BY txid""",
 )
 def _(v: Views) -> DataFrame:
     """Relay rows to transactions: first row, ordered distinct IPs."""
-    rows = v.table("lineitem").select(F.concat(F.lit("T"), "l_orderkey").alias("txid"), F.col("l_linenumber").alias("_src_row"), F.concat(F.lit("S"), "l_suppkey").alias("src_ip"), F.col("l_quantity").alias("first_q"))
+    rows = v.table("lineitem").select(F.concat(F.lit("T"), "l_orderkey").alias("txid"), F.struct("l_linenumber", "l_suppkey", "l_quantity").alias("_src_row"), F.concat(F.lit("S"), "l_suppkey").alias("src_ip"), F.col("l_quantity").alias("first_q"))
     return ledger.collapse(rows).select("txid", "first_q", "n_rows", F.array_join("ips", ",").alias("ips"))
 
 
@@ -68,8 +68,8 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "q_equal_outputs",
-    with_("quant", body=""" , g AS (SELECT a.txid, a.idx, a.value, count(*) AS n FROM quant a JOIN quant b ON a.txid = b.txid AND abs(b.value - a.value) <= 0.02 * greatest(a.value, 1e-12) GROUP BY 1, 2, 3),
-       b AS (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY n DESC, idx) AS r FROM g)
+    with_("quant", body=""" , g AS (SELECT a.txid, a.idx, a.value, (SELECT count(*) FROM quant b WHERE b.txid = a.txid AND abs(b.value - a.value) <= 0.02 * greatest(a.value, 1e-12)) AS n FROM quant a),
+       b AS (SELECT *, row_number() OVER (PARTITION BY txid ORDER BY n DESC, idx, value) AS r FROM g)
        SELECT b.txid, n AS equal_outputs, value AS group_value, (SELECT count(*) FROM quant q WHERE q.txid = b.txid) AS n_out FROM b WHERE r = 1 AND n >= 3"""),
 )
 def _(v: Views) -> DataFrame:
@@ -83,7 +83,7 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "q_coinjoin_exclusion",
-    with_("quant", "tx", body=""" , pairs AS (SELECT txid, max(c) AS c, count(DISTINCT idx) AS n FROM (SELECT a.txid, a.idx, (SELECT count(*) FROM quant b WHERE b.txid = a.txid AND abs(b.value - a.value) <= 0.02 * greatest(a.value, 1e-12)) AS c FROM quant a) GROUP BY 1)
+    with_("quant", "tx", body=""" , pairs AS (SELECT txid, max(c) AS c, count(*) AS n FROM (SELECT a.txid, a.idx, (SELECT count(*) FROM quant b WHERE b.txid = a.txid AND abs(b.value - a.value) <= 0.02 * greatest(a.value, 1e-12)) AS c FROM quant a) GROUP BY 1)
        SELECT count(*) AS kept, CAST(round(sum(ts)) AS BIGINT) AS ts FROM tx WHERE txid NOT IN (SELECT txid FROM pairs WHERE c >= 3 AND n >= 3)"""),
 )
 def _(v: Views) -> DataFrame:
@@ -154,12 +154,12 @@ def _(v: Views) -> DataFrame:
 @query(
     "q_entity_edges",
     with_("ins", "outs", "tx", body=""" , i AS (SELECT txid, addr AS src, sum(value) AS sent FROM ins GROUP BY 1, 2), s AS (SELECT *, sent / sum(sent) OVER (PARTITION BY txid) AS share FROM i), o AS (SELECT txid, addr AS dst, sum(value) AS got FROM outs GROUP BY 1, 2)
-       SELECT src, dst, round(sum(got * share), 1) AS value, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM s JOIN o USING (txid) JOIN tx USING (txid) WHERE src <> dst GROUP BY 1, 2"""),
+       SELECT src, dst, round(sum(got * share), 4) AS value, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM s JOIN o USING (txid) JOIN tx USING (txid) WHERE src <> dst GROUP BY 1, 2"""),
 )
 def _(v: Views) -> DataFrame:
     """Entity graph edges."""
     rows = ledger.entity_edges(v.ins, v.outs, v.txs, v.txs.where("false"))
-    return rows.select("src", "dst", _r(F.col("value"), 1).alias("value"), "n", "first_seen", "last_seen")
+    return rows.select("src", "dst", _r(F.col("value"), 4).alias("value"), "n", "first_seen", "last_seen")
 
 
 @query(
@@ -211,13 +211,13 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "q_pairs_capped",
-    with_("ins", "outs", body=""" SELECT txid, src, dst, round(value, 1) AS value FROM (SELECT txid, i.addr AS src, o.addr AS dst, o.value, row_number() OVER (PARTITION BY txid ORDER BY o.value DESC, i.addr, o.addr, o.idx) AS r FROM ins i JOIN outs o USING (txid)) WHERE r <= 2"""),
+    with_("ins", "outs", body=""" SELECT txid, src, dst, round(value, 4) AS value FROM (SELECT txid, i.addr AS src, o.addr AS dst, o.value, row_number() OVER (PARTITION BY txid ORDER BY o.value DESC, i.addr, o.addr, o.idx) AS r FROM ins i JOIN outs o USING (txid)) WHERE r <= 2"""),
 )
 def _(v: Views) -> DataFrame:
     """Input-output pairs of a transaction, the largest kept."""
     rows = v.ins.select("txid", F.col("addr").alias("src")).join(v.outs.select("txid", "idx", F.col("addr").alias("dst"), "value"), "txid")
     w = Window.partitionBy("txid").orderBy(F.col("value").desc(), "src", "dst", "idx")
-    return rows.withColumn("r", F.row_number().over(w)).where("r <= 2").select("txid", "src", "dst", _r(F.col("value"), 1).alias("value"))
+    return rows.withColumn("r", F.row_number().over(w)).where("r <= 2").select("txid", "src", "dst", _r(F.col("value"), 4).alias("value"))
 
 
 @query(

@@ -32,18 +32,18 @@ def _signals(v: Views) -> DataFrame:
     return scoring.signals(e, parts).join(n, "entity", "left").na.fill(0, ["tx_count"])
 
 
-@query("q_signals", _SIG + " SELECT entity, round(rule, 6) AS rule, round(taint, 6) AS taint, tx_count FROM s")
+@query("q_signals", _SIG + " SELECT entity, round(rule, 8) AS rule, round(taint, 6) AS taint, tx_count FROM s")
 def _(v: Views) -> DataFrame:
     """Signals assembled by left joins, 0 where absent."""
-    return _signals(v).select("entity", F.round("rule", 6).alias("rule"), F.round("taint", 6).alias("taint"), "tx_count")
+    return _signals(v).select("entity", F.round("rule", 8).alias("rule"), F.round("taint", 6).alias("taint"), "tx_count")
 
 
-@query("q_alert_queue", _SIG + """ SELECT entity, round((0.6 * rule + 0.4 * taint) / 1.0, 6) AS risk, row_number() OVER (ORDER BY round((0.6 * rule + 0.4 * taint) / 1.0, 9) DESC, CAST(rule > 0 AS INT) DESC, CASE WHEN taint > 0.5 THEN 1 ELSE 1000000 END, taint DESC, tx_count DESC, entity) AS place FROM s WHERE (0.6 * rule + 0.4 * taint) >= 0.3""")
+@query("q_alert_queue", _SIG + """ SELECT entity, round((0.6 * rule + 0.4 * taint) / 1.0, 9) AS risk, row_number() OVER (ORDER BY round((0.6 * rule + 0.4 * taint) / 1.0, 9) DESC, CAST(rule > 0 AS INT) DESC, CASE WHEN taint > 0.5 THEN 1 ELSE 1000000 END, taint DESC, tx_count DESC, entity) AS place FROM s WHERE (0.6 * rule + 0.4 * taint) >= 0.3""")
 def _(v: Views) -> DataFrame:
     """The alert queue in its total order, with places."""
     rows = scoring.weighted(_signals(v), {"rule": 0.6, "taint": 0.4}).where("risk >= 0.3").withColumn("risk", F.round("risk", 9))
     rows = rows.withColumn("rule_kinds", (F.col("rule") > 0).cast("int")).withColumn("taint_hops", F.when(F.col("taint") > 0.5, 1)).withColumn("lead_confidence", F.col("taint"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*scoring.alert_order()))).select("entity", F.round("risk", 6).alias("risk"), "place")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*scoring.alert_order()))).select("entity", "risk", "place")
 
 
 @query("q_alert_page", _SIG + " SELECT entity, tx_count FROM s ORDER BY tx_count DESC, entity LIMIT 20 OFFSET 10")

@@ -108,12 +108,12 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "q_neighbours",
-    with_("graph", body=""" SELECT src, dst, round(value, 2) AS value FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM graph) WHERE r <= 12"""),
+    with_("graph", body=""" SELECT src, dst, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM graph) WHERE r <= 12"""),
 )
 def _(v: Views) -> DataFrame:
     """The twelve largest counterparties."""
     w = Window.partitionBy("src").orderBy(F.col("value").desc(), "dst")
-    return v.graph.withColumn("r", F.row_number().over(w)).where("r <= 12").select("src", "dst", F.round("value", 2).alias("value"))
+    return v.graph.withColumn("r", F.row_number().over(w)).where("r <= 12").select("src", "dst", F.round("value", 4).alias("value"))
 
 
 def _peels(v: Views) -> DataFrame:
