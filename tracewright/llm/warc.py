@@ -151,13 +151,17 @@ class Damaged(ValueError):
     pass
 
 
-def _head(raw: bytes) -> dict[str, str]:
+def _head(raw: bytes, once: bool = False) -> dict[str, str]:
+    """The fields of a header block; once: a field that repeats shows that two blocks ran together."""
     got = {}
     for line in raw.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("bad header line")
-        got[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        name = name.decode("latin-1").strip().lower()
+        if once and name in got and name != "warc-concurrent-to":
+            raise Damaged("header field repeats")
+        got[name] = value.decode("utf-8", "replace").strip()
     return got
 
 
@@ -170,7 +174,7 @@ def _parse(get, start: int, size: int) -> tuple[dict, int]:
         if len(head) < n or n > 1 << 20:
             raise Damaged("header block has no end")
         n *= 4
-    head = _head(head[:k])
+    head = _head(head[:k], once=True)
     length = head.get("content-length", "")
     if not length.isdigit():
         raise Damaged("no Content-Length")
