@@ -36,7 +36,8 @@ from tracewright.session import written
 
 SKETCH = 1 << 20
 _CHUNK = 1 << 12
-_PARTS = 128
+#: A histogram has 2 ** _BITS to 2 ** _MOST_BITS hash ranges.
+_BITS, _MOST_BITS = 7, 9
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
@@ -77,9 +78,18 @@ def _signature(h: np.ndarray) -> int:
 
 
 def _histogram(h: np.ndarray) -> bytes:
-    """How many shingles fall in each of equal hash ranges; empty where a count would not fit."""
-    c = np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=_PARTS)
-    return c.astype("<u2").tobytes() if c.max(initial=0) < 1 << 16 else b""
+    """How many shingles fall in each of equal hash ranges, several ranges a shingle; empty where a count would not fit."""
+    bits = min(max(_BITS, (4 * len(h) - 1).bit_length()), _MOST_BITS)
+    c = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b""
+
+
+def _most_shared(x: bytes, y: bytes) -> int:
+    """No two sets with these histograms share more: the sum of the smaller counts, over the coarser of both divisions."""
+    a, b = (np.frombuffer(z, np.uint8) for z in (x, y))
+    n = min(len(a), len(b))
+    a, b = (z if len(z) == n else z.reshape(n, -1).sum(1, dtype=np.int64) for z in (a, b))
+    return int(np.minimum(a, b).sum(dtype=np.int64))
 
 
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
@@ -190,7 +200,7 @@ def _suffix_filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> Data
             a, b, na, nb, ha, hb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ha", "hb"))
             keep = []
             for x, y, p, q in zip(ha, hb, na, nb, strict=True):
-                most = min(p, q) if not x or not y else int(np.minimum(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")).sum(dtype=np.int64))
+                most = _most_shared(x, y) if x and y else min(p, q)
                 keep.append((100 + percent) * most >= percent * (p + q))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
