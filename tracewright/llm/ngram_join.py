@@ -7,10 +7,10 @@
 3. Lists of classes that share a prefix shingle yield candidates, cut by length, position and suffix filters; each pair
    is verified once on the whole shingle sets.
 
-Links only have to be followed, not listed, so lists go in two rounds. First each list's classes meet its pivot alone;
-then classes that are already connected need no further comparison, and only pairs across components are compared. A
-large group of near copies thus costs a multiple of its size, not its square. No pair of classes in different components
-is left out, so components are those of all links.
+Links only have to be followed, not listed, so lists go in three rounds. First the classes of a list that have one size
+meet a pivot among them; then a member of the list's largest component meets all others outside that component; last,
+the pairs that still lie across components are compared. A large group of near copies thus costs a multiple of its size,
+not its square. No pair of classes in different components is left out, so components are those of all links.
 
 Any order of shingles gives the same links: the sketch decides speed alone. Shingles are 64-bit hashes.
 
@@ -249,6 +249,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, per
     return written(rows.mapInArrow(run, "a long, b long").distinct(), "ngram-links")
 
 
+def _starred(lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of each list's classes with their pivot that length and position allow."""
+    pairs = lists.select(
+        F.col("pivot.cid").alias("a"), F.col("pivot.n").alias("na"), F.col("pivot.pos").alias("pa"),
+        F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"),
+    ).where("a <> b")
+    return pairs.where(_possible("na", "pa", "nb", "pb", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _placed(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """lists with each class's component so far."""
+    return lists.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+
+
 def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
@@ -261,21 +275,20 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     lists = _postings(rows, _sketch(first), n, percent).repartition("token")
     lists = lists.groupBy("token", "cid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     every = Window.partitionBy("token")
-    lists = lists.withColumn("pivot", F.min(F.struct("cid", "n", "pos")).over(every)).withColumn("held", F.count("*").over(every))
+    lists = lists.withColumn("pivot", F.min(F.struct("cid", "n", "pos")).over(Window.partitionBy("token", "n"))).withColumn("held", F.count("*").over(every))
     lists = written(lists.where("held > 1"), "ngram-lists")
+    links = _verified(_starred(lists, percent), rows, classes, n, percent)
 
-    starred = lists.select(
-        F.col("pivot.cid").alias("a"), F.col("pivot.n").alias("na"), F.col("pivot.pos").alias("pa"),
-        F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"),
-    ).where("a <> b")
-    starred = starred.where(_possible("na", "pa", "nb", "pb", percent)).select("a", "b").distinct()
-    links = _verified(starred, rows, classes, n, percent)
+    placed = _placed(lists.drop("pivot"), components(links)).withColumn("crowd", F.count("*").over(Window.partitionBy("token", "comp")))
+    pivot = F.min(F.struct((-F.col("crowd")).alias("crowd"), "comp", "cid", "n", "pos")).over(every)
+    placed = written(placed.withColumn("pivot", pivot).where("comp <> pivot.comp"), "ngram-placed")
+    links = links.unionByName(_verified(_starred(placed, percent), rows, classes, n, percent))
     comps = components(links)
 
-    # What is still open: lists that touch several components, without their pivot, which has met every one of its list.
-    rest = lists.where("held > 2 and cid <> pivot.cid").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-    rest = rest.withColumn("comp", F.coalesce("component", "cid"))
-    rest = rest.withColumn("lo", F.min("comp").over(every)).withColumn("hi", F.max("comp").over(every)).where("lo <> hi")
+    # What is still open: lists that touch several components, without their pivot, which has met all outside its own.
+    rest = _placed(lists.where("held > 2").drop("pivot"), comps)
+    met = placed.select("token", F.col("pivot.cid").alias("cid")).distinct()
+    rest = rest.withColumn("lo", F.min("comp").over(every)).withColumn("hi", F.max("comp").over(every)).where("lo <> hi").join(met, ["token", "cid"], "left_anti")
     # Linked sets' sizes differ by at most one band.
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")
     rest = written(rest.select("token", "cid", "comp", "n", "pos", band.alias("band")), "ngram-open")
