@@ -154,5 +154,6 @@ FROM g
 def op3_chat_format(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     kind = rows.schema["turn"].dataType
-    extra = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
-    return digest(format_chats(rows.unionByName(extra.withColumn("turn", F.col("turn").cast(kind)))))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast(kind).alias("turn"), role.alias("role"), F.lit(PLANTED).alias("text"))
+    return digest(format_chats(rows.unionByName(extra)))
