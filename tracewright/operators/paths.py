@@ -156,18 +156,45 @@ def peel_links(features: DataFrame, outs: DataFrame, spender: DataFrame, ratio:
 
 
 def peel_chains(links: DataFrame, least: int) -> DataFrame:
-    """head, hops: chains of a successor table that nothing continues into, by pointer doubling. Cycles have no head."""
-    jump = written(links.select("txid", F.col("next").alias("to"), F.lit(1).alias("n")), "peel")
-    for _ in range(40):
-        far = jump.select(F.col("txid").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
-        new = jump.join(far, "to", "left")
-        if new.where("to2 is not null and n < 1000000").isEmpty():
-            break
-        jump = written(new.select("txid", F.coalesce("to2", "to").alias("to"), F.least(F.col("n") + F.coalesce("n2", F.lit(0)), F.lit(1 << 20)).alias("n")), "peel")
+    """head, hops: chains of a successor table that nothing continues into, by pointer doubling. Cycles have no head.
+
+    A chain that runs into a cycle ends before the first transaction that it meets again.
+    """
+    jump, ring = _jumps(links)
+    if ring is not None:
+        sizes = _ring_sizes(links.join(ring, "txid", "left_semi"))
+        jump, _ = _jumps(links.join(ring, "txid", "left_anti"))
+        jump = jump.join(sizes.withColumnRenamed("txid", "to"), "to", "left").withColumn("n", F.col("n") + F.coalesce(F.col("size") - 1, F.lit(0)))
     heads = jump.join(links.select(F.col("next").alias("txid")).distinct(), "txid", "left_anti")
     return heads.where(F.col("n") >= least).select(F.col("txid").alias("head"), F.col("n").alias("hops"))
 
 
+def _jumps(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """txid, to, n: where each chain ends and after how many links; and the transactions on cycles, if there are any."""
+    jump = written(links.select("txid", F.col("next").alias("to"), F.lit(1).cast("long").alias("n")), "peel")
+    total, far = jump.count(), 1
+    while True:
+        ahead = jump.select(F.col("txid").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
+        new = jump.join(ahead, "to", "left")
+        if new.where("to2 is not null").isEmpty():
+            return jump, None
+        if far >= total:  # what still moves after as many steps as there are links is on a cycle
+            return jump, written(new.where("to2 is not null").select(F.col("to").alias("txid")).distinct(), "peel")
+        jump = written(new.select("txid", F.coalesce("to2", "to").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "peel")
+        far *= 2
+
+
+def _ring_sizes(ring: DataFrame) -> DataFrame:
+    """txid, size of the cycle it is on, for links that are all on cycles."""
+    now = written(ring.select("txid", F.col("next").alias("to"), F.col("txid").alias("low")), "peel")
+    total, far = now.count(), 1
+    while far < total:
+        ahead = now.select(F.col("txid").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
+        now = written(now.join(ahead, "to").select("txid", F.col("to2").alias("to"), F.least("low", "low2").alias("low")), "peel")
+        far *= 2
+    return now.join(now.groupBy("low").agg(F.count("*").alias("size")), "low").select("txid", "size")
+
+
 def layering(txs: DataFrame, features: DataFrame, ins: DataFrame, outs: DataFrame, spender: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """split, merge, hops, traced: a split's value comes together again in a merge, in time and within the hops."""
     plain = features.where("not coinjoin")

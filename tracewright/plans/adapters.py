@@ -16,6 +16,10 @@ def seconds(c: str) -> Column:
 class Views:
     """Lazily built adapters over one folder of tables."""
 
+    #: Where the SQL of the graph queries and of q_clusters ends; None takes all orders.
+    until: str | None = UNTIL
+    owned_until: str | None = "1995-01-15"
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
@@ -26,6 +30,14 @@ class Views:
     def orders(self) -> DataFrame:
         return self.table("orders")
 
+    @property
+    def whole(self) -> Views:
+        """The same views over all orders."""
+        return Whole(self.spark, self.dir)
+
+    def before(self, day: str | None) -> DataFrame:
+        return self.orders if day is None else self.orders.where(F.col("o_orderdate") < F.lit(day).cast("timestamp"))
+
     @property
     def txs(self) -> DataFrame:
         return self.orders.select(F.concat(F.lit("T"), "o_orderkey").alias("txid"), seconds("o_orderdate").alias("ts"), F.lit(0.0).alias("fee"))
@@ -57,8 +69,8 @@ class Views:
 
     @property
     def graph(self) -> DataFrame:
-        """Entity edges of the graph window: src, dst, value, n, mix_n."""
-        o = self.orders.where(F.col("o_orderdate") < F.lit(UNTIL).cast("timestamp")).select("o_orderkey", F.concat(F.lit("A"), F.col("o_custkey") % MOD).alias("src"))
+        """Entity edges of the orders before until: src, dst, value, n, mix_n."""
+        o = self.before(self.until).select("o_orderkey", F.concat(F.lit("A"), F.col("o_custkey") % MOD).alias("src"))
         l = self.table("lineitem").select(  # noqa: E741
             "l_orderkey", F.concat(F.lit("A"), F.col("l_partkey") % MOD).alias("dst"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value")
         )
@@ -84,6 +96,12 @@ class Views:
         return self.events.select("txid", F.col("peer").alias("src"), F.lead("peer").over(w).alias("dst"), "ts").where("dst is not null")
 
 
+class Whole(Views):
+    """The views without the date limits of the SQL."""
+
+    until = owned_until = None
+
+
 #: The same views as SQL common table expressions.
 SQL = {
     "tx": "tx AS (SELECT 'T' || o_orderkey AS txid, epoch_us(o_orderdate) / 1e6 AS ts FROM orders)",

@@ -200,10 +200,11 @@ def _(v: Views) -> DataFrame:
     """WITH RECURSIVE p AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b USING (l_orderkey) JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate < TIMESTAMP '1995-01-15' AND a.l_partkey <> b.l_partkey),
        r AS (SELECT a, a AS x FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.x)
        SELECT a AS node, min(x) AS component FROM r GROUP BY 1""",
+    whole=True,
 )
 def _(v: Views) -> DataFrame:
     """Clusters by common ownership: connected components."""
-    days = v.orders.where(F.col("o_orderdate") < F.lit("1995-01-15").cast("timestamp")).select(F.col("o_orderkey").alias("l_orderkey"))
+    days = v.before(v.owned_until).select(F.col("o_orderkey").alias("l_orderkey"))
     held = v.table("lineitem").join(days, "l_orderkey").select("l_orderkey", F.col("l_partkey").alias("b"))
     # Each member joins the least of its transaction: as many links as members, not pairs.
     return components(held.withColumn("a", F.min("b").over(Window.partitionBy("l_orderkey"))).select("a", "b"))
