@@ -7,14 +7,18 @@ anchor are one context (at most ``2 * LENGTH - GRAM`` bytes).
 1. Texts are packed into blocks (compressed, written to the shared folder); equal texts of a block are kept once.
 2. Blocks send each distinct anchor once to its bucket, and learn which ones other documents hold too.
 3. Contexts of shared anchors go to their buckets, each distinct context of a block once with its smallest doc_id. A bucket
-   builds the enhanced suffix array of its contexts (sorted suffixes and the lengths of their common prefixes), scans it
-   with a stack for the common-prefix intervals of at least LENGTH bytes, and marks those whose left neighbours differ:
-   the maximal repeats, each with all its occurrences. An interval's smallest doc_id holds the string first.
+   builds the enhanced suffix array of its contexts (sorted suffixes and the lengths of their common prefixes) and scans
+   it with a stack for the common-prefix intervals of at least LENGTH bytes. The outermost of them hold all occurrences
+   of a window; the smallest doc_id there holds the string first.
 4. Blocks read their marks back: bytes of strings first held by a smaller doc_id go.
 
 A passage in a third of all documents is one anchor a block, never one a document, so no bucket holds an unbounded group
 of copies; the number of buckets follows the bytes of text.
 
+``maximal_repeats`` lists what repeats: the maximal repeats of whole texts with all their occurrences. Contexts end where
+anchors change, so their intervals cannot tell where a longer repeat starts and ends; it compares suffixes of the texts
+themselves, from the windows on that follow different bytes. A removed byte is one of a repeat held by a smaller doc_id.
+
 Defined results: a null text is empty; texts under LENGTH bytes stay whole; repeated rows with one doc_id do not remove
 each other; rows with a null doc_id count as last and never remove others' bytes; an empty table gives no rows; other
 columns are ignored.
@@ -451,5 +455,90 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = True,
     return blocks.groupBy("block").cogroup(hints.groupBy("block")).applyInArrow(cut, _ddl(_RESULT))
 
 
+_REPEATS = pa.schema([("repeat", pa.string()), ("n_bytes", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64())])
+_PART = 256
+
+
+def _window_hashes(raw: bytes, length: int) -> np.ndarray:
+    n, gram = len(raw) - length + 1, 1 << (length.bit_length() - 1)
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    h = gram_hashes(np.frombuffer(raw, np.uint8), gram)
+    return h[:n] * np.uint64(_A) ^ h[length - gram : length - gram + n]
+
+
+def _windows(texts: DataFrame, length: int) -> DataFrame:
+    """h, left, row, at, doc_id of each window of each text; left is the byte before it, -1 for none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "raw")), strict=True):
+                h = _window_hashes(raw, length).view(np.int64)
+                n = len(h)
+                left = np.concatenate([[-1], np.frombuffer(raw, np.uint8)[: max(0, n - 1)].astype(np.int64)])[:n]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(left, pa.int32()), pa.array(np.full(n, row, np.int64)), pa.array(np.arange(n)), pa.array([doc] * n, pa.int64())],
+                    ["h", "left", "row", "at", "doc_id"],
+                )
+
+    return texts.mapInArrow(run, "h long, left int, row long, at long, doc_id long")
+
+
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+
+def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """repeat, n_bytes, row, at, doc_id: every occurrence of every maximal repeat of at least length bytes.
+
+    A repeat stands at two places at least, in one row or several, and grows at neither end without losing a place; the
+    ends of a text are unlike all else. repeat tells repeats apart, row numbers the rows of docs, at is a byte offset.
+    Suffixes that begin alike are compared part by part, parts twice as long each round, for as long as they agree; the
+    places of one window are one group of one task.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw"))
+    texts = written(texts.withColumn("row", F.monotonically_increasing_id()), "repeat-texts")
+    windows = _windows(texts, length)
+    # Where all places of a window follow one byte, so do those of whatever begins with it.
+    starts = windows.groupBy("h").agg(F.count("*").alias("n"), F.min("left").alias("lo"), F.max("left").alias("hi"))
+    starts = starts.where("n > 1 and (lo < hi or lo < 0)").select("h")
+    front = windows.join(starts, "h", "left_semi").select(F.hex("h").alias("key"), "left", "row", "at", "doc_id")
+    front = written(front, "repeat-starts")
+    done, part, found = 0, max(_PART, length), None
+    while not front.isEmpty():
+        least = length if done == 0 else 1
+
+        def split(table: pa.Table) -> pa.Table:
+            rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+            lcp = np.array([0, *(_common(a["part"], b["part"]) for a, b in zip(rows, rows[1:], strict=False))], np.int64)
+            left = np.array([r["left"] for r in rows], np.int64)
+            n, lo, hi = lcp_intervals(lcp, least)
+            if done and len(rows) > 1 and not lcp[1:].all():  # the group itself grows no further
+                n, lo, hi = np.append(n, 0), np.append(lo, 0), np.append(hi, len(rows) - 1)
+            ok = left_diverse(left, lo, hi) if len(n) else np.empty(0, bool)
+            out = []
+            for k, a, e in zip(n[ok].tolist(), lo[ok].tolist(), hi[ok].tolist(), strict=True):
+                key = hashlib.sha256(rows[a]["key"].encode() + rows[a]["part"][:k]).hexdigest()
+                for r in rows[a : e + 1]:
+                    out.append({"key": key, "left": r["left"], "row": r["row"], "at": r["at"], "doc_id": r["doc_id"], "n_bytes": done + k, "open": k == part})
+            return pa.Table.from_pylist(out, _SPLIT)
+
+        parts = front.join(texts.select("row", "raw"), "row")
+        parts = parts.select("key", "left", "row", "at", "doc_id", F.expr(f"substring(raw, cast(at + {done + 1} as int), {part})").alias("part"))
+        got = written(parts.groupBy("key").applyInArrow(split, _SPLIT_DDL), "repeat-round")
+        closed = got.where("not open").select(F.col("key").alias("repeat"), "n_bytes", "row", "at", "doc_id")
+        found = closed if found is None else found.unionByName(closed)
+        front = got.where("open").select("key", "left", "row", "at", "doc_id")
+        done, part = done + part, 2 * part
+    return docs.sparkSession.createDataFrame([], _ddl(_REPEATS)) if found is None else found
+
+
+_SPLIT = pa.schema([("key", pa.string()), ("left", pa.int32()), ("row", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("open", pa.bool_())])
+_SPLIT_DDL = "key string, left int, row long, at long, doc_id long, n_bytes long, open boolean"
+
+
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).drop("kept")
