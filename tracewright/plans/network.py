@@ -189,7 +189,7 @@ def _(v: Views) -> DataFrame:
 
 @query("q_stream_windows", with_("ev", body=""" SELECT CAST(floor(ts / 86400) AS BIGINT) AS day, event_type, count(*) AS n, round(sum(value), 4) AS v FROM ev GROUP BY 1, 2"""))
 def _(v: Views) -> DataFrame:
-    """Event-time windows with a watermark, as a stream (E3 streaming form)."""
+    """Event-time windows of all arrivals, late ones too, as a stream (E3 streaming form)."""
     from tracewright.streaming import arrivals
 
     return arrivals.windowed(v.spark, f"{v.dir}/events.parquet", v.table("events").schema)

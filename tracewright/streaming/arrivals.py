@@ -55,20 +55,20 @@ def drained(spark: SparkSession, path: str, schema: T.StructType, key: str) -> D
 
 
 def windowed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Counts and sums by day and type with a watermark, updated batch by batch; the last update of each window."""
-    name = f"w{uuid.uuid4().hex}"
-    at = f"{shared_dir(spark)}/{name}"
-    rows = source(spark, path, schema).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 days")
-    by = rows.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
-    flat = by.select((F.unix_seconds("window.start") / 86400).cast("long").alias("day"), "event_type", "n", F.round("v", 4).alias("v"))
+    """Counts and sums by day and type over all arrivals, however late: each batch's partial sums, added up.
+
+    A batch is written under its id, so a replay overwrites it with itself.
+    """
+    at = f"{shared_dir(spark)}/w{uuid.uuid4().hex}"
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86400 * 10**6)).cast("long")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/batches/{number}")
+        by = batch.groupBy(day.alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+        by.write.mode("overwrite").parquet(f"{at}/batches/{number}")
 
-    flat.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.schema("day long, event_type string, n long, v double, _batch int").option("recursiveFileLookup", "true").parquet(f"{at}/batches")
-    last = F.max_by(F.struct("n", "v"), "_batch")
-    return got.groupBy("day", "event_type").agg(last.alias("x")).select("day", "event_type", "x.n", "x.v")
+    run(source(spark, path, schema), put, at)
+    got = committed(spark, at, T.StructType.fromDDL("day long, event_type string, n long, v double"))
+    return got.groupBy("day", "event_type").agg(F.sum("n").alias("n"), F.round(F.sum("v"), 4).alias("v"))
 
 
 def guarded(on_batch: Callable[[DataFrame, int], None], failed: list[tuple[int, str]]) -> Callable[[DataFrame, int], None]:
