@@ -7,11 +7,14 @@
 3. Lists of classes that share a prefix shingle yield candidates, cut by length, position and suffix filters; each pair
    is verified once on the whole shingle sets.
 
-Links only have to be followed, not listed, so lists go in three rounds. First the classes of a list that have one size
+For ``linked``, links only have to be followed, not listed, so lists go in three rounds. First the classes of a list that have one size
 meet a pivot among them; then a member of the list's largest component meets all others outside that component; last,
 the pairs that still lie across components are compared. A large group of near copies thus costs a multiple of its size,
 not its square. No pair of classes in different components is left out, so components are those of all links.
 
+``joined`` is the whole join: every candidate pair of classes is verified, and documents carry their number of links.
+``linked`` gives the same components without the links inside a component that is already known.
+
 Any order of shingles gives the same links: the sketch decides speed alone. Shingles are 64-bit hashes.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; fewer words than a shingle
@@ -263,8 +266,19 @@ def _placed(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return lists.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
 
 
-def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+def _candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of lists' classes in different components that length and position allow."""
+    # Linked sets' sizes differ by at most one band.
+    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")
+    rest = written(lists.select("token", "cid", "comp", "n", "pos", band.alias("band")), "ngram-open")
+    left = rest.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    right = rest.select("token", "band", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    across = left.join(right, ["token", "band"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible("na", "pa", "nb", "pb", percent))
+    return across.select("a", "b").distinct()
+
+
+def _prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """rows (doc_id, raw), their members of classes, classes, and the prefix lists of classes that two or more share."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
     first = _first_pass(rows, n)
     members = first.where("chunk is null").select("doc_id", "n", "cid", "hist")
@@ -274,9 +288,38 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     )
     lists = _postings(rows, _sketch(first), n, percent).repartition("token")
     lists = lists.groupBy("token", "cid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    lists = lists.withColumn("pivot", F.min(F.struct("cid", "n", "pos")).over(Window.partitionBy("token", "n"))).withColumn("held", F.count("*").over(Window.partitionBy("token")))
+    return rows, members, classes, written(lists.where("held > 1"), "ngram-lists")
+
+
+def _named(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, cid, component_id of members, by the components of links."""
+    rooted = classes.select("cid", "rep").join(components(links).withColumnRenamed("node", "cid"), "cid", "left")
+    rooted = rooted.withColumn("component", F.coalesce("component", "cid"))
+    roots = rooted.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = rooted.join(roots, "component").select("cid", "component_id")
+    return members.join(named, "cid", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cid"
+    )
+
+
+def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The whole join. For every row of docs: doc_id, n_shingles, component_id, n_links (rows that it links with, copies
+    too), cid (its class; null for an empty set). And every link between classes of different sets: a, b (a < b)."""
+    rows, members, classes, lists = _prepared(docs, n, percent)
+    links = _verified(_candidates(lists.withColumn("comp", F.col("cid")), percent), rows, classes, n, percent)
+    held = members.where("cid is not null").groupBy("cid").agg(F.count("*").alias("copies"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(held, F.col("b") == F.col("cid")).groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "cid")
+    degree = held.join(others, "cid", "left").select("cid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    found = _named(members, classes, links).join(degree, "cid", "left")
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "cid"), links
+
+
+def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    rows, members, classes, lists = _prepared(docs, n, percent)
     every = Window.partitionBy("token")
-    lists = lists.withColumn("pivot", F.min(F.struct("cid", "n", "pos")).over(Window.partitionBy("token", "n"))).withColumn("held", F.count("*").over(every))
-    lists = written(lists.where("held > 1"), "ngram-lists")
     links = _verified(_starred(lists, percent), rows, classes, n, percent)
 
     placed = _placed(lists.drop("pivot"), components(links)).withColumn("crowd", F.count("*").over(Window.partitionBy("token", "comp")))
@@ -289,23 +332,9 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rest = _placed(lists.where("held > 2").drop("pivot"), comps)
     met = placed.select("token", F.col("pivot.cid").alias("cid")).distinct()
     rest = rest.withColumn("lo", F.min("comp").over(every)).withColumn("hi", F.max("comp").over(every)).where("lo <> hi").join(met, ["token", "cid"], "left_anti")
-    # Linked sets' sizes differ by at most one band.
-    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")
-    rest = written(rest.select("token", "cid", "comp", "n", "pos", band.alias("band")), "ngram-open")
-    left = rest.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = rest.select("token", "band", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    across = left.join(right, ["token", "band"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible("na", "pa", "nb", "pb", percent))
-    across = across.select("a", "b").distinct()
+    across = _candidates(rest, percent)
     links = links.unionByName(_verified(across, rows, classes, n, percent))
-    comps = components(links)
-
-    rooted = classes.select("cid", "rep").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-    rooted = rooted.withColumn("component", F.coalesce("component", "cid"))
-    roots = rooted.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(roots, "component").select("cid", "component_id")
-    return members.join(named, "cid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return _named(members, classes, links).drop("cid")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -316,4 +345,5 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85)
+    found, _ = joined(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85)
+    return found.drop("cid")
