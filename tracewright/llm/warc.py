@@ -2,7 +2,8 @@
 
 The reader checks every record (gzip CRC, version line, header block, Content-Length, terminator, payload digest).
 After a failed check it looks for the next gzip member or version line that passes, goes on from there and logs the
-bytes between as a quarantined gap.
+bytes between as a quarantined gap. Inside a member it looks in the inflated bytes; of a damaged member it keeps the
+records before the damage whose payload digest is right.
 
 Archives are opened through pyarrow.fs, so the folder may be any URI that it and Spark both know (file, hdfs, s3, gs).
 Writers list finished files in a manifest; a file left by a lost task is in no manifest and is never read.
@@ -196,7 +197,7 @@ def _content(head: dict[str, str], body: bytes) -> dict:
     kind = head.get("warc-type", "")
     digest = head.get("warc-payload-digest", "").rpartition(":")[2]
     got = {"record_type": kind, "page_id": _id(head.get("warc-record-id")), "uri": head.get("warc-target-uri"),
-           "refers_to": None, "payload_bytes": len(body), "payload_digest": digest}
+           "refers_to": None, "payload_bytes": len(body), "payload_digest": digest, "checked": False}
     if head.get("content-type", "").startswith("application/http"):
         http, _, payload = body.partition(_END)
         if kind == "revisit":
@@ -206,41 +207,91 @@ def _content(head: dict[str, str], body: bytes) -> dict:
             own = hashlib.sha256(payload).hexdigest()
             if digest and digest != own:
                 raise Damaged("payload digest differs")
-            got |= {"payload_bytes": len(payload), "payload_digest": own}
+            got |= {"payload_bytes": len(payload), "payload_digest": own, "checked": bool(digest)}
     return got
 
 
-def _inflate(src: _Bytes, start: int) -> tuple[bytes, int]:
+def _inflate(src: _Bytes, start: int) -> tuple[bytes, int, str]:
+    """What a member holds, where it ends, and why it ends early (empty if it does not)."""
     z, at, out = zlib.decompressobj(31), start, []
     while not z.eof:
         part = src.get(at, 1 << 16)
         if not part:
-            raise Damaged("member is cut off")
+            return b"".join(out), at, "member is cut off"
+        before = z.copy()
         try:
             out.append(z.decompress(part))
         except zlib.error as e:
-            raise Damaged(f"bad member: {e}") from None
+            for k in range(len(part)):  # up to the byte that fails
+                try:
+                    out.append(before.decompress(part[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), at + k, f"bad member: {e}"
         at += len(part)
-    return b"".join(out), at - len(z.unused_data)
+    return b"".join(out), at - len(z.unused_data), ""
+
+
+def _packed_until(src: _Bytes, start: int, n: int) -> int:
+    """A place in a member whose bytes before it inflate to less than n bytes, by at most 64 bytes of the member."""
+    z, at, size = zlib.decompressobj(31), start, 0
+    while True:
+        part = src.get(at, 64)
+        try:
+            size += len(z.decompress(part))
+        except zlib.error:
+            return at
+        if size >= n or not part:
+            return at
+        at += 64
+
+
+def _inside(data: bytes, damage: str) -> tuple[list[dict], int]:
+    """Records and gaps of an inflated member, in order, and where its last good record ends.
+
+    In a damaged member only records whose payload digest is right are good.
+    """
+    rows, k, good, bad = [], 0, 0, None
+    while k < len(data):
+        try:
+            got, end = _parse(lambda s, n: data[s : s + n], k, len(data))
+            if damage and not got["checked"]:
+                raise Damaged(damage)
+        except Damaged as e:
+            bad = bad or (k, str(e))
+            k = data.find(_VERSION, k + 1)
+            k = len(data) if k < 0 else k
+            continue
+        if bad:
+            rows.append({"gap": True, "reason": f"{bad[1]} (inflated bytes {bad[0]} to {k})"})
+            bad = None
+        rows.append(got | {"gap": False})
+        k = good = end
+    if bad or damage:
+        a, why = bad or (k, damage)
+        rows.append({"gap": True, "reason": f"{damage or why} (inflated bytes from {a})"})
+    if not good and rows:
+        raise Damaged(damage or bad[1])
+    return rows, good
 
 
 def salvage(file) -> Iterator[dict]:
-    """Records and gaps of one open archive, in order, covering each of its bytes once."""
+    """Records and gaps of one open archive, in order, covering each of its bytes once; those of one member share its bytes."""
     src = _Bytes(file)
     at = 0
     bad_from, reason = None, ""
     while at < src.size:
-        found: list[dict] = []
         try:
             if src.get(at, 3) == _GZIP:
-                data, end = _inflate(src, at)
-                k = 0
-                while k < len(data):
-                    got, k = _parse(lambda s, n, d=data: d[s : s + n], k, len(data))
-                    found.append(got)
+                data, end, damage = _inflate(src, at)
+                if damage and not data:
+                    raise Damaged(damage)
+                found, good = _inside(data, damage)
+                if damage:  # another member may begin anywhere after the last good record
+                    end = src.find(max(at + 1, _packed_until(src, at, good)))
             else:
                 got, end = _parse(src.get, at, src.size)
-                found.append(got)
+                found = [got | {"gap": False}]
         except Damaged as e:
             if bad_from is None:
                 bad_from, reason = at, str(e)
@@ -250,7 +301,7 @@ def salvage(file) -> Iterator[dict]:
             yield {"start": bad_from, "end": at, "gap": True, "reason": reason}
             bad_from = None
         for got in found:
-            yield got | {"start": at, "end": end, "gap": False}
+            yield got | {"start": at, "end": end}
         at = end
     if bad_from is not None:
         yield {"start": bad_from, "end": src.size, "gap": True, "reason": reason}
