@@ -101,7 +101,10 @@ def _next_group(ids: DataFrame, levels: tuple[int, ...] = (12, 24)) -> DataFrame
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, row, text, n_chars, edited, next_id, next_row: texts shuffle once, by ranges of GROUP ids."""
+    """doc_id, nth, row, text, n_chars, edited, next_id, next_row: texts shuffle once, by ranges of GROUP ids.
+
+    nth is the place of a row in its range, so that equal rows stay apart.
+    """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("g", F.coalesce(F.floor(F.col("doc_id") / F.lit(GROUP)), F.lit(-(1 << 55))))
@@ -119,6 +122,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     half = F.floor(n / F.lit(2)).cast("int")
     return out.select(
         "doc_id",
+        F.col("rn").alias("nth"),
         F.xxhash64("text").alias("row"),
         "text",
         n.cast("long").alias("n_chars"),
@@ -132,11 +136,11 @@ def compared(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and both likenesses."""
     rows = with_edits(docs)
     both = rows.select(
-        "doc_id", "row", "next_id", "next_row", "n_chars",
+        "doc_id", "nth", "row", "next_id", "next_row", "n_chars",
         F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"),
-    ).select("doc_id", "row", "next_id", "next_row", "n_chars", "x.kind", "x.text")
+    ).select("doc_id", "nth", "row", "next_id", "next_row", "n_chars", "x.kind", "x.text")
     both = both.withColumn("sha", F.when(F.col("kind") == 1, F.sha2(F.col("text").cast("binary"), 256)))
-    keys = ["doc_id", "row", "next_id", "next_row", "n_chars", "kind", "sha"]
+    keys = ["doc_id", "nth", "row", "next_id", "next_row", "n_chars", "kind", "sha"]
     return fingerprints(both, keys)
 
 
@@ -145,11 +149,11 @@ def digest(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     fps = written(compared(docs), "simhash")
     own = fps.where("kind = 0").drop("kind", "sha").withColumnRenamed("fp", "own_fp")
-    edited = fps.where("kind = 1").select("doc_id", "row", "next_id", "next_row", "sha", F.col("fp").alias("edited_fp"))
+    edited = fps.where("kind = 1").select("doc_id", "nth", "row", "next_id", "next_row", "sha", F.col("fp").alias("edited_fp"))
     after = own.select(F.col("doc_id").alias("n_id"), F.col("row").alias("n_row"), F.col("own_fp").alias("next_fp")).distinct()
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     edited = edited.select(*[F.col(c).alias(f"e_{c}") for c in edited.columns])
-    rows = own.join(edited, same("doc_id", "e_doc_id") & same("row", "e_row") & same("next_id", "e_next_id") & same("next_row", "e_next_row"))
+    rows = own.join(edited, same("doc_id", "e_doc_id") & same("nth", "e_nth") & same("row", "e_row") & same("next_id", "e_next_id") & same("next_row", "e_next_row"))
     rows = rows.join(after, same("next_id", "n_id") & same("next_row", "n_row"), "left")
     held = own.groupBy(F.col("own_fp").alias("fp")).agg(F.count("*").alias("docs"))
     asked = own.where("doc_id % 100 = 0").select(F.col("own_fp").alias("fp")).distinct()
