@@ -1,21 +1,23 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 Texts are cut into units where no piece of the vocabulary can cross (between a letter and what is no letter, and before
-spaces); the rule is read off the piece table, so the best path of a text is the best paths of its units. Each distinct
-unit is encoded once, in DataFrame operations: explode its substrings up to the longest piece, equi-join them to the piece
-table, group the edges by unit, and fold the Viterbi recursion with a higher-order aggregate. Characters without a piece
-fall back to byte pieces.
-
-Scores are the model's own, and the best path has the largest sum. For a model trained by merges this is the best-scoring
-segmentation, not the merge order's; see the README. Decoding restores every text exactly, spaces included.
-
-Texts are packed into blocks in a bucketed table, so their bytes move once. A block asks for its distinct units; units
-that many blocks hold are encoded beforehand and broadcast (``FREQUENT`` of them at most, ``MAX_UNIT`` characters each),
-the others meet the dictionary in a shuffle join by unit and return to their blocks.
-
-Defined results: null and empty texts have no pieces and decode to the empty text; repeated rows each get a row; a unit
-over MAX_UNIT characters is folded in the block by the same recursion; an empty table gives no rows; other columns are
-ignored.
+spaces); the rule is read off the piece table, so a text's pieces are its units' pieces. Each distinct unit is encoded
+once, in DataFrame operations: explode its substrings up to the longest piece, equi-join them to the piece table, group
+the edges by unit, and fold them with a higher-order aggregate. Characters without a piece fall back to byte pieces.
+
+The fold follows the model's kind. A unigram model's pieces carry log probabilities: the fold is the Viterbi recursion,
+and the best path has the largest sum. The scores of a model trained by merges are ranks, whose sums mean nothing (the
+Viterbi path of the model at hand is the library's encoding for 1 text of 200): there the fold takes the lattice's edges
+in order of rank and joins an edge's two parts where both still stand, which is the library's own encoding. It is exact
+while no piece is put together from a part that ranks behind it; a test holds the model's whole vocabulary to that, and
+the ids to those of the library. Decoding restores every text exactly, spaces included.
+
+Texts are packed into blocks in the shared folder: a block's distinct units once, and its texts as numbers of them. A
+block asks for its units; units that many blocks hold are encoded beforehand and broadcast (``FREQUENT`` of them at most),
+the others meet the dictionary in a shuffle join by unit and return to their blocks as numbers and ids.
+
+Defined results: null and empty texts have no pieces and decode to the empty text; repeated rows each get a row; texts
+and units may be of any length; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -31,36 +32,53 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.session import shared_dir, written
+from tracewright.session import written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FREQUENT = 1 << 16
-TOP_OF_BLOCK = 4096
-MAX_UNIT = 64
+TOP_OF_BLOCK = 8192
 BLOCK_BYTES = 8 << 20
 _MISSING = -1e12
 _SPACE = "▁"
 _FINE = r" *[^\W\d_²³¹]+| *(?:[^\w ]|[\d_²³¹])+| +"
 _COARSE = r" *[^ ]+| +"
+#: Positions in one word of a unit's boundaries.
+_WORD = 60
 
 
 @dataclass
 class Pieces:
-    """The model: normal pieces with scores, the id of byte 0, and the pattern of units."""
+    """The model: normal pieces with scores, the id of byte 0, how each id is spelled, the pattern of units."""
 
     ids: dict[str, int]
     scores: dict[str, float]
     byte_base: int
     spelled: list[bytes]
     pattern: str
+    by_merges: bool
 
     @cached_property
     def longest(self) -> int:
         return max(map(len, self.ids))
 
+    @cached_property
+    def ranks(self) -> dict[str, int]:
+        """Pieces by falling score; pieces of one score share a rank."""
+        rank = {s: k for k, s in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        return {p: rank[s] for p, s in self.scores.items()}
+
+    @cached_property
+    def id_bits(self) -> int:
+        return (len(self.spelled) + 1).bit_length()
+
+    @cached_property
+    def none(self) -> int:
+        """Stands for the byte pieces of a character without a piece."""
+        return (1 << self.id_bits) - 1
+
 
 def load(path: str = MODEL) -> Pieces:
     import sentencepiece
@@ -82,7 +100,8 @@ def load(path: str = MODEL) -> Pieces:
             spelled.append(text.encode())
     if base is None or any(spelled[base + b] != bytes([b]) for b in range(256)):
         raise ValueError("the model has no run of byte pieces")
-    return Pieces(ids, scores, base, spelled, _pattern(ids))
+    # Merges are numbered 0, -1, -2, ...; log probabilities are not whole numbers.
+    return Pieces(ids, scores, base, spelled, _pattern(ids), all(s == int(s) for s in scores.values()))
 
 
 def _pattern(pieces) -> str:
@@ -97,212 +116,309 @@ def units_of(text: str, pattern: re.Pattern) -> list[str]:
     return pattern.findall(" " + text) if text else []
 
 
+_PACKED = pa.schema(
+    [("block", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("which", pa.binary()), ("lens", pa.binary()), ("codes", pa.binary()), ("n_units", pa.int64()),
+     ("units", pa.binary()), ("top", pa.list_(pa.struct([("unit", pa.string()), ("n", pa.int64())])))]
+)
+_PACKED_DDL = "block long, ids binary, nulls binary, which binary, lens binary, codes binary, n_units long, units binary, top array<struct<unit:string,n:long>>"
+
+
+def _press(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=4).compress(raw)
+
+
+def _unpress(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().stream_reader(raw).read()
+
+
+class _Block:
+    """Rows, distinct texts and distinct units of a block under way."""
+
+    def __init__(self, pattern: re.Pattern):
+        self.pattern = pattern
+        self.ids: list[int | None] = []
+        self.which: list[int] = []
+        self.at: dict[str, int] = {}
+        self.number: dict[str, int] = {}
+        self.lens: list[int] = []
+        self.codes: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, i: int | None, text: str) -> None:
+        k = self.at.get(text)
+        if k is None:
+            k = self.at[text] = len(self.at)
+            number = self.number
+            codes = [number.setdefault(u, len(number)) for u in units_of(text, self.pattern)]
+            self.codes.append(np.array(codes, np.int32))
+            self.lens.append(len(codes))
+            self.size += len(text)
+        self.ids.append(i)
+        self.which.append(k)
+
+    def row(self) -> pa.RecordBatch:
+        codes = np.concatenate(self.codes)
+        held = np.bincount(codes, minlength=len(self.number))
+        most = np.argsort(-held, kind="stable")[:TOP_OF_BLOCK]
+        units = list(self.number)
+        row = {
+            "block": uuid.uuid4().int >> 65,
+            "ids": np.array([i or 0 for i in self.ids], np.int64).tobytes(),
+            "nulls": np.array([i is None for i in self.ids], bool).tobytes(),
+            "which": np.array(self.which, np.int32).tobytes(),
+            "lens": np.array(self.lens, np.int64).tobytes(),
+            "codes": _press(codes.tobytes()),
+            "n_units": len(units),
+            "units": _press("\0".join(u.replace("\0", "\0\1") for u in units).encode("utf-8", "surrogatepass")),
+            "top": [{"unit": units[k], "n": int(held[k])} for k in most.tolist() if held[k] > 1],
+        }
+        return pa.RecordBatch.from_pylist([row], _PACKED)
+
+
+def _units(row: dict) -> list[str]:
+    if not row["n_units"]:
+        return []
+    text = _unpress(row["units"]).decode("utf-8", "surrogatepass")
+    if "\0\1" not in text:
+        return text.split("\0")
+    return [u.replace("\0\1", "\0") for u in re.split("\0(?!\1)", text)]
+
+
 def packed(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of texts: ids and the text number of each row, distinct texts, the block's commonest units. A bucketed table."""
-    pattern_text, schema = pieces.pattern, pa.schema(
-        [("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("which", pa.binary()), ("lens", pa.binary()), ("nbytes", pa.int64()), ("body", pa.binary()),
-         ("top", pa.list_(pa.struct([("unit", pa.string()), ("n", pa.int64())])))]
-    )
+    """Blocks: doc_ids and the text number of each row, distinct texts as numbers of distinct units, the commonest units."""
+    pattern_text = pieces.pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile(pattern_text)
-
-        def flush() -> pa.RecordBatch:
-            raw = [t.encode("utf-8", "replace") for t in at]
-            row = {
-                "block": uuid.uuid4().int >> 65, "ids": ids, "which": np.array(which, np.int32).tobytes(),
-                "lens": np.array([len(t) for t in raw], np.int64).tobytes(), "nbytes": sum(map(len, raw)),
-                "body": zstandard.ZstdCompressor(level=4).compress(b"".join(raw)),
-                "top": [{"unit": u, "n": n} for u, n in held.most_common(TOP_OF_BLOCK) if n > 1],
-            }
-            return pa.RecordBatch.from_pylist([row], schema)
-
-        ids, which, at, size, held = [], [], {}, 0, Counter()
+        block = _Block(pattern)
         for batch in batches:
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text = text or ""
-                if text not in at:
-                    at[text] = len(at)
-                    size += len(text)
-                    held.update(u for u in units_of(text, pattern) if len(u) <= MAX_UNIT)
-                ids.append(i)
-                which.append(at[text])
-                if size >= block_bytes or len(ids) >= 200_000:
-                    yield flush()
-                    ids, which, at, size, held = [], [], {}, 0, Counter()
-        if ids:
-            yield flush()
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    block.add(i, text or "")
+                    if block.size >= block_bytes or len(block.ids) >= 200_000:
+                        yield block.row()
+                        block = _Block(pattern)
+        if block.ids:
+            yield block.row()
 
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "block long, ids array<long>, which binary, lens binary, nbytes long, body binary, top array<struct<unit:string,n:long>>"
-    )
-    name = f"pieces_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "block").saveAsTable(name)
-    return spark.table(name)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(rows.mapInArrow(run, _PACKED_DDL), "pieces-blocks")
 
 
-def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit (distinct, not empty) -> ids array<int>: the lattice and its best path."""
-    spark = units.sparkSession
-    table = spark.createDataFrame([("", -1, 0.0)] + [(p, i, pieces.scores[p]) for p, i in pieces.ids.items()], "piece string, id int, score double")
+class _Edge:
+    """An edge as one number: rank | end | length | id, so that edges sort by rank, then from left to right."""
+
+    def __init__(self, pieces: Pieces):
+        self.id_bits, self.len_bits = pieces.id_bits, pieces.longest.bit_length()
+        self.low = self.id_bits + self.len_bits
+        self.end_bits = 63 - self.low - self.id_bits
+
+    def pack(self, rank: Column, end: Column, length: Column, id_: Column) -> Column:
+        parts = ((rank, self.low + self.end_bits), (end, self.low), (length, self.id_bits), (id_, 0))
+        out = F.lit(0).cast("long")
+        for value, at in parts:
+            out = out.bitwiseOR(_shl(value.cast("long"), at))
+        return out
+
+    def end(self, x: Column) -> Column:
+        return _shr(x, self.low).bitwiseAND(F.lit((1 << self.end_bits) - 1)).cast("int")
+
+    def length(self, x: Column) -> Column:
+        return _shr(x, self.id_bits).bitwiseAND(F.lit((1 << self.len_bits) - 1)).cast("int")
+
+    def start(self, x: Column) -> Column:
+        return self.end(x) - self.length(x)
+
+    def key(self, x: Column) -> Column:
+        """end | id, to put a path in order."""
+        return _shl(self.end(x).cast("long"), self.id_bits).bitwiseOR(x.bitwiseAND(F.lit((1 << self.id_bits) - 1)))
+
+
+def _shl(x: Column, n: Column | int) -> Column:
+    return F.call_function("shiftleft", x, n if isinstance(n, Column) else F.lit(n))
+
+
+def _shr(x: Column, n: Column | int) -> Column:
+    return F.call_function("shiftright", x, n if isinstance(n, Column) else F.lit(n))
+
+
+def _bit(at: Column) -> Column:
+    return _shl(F.lit(1).cast("long"), at)
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """unit (distinct, not empty) -> n, edges: each substring that is a piece, as (x, score); merges need x alone.
+
+    Every character has an edge: of its own piece, or else one for its byte pieces.
+    """
+    spark, edge = units.sparkSession, _Edge(pieces)
+    table = spark.createDataFrame([(p, i, pieces.ranks[p], pieces.scores[p]) for p, i in pieces.ids.items()], "piece string, id int, rank int, score double")
     n = F.char_length("unit")
     spans = units.select("unit", n.alias("n")).select("unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-    # The empty substring at 0 joins the empty piece, so that units no piece fits keep a row.
-    lengths = F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("s")))
-    spans = spans.select("unit", "n", "s", F.explode(lengths).alias("l"))
+    spans = spans.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("s")))).alias("l"))
     spans = spans.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("l")))
     # The piece table is the vocabulary: its size is fixed by the model.
-    edges = spans.join(F.broadcast(table), "piece").select("unit", "n", F.struct((F.col("s") + F.col("l")).alias("e"), "s", "id", "score").alias("x"))
-    lattice = edges.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list("x").alias("edges"))
+    found = spans.join(F.broadcast(table), "piece", "left").where("id is not null or l = 1")
+    x = edge.pack(F.coalesce("rank", F.lit(0)), F.col("s") + F.col("l"), F.col("l"), F.coalesce("id", F.lit(pieces.none)))
+    value = x if pieces.by_merges else F.struct(x.alias("x"), F.coalesce("score", F.lit(_MISSING)).alias("score"))
+    return found.select("unit", "n", value.alias("edge")).groupBy("unit").agg(F.first("n").alias("n"), F.collect_list("edge").alias("edges"))
+
+
+def _by_merges(edge: _Edge) -> Column:
+    """The keys of a unit's path: the fold over its edges in order of rank.
+
+    An edge whose ends stand and that has one boundary inside takes it away. Boundaries are the bits of one number, or of
+    an array of them where a unit is longer.
+    """
+    edges, n = F.array_sort("edges"), F.col("n")
+    inner = lambda w, x: w.bitwiseAND(_bit(edge.length(x)) - F.lit(2))  # noqa: E731  w: boundaries from an edge's start on
+    stands = lambda w, x: (w.bitwiseAND(F.lit(1)) != 0) & (_shr(w, edge.length(x)).bitwiseAND(F.lit(1)) != 0)
+    alone = lambda mid: (mid != 0) & (mid.bitwiseAND(mid - F.lit(1)) == 0)
+    left = lambda w, x: stands(w, x) & (inner(w, x) == 0)
+
+    def few(m, x):
+        w = _shr(m, edge.start(x))
+        return F.when(stands(w, x) & alone(inner(w, x)), m.bitwiseXOR(_shl(inner(w, x), edge.start(x)))).otherwise(m)
+
+    short = _once(F.aggregate(edges, _bit(n + 1) - F.lit(1), few), lambda m: F.transform(F.filter("edges", lambda x: left(_shr(m, edge.start(x)), x)), edge.key))
+
+    def window(m, x):
+        q, r = (edge.start(x) / _WORD).cast("int"), edge.start(x) % _WORD
+        return _shr(F.get(m, q), r).bitwiseOR(_shl(F.coalesce(F.get(m, q + 1), F.lit(0).cast("long")), F.lit(_WORD) - r))
+
+    def many(m, x):
+        def cut(w):
+            at = edge.start(x) + F.bit_count(inner(w, x) - F.lit(1))
+            gone = F.transform(m, lambda v, i: F.when(i == (at / _WORD).cast("int"), v.bitwiseXOR(_bit(at % _WORD))).otherwise(v))
+            return F.when(stands(w, x) & alone(inner(w, x)), gone).otherwise(m)
+
+        return _once(window(m, x), cut)
+
+    full = F.transform(F.sequence(F.lit(0), (n / _WORD).cast("int")), lambda i: F.lit((1 << _WORD) - 1).cast("long"))
+    long = _once(F.aggregate(edges, full, many), lambda m: F.transform(F.filter("edges", lambda x: left(window(m, x), x)), edge.key))
+    return F.array_sort(F.when(n < _WORD, short).otherwise(long))
+
+
+def _by_scores(edge: _Edge) -> Column:
+    """The same for the path with the largest sum of scores: the Viterbi recursion, one end position after another."""
+    state = lambda score, s, key: F.struct(score.alias("score"), s.alias("s"), key.alias("key"))
 
     def best_at(best, e):
-        coming = F.transform(
-            F.filter("edges", lambda x: x["e"] == e),
-            lambda x: F.struct((best[x["s"]]["score"] + x["score"]).alias("score"), x["s"].alias("s"), x["id"].alias("id")),
-        )
-        bytes_ = F.struct((best[e - 1]["score"] + F.lit(_MISSING)).alias("score"), (e - 1).alias("s"), F.lit(-1).alias("id"))
-        return F.concat(best, F.array(F.array_max(F.concat(coming, F.array(bytes_)))))
-
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s"), F.lit(-1).alias("id")))
-
-    def spelled(p):
-        code = F.hex(F.encode(F.substring("unit", p, F.lit(1)), "UTF-8"))
-        return F.transform(
-            F.sequence(F.lit(1), (F.length(code) / 2).cast("int")),
-            lambda k: F.conv(F.substring(code, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + pieces.byte_base,
-        )
-
-    def traced(best):
-        def back(state, p):
-            at = best[p]
-            here = F.when(at["id"] >= 0, F.array(at["id"])).otherwise(spelled(p))
-            step = F.struct(at["s"].alias("p"), F.concat(here, state["ids"]).alias("ids"))
-            return F.when(p == state["p"], step).otherwise(state)
-
-        state = F.struct(F.col("n").alias("p"), F.array().cast("array<int>").alias("ids"))
-        return F.aggregate(F.sequence(F.col("n"), F.lit(1), F.lit(-1)), state, back)["ids"]
-
-    # The lambda binds the fold's result, which the way back reads many times, so that it is worked out once.
+        here = F.filter("edges", lambda y: edge.end(y["x"]) == e)
+        return F.concat(best, F.array(F.array_max(F.transform(here, lambda y: state(best[edge.start(y["x"])]["score"] + y["score"], edge.start(y["x"]), edge.key(y["x"]))))))
+
+    def back(at, p):
+        step = F.struct(at["best"][p]["s"].alias("p"), F.concat(F.array(at["best"][p]["key"]), at["path"]).alias("path"), at["best"].alias("best"))
+        return F.when(p == at["p"], step).otherwise(at)
+
+    start = F.array(state(F.lit(0.0), F.lit(0), F.lit(0).cast("long")))
     best = F.aggregate(F.sequence(F.lit(1), F.col("n")), start, best_at)
-    return lattice.select("unit", F.transform(F.array(best), traced)[0].alias("ids"))
-
-
-def fold(unit: str, pieces: Pieces) -> list[int]:
-    """The same recursion for one unit; for units too long for a row of edges."""
-    best: list[tuple[float, int, int]] = [(0.0, 0, -1)]
-    for e in range(1, len(unit) + 1):
-        top = (best[e - 1][0] + _MISSING, e - 1, -1)
-        for s in range(max(0, e - pieces.longest), e):
-            piece = unit[s:e]
-            if piece in pieces.ids:
-                top = max(top, (best[s][0] + pieces.scores[piece], s, pieces.ids[piece]))
-        best.append(top)
-    out: list[int] = []
-    p = len(unit)
-    while p:
-        _, s, i = best[p]
-        out += [i] if i >= 0 else [pieces.byte_base + b for b in reversed(unit[s:p].encode())]
-        p = s
-    return out[::-1]
+    at = lambda b: F.struct(F.col("n").alias("p"), F.array().cast("array<long>").alias("path"), b.alias("best"))
+    return _once(best, lambda b: F.aggregate(F.sequence(F.col("n"), F.lit(1), F.lit(-1)), at(b), back)["path"])
 
 
-def decode(ids: list[int], pieces: Pieces) -> str:
-    return b"".join(map(pieces.spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
+def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """unit (distinct, not empty) -> ids array<int>: the lattice and its fold."""
+    edge, none = _Edge(pieces), F.lit(pieces.none)
+    path = (_by_merges if pieces.by_merges else _by_scores)(edge)
+    id_of = lambda k: k.bitwiseAND(none).cast("int")
 
+    def spelled(k):
+        code = F.hex(F.encode(F.substring("unit", _shr(k, edge.id_bits).cast("int"), F.lit(1)), "UTF-8"))
+        of_byte = lambda b: F.conv(F.substring(code, 2 * b - 1, F.lit(2)), 16, 10).cast("int") + pieces.byte_base
+        return F.transform(F.sequence(F.lit(1), (F.length(code) / 2).cast("int")), of_byte)
 
-def _texts(row: dict) -> list[str]:
-    ends = np.cumsum(np.frombuffer(row["lens"], np.int64))
-    body = zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, row["nbytes"])) if row["nbytes"] else b""
-    return [body[a:e].decode() for a, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    with_bytes = lambda p: F.flatten(F.transform(p, lambda k: F.when(id_of(k) == none, spelled(k)).otherwise(F.array(id_of(k)))))
+    ids = lambda p: F.when(F.exists(p, lambda k: id_of(k) == none), with_bytes(p)).otherwise(F.transform(p, id_of))
+    return lattice(units, pieces).select("unit", _once(path, ids).alias("ids"))
 
 
-_ANSWER = "block long, units binary, unit_lens binary, ids binary, id_lens binary"
+def decode(ids: list[int], pieces: Pieces) -> str:
+    return b"".join(map(pieces.spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
+
+
+_ANSWER = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("ids", pa.binary()), ("lens", pa.binary())])
+_ANSWER_DDL = "block long, codes binary, ids binary, lens binary"
 
 
 def _answers(rows: DataFrame) -> DataFrame:
-    """(block, unit, ids) packed by block within each batch."""
+    """(block, code, ids) packed by block within each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block = batch.column("block").to_numpy(zero_copy_only=False)
-            order = np.argsort(block, kind="stable")
-            units, ids = batch.column("unit").to_pylist(), batch.column("ids").to_pylist()
+            if not batch.num_rows:
+                continue
+            block, code = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "code"))
+            ids = batch.column("ids")
+            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+            order = np.lexsort((code, block))
+            cut = np.flatnonzero(np.diff(block[order])) + 1
             out = []
-            cut = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
-            press = zstandard.ZstdCompressor(level=3)
-            for a, e in zip(cut, cut[1:], strict=False):
-                if a == e:
-                    continue
-                some = order[a:e].tolist()
-                u, i = [units[k].encode() for k in some], [np.array(ids[k], np.uint32).tobytes() for k in some]
-                out.append({"block": int(block[some[0]]), "units": press.compress(b"".join(u)), "unit_lens": np.array([len(x) for x in u], np.uint16).tobytes(),
-                            "ids": press.compress(b"".join(i)), "id_lens": np.array([len(x) for x in i], np.uint16).tobytes()})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("units", "unit_lens", "ids", "id_lens"))]))
-
-    return rows.select("block", "unit", "ids").mapInArrow(run, _ANSWER)
-
-
-def _open(row: dict, into: dict[str, bytes]) -> None:
-    z = zstandard.ZstdDecompressor()
-    u, i = z.stream_reader(row["units"]).read(), z.stream_reader(row["ids"]).read()
-    a = b = 0
-    for m, n in zip(np.frombuffer(row["unit_lens"], np.uint16).tolist(), np.frombuffer(row["id_lens"], np.uint16).tolist(), strict=True):
-        into[u[a : a + m].decode()] = i[b : b + n]
-        a, b = a + m, b + n
+            for some in np.split(order, cut):
+                lens = (ends[some + 1] - ends[some]).astype(np.int64)
+                at = np.arange(int(lens.sum())) + np.repeat(ends[some] - (np.cumsum(lens) - lens), lens)
+                out.append({"block": int(block[some[0]]), "codes": _press(code[some].astype(np.int32).tobytes()), "ids": _press(flat[at].astype(np.uint32).tobytes()), "lens": _press(lens.astype(np.uint32).tobytes())})
+            yield pa.RecordBatch.from_pylist(out, _ANSWER)
+
+    return rows.select("block", "code", "ids").mapInArrow(run, _ANSWER_DDL)
 
 
 def encoded(docs: DataFrame, path: str = MODEL, with_ids: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_pieces, ids (array<int>; null unless with_ids), ids_sha256 (little-endian 32-bit), decoded_sha256."""
-    spark: SparkSession = docs.sparkSession
+    spark = docs.sparkSession
     pieces = load(path)
     blocks = packed(docs, pieces, block_bytes)
-    top = blocks.select(F.explode("top").alias("t")).groupBy("t.unit").agg(F.sum("t.n").alias("n")).where("unit <> ''")
+    top = blocks.select(F.explode("top").alias("t")).groupBy("t.unit").agg(F.sum("t.n").alias("n"))
     top = top.orderBy(F.col("n").desc(), "unit").limit(FREQUENT).select("unit")
     frequent = {r["unit"]: np.array(r["ids"], np.uint32).tobytes() for r in encode_units(top.repartition("unit"), pieces).toLocalIterator()}
     known = spark.sparkContext.broadcast(frequent)
-    model = spark.sparkContext.broadcast(pieces)
+    spelled = spark.sparkContext.broadcast(pieces.spelled)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = re.compile(model.value.pattern)
+        held = known.value
         for batch in batches:
             for row in batch.to_pylist():
-                rare: set[str] = set()
-                for text in _texts(row):
-                    rare.update(units_of(text, pattern))
-                some = [u for u in rare if len(u) <= MAX_UNIT and u not in known.value]
-                for k in range(0, len(some), 50_000):
-                    part = some[k : k + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "unit"])
-
-    asked = blocks.select("block", "lens", "nbytes", "body").mapInArrow(ask, "block long, unit string").repartition("unit")
+                some = [(k, u) for k, u in enumerate(_units(row)) if u not in held]
+                for a in range(0, len(some), 20_000):
+                    part = some[a : a + 20_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row["block"]] * len(part), pa.int64()), pa.array([k for k, _ in part], pa.int32()), pa.array([u for _, u in part], pa.string())],
+                        ["block", "code", "unit"],
+                    )
+
+    asked = blocks.select("block", "n_units", "units").mapInArrow(ask, "block long, code int, unit string").repartition("unit")
     # Counting blocks keeps both sides' shuffle the same, so that it is written once.
-    distinct = asked.groupBy("unit").agg(F.count("block").alias("held")).where("held > 0").select("unit")
-    found = asked.join(encode_units(distinct, pieces), "unit")
-    answers = _answers(found)
+    distinct = asked.groupBy("unit").agg(F.count("block").alias("held"), F.count("code").alias("codes")).where("held > 0 and codes > 0").select("unit")
+    answers = _answers(asked.join(encode_units(distinct, pieces), "unit"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def finish(block: pa.Table, table: pa.Table) -> pa.Table:
-        m = model.value
-        pattern = re.compile(m.pattern)
-        own: dict[str, bytes] = dict(known.value)
-        for row in table.to_pylist():
-            _open(row, own)
-        out = []
+        parts = []
         for row in block.to_pylist():
-            done = []
-            for text in _texts(row):
-                units = units_of(text, pattern)
-                raw = b"".join([own[u] if len(u) <= MAX_UNIT else np.array(fold(u, m), np.uint32).tobytes() for u in units])
-                ids = np.frombuffer(raw, np.uint32).tolist()
-                again = decode(ids, m)
-                done.append((len(ids), ids if with_ids else None, hashlib.sha256(raw).hexdigest(), hashlib.sha256(again.encode()).hexdigest()))
-            for i, t in zip(row["ids"], np.frombuffer(row["which"], np.int32).tolist(), strict=True):
-                n, ids, a, b = done[t]
-                out.append({"doc_id": i, "n_pieces": n, "ids": ids, "ids_sha256": a, "decoded_sha256": b})
-        return pa.Table.from_pylist(out, schema)
+            raw: list[bytes | None] = [known.value.get(u) for u in _units(row)]
+            for got in table.to_pylist():
+                ids, ends = _unpress(got["ids"]), np.cumsum(np.frombuffer(_unpress(got["lens"]), np.uint32).astype(np.int64)) * 4
+                for k, a, e in zip(np.frombuffer(_unpress(got["codes"]), np.int32).tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    raw[k] = ids[a:e]
+            said = [b"".join([spelled.value[i] for i in np.frombuffer(x, np.uint32).tolist()]) for x in raw]
+            codes, done, at = np.frombuffer(_unpress(row["codes"]), np.int32), [], 0
+            for n in np.frombuffer(row["lens"], np.int64).tolist():
+                own = codes[at : at + n].tolist()
+                at += n
+                ids = b"".join([raw[k] for k in own])
+                text = b"".join([said[k] for k in own])[1:]
+                done.append((len(ids) // 4, np.frombuffer(ids, np.uint32) if with_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
+            doc_id, null = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool)
+            which = np.frombuffer(row["which"], np.int32).tolist()
+            columns = [[done[t][c] for t in which] for c in range(4)]
+            parts.append(pa.Table.from_arrays([pa.array(doc_id, mask=null), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[1:], strict=True))], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
 
     text_side = blocks.drop("top").groupBy("block").cogroup(answers.groupBy("block"))
     return text_side.applyInArrow(finish, "doc_id long, n_pieces long, ids array<int>, ids_sha256 string, decoded_sha256 string")
