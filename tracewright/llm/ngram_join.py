@@ -4,22 +4,26 @@
    fixed size (``SKETCH`` counters, summed over all documents). Equal sets become one class.
 2. A second pass orders each class's shingles rare first (sketch count, then hash: one total order for all documents) and
    emits its prefix. A task emits a class once, so a group of copies is a few rows a shingle, however large it is.
-3. Lists of classes that share a prefix shingle yield candidates, cut by length, position and suffix filters; each pair
-   is verified once on the whole shingle sets.
+3. Lists of classes that share a prefix shingle yield candidates, cut by length and position, then by the suffix filter:
+   behind a common shingle at places i and j, two sets share at most the sum, over hash ranges, of the smaller counts of
+   what stands behind those places, and before it at most min(i, j). A pair that is left is verified on the whole sets.
 
-For ``linked``, links only have to be followed, not listed, so lists go in three rounds. First the classes of a list that have one size
-meet a pivot among them; then a member of the list's largest component meets all others outside that component; last,
-the pairs that still lie across components are compared. A large group of near copies thus costs a multiple of its size,
-not its square. No pair of classes in different components is left out, so components are those of all links.
+Links first have to be followed, not listed, so lists go in rounds, and no pair is judged in two of them. First the classes
+of a list that have one size meet a pivot among them; then a member of the list's largest component meets all others
+outside that component; last, what still lies across components is compared in chunks of ``CHUNK`` classes, inside a task,
+which puts out only the pairs that pass all filters. A large group of near copies thus costs a multiple of its size, not
+its square. No pair of classes in different components is left out, so components are those of all links.
 
-``joined`` is the whole join: every candidate pair of classes is verified, and documents carry their number of links.
-``linked`` gives the same components without the links inside a component that is already known.
+``joined`` adds the number of links: a component's classes are compared in blocks (``BLOCK_SETS`` sets) by matrix products
+of shingle incidence, every pair of the component whose sizes allow a link, and a task puts out one number a class, never
+its pairs. ``pairs`` lists the links themselves, for who wants all of them.
 
 Any order of shingles gives the same links: the sketch decides speed alone. Shingles are 64-bit hashes.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; fewer words than a shingle
-make one shingle of all words; repeated rows link as copies; a null doc_id takes part but is no component's id unless
-all its members are null; an empty table gives no rows; other columns are ignored.
+make one shingle of all words; texts may be of any length; repeated rows link as copies; a null doc_id takes part but is
+no component's id unless all its members are null; an empty table gives no rows; other columns are ignored, whatever
+their names, and ``one_of_each`` returns them.
 """
 
 from __future__ import annotations
@@ -34,13 +38,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.components import components
+from tracewright.operators.components import components
 from tracewright.session import written
 
 SKETCH = 1 << 20
-_CHUNK = 1 << 12
-#: A histogram has 2 ** _BITS to 2 ** _MOST_BITS hash ranges.
-_BITS, _MOST_BITS = 7, 9
+CHUNK = 256
+BLOCK_SETS = 256
+BLOCK_SHINGLES = 1 << 18
+_SKETCH_PART = 1 << 12
+#: Hash ranges of the suffix filter.
+_RANGES = 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
@@ -80,51 +87,33 @@ def _signature(h: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
 
 
-def _histogram(h: np.ndarray) -> bytes:
-    """How many shingles fall in each of equal hash ranges, several ranges a shingle; empty where a count would not fit."""
-    bits = min(max(_BITS, (4 * len(h) - 1).bit_length()), _MOST_BITS)
-    c = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b""
-
-
-def _most_shared(x: bytes, y: bytes) -> int:
-    """No two sets with these histograms share more: the sum of the smaller counts, over the coarser of both divisions."""
-    a, b = (np.frombuffer(z, np.uint8) for z in (x, y))
-    n = min(len(a), len(b))
-    a, b = (z if len(z) == n else z.reshape(n, -1).sum(1, dtype=np.int64) for z in (a, b))
-    return int(np.minimum(a, b).sum(dtype=np.int64))
-
-
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
-    names = ["doc_id", "n", "cid", "hist", "chunk", "counts"]
+    names = ["doc_id", "n", "cid", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            sets = [shingles(x, n) for x in batch.column("raw").to_pylist()]
-            if sets:
+            for a in range(0, batch.num_rows, 512):
+                some = batch.slice(a, 512)
+                sets = [shingles(x, n) for x in some.column("raw").to_pylist()]
                 total += np.bincount(_bucket(np.concatenate(sets)), minlength=SKETCH)
-            k = len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_signature(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([_histogram(s) for s in sets], pa.binary()),
-                    pa.nulls(k, pa.int32()),
-                    pa.nulls(k, pa.binary()),
-                ],
-                names,
-            )
-        rows = [(k // _CHUNK, zlib.compress(total[k : k + _CHUNK].astype("<i8").tobytes(), 1)) for k in range(0, SKETCH, _CHUNK) if total[k : k + _CHUNK].any()]
+                k = len(sets)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column("doc_id"),
+                        pa.array([len(x) for x in sets], pa.int64()),
+                        pa.array([_signature(x) if len(x) else None for x in sets], pa.int64()),
+                        pa.nulls(k, pa.int32()),
+                        pa.nulls(k, pa.binary()),
+                    ],
+                    names,
+                )
+        step = _SKETCH_PART
+        rows = [(k // step, zlib.compress(total[k : k + step].astype("<i8").tobytes(), 1)) for k in range(0, SKETCH, step) if total[k : k + step].any()]
         k = len(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()),
-             pa.array([a for a, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())],
-            names,
-        )
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 3, pa.array([a for a, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names)
 
-    return written(docs.mapInArrow(run, "doc_id long, n long, cid long, hist binary, chunk int, counts binary"), "ngram-first")
+    return written(docs.mapInArrow(run, "doc_id long, n long, cid long, part int, counts binary"), "ngram-first")
 
 
 def _sketch(first: DataFrame) -> np.ndarray:
@@ -133,53 +122,85 @@ def _sketch(first: DataFrame) -> np.ndarray:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 got = np.frombuffer(zlib.decompress(blob), "<i8")
-                sums[chunk] = sums[chunk] + got if chunk in sums else got
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
+                sums[part] = sums[part] + got if part in sums else got
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
 
-    parts = first.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
+    parts = first.where("part is not null").select("part", "counts").repartition("part").mapInArrow(add, "part int, counts binary")
     total = np.zeros(SKETCH, np.int64)
     for row in parts.collect():
-        total[row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["counts"], "<i8")
-    return total
+        total[row["part"] * _SKETCH_PART : (row["part"] + 1) * _SKETCH_PART] = np.frombuffer(row["counts"], "<i8")
+    return np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+
+
+def _prefix(h: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set that its prefix holds, rare first; h is sorted, so ties go by hash."""
+    size = len(h)
+    k = size - -(-percent * size // 100) + 1
+    key = rarity[_bucket(h)]
+    if k < size:
+        near = np.flatnonzero(key <= np.partition(key, k - 1)[k - 1])  # ties past the cut are sorted out below
+        h, key = h[near], key[near]
+    return h[np.argsort(key, kind="stable")[:k]]
 
 
-def _postings(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
-    """token, cid, n, pos: each class's prefix, rare first."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 32) - 1).astype(np.uint32))
+def _postings(docs: DataFrame, rarity, n: int, percent: int) -> DataFrame:
+    """token, cid, n, pos: each class's prefix, rare first. rarity: the sketch, broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, seen = shared.value, set()
+        seen: set[int] = set()
         for batch in batches:
-            tokens, cids, sizes, places = [], [], [], []
-            for raw in batch.column("raw").to_pylist():
-                h = shingles(raw, n)
-                if not len(h) or (cid := _signature(h)) in seen:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(cid)
-                size = len(h)
-                k = size - -(-percent * size // 100) + 1
-                key = rarity[_bucket(h)]
-                if k < size:
-                    near = np.flatnonzero(key <= np.partition(key, k - 1)[k - 1])  # ties past the cut are sorted out below
-                    h, key = h[near], key[near]
-                order = np.argsort(key, kind="stable")[:k]  # h is sorted: ties go by hash
-                tokens.append(h[order])
-                cids.append(np.full(len(order), cid, np.int64))
-                sizes.append(np.full(len(order), size, np.int32))
-                places.append(np.arange(len(order), dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
-                    ["token", "cid", "n", "pos"],
-                )
+            for a in range(0, batch.num_rows, 512):
+                tokens, cids, sizes, places = [], [], [], []
+                for raw in batch.column("raw").slice(a, 512).to_pylist():
+                    h = shingles(raw, n)
+                    if not len(h) or (cid := _signature(h)) in seen:
+                        continue
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(cid)
+                    p = _prefix(h, rarity.value, percent)
+                    tokens.append(p)
+                    cids.append(np.full(len(p), cid, np.int64))
+                    sizes.append(np.full(len(p), len(h), np.int32))
+                    places.append(np.arange(len(p), dtype=np.int32))
+                if tokens:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
+                        ["token", "cid", "n", "pos"],
+                    )
 
     return docs.select("raw").mapInArrow(run, "token long, cid long, n int, pos int")
 
 
+def _range(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(56)).astype(np.uint8)
+
+
+def _info(docs: DataFrame, wanted: DataFrame, rarity, n: int, percent: int) -> DataFrame:
+    """cid, n, items (packed set), hist (shingles a hash range, at most 255), before (hash ranges of the prefix, in order) of
+    the wanted classes (cid, rep): one document of each is hashed again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                some = batch.slice(a, 512)
+                out = []
+                for cid, raw in zip(some.column("cid").to_pylist(), some.column("raw").to_pylist(), strict=True):
+                    h = shingles(raw, n)
+                    if len(h) and _signature(h) == cid:  # rows may share a doc_id
+                        hist = np.minimum(np.bincount(_range(h), minlength=_RANGES), 255).astype(np.uint8)
+                        out.append((cid, len(h), h.tobytes(), hist.tobytes(), _range(_prefix(h, rarity.value, percent)).tobytes()))
+                columns = zip(*out, strict=True) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["cid", "n", "items", "hist", "before"])
+
+    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "raw")
+    found = rows.mapInArrow(run, "cid long, n int, items binary, hist binary, before binary")
+    # Rows that share a doc_id and a set give a class twice.
+    return written(found.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "items", "hist", "before")]), "ngram-sets")
+
+
 def _need(a: str, b: str, percent: int) -> Column:
     """The least intersection of linked sets of these sizes."""
     return F.ceil(F.lit(percent) * (F.col(a) + F.col(b)) / F.lit(100 + percent))
@@ -192,73 +213,60 @@ def _possible(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
     return long_enough & (rest >= _need(na, nb, percent))
 
 
-def _suffix_filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs whose sets, split by hash range, cannot share enough: sum of the smaller counts is a bound."""
-    hist = classes.select("cid", "n", "hist")
-    rows = pairs.join(hist.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha")), "a")
-    rows = rows.join(hist.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, ha, hb = (batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ha", "hb"))
-            keep = []
-            for x, y, p, q in zip(ha, hb, na, nb, strict=True):
-                most = _most_shared(x, y) if x and y else min(p, q)
-                keep.append((100 + percent) * most >= percent * (p + q))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+def _behind(hist: np.ndarray, before: bytes, pos: int) -> np.ndarray:
+    """How many shingles of each hash range stand behind place pos; a full counter stays full, as its count is not known."""
+    gone = np.bincount(np.frombuffer(before, np.uint8, pos + 1), minlength=_RANGES)
+    return np.where(hist < 255, hist - gone, 1 << 30)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """cid, shingle set (packed) of the wanted classes (cid, rep): one document of each is hashed again."""
+def _judged(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """a, b, linked of each pair (a, b, pa, pb): by the suffix filter, then on the whole sets."""
+    pairs = written(pairs, "ngram-pairs")
+    side = lambda k: info.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("hist").alias(f"h{k}"), F.col("before").alias(f"q{k}"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids, blobs = [], []
-            for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-                h = shingles(raw, n)
-                if len(h) and _signature(h) == cid:  # rows may share a doc_id
-                    cids.append(cid)
-                    blobs.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(blobs, pa.binary())], ["cid", "items"])
-
-    same = docs["doc_id"].eqNullSafe(wanted["rep"])
-    rows = docs.join(wanted, same).select("cid", "raw").mapInArrow(run, "cid long, items binary")
-    return rows
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, checked once each on their whole sets."""
-    pairs = written(_suffix_filtered(pairs, classes, percent), "ngram-pairs")
-    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = classes.join(ids, "cid").select("cid", "rep")
-    # Rows may share a doc_id and a set; the verdict is the same for each, so distinct pairs at the end are enough.
-    sets = written(_sets(docs, wanted, n), "ngram-sets")
+            keep = []
+            for na, nb, ha, hb, qa, qb, i, j in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ha", "hb", "qa", "qb", "pa", "pb")), strict=True):
+                x, y = (_behind(np.frombuffer(h, np.uint8).astype(np.int64), q, k) for h, q, k in ((ha, qa, i), (hb, qb, j)))
+                most = min(i, j) + 1 + min(int(np.minimum(x, y).sum()), na - i - 1, nb - j - 1)
+                keep.append((100 + percent) * most >= percent * (na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "open"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tried = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(suffix, "a long, b long, open boolean"), "ngram-tried")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
-    rows = pairs.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("sb")), "b")
-    rows = rows.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("sa")), "a")
-    return written(rows.mapInArrow(run, "a long, b long").distinct(), "ngram-links")
+    rows = tried.where("open").join(info.select(F.col("cid").alias("b"), F.col("items").alias("sb")), "b")
+    rows = rows.join(info.select(F.col("cid").alias("a"), F.col("items").alias("sa")), "a").select("a", "b", "sa", "sb")
+    verified = written(rows.mapInArrow(verify, "a long, b long, linked boolean"), "ngram-links")
+    return verified.unionByName(tried.where("not open").select("a", "b", F.lit(False).alias("linked")))
+
+
+def _once(pairs: DataFrame, judged: DataFrame | None) -> DataFrame:
+    """Pairs (a, b, pa, pb) in order a < b, once each at their first common shingle, without those judged before."""
+    swap = F.col("a") > F.col("b")
+    pairs = pairs.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("pb")).otherwise(F.col("pa")).alias("pa"), F.when(swap, F.col("pa")).otherwise(F.col("pb")).alias("pb")
+    )
+    pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("pa", "pb")).alias("p")).select("a", "b", "p.pa", "p.pb")
+    return pairs if judged is None else pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _starred(lists: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of each list's classes with their pivot that length and position allow."""
+    """The pairs of each list's classes with their pivot that length and position allow."""
     pairs = lists.select(
         F.col("pivot.cid").alias("a"), F.col("pivot.n").alias("na"), F.col("pivot.pos").alias("pa"),
         F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"),
     ).where("a <> b")
-    return pairs.where(_possible("na", "pa", "nb", "pb", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.where(_possible("na", "pa", "nb", "pb", percent)).select("a", "b", "pa", "pb")
 
 
 def _placed(lists: DataFrame, comps: DataFrame) -> DataFrame:
@@ -266,84 +274,208 @@ def _placed(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return lists.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
 
 
-def _candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of lists' classes in different components that length and position allow."""
-    # Linked sets' sizes differ by at most one band.
-    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")
-    rest = written(lists.select("token", "cid", "comp", "n", "pos", band.alias("band")), "ngram-open")
-    left = rest.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = rest.select("token", "band", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    across = left.join(right, ["token", "band"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible("na", "pa", "nb", "pb", percent))
-    return across.select("a", "b").distinct()
+def _chunked(rest: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The pairs of rest's lists (token, cid, n, pos, comp) across components that all filters allow, worked out in tasks.
+
+    A list is cut, in order of size, into chunks of CHUNK classes; a row is two chunks of a list, never a pair of classes.
+    """
+    place = F.row_number().over(Window.partitionBy("token").orderBy("n", "cid")) - 1
+    rest = rest.withColumn("chunk", F.floor(place / CHUNK)).join(info.select("cid", "hist", "before"), "cid")
+    row = F.struct("cid", "n", "pos", "comp", "hist", "before")
+    chunks = written(rest.groupBy("token", "chunk").agg(F.collect_list(row).alias("rows"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")), "ngram-chunks")
+    own = chunks.where("c0 <> c1").select(F.col("rows").alias("x"), F.col("rows").alias("y"))
+    later = chunks.select("token", F.col("chunk").alias("chunk_y"), F.col("rows").alias("y"), F.col("lo").alias("lo_y"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+    apart = F.expr("not (c0 = c1 and d0 = d1 and c0 = d0)")
+    two = chunks.join(later, "token").where((F.col("chunk_y") > F.col("chunk")) & (100 * F.col("hi") >= percent * F.col("lo_y")) & apart).select(F.col("rows").alias("x"), "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(rows: pa.StructScalar):
+            s = rows.values
+            get = lambda c: s.field(c).to_numpy(zero_copy_only=False)
+            hist = [np.frombuffer(h, np.uint8).astype(np.int64) for h in s.field("hist").to_pylist()]
+            pos = get("pos")
+            behind = np.stack([_behind(h, q, k) for h, q, k in zip(hist, s.field("before").to_pylist(), pos.tolist(), strict=True)])
+            return get("cid"), get("n").astype(np.int64), pos.astype(np.int64), get("comp"), behind
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                xc, xn, xp, xo, xb = read(batch.column("x")[k])
+                same = batch.column("y")[k].values.field("cid")[0].as_py() == xc[0]
+                yc, yn, yp, yo, yb = (xc, xn, xp, xo, xb) if same else read(batch.column("y")[k])
+                out = []
+                for i in range(len(xc)):
+                    need = -(-percent * (xn[i] + yn) // (100 + percent))
+                    ahead = np.minimum(xp[i], yp) + 1
+                    left = np.minimum(xn[i] - xp[i], yn - yp) - 1
+                    ok = (yo != xo[i]) & (100 * np.minimum(xn[i], yn) >= percent * np.maximum(xn[i], yn)) & (ahead + left >= need)
+                    if same:
+                        ok[: i + 1] = False
+                    some = np.flatnonzero(ok)
+                    if len(some):
+                        most = np.minimum(np.minimum(xb[i], yb[some]).sum(1), left[some]) + ahead[some]
+                        out += [(int(xc[i]), int(yc[j]), int(xp[i]), int(yp[j])) for j in some[most >= need[some]].tolist()]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["a", "b", "pa", "pb"])
+
+    return own.unionByName(two).mapInArrow(run, "a long, b long, pa int, pb int")
 
 
 def _prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """rows (doc_id, raw), their members of classes, classes, and the prefix lists of classes that two or more share."""
+    """members (doc_id, n, cid) of docs, classes (cid, n, rep, copies), prefix lists that two classes or more share, and
+    what is known of the classes in these."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
     first = _first_pass(rows, n)
-    members = first.where("chunk is null").select("doc_id", "n", "cid", "hist")
+    members = first.where("part is null").select("doc_id", "n", "cid")
     classes = written(
-        members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("hist").alias("hist")),
-        "ngram-classes",
+        members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "ngram-classes"
     )
-    lists = _postings(rows, _sketch(first), n, percent).repartition("token")
+    rarity = docs.sparkSession.sparkContext.broadcast(_sketch(first))
+    lists = _postings(rows, rarity, n, percent).repartition("token")
     lists = lists.groupBy("token", "cid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     lists = lists.withColumn("pivot", F.min(F.struct("cid", "n", "pos")).over(Window.partitionBy("token", "n"))).withColumn("held", F.count("*").over(Window.partitionBy("token")))
-    return rows, members, classes, written(lists.where("held > 1"), "ngram-lists")
-
-
-def _named(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cid, component_id of members, by the components of links."""
-    rooted = classes.select("cid", "rep").join(components(links).withColumnRenamed("node", "cid"), "cid", "left")
-    rooted = rooted.withColumn("component", F.coalesce("component", "cid"))
-    roots = rooted.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(roots, "component").select("cid", "component_id")
-    return members.join(named, "cid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cid"
-    )
+    lists = written(lists.where("held > 1"), "ngram-lists")
+    info = _info(rows, classes.join(lists.select("cid").distinct(), "cid").select("cid", "rep"), rarity, n, percent)
+    return members, classes, lists, info
 
 
-def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """The whole join. For every row of docs: doc_id, n_shingles, component_id, n_links (rows that it links with, copies
-    too), cid (its class; null for an empty set). And every link between classes of different sets: a, b (a < b)."""
-    rows, members, classes, lists = _prepared(docs, n, percent)
-    links = _verified(_candidates(lists.withColumn("comp", F.col("cid")), percent), rows, classes, n, percent)
-    held = members.where("cid is not null").groupBy("cid").agg(F.count("*").alias("copies"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(held, F.col("b") == F.col("cid")).groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "cid")
-    degree = held.join(others, "cid", "left").select("cid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    found = _named(members, classes, links).join(degree, "cid", "left")
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "cid"), links
-
-
-def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
-    rows, members, classes, lists = _prepared(docs, n, percent)
+def _components(lists: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """node, component of the classes that link with another."""
     every = Window.partitionBy("token")
-    links = _verified(_starred(lists, percent), rows, classes, n, percent)
+    judged = _judged(_once(_starred(lists, percent), None), info, percent)
 
-    placed = _placed(lists.drop("pivot"), components(links)).withColumn("crowd", F.count("*").over(Window.partitionBy("token", "comp")))
+    placed = _placed(lists.drop("pivot"), components(judged.where("linked"))).withColumn("crowd", F.count("*").over(Window.partitionBy("token", "comp")))
     pivot = F.min(F.struct((-F.col("crowd")).alias("crowd"), "comp", "cid", "n", "pos")).over(every)
     placed = written(placed.withColumn("pivot", pivot).where("comp <> pivot.comp"), "ngram-placed")
-    links = links.unionByName(_verified(_starred(placed, percent), rows, classes, n, percent))
-    comps = components(links)
+    judged = judged.unionByName(_judged(_once(_starred(placed, percent), judged), info, percent))
 
     # What is still open: lists that touch several components, without their pivot, which has met all outside its own.
-    rest = _placed(lists.where("held > 2").drop("pivot"), comps)
+    rest = _placed(lists.where("held > 2").drop("pivot"), components(judged.where("linked")))
     met = placed.select("token", F.col("pivot.cid").alias("cid")).distinct()
     rest = rest.withColumn("lo", F.min("comp").over(every)).withColumn("hi", F.max("comp").over(every)).where("lo <> hi").join(met, ["token", "cid"], "left_anti")
-    across = _candidates(rest, percent)
-    links = links.unionByName(_verified(across, rows, classes, n, percent))
-    return _named(members, classes, links).drop("cid")
+    across = _once(_chunked(rest.select("token", "cid", "n", "pos", "comp"), info, percent), judged)
+    return components(judged.unionByName(_judged(across, info, percent)).where("linked"))
+
+
+def _named(members: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, cid of members."""
+    rooted = classes.select("cid", "rep").join(comps.withColumnRenamed("node", "cid"), "cid", "left")
+    rooted = rooted.withColumn("component", F.coalesce("component", "cid"))
+    roots = rooted.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = rooted.join(roots, "component").select("cid", "component_id")
+    return members.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "cid")
+
+
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many items each set of x shares with each of y."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    ox, oy = (np.repeat(np.arange(len(z)), [len(v) for v in z]) for z in (x, y))
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(fx, fy)
+    kx, ky = (np.searchsorted(both, f) for f in (fx, fy))
+    hx, hy = (np.flatnonzero(both[np.minimum(k, len(both) - 1)] == f) if len(both) else np.empty(0, np.int64) for k, f in ((kx, fx), (ky, fy)))
+    ox, kx, oy, ky = ox[hx], kx[hx], oy[hy], ky[hy]
+    step = 1 << 12
+    sx, sy = np.argsort(kx, kind="stable"), np.argsort(ky, kind="stable")
+    ox, kx, oy, ky = ox[sx], kx[sx], oy[sy], ky[sy]
+    for a in range(0, len(both), step):  # a bounded slice of shingles at a time
+        parts = []
+        for o, k, n in ((ox, kx, len(x)), (oy, ky, len(y))):
+            lo, hi = np.searchsorted(k, (a, a + step))
+            m = np.zeros((n, min(step, len(both) - a)), np.float32)
+            m[o[lo:hi], k[lo:hi] - a] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _block_pairs(classes: DataFrame, comps: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """x, y: two blocks of one component's classes (cid, copies, items) whose sizes allow links; x and y may be one block."""
+    within = Window.partitionBy("component").orderBy("n", "cid")
+    rows = comps.withColumnRenamed("node", "cid").join(classes.select("cid", "copies"), "cid").join(info.select("cid", "n", "items"), "cid")
+    keys = comps.withColumnRenamed("node", "cid").join(info.select("cid", "n"), "cid")
+    cut = F.floor((F.row_number().over(within) - 1) / BLOCK_SETS) + F.floor((F.sum(F.col("n").cast("long")).over(within) - F.col("n")) / BLOCK_SHINGLES)
+    rows = rows.join(keys.select("cid", cut.alias("k")), "cid")
+    blocks = rows.groupBy("component", "k").agg(F.collect_list(F.struct("cid", "copies", "items")).alias("x"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    blocks = written(blocks, "ngram-blocks")
+    later = blocks.select("component", F.col("k").alias("l"), F.col("x").alias("y"), F.col("lo").alias("lo_y"))
+    return blocks.join(later, "component").where((F.col("k") <= F.col("l")) & (100 * F.col("hi") >= percent * F.col("lo_y"))).select("x", "y", (F.col("k") == F.col("l")).alias("same"))
+
+
+def _compared(blocks: DataFrame, percent: int, list_pairs: bool) -> DataFrame:
+    """Links inside each pair of blocks: cid, others (rows it links with), or a, b of each link."""
+
+    def read(rows):
+        s = rows.values
+        return s.field("cid").to_numpy(), s.field("copies").to_numpy(), [np.frombuffer(v, np.uint64) for v in s.field("items").to_pylist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                same = batch.column("same")[r].as_py()
+                xc, xw, x = read(batch.column("x")[r])
+                yc, yw, y = (xc, xw, x) if same else read(batch.column("y")[r])
+                both = shared_counts(x, y).astype(np.int64)
+                sizes = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
+                linked = 100 * both >= percent * (sizes - both)
+                if same:
+                    np.fill_diagonal(linked, False)
+                if list_pairs:
+                    i, j = np.nonzero(np.triu(linked) if same else linked)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(xc[i], yc[j])), pa.array(np.maximum(xc[i], yc[j]))], ["a", "b"])
+                else:
+                    cid, n = (xc, linked @ yw) if same else (np.concatenate([xc, yc]), np.concatenate([linked @ yw, linked.T @ xw]))
+                    yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n)], ["cid", "others"])
+
+    return blocks.mapInArrow(run, "a long, b long" if list_pairs else "cid long, others long")
+
+
+def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """For every row of docs (doc_id, text): doc_id, n_shingles, component_id, n_links (rows that it links with, copies too)."""
+    members, classes, lists, info = _prepared(docs, n, percent)
+    comps = _components(lists, info, percent)
+    others = _compared(_block_pairs(classes, comps, info, percent), percent, False).groupBy("cid").agg(F.sum("others").alias("others"))
+    degree = classes.select("cid", "copies").join(others, "cid", "left").select("cid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    found = _named(members, classes, comps).join(degree, "cid", "left")
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def pairs(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cid) of every row of docs, and each link between classes of different sets once: a, b (a < b)."""
+    members, classes, lists, info = _prepared(docs, n, percent)
+    return members.select("doc_id", "cid"), _compared(_block_pairs(classes, _components(lists, info, percent), info, percent), percent, True)
+
+
+def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
+    members, classes, lists, info = _prepared(docs, n, percent)
+    return _named(members, classes, _components(lists, info, percent)).drop("cid")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is their component's id; of rows that repeat such a doc_id, all that stand alone."""
-    keep = linked(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(keep, docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
-    return rows.unionByName(docs.where("doc_id is null"))
+    """The rows of docs whose doc_id is their component's id; of rows that repeat such a doc_id, all; and rows without one."""
+    keep = linked(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.where("doc_id is not null").join(keep, "doc_id", "left_semi").select("row.*").unionByName(docs.where("doc_id is null"))
+
+
+#: Shingle sets, their links and components in SQL.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM d),
+c AS (SELECT dense_rank() OVER (ORDER BY list_sort(g)) AS c, doc_id, len(g) AS n, g FROM s),
+k AS (SELECT c, any_value(n) AS n, any_value(g) AS g, min(doc_id) AS least, count(*) AS copies FROM c WHERE n > 0 GROUP BY c),
+x AS (SELECT c, n, unnest(g) AS t FROM k),
+p AS (SELECT x.c AS a, y.c AS b FROM x JOIN x y ON x.t = y.t AND x.c < y.c GROUP BY x.c, y.c, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+h AS (SELECT c AS at, c AS root FROM k UNION SELECT e.b, h.root FROM h JOIN e ON e.a = h.at),
+m AS (SELECT h.at AS c, min(k.least) AS component_id FROM h JOIN k ON k.c = h.root GROUP BY 1),
+o AS (SELECT a AS c, sum(copies) AS others FROM e JOIN k ON k.c = e.b GROUP BY 1)
+SELECT c.doc_id, c.n AS n_shingles, coalesce(m.component_id, c.doc_id) AS component_id, CAST(coalesce(k.copies - 1 + coalesce(o.others, 0), 0) AS BIGINT) AS n_links
+FROM c LEFT JOIN k USING (c) LEFT JOIN m USING (c) LEFT JOIN o USING (c)
+"""
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
-    found, _ = joined(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85)
-    return found.drop("cid")
+    return joined(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85)

@@ -12,9 +12,10 @@ in order of rank and joins an edge's two parts where both still stand, which is
 while no piece is put together from a part that ranks behind it; a test holds the model's whole vocabulary to that, and
 the ids to those of the library. Decoding restores every text exactly, spaces included.
 
-Texts are packed into blocks in the shared folder: a block's distinct units once, and its texts as numbers of them. A
-block asks for its units; units that many blocks hold are encoded beforehand and broadcast (``FREQUENT`` of them at most),
-the others meet the dictionary in a shuffle join by unit and return to their blocks as numbers and ids.
+Texts are packed into blocks, a block's distinct units once and its texts as numbers of them, and move once. A block asks
+for its units; common units are encoded beforehand and broadcast, so that no block asks for them: the ``FREQUENT`` most
+common ones of ``SAMPLE_TEXTS`` texts at most, which decides only where a unit is encoded, never its pieces. All others
+meet the dictionary in a shuffle join by unit and return to their blocks as numbers and ids.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; repeated rows each get a row; texts
 and units may be of any length; an empty table gives no rows; other columns are ignored.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -32,14 +33,13 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.session import written
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-FREQUENT = 1 << 16
-TOP_OF_BLOCK = 8192
+FREQUENT = 1 << 17
+SAMPLE_TEXTS = 20_000
 BLOCK_BYTES = 8 << 20
 _MISSING = -1e12
 _SPACE = "▁"
@@ -117,10 +117,9 @@ def units_of(text: str, pattern: re.Pattern) -> list[str]:
 
 
 _PACKED = pa.schema(
-    [("block", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("which", pa.binary()), ("lens", pa.binary()), ("codes", pa.binary()), ("n_units", pa.int64()),
-     ("units", pa.binary()), ("top", pa.list_(pa.struct([("unit", pa.string()), ("n", pa.int64())])))]
-)
-_PACKED_DDL = "block long, ids binary, nulls binary, which binary, lens binary, codes binary, n_units long, units binary, top array<struct<unit:string,n:long>>"
+    [("block", pa.int64()), ("ids", pa.binary()), ("nulls", pa.binary()), ("which", pa.binary()), ("lens", pa.binary()), ("codes", pa.binary()), ("n_units", pa.int64()), ("units", pa.binary())]
+)
+_PACKED_DDL = "block long, ids binary, nulls binary, which binary, lens binary, codes binary, n_units long, units binary"
 
 
 def _press(raw: bytes) -> bytes:
@@ -150,27 +149,28 @@ class _Block:
             k = self.at[text] = len(self.at)
             number = self.number
             codes = [number.setdefault(u, len(number)) for u in units_of(text, self.pattern)]
-            self.codes.append(np.array(codes, np.int32))
+            self.codes.append(np.array(codes, np.int64))
             self.lens.append(len(codes))
             self.size += len(text)
         self.ids.append(i)
         self.which.append(k)
 
-    def row(self) -> pa.RecordBatch:
-        codes = np.concatenate(self.codes)
-        held = np.bincount(codes, minlength=len(self.number))
-        most = np.argsort(-held, kind="stable")[:TOP_OF_BLOCK]
-        units = list(self.number)
+    def row(self, block: int) -> pa.RecordBatch:
+        """Units are numbered by falling count and then in order, and numbers are cut into planes of bytes, which packs well."""
+        codes, units = np.concatenate(self.codes), list(self.number)
+        held = np.bincount(codes, minlength=len(units)).tolist()
+        order = sorted(range(len(units)), key=lambda k: (-held[k], units[k]))
+        rank = np.empty(len(units), "<u4")
+        rank[order] = np.arange(len(units), dtype="<u4")
         row = {
-            "block": uuid.uuid4().int >> 65,
+            "block": block,
             "ids": np.array([i or 0 for i in self.ids], np.int64).tobytes(),
             "nulls": np.array([i is None for i in self.ids], bool).tobytes(),
             "which": np.array(self.which, np.int32).tobytes(),
             "lens": np.array(self.lens, np.int64).tobytes(),
-            "codes": _press(codes.tobytes()),
+            "codes": _press(rank[codes].view(np.uint8).reshape(-1, 4).T.tobytes()),
             "n_units": len(units),
-            "units": _press("\0".join(u.replace("\0", "\0\1") for u in units).encode("utf-8", "surrogatepass")),
-            "top": [{"unit": units[k], "n": int(held[k])} for k in most.tolist() if held[k] > 1],
+            "units": _press("\0".join(units[k].replace("\0", "\0\1") for k in order).encode("utf-8", "surrogatepass")),
         }
         return pa.RecordBatch.from_pylist([row], _PACKED)
 
@@ -185,11 +185,11 @@ def _units(row: dict) -> list[str]:
 
 
 def packed(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks: doc_ids and the text number of each row, distinct texts as numbers of distinct units, the commonest units."""
+    """Blocks: doc_ids and the text number of each row, distinct texts as numbers of distinct units."""
     pattern_text = pieces.pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = re.compile(pattern_text)
+        pattern, number = re.compile(pattern_text), TaskContext.get().partitionId() << 32
         block = _Block(pattern)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
@@ -197,13 +197,29 @@ def packed(docs: DataFrame, pieces: Pieces, block_bytes: int = BLOCK_BYTES) -> D
                 for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     block.add(i, text or "")
                     if block.size >= block_bytes or len(block.ids) >= 200_000:
-                        yield block.row()
-                        block = _Block(pattern)
+                        yield block.row(number)
+                        number, block = number + 1, _Block(pattern)
         if block.ids:
-            yield block.row()
+            yield block.row(number)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(run, _PACKED_DDL), "pieces-blocks")
+    return rows.mapInArrow(run, _PACKED_DDL).repartition("block")
+
+
+def common_units(docs: DataFrame, pieces: Pieces, most: int = FREQUENT, texts: int = SAMPLE_TEXTS) -> DataFrame:
+    """unit: the most common units of a sample of texts, picked by their hash."""
+    pattern_text, every = pieces.pattern, max(1, docs.count() // texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern, held = re.compile(pattern_text), Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.update(units_of(text, pattern))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["unit", "n"])
+
+    text = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    held = text.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1")
+    return held.orderBy(F.col("n").desc(), "unit").limit(most).select("unit")
 
 
 class _Edge:
@@ -373,27 +389,26 @@ def encoded(docs: DataFrame, path: str = MODEL, with_ids: bool = True, block_byt
     """doc_id, n_pieces, ids (array<int>; null unless with_ids), ids_sha256 (little-endian 32-bit), decoded_sha256."""
     spark = docs.sparkSession
     pieces = load(path)
-    blocks = packed(docs, pieces, block_bytes)
-    top = blocks.select(F.explode("top").alias("t")).groupBy("t.unit").agg(F.sum("t.n").alias("n"))
-    top = top.orderBy(F.col("n").desc(), "unit").limit(FREQUENT).select("unit")
-    frequent = {r["unit"]: np.array(r["ids"], np.uint32).tobytes() for r in encode_units(top.repartition("unit"), pieces).toLocalIterator()}
-    known = spark.sparkContext.broadcast(frequent)
+    top = common_units(docs, pieces).repartition("unit")
+    known = spark.sparkContext.broadcast({r["unit"]: np.array(r["ids"], np.uint32).tobytes() for r in encode_units(top, pieces).toLocalIterator()})
     spelled = spark.sparkContext.broadcast(pieces.spelled)
+    blocks = packed(docs, pieces, block_bytes)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = known.value
         for batch in batches:
-            for row in batch.to_pylist():
-                some = [(k, u) for k, u in enumerate(_units(row)) if u not in held]
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).select(["block", "n_units", "units"]).to_pylist()[0]
+                some = [(c, u) for c, u in enumerate(_units(row)) if u not in held]
                 for a in range(0, len(some), 20_000):
                     part = some[a : a + 20_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["block"]] * len(part), pa.int64()), pa.array([k for k, _ in part], pa.int32()), pa.array([u for _, u in part], pa.string())],
+                        [pa.array([row["block"]] * len(part), pa.int64()), pa.array([c for c, _ in part], pa.int32()), pa.array([u for _, u in part], pa.string())],
                         ["block", "code", "unit"],
                     )
 
-    asked = blocks.select("block", "n_units", "units").mapInArrow(ask, "block long, code int, unit string").repartition("unit")
-    # Counting blocks keeps both sides' shuffle the same, so that it is written once.
+    # Both users of the blocks read all their columns, and both of the questions too, so that either is shuffled once.
+    asked = blocks.mapInArrow(ask, "block long, code int, unit string").repartition("unit")
     distinct = asked.groupBy("unit").agg(F.count("block").alias("held"), F.count("code").alias("codes")).where("held > 0 and codes > 0").select("unit")
     answers = _answers(asked.join(encode_units(distinct, pieces), "unit"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -407,7 +422,8 @@ def encoded(docs: DataFrame, path: str = MODEL, with_ids: bool = True, block_byt
                 for k, a, e in zip(np.frombuffer(_unpress(got["codes"]), np.int32).tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                     raw[k] = ids[a:e]
             said = [b"".join([spelled.value[i] for i in np.frombuffer(x, np.uint32).tolist()]) for x in raw]
-            codes, done, at = np.frombuffer(_unpress(row["codes"]), np.int32), [], 0
+            codes = np.ascontiguousarray(np.frombuffer(_unpress(row["codes"]), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            done, at = [], 0
             for n in np.frombuffer(row["lens"], np.int64).tolist():
                 own = codes[at : at + n].tolist()
                 at += n
@@ -420,8 +436,8 @@ def encoded(docs: DataFrame, path: str = MODEL, with_ids: bool = True, block_byt
             parts.append(pa.Table.from_arrays([pa.array(doc_id, mask=null), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[1:], strict=True))], schema=schema))
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
-    text_side = blocks.drop("top").groupBy("block").cogroup(answers.groupBy("block"))
-    return text_side.applyInArrow(finish, "doc_id long, n_pieces long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    found = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+    return found.applyInArrow(finish, "doc_id long, n_pieces long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
