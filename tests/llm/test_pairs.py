@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import TESTDATA
 from tracewright.llm import ngram_join, repeats, simhash
 
 #: Names that the operators use inside; here they are columns of the input.
@@ -134,6 +135,19 @@ def test_repeated_bytes_go(spark, block):
     assert sorted(tuple(r) for r in got.collect()) == brute_repeats(rows, 50)
 
 
+def test_repeated_bytes_sql(spark, agree):
+    folder = TESTDATA / "sf0.001"
+    assert agree(repeats.op4_suffix_dedup(spark, str(folder)), repeats.SQL, folder)
+
+
+def test_repeats_in_very_long_texts(spark):
+    rng = random.Random(3)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(150_000))
+    rows = [(1, a), (2, "x" + a[:70_000] + "y" + a[70_040:]), (3, a[::-1]), (3, a[::-1])]
+    got = repeats.deduplicated(frame(spark, rows), block_bytes=1 << 16).drop("kept")
+    assert sorted(tuple(r) for r in got.collect()) == brute_repeats(rows, 50)
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.deduplicated(frame(spark, [])).count() == 0
 

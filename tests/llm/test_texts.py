@@ -68,6 +68,21 @@ def test_mix_meets_its_targets(spark):
     assert again == {(r["doc_id"], r["size"]): r["taken"] for r in got}
 
 
+def test_mix_keeps_ids(spark):
+    rows = [(9007199254740993, "w " * 30, "a"), (9007199254740995, "w " * 20, "a"), (None, "w " * 10, "a"), (0, "w " * 10, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"] for r in mixing.mix(docs).collect()} == {r[0] for r in rows}
+    clash = docs.withColumns({c: F.lit(5) for c in ("_id", "_n", "_k", "id", "n", "row", "copies")})
+    got = mixing.mixed(clash)
+    assert got.columns == clash.columns and got.where("id <> 5 or row <> 5").count() == 0
+
+
+def test_mix_ends_near_its_targets(spark):
+    got = mixing.op2_mixing(spark, str(TESTDATA / "sf0.01"))
+    for r in got.groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect():
+        assert abs(r["n"] - r["t"]) <= 0.01 * r["t"]
+
+
 def test_mix_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 16)
     monkeypatch.setattr(mixing, "FAN_IN", 4)
@@ -83,7 +98,7 @@ def test_pivots_keep_expectations():
 
     sums, n = 0, 400
     for k in range(n):
-        rows = pd.DataFrame({"doc_id": range(k, k + 8), "skey": f"s{k}", "block": 0, "size": [3, 5, 8, 13, 21, 34, 55, 89], "copies": 0.3})
+        rows = pd.DataFrame({"doc": range(k, k + 8), "no_id": False, "skey": f"s{k}", "block": 0, "size": [3, 5, 8, 13, 21, 34, 55, 89], "copies": 0.3})
         out = mixing._pivot(rows)
         assert (out["size"] * out["copies"]).sum() == pytest.approx(0.3 * 228)
         assert ((out["copies"] % 1) > 0).sum() <= 1
@@ -115,6 +130,16 @@ def test_chat_reads_back(spark, agree, tmp_path):
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+@pytest.mark.parametrize("t", [chat.Template(head="<|", after_label="|>", tail="<|end|>"), chat.Template(head="||", after_label="||", tail="||end||"), chat.Template(head="[", after_label="]", tail=".*+"), chat.Template(head="0", after_label="1", tail="2")])
+def test_any_template_reads_back(spark, t):
+    texts = [*NASTY, "<|", "|>", "<|end|>", "<|end|><|User|>", "||end", "||end||", "|", "[User]", ".*+", ".", "0\\012", "\\0", "\\1\\", ""]
+    rows = [(1, k, ("user", "assistant", "tool|]1")[k % 3], x) for k, x in enumerate(texts)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), t)
+    got = out.select(chat.read_back(F.col("formatted"), t).alias("turns"), chat.loss_text(F.col("segments"), t).alias("loss")).first()
+    assert [(x["role"], x["text"]) for x in got["turns"]] == [(r, x) for _, _, r, x in rows]
+    assert got["loss"] == "".join(x for _, _, r, x in rows if r == "assistant")
+
+
 def test_chat_order_machine(spark):
     say = {1: "ua", 2: "sua", 3: "uaua", 4: "a", 5: "uu", 6: "us", 7: "s", 8: "u"}
     role = {"u": "user", "a": "assistant", "s": "system"}
@@ -230,6 +255,8 @@ def test_quality_matches_sql(spark, agree, tmp_path):
     rng = random.Random(6)
     rows = [(1, None), (2, ""), (3, " \n\n "), (4, "a b c\n" * 40), (5, "SHOUT " * 30 + "quiet words here " * 3), (6, "# $ % " * 40 + "w"), (7, "é ü 漢 " * 60)]
     rows += [(k, "\n".join(" ".join(rng.choice(["red", "Green", "BLUE", "x#", "é"]) + str(rng.randrange(30)) for _ in range(9)) for _ in range(rng.randrange(1, 12)))) for k in range(10, 60)]
+    rows += [(100, "- item word\n" * 40), (101, "\u2022 item word\n" * 40), (102, "it trails off...\n" * 5 + "no word of it\n" * 9), (103, "12 34 word " * 30), (104, "a b c d e f g " * 9), (105, "x" * 50 + " yes" * 60)]
+    rows += [(106, " ".join(f"long{k}" for k in range(60_000))), (107, "y" * 100_000)]
     rows.append((10, rows[8][1]))
     folder = saved(frame(spark, rows), tmp_path, "documents")
     assert agree(quality.op7_quality_rules(spark, folder), quality.SQL, folder) == len(rows)
@@ -317,13 +344,87 @@ def test_surrogates_are_consistent(spark):
 
 def test_surrogates_stay_distinct(spark):
     rows = [(k, f"ip 10.0.{k // 250}.{k % 250}, ssn 123-45-{k:04d}, mail u{k}@x.org") for k in range(1500)]
-    spots = pii.mentions(spark.createDataFrame([(str(k), t) for k, t in rows], "thash string, text string"))
-    names = pii.assign(spots.select("kind", "value").distinct())
+    texts = spark.createDataFrame([(str(k), t) for k, t in rows], "thash string, text string")
+    texts = texts.withColumn("found", pii.found_in(F.col("text"))).withColumn("pattern", pii.own_pattern(F.col("found")))
+    spots = pii.mentions(texts)
+    names = pii.assign(pii.entities(spots), "key")
     assert names.count() == 4500 == names.select("kind", "surrogate").distinct().count()
     real = spots.select("kind", F.col("value").alias("surrogate"))
     assert names.join(real, ["kind", "surrogate"]).count() == 0
 
 
+def surrogates_of(spark, texts, key="key"):
+    rows = pii.replaced(frame(spark, list(enumerate(texts))), key).collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_one_person_one_surrogate(spark):
+    got = surrogates_of(spark, ["Mr John Smith met John Smith. Mr Smith wrote. Dr Jane Roe came. Smith left, JOHN SMITH too.", "Dr Jane Roe and Ms Jane Roe, Prof. Lee"])
+    m = re.fullmatch(r"Mr (\w+) (\w+) met (\w+) (\w+)\. Mr (\w+) wrote\. Dr (\w+) (\w+) came\. (\w+) left, JOHN SMITH too\.", got[0])
+    assert m, got
+    assert m[1] == m[3] in pii._FIRST["m"] and m[2] == m[4] == m[5] == m[8]
+    again = re.fullmatch(r"Dr (\w+) (\w+) and Ms (\w+) (\w+), Prof\. (\w+)", got[1])
+    assert (again[1], again[2]) == (again[3], again[4]) == (m[6], m[7]) and m[6] in pii._FIRST["f"]
+    assert not {"Smith", "Jane", "Roe", "Lee"} & set(re.findall(r"\w+", " ".join(got)))
+
+
+def test_formats_stay_valid(spark):
+    got = surrogates_of(spark, ["+49 30 1234 5678, +44 (20) 7946 0958, +1 212 555 0100, (212) 555-0123", "IBAN DE89 3704 0044 0532 0130 00 and GB29NWBK60161331926819", "123-45-6789"])
+    assert re.fullmatch(r"\+49 \d\d \d{4} \d{4}, \+44 \(\d\d\) \d{4} \d{4}, \+1 \d{3} \d{3} \d{4}, \(2\d\d\) \d{3}-\d{4}", got[0]), got[0]
+    m = re.fullmatch(r"IBAN (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) and (GB\d\d[A-Z]{4}\d{14})", got[1])
+    for iban in m.groups():
+        iban = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert re.fullmatch(r"[1-5]\d\d-\d[1-9]-\d{3}[1-9]", got[2])
+
+
+def test_keys_and_reruns(spark):
+    text = ["Mrs Ann Lee, a@b.org"]
+    assert surrogates_of(spark, text, "one") == surrogates_of(spark, text, "one") != surrogates_of(spark, text, "two")
+    spark.conf.set(pii.KEY_SETTING, "one")
+    assert surrogates_of(spark, text, None) == surrogates_of(spark, text, "one")
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_a_full_space_widens(spark):
+    """The 100 phones of one short form are all taken, so their surrogates need more digits."""
+    real = spark.createDataFrame([("phone", f"1{k:02d}", "n") for k in range(100)], "kind string, value string, gender string")
+    got = [r["surrogate"] for r in pii.assign(real, "key").collect()]
+    assert len(set(got)) == 100 and all(len(x) > 3 for x in got)
+
+
+def test_surrogates_against_brute_force(spark):
+    """Every mention and nothing else is replaced: texts between mentions, and counts, by a regular expression outside Spark."""
+    import regex
+
+    docs = spark.read.parquet(str(TESTDATA / "sf0.01" / "documents.parquet")).select("doc_id", "text")
+    titled = regex.compile(pii._TITLED)
+    got = {r["doc_id"]: r for r in pii.replaced(docs, "key", count="n").collect()}
+    for r in docs.collect():
+        text = r["text"] or ""
+        names = {titled.sub("", m[0]) for m in regex.finditer(pii.PATTERN, text) if titled.match(m[0])}
+        names |= {p.rpartition(" ")[2] for p in names if " " in p and len(p.rpartition(" ")[2]) > 2}
+        pattern = pii.PATTERN + (rf"|(?<!\w)(?:{'|'.join(sorted(names, reverse=True))})(?!\w)" if names else "")
+        parts, at, n = [], 0, 0
+        for m in regex.finditer(pattern, text):
+            parts.append(regex.escape(text[at : m.start()]))
+            at, n = m.end(), n + 1
+        assert got[r["doc_id"]]["n"] == n
+        assert regex.fullmatch("(.+?)".join([*parts, regex.escape(text[at:])]), got[r["doc_id"]]["text"] or "")
+
+
+def test_surrogates_keep_columns_of_any_name(spark):
+    docs = frame(spark, PEOPLE).withColumns({c: F.lit("x") for c in ("_new", "_thash", "new", "thash", "found", "pattern", "original", "gender", "surrogate")})
+    got = pii.replaced(docs, "key")
+    assert got.columns == docs.columns and got.where("_thash <> 'x' or new <> 'x' or found <> 'x'").count() == 0 and got.count() == len(PEOPLE)
+
+
+def test_surrogates_in_a_very_long_text(spark):
+    text = "word " * 40_000 + "mail me@x.org " + "word " * 40_000
+    (got,) = surrogates_of(spark, [text])
+    assert "me@x.org" not in got and got.count("word ") == 80_000
+
+
 def test_surrogates_of_nothing(spark):
     assert pii.replaced(frame(spark, [])).count() == 0
 

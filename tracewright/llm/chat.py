@@ -1,12 +1,14 @@
 """Chat formatting from a declarative template, with per-segment loss flags. DataFrame functions only.
 
 A finite-state machine over roles checks the turn order; it is a fold over the ordered turns of a conversation. Every
-turn becomes three segments: head, text, tail. Only the text segments of trained roles carry loss. Control strings
-inside texts are escaped with backslashes, so the formatted string can be split and read back exactly.
+turn becomes three segments: head, text, tail. Only the text segments of trained roles carry loss. Inside texts and labels
+the characters that a template's control strings begin with are written as a backslash and a digit (and so is the
+backslash), so no control string can begin there and the formatted string can be split and read back exactly.
 
 Defined results: null texts are empty; a null role is the role ''; unknown roles are formatted under a marked label and
 fail the order check; ties in turn are ordered by role, then text; rows that repeat are turns that repeat; rows with a
-null conv_id form one conversation; an empty table gives no rows; other columns are ignored. One conversation is one
+null conv_id form one conversation; texts may be of any length; an empty table gives no rows; other columns are ignored,
+whatever their names. One conversation is one
 output row, so its turns meet in one task; turns are never gathered across conversations.
 """
 
@@ -38,20 +40,30 @@ class Template:
     after_label: str = ": "
     tail: str = "</turn>\n"
 
+    def __post_init__(self):
+        if not (self.head and self.after_label and self.tail) or "\\" in self.head + self.after_label + self.tail:
+            raise ValueError("control strings hold at least one character, and no backslash")
+
+    def codes(self, label: bool = False) -> dict[str, str]:
+        """What stands for each character that a control string begins with; the backslash first."""
+        begin = [self.head[0], self.tail[0], self.after_label[0]]
+        signs = [c for c in "0123456" if c not in begin]
+        return dict(zip(dict.fromkeys(["\\", *(begin if label else begin[:2])]), (f"\\{c}" for c in signs), strict=False))
+
 
 DEFAULT = Template()
-_HEAD = r"(?s)^### ([^:\\]*+(?:\\.[^:\\]*+)*+): (.*)$"
 
 
-def escape(text: Column) -> Column:
-    """Backslashes double; a backslash breaks up each control string."""
-    text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    text = F.replace(text, F.lit("</turn>"), F.lit("<\\/turn>"))
-    return F.replace(text, F.lit("### "), F.lit("##\\# "))
+def escape(text: Column, t: Template = DEFAULT, label: bool = False) -> Column:
+    for c, code in t.codes(label).items():
+        text = F.replace(text, F.lit(c), F.lit(code))
+    return text
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+def unescape(text: Column, t: Template = DEFAULT, label: bool = False) -> Column:
+    for c, code in reversed(t.codes(label).items()):
+        text = F.replace(text, F.lit(code), F.lit(c))
+    return text
 
 
 def _map(pairs: dict[str, str]) -> Column:
@@ -59,13 +71,13 @@ def _map(pairs: dict[str, str]) -> Column:
 
 
 def _label(role: Column, t: Template) -> Column:
-    other = F.concat(F.lit("@"), F.replace(escape(role), F.lit(":"), F.lit("\\:")))
-    return F.coalesce(F.try_element_at(_map(t.labels), role), other)
+    """A known role's label, or else the role itself behind an @."""
+    return escape(F.coalesce(F.try_element_at(_map(t.labels), role), F.concat(F.lit("@"), role)), t, label=True)
 
 
 def _role(label: Column, t: Template) -> Column:
-    known = F.try_element_at(_map({v: k for k, v in t.labels.items()}), label)
-    return F.coalesce(known, unescape(F.substr(label, F.lit(2))))
+    plain = unescape(label, t, label=True)
+    return F.coalesce(F.try_element_at(_map({v: k for k, v in t.labels.items()}), plain), F.substr(plain, F.lit(2)))
 
 
 def format_chats(turns: DataFrame, t: Template = DEFAULT) -> DataFrame:
@@ -88,7 +100,7 @@ def format_chats(turns: DataFrame, t: Template = DEFAULT) -> DataFrame:
             "rows",
             lambda x: F.array(
                 segment(F.concat(F.lit(t.head), _label(x["role"], t), F.lit(t.after_label)), no),
-                segment(escape(x["text"]), x["role"].isin(*t.trained)),
+                segment(escape(x["text"], t), x["role"].isin(*t.trained)),
                 segment(F.lit(t.tail), no),
             ),
         )
@@ -101,23 +113,25 @@ def format_chats(turns: DataFrame, t: Template = DEFAULT) -> DataFrame:
 
 def read_back(formatted: Column, t: Template = DEFAULT) -> Column:
     """array<struct<role, text>> of a formatted string: split at tails, parse heads, unescape."""
-    chunks = F.split(formatted, t.tail)
-    return F.transform(
-        F.slice(chunks, 1, F.size(chunks) - 1),
-        lambda c: F.struct(
-            _role(F.regexp_extract(c, _HEAD, 1), t).alias("role"), unescape(F.regexp_extract(c, _HEAD, 2)).alias("text")
-        ),
-    )
+    chunks = F.split(formatted, f"\\Q{t.tail}\\E")
+
+    def turn(chunk: Column) -> Column:
+        rest = F.substr(chunk, F.lit(len(t.head) + 1))
+        label = F.substring_index(rest, t.after_label, 1)
+        text = F.substr(rest, F.char_length(label) + len(t.after_label) + 1)
+        return F.struct(_role(label, t).alias("role"), unescape(text, t).alias("text"))
+
+    return F.transform(F.slice(chunks, 1, F.size(chunks) - 1), turn)
 
 
-def loss_text(segments: Column) -> Column:
+def loss_text(segments: Column, t: Template = DEFAULT) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], t)), "")
 
 
 def digest(chats: DataFrame, t: Template = DEFAULT) -> DataFrame:
     read = chats.select(
-        "conv_id", "valid", "formatted", read_back(F.col("formatted"), t).alias("turns"), loss_text(F.col("segments")).alias("loss")
+        "conv_id", "valid", "formatted", read_back(F.col("formatted"), t).alias("turns"), loss_text(F.col("segments"), t).alias("loss")
     )
     flat = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
@@ -137,7 +151,7 @@ SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '### ', '##\# ') AS esc FROM c),
+e AS (SELECT *, replace(replace(replace(text, '\', '\0'), '#', '\1'), '<', '\2') AS esc FROM c),
 g AS (SELECT conv_id, count(*) AS n_turns,
              string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS flat,
              coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,

@@ -4,8 +4,13 @@ Each rule's cost and rejection rate are measured on a bounded sample (``SAMPLE_R
 doc_id), then the rules run in falling order of rejections per second and stop at the first that rejects. The order
 changes only the time taken: a document is kept when no rule rejects it, so measured times never change a verdict.
 
-Defined results: a null or blank text has no words and fails the base rules; repeated rows each get their own row;
-an empty table gives an empty table; other columns are ignored (``measure``) or passed through (``keep_good``).
+A task holds the features of one text at a time, so its memory does not follow the number of texts in a batch.
+``measure`` reports every count, so there the cascade only settles the verdict; ``keep_good`` works out no more than the
+rules up to the first that rejects.
+
+Defined results: a null or blank text has no words and fails the base rules; texts may be of any length; repeated rows
+each get their own row; an empty table gives an empty table; other columns, whatever their names, are ignored
+(``measure``) or passed through (``keep_good``).
 """
 
 from __future__ import annotations
@@ -79,6 +84,19 @@ class Text:
     def n_shouted(self) -> int:
         return sum(x.decode("utf-8", "replace").isupper() for x in self.words)
 
+    @cached_property
+    def n_wordless(self) -> int:
+        """Words without a letter."""
+        return sum(not x.isalpha() and not any(c.isalpha() for c in x.decode("utf-8", "replace")) for x in self.words)
+
+    @cached_property
+    def n_bullets(self) -> int:
+        return sum(x.lstrip(_SPACES).startswith((b"- ", b"* ", "\u2022 ".encode())) for x in self.lines)
+
+    @cached_property
+    def n_trailing_off(self) -> int:
+        return sum(x.rstrip(_SPACES).endswith((b"...", "\u2026".encode())) for x in self.lines)
+
     @property
     def base_failed(self) -> bool:
         n = len(self.words)
@@ -97,7 +115,13 @@ RULES = (
     Rule("symbols", lambda t: 20 * t.n_symbols > t.word_chars),
     Rule("repeated_lines", lambda t: 10 * t.n_dup_lines > 4 * len(t.lines)),
     Rule("shouting", lambda t: 2 * t.n_shouted > len(t.words)),
+    Rule("word_length", lambda t: t.word_chars < 2 * len(t.words) or t.word_chars > 20 * len(t.words)),
+    Rule("wordless", lambda t: 10 * t.n_wordless > 4 * len(t.words)),
+    Rule("bullets", lambda t: 10 * t.n_bullets > 9 * len(t.lines)),
+    Rule("trailing_off", lambda t: 10 * t.n_trailing_off > 3 * len(t.lines)),
 )
+#: Texts of a batch that are Python objects at once.
+_SLICE = 64
 
 
 def _sample(docs: DataFrame, rows: int) -> DataFrame:
@@ -111,7 +135,7 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPL
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, out, n = [0.0] * len(rules), [0] * len(rules), 0
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
+            for raw in (x for a in range(0, batch.num_rows, _SLICE) for x in batch.column(0).slice(a, _SLICE).to_pylist()):
                 n += 1
                 for k, rule in enumerate(rules):
                     text = Text(raw)
@@ -147,26 +171,20 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE
     """One row per document: the base counts, base_failed and the cascade's verdict. No shuffle."""
     cascade = ordered(docs, rules, rows)
 
+    def counts(raw: bytes | None) -> tuple:
+        t = Text(raw)
+        kept = _passes(t, cascade)
+        return len(t.words), t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, t.base_failed, kept and not t.base_failed
+
+    kinds = (*[pa.int64()] * 5, pa.bool_(), pa.bool_())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Text(x) for x in batch.column("raw").to_pylist()]
-            kept = [_passes(t, cascade) for t in texts]
+            raw = batch.column("raw")
+            rows = [counts(x) for a in range(0, batch.num_rows, _SLICE) for x in raw.slice(a, _SLICE).to_pylist()]
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    *(
-                        pa.array(x, pa.int64())
-                        for x in (
-                            [len(t.words) for t in texts],
-                            [t.word_chars for t in texts],
-                            [t.n_symbols for t in texts],
-                            [t.n_dup_lines for t in texts],
-                            [t.n_repeat_words for t in texts],
-                        )
-                    ),
-                    pa.array([t.base_failed for t in texts], pa.bool_()),
-                    pa.array([k and not t.base_failed for k, t in zip(kept, texts, strict=True)], pa.bool_()),
-                ],
+                [batch.column("doc_id"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))],
                 ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
             )
 
@@ -183,8 +201,10 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [_passes(Text(x and x.encode("utf-8", "replace")), cascade) for x in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(good, pa.bool_()))
+            for a in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(a, _SLICE)
+                good = [_passes(Text(x and x.encode("utf-8", "replace")), cascade) for x in part.column("text").to_pylist()]
+                yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -202,12 +222,16 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
              CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
              CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
-             len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x))) AS shouted
+             len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x))) AS shouted,
+             len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{L}'))) AS wordless
       FROM t LEFT JOIN cov USING (r)),
 v AS (SELECT *, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+             len(list_filter(l, lambda x: regexp_matches(x, '^[ \t\n\x0b\x0c\r]*(- |\* |\x{2022} )'))) AS bullets,
+             len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[ \t\n\x0b\x0c\r]*$'))) AS trails,
              n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 20 * n_symbols > word_chars OR 10 * n_dup_lines > 4 * len(l) OR 2 * shouted > n_words) AS kept
+       NOT (base_failed OR 20 * n_symbols > word_chars OR 10 * n_dup_lines > 4 * len(l) OR 2 * shouted > n_words OR word_chars < 2 * n_words
+            OR word_chars > 20 * n_words OR 10 * wordless > 4 * n_words OR 10 * bullets > 9 * len(l) OR 10 * trails > 3 * len(l)) AS kept
 FROM v
 """
 

@@ -28,4 +28,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.SQL, "op7_quality_rules": quality.SQL, "op9_warc": warc.SQL}
+    return {
+        "op1_ngram_join": ngram_join.SQL, "op3_chat_format": chat.SQL, "op4_suffix_dedup": repeats.SQL, "op7_quality_rules": quality.SQL, "op9_warc": warc.SQL,
+    }

@@ -7,10 +7,12 @@ anchor are one context (at most ``2 * LENGTH - GRAM`` bytes).
 1. Texts are packed into blocks (compressed, written to the shared folder); equal texts of a block are kept once.
 2. Blocks send each distinct anchor once to its bucket, and learn which ones other documents hold too.
 3. Contexts of shared anchors go to their buckets, each distinct context of a block once with its smallest doc_id. A bucket
-   builds the enhanced suffix array of its contexts (sorted suffixes and the lengths of their common prefixes) and scans
-   it with a stack for the common-prefix intervals of at least LENGTH bytes. The outermost of them hold all occurrences
-   of a window; the smallest doc_id there holds the string first.
-4. Blocks read their marks back: bytes of strings first held by a smaller doc_id go.
+   builds the enhanced suffix array of its contexts (sorted suffixes and the lengths of their common prefixes), scans it
+   with a stack for the common-prefix intervals of at least LENGTH bytes, and keeps those whose left neighbours differ (or
+   where a context begins): the maximal repeats, each with all its occurrences. A repeat that grows to the left in all its
+   places is covered by the longer one there, so none is lost. The smallest doc_id of a repeat's places holds it first.
+4. Blocks read their marks back, a mark being an occurrence of a maximal repeat with its first holder: bytes of repeats
+   first held by a smaller doc_id go.
 
 A passage in a third of all documents is one anchor a block, never one a document, so no bucket holds an unbounded group
 of copies; the number of buckets follows the bytes of text.
@@ -21,7 +23,7 @@ themselves, from the windows on that follow different bytes. A removed byte is o
 
 Defined results: a null text is empty; texts under LENGTH bytes stay whole; repeated rows with one doc_id do not remove
 each other; rows with a null doc_id count as last and never remove others' bytes; an empty table gives no rows; other
-columns are ignored.
+columns are ignored, whatever their names; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -311,25 +313,28 @@ def enhanced(contexts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, n
         yield c, o, lcp, left
 
 
-def first_holders(contexts: list[bytes], first: np.ndarray, tags: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each distinct context, the smallest doc_id that holds each of its windows."""
-    found = [np.full(len(c) - length + 1, f, np.int64) for c, f in zip(contexts, first.tolist(), strict=True)]
+def repeat_marks(contexts: list[bytes], first: np.ndarray, tags: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """context, offset, length, first holder of each occurrence of a maximal repeat that a smaller doc_id holds too."""
+    found = []
     _, which, held = np.unique(tags, return_inverse=True, return_counts=True)
     several = np.flatnonzero(held[which] > 1)
     if len(several):
-        for c, o, lcp, _ in enhanced([contexts[k] for k in several.tolist()], length):
-            _, lo, hi = lcp_intervals(lcp, length)
-            # Outer intervals hold all occurrences of a window; inner ones are longer repeats of some of them.
-            order = np.lexsort((-hi, lo))
-            lo, hi = lo[order], hi[order]
-            outer = hi > np.concatenate([[-1], np.maximum.accumulate(hi)[:-1]]) if len(hi) else np.empty(0, bool)
-            who = first[several[c]]
-            for a, e in zip(lo[outer].tolist(), hi[outer].tolist(), strict=True):
-                least = who[a : e + 1].min()
-                for k in range(a, e + 1):
-                    if who[k] > least:
-                        found[several[c[k]]][o[k]] = least
-    return found
+        for c, o, lcp, left in enhanced([contexts[k] for k in several.tolist()], length):
+            n, lo, hi = lcp_intervals(lcp, length)
+            keep = left_diverse(left, lo, hi) if len(n) else np.empty(0, bool)
+            n, lo, hi = n[keep], lo[keep], hi[keep]
+            if not len(n):
+                continue
+            size = hi - lo + 1
+            start = np.cumsum(size) - size
+            at = np.arange(int(size.sum())) + np.repeat(lo - start, size)
+            who = first[several[c[at]]]
+            least = np.repeat(np.minimum.reduceat(who, start), size)
+            later = who > least
+            found.append((several[c[at]][later], o[at][later], np.repeat(n, size)[later], least[later]))
+    if not found:
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _unique_contexts(rows: list[dict]) -> tuple[dict[bytes, int], list[np.ndarray], np.ndarray, np.ndarray]:
@@ -354,7 +359,7 @@ _MARK = np.dtype([("ctx", "<u4"), ("lo", "<u2"), ("hi", "<u2"), ("first", "<i8")
 
 
 def marks(blocks: DataFrame, shared: DataFrame, buckets: int, length: int) -> DataFrame:
-    """block, bucket, marks: for a block's contexts in a bucket, the ranges of windows and who holds them first."""
+    """block, bucket, marks: for a block's contexts in a bucket, the byte ranges that repeat and who holds them first."""
 
     def send(block: pa.Table, bits: pa.Table) -> pa.Table:
         out = []
@@ -373,19 +378,21 @@ def marks(blocks: DataFrame, shared: DataFrame, buckets: int, length: int) -> Da
     def meet(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         known, places, first, tags = _unique_contexts(rows)
-        found = first_holders(list(known), first, tags, length)
-        segments = []
-        for f in found:
-            cut = np.flatnonzero(np.diff(f)) + 1
-            lo = np.concatenate([[0], cut])
-            segments.append((lo, np.append(cut, len(f)) - 1, f[lo]))
+        ctx, off, n, least = repeat_marks(list(known), first, tags, length)
+        # A context that is whole in a smaller document too is one more occurrence, of the same context.
+        whole = np.array([len(c) for c in known], np.int64)
+        ctx, off, n, least = (np.concatenate(x) for x in ((ctx, np.arange(len(known))), (off, np.zeros(len(known), np.int64)), (n, whole), (least, first)))
+        order = np.argsort(ctx, kind="stable")
+        ctx, off, n, least = ctx[order], off[order], n[order], least[order]
+        held = np.bincount(ctx, minlength=len(known))
+        begin = np.cumsum(held) - held
         out = []
         for r, place in zip(rows, places, strict=True):
-            n = np.array([len(segments[k][0]) for k in place.tolist()], np.int64)
-            m = np.empty(int(n.sum()), _MARK)
-            m["ctx"] = np.repeat(np.arange(len(place)), n)
-            for name, part in (("lo", 0), ("hi", 1), ("first", 2)):
-                m[name] = np.concatenate([segments[k][part] for k in place.tolist()])
+            times = held[place]
+            k = np.arange(int(times.sum())) + np.repeat(begin[place] - (np.cumsum(times) - times), times)
+            m = np.empty(len(k), _MARK)
+            m["ctx"] = np.repeat(np.arange(len(place)), times)
+            m["lo"], m["hi"], m["first"] = off[k], off[k] + n[k], least[k]
             out.append({"block": r["block"], "bucket": r["bucket"], "n": r["n"], "marks": zstandard.ZstdCompressor(level=3).compress(m.tobytes())})
         return pa.Table.from_pylist(out, _MARKS)
 
@@ -431,7 +438,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = True,
                 k = np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin[which], times)
                 ok = m[k, 3] < x.first_id[x.text[run]]
                 np.add.at(gone, x.at[run[ok]] + m[k[ok], 1], 1)
-                np.add.at(gone, x.at[run[ok]] + m[k[ok], 2] + length, -1)
+                np.add.at(gone, x.at[run[ok]] + m[k[ok], 2], -1)
             gone = np.cumsum(gone[:-1]) > 0
             kept_of: dict[int, tuple] = {}
             for i, t in zip(x.ids.tolist(), x.which.tolist(), strict=True):
@@ -540,5 +547,21 @@ _SPLIT = pa.schema([("key", pa.string()), ("left", pa.int32()), ("row", pa.int64
 _SPLIT_DDL = "key string, left int, row long, at long, doc_id long, n_bytes long, open boolean"
 
 
+#: Windows of bytes in SQL; hexadecimal digits stand for bytes.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d WHERE len(h) >= 100)),
+m AS (SELECT r, p FROM (SELECT r, doc_id, p, min(doc_id) OVER (PARTITION BY s) AS f FROM w) WHERE f < doc_id),
+g AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM m)),
+x AS (SELECT r, k, min(p) AS a, max(p) + 50 AS e FROM g GROUP BY r, k),
+y AS (SELECT r, count(*) AS n_spans, sum(e - a) AS n_removed, list(struct_pack(a := a, e := e) ORDER BY a) AS s FROM x GROUP BY r),
+z AS (SELECT doc_id, h, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, list_concat([0], list_transform(coalesce(s, []), lambda i: i.e)) AS starts,
+             list_concat(list_transform(coalesce(s, []), lambda i: i.a), [len(h) // 2]) AS ends FROM d LEFT JOIN y USING (r))
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, len(starts) + 1), lambda i: substr(h, CAST(2 * starts[i] + 1 AS BIGINT), CAST(2 * (ends[i] - starts[i]) AS BIGINT))), ''))) AS kept_sha256
+FROM z
+"""
+
+
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).drop("kept")
