@@ -1,4 +1,4 @@
-"""Queries over all orders: against their SQL with its dates moved past the last order, and against brute force."""
+"""Graph queries without SQL, over all orders, against brute force."""
 
 from __future__ import annotations
 
@@ -11,22 +11,11 @@ import pytest
 from tests.conftest import TESTDATA
 from tracewright import plans
 from tracewright.operators import paths
-from tracewright.plans.adapters import UNTIL, Views
+from tracewright.plans.adapters import Views
 
 SF = TESTDATA / "sf0.001"
-SQL = plans.oracle_sql()
-WHOLE = ["q_reach", "q_subgraph", "q_taint", "q_value_trace", "q_exit_points", "q_shortest_path", "q_neighbours", "q_message_passing", "q_clusters"]
-
-
-@pytest.mark.parametrize("name", WHOLE)
-def test_whole_query(spark, agree, name):
-    day = "1995-01-15" if name == "q_clusters" else UNTIL
-    assert day in SQL[name]
-    agree(plans.queries()[f"{name}_whole"](spark, str(SF)), SQL[name].replace(day, "2100-01-01"), SF)
-
-
 def _graph():
-    rows = duckdb.sql(f"""SELECT 'A' || o_custkey % 1500, 'A' || l_partkey % 1500, sum(l_extendedprice * (1 - l_discount)) FROM '{SF}/orders.parquet'
+    rows = duckdb.sql(f"""SELECT 'A' || o_custkey, 'A' || l_partkey, sum(l_extendedprice * (1 - l_discount)) FROM '{SF}/orders.parquet'
         JOIN '{SF}/lineitem.parquet' ON o_orderkey = l_orderkey GROUP BY 1, 2""").fetchall()
     return {(a, b): v for a, b, v in rows if a != b}
 
@@ -85,7 +74,7 @@ def test_long_chain_is_in_the_query(spark, tmp_path):
     """A chain of 70 hops: order k pays its larger output to the customer of order k + 1."""
     n = 72
     orders = [(k, k, f"1995-01-01 00:00:{k % 60:02d}") for k in range(1, n)]
-    lines = [(k, line, k + 1 if line == 1 else 1400, 100.0 if line == 1 else 10.0, 0.0) for k in range(1, n) for line in (1, 2)]
+    lines = [(k, line, k + 1 if line == 1 else 10**6, 100.0 if line == 1 else 10.0, 0.0) for k in range(1, n) for line in (1, 2)]
     df = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, d string")
     df.selectExpr("o_orderkey", "o_custkey", "cast(d as timestamp) as o_orderdate", "100.0d as o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))

@@ -5,12 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.session import written
+
+
+def before(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """rows with running totals of what stands strictly before a row in a total order, named as the arguments.
+
+    Rows are dealt out by ranges of the order and written; a range's totals are one row, and a window runs within a range.
+    """
+    at = written(rows.withColumns({f"_{k}": v for k, v in sums.items()}).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = at.groupBy("_range").agg(*[F.sum(f"_{k}").alias(f"_{k}_all") for k in sums])
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_{k}_all").over(earlier), F.lit(0)).alias(f"_{k}_before") for k in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = at.join(F.broadcast(totals), "_range")
+    return out.select(*rows.columns, *[(F.col(f"_{k}_before") + F.coalesce(F.sum(f"_{k}").over(inside), F.lit(0))).alias(k) for k in sums])
+
+
+def placed(rows: DataFrame, order: list[Column], as_: str = "place") -> DataFrame:
+    """rows with their place, from 1, in a total order."""
+    return before(rows, order, **{as_: F.lit(1).cast("long")}).withColumn(as_, F.col(as_) + 1)
+
+
+def quantiles(rows: DataFrame, value: str, at: list[float]) -> list[float | None]:
+    """Exact interpolated quantiles: values are counted, and the ranks looked up among the counts."""
+    held = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ranked = before(held, [F.col("v").asc()], start=F.col("n"))
+    total = held.agg(F.sum("n")).first()[0]
+    if not total:
+        return [None] * len(at)
+    ranks = [q * (total - 1) for q in at]
+    value_at = lambda r: F.max(F.when((F.col("start") <= r) & (F.col("start") + F.col("n") > r), F.col("v")))
+    got = ranked.agg(*[value_at(F.lit(int(r) + up if int(r) + up < total else int(r))).alias(f"q{k}_{up}") for k, r in enumerate(ranks) for up in (0, 1)]).first()
+    return [float(got[f"q{k}_0"] + (got[f"q{k}_1"] - got[f"q{k}_0"]) * (r - int(r))) for k, r in enumerate(ranks)]
+
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """ROC AUC by average ranks. Equal scores are one row before the running sum, so the window spans distinct scores."""
+    """ROC AUC by average ranks. Equal scores are one row before the running sum, which goes range by range."""
     by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("p")).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by = by.withColumn("wins", F.col("p") * (below + 0.5 * (F.col("n") - F.col("p"))))
+    by = before(by, [F.col("s").asc()], below=F.col("n") - F.col("p"))
+    by = by.withColumn("wins", F.col("p") * (F.col("below") + 0.5 * (F.col("n") - F.col("p"))))
     t = by.agg(F.sum("wins").alias("w"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return t.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("w") / (F.col("p") * F.col("q"))).alias("auc"), F.col("p").alias("positives"), F.col("q").alias("negatives"))
 

@@ -18,6 +18,7 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, undirected: bool = Fals
     e = edges.select("src", "dst").distinct()
     if undirected:
         e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    e = written(e, "edges")
     seen = written(seeds.select("node").distinct().withColumn("hop", F.lit(0)), "reach")
     front = seen
     for hop in range(1, hops + 1):
@@ -34,7 +35,7 @@ def taint(edges: DataFrame, seeds: DataFrame, c: Config = DEFAULT) -> DataFrame:
 
     The least path wins ties, so every node has one label, and expands once.
     """
-    e = edges.where("mix_n < n").select("src", "dst").distinct()
+    e = written(edges.where("mix_n < n").select("src", "dst").distinct(), "edges")
     seen = written(seeds.select("node").distinct().select("node", F.lit(0).alias("hops"), F.array("node").alias("path")), "taint")
     front, score = seen, 1.0
     for hop in range(1, c.taint_hops + 1):
@@ -56,10 +57,10 @@ def trace(edges: DataFrame, seed: str, hops: int, share: float = 0.001, poison:
     Haircut: a node passes on its amount in proportion to its outgoing edges and keeps what its inflow exceeds its outflow
     by. Poison: each edge passes its whole value. Amounts under share of the seed's outflow end where they are.
     """
-    e = edges.where("src <> dst").select("src", "dst", "value")
+    e = written(edges.where("src <> dst").select("src", "dst", "value"), "edges")
     out = e.groupBy(F.col("src").alias("node")).agg(F.sum("value").alias("ext_out"))
     into = e.groupBy(F.col("dst").alias("node")).agg(F.sum("value").alias("ext_in"))
-    flows = out.join(into, "node", "left").na.fill(0.0, ["ext_in"])
+    flows = written(out.join(into, "node", "left").na.fill(0.0, ["ext_in"]), "flows")
     first = flows.where(F.col("node") == seed).select("ext_out").first()
     total = first[0] if first else 0.0
     front = flows.sparkSession.createDataFrame([(seed, float(total or 0.0))], "node string, amount double")
@@ -96,6 +97,7 @@ def trace_paths(edges: DataFrame, seed: str, hops: int, k: int = 3) -> DataFrame
     A path to a node is kept only while it is among the node's k best of its length, so a round holds at most k rows a node.
     """
     e = edges.where("src <> dst").withColumn("p", F.col("value") / F.sum("value").over(Window.partitionBy("src"))).select("src", "dst", "p")
+    e = written(e, "edges")
     front = e.sparkSession.createDataFrame([(seed, [seed], 1.0)], "node string, path array<string>, confidence double")
     found = None
     best = Window.partitionBy("node").orderBy(F.col("confidence").desc(), F.size("path"), "path")
@@ -111,7 +113,7 @@ def trace_paths(edges: DataFrame, seed: str, hops: int, k: int = 3) -> DataFrame
 
 def shortest_path(edges: DataFrame, start: str, goal: str, hops: int = 30) -> DataFrame:
     """step, node of a shortest directed path; the least parent wins at each node. No rows without a path."""
-    e = edges.select("src", "dst").distinct()
+    e = written(edges.select("src", "dst").distinct(), "edges")
     spark = e.sparkSession
     seen = front = spark.createDataFrame([(start, None, 0)], "node string, parent string, hop int")
     for hop in range(1, hops + 1):
@@ -135,7 +137,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, hops: int = 30) -> Da
 def widest(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """node, width: the largest least weight on a way from any anchor (column node); edges (a, b, weight) go both ways."""
     e = edges.select("a", "b", "weight")
-    e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    e = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "edges")
     now = written(anchors.select("node").distinct().withColumn("width", F.lit(1.0)), "widest")
     state = None
     while True:
@@ -175,12 +177,12 @@ def _jumps(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     total, far = jump.count(), 1
     while True:
         ahead = jump.select(F.col("txid").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"))
-        new = jump.join(ahead, "to", "left")
+        new = written(jump.join(ahead, "to", "left"), "peel")
         if new.where("to2 is not null").isEmpty():
             return jump, None
         if far >= total:  # what still moves after as many steps as there are links is on a cycle
             return jump, written(new.where("to2 is not null").select(F.col("to").alias("txid")).distinct(), "peel")
-        jump = written(new.select("txid", F.coalesce("to2", "to").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")), "peel")
+        jump = new.select("txid", F.coalesce("to2", "to").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
         far *= 2
 
 
@@ -201,6 +203,7 @@ def layering(txs: DataFrame, features: DataFrame, ins: DataFrame, outs: DataFram
     splits = plain.where(F.col("n_out") >= c.layering_outs).select(F.col("txid").alias("split"), F.col("ts").alias("t0"))
     merges = plain.where(F.col("n_in") >= c.layering_ins).select(F.col("txid").alias("merge"))
     follow = outs.join(spender.select("addr", F.col("txid").alias("to"), F.col("ts").alias("to_ts")), "addr").where("txid <> `to`").select("txid", "to", "to_ts").distinct()
+    follow = written(follow, "follow")
     seen = written(splits.select("split", "t0", F.col("split").alias("txid"), F.lit(0).alias("hop")), "layering")
     front = seen
     for hop in range(1, c.layering_hops + 1):

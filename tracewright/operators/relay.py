@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.config import DEFAULT, Config
+from tracewright.functions.metrics import quantiles
+from tracewright.session import written
 
 
 def announcement_stats(seen: DataFrame) -> DataFrame:
@@ -160,8 +162,9 @@ def noise_floor(hops: DataFrame) -> DataFrame:
     """Gaps between consecutive first sights by different senders: n and percentiles 10, 50, 90."""
     firsts = hops.groupBy("txid", "src").agg(F.min("ts").alias("ts"))
     gaps = firsts.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("txid").orderBy("ts", "src"))).where("gap is not null")
-    p = lambda q: F.percentile("gap", F.lit(q))
-    return gaps.agg(F.count("*").alias("n"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"))
+    gaps = written(gaps.select("gap"), "gaps")
+    p = quantiles(gaps, "gap", [0.1, 0.5, 0.9])
+    return gaps.agg(F.count("*").alias("n"), *[F.lit(x).cast("double").alias(k) for k, x in zip(("p10", "p50", "p90"), p, strict=True)])
 
 
 def timing_signature(seen: DataFrame, least: int = 20) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.config import DEFAULT, Config
+from tracewright.functions.metrics import quantiles
 from tracewright.operators.components import components
 from tracewright.operators.paths import widest
 
@@ -131,8 +132,8 @@ def actors(links_: DataFrame, signals_: DataFrame) -> DataFrame:
 
 def peer_groups(rows: DataFrame, dims: list[str], c: Config = DEFAULT) -> DataFrame:
     """group: per dimension how many distinct quantile edges a value exceeds; small groups are pooled as 'all'."""
-    edges = rows.agg(*[F.array_distinct(F.percentile(d, F.array(*[F.lit(q) for q in c.peer_quantiles]))).alias(d) for d in dims]).first()
-    parts = [F.concat(F.lit(d[:3]), sum((F.when(F.col(d) > e, 1).otherwise(0) for e in edges[d] or []), F.lit(0)).cast("string")) for d in dims]
+    edges = {d: sorted(set(quantiles(rows, d, list(c.peer_quantiles))) - {None}) for d in dims}
+    parts = [F.concat(F.lit(d[:3]), sum((F.when(F.col(d) > e, 1).otherwise(0) for e in edges[d]), F.lit(0)).cast("string")) for d in dims]
     named = rows.withColumn("group", F.concat_ws("|", *parts))
     n = named.groupBy("group").agg(F.count("*").alias("_n"))
     return named.join(F.broadcast(n), "group").withColumn("group", F.when(F.col("_n") >= c.peer_group_least, F.col("group")).otherwise("all")).drop("_n")
@@ -162,7 +163,7 @@ def _path(n: float) -> float:
 def isolation_forest(rows: DataFrame, features: list[str], key: str = "entity", trees: int = 100, sample: int = 256, seed: int = 7) -> DataFrame:
     """key, group, score in [0, 1]: isolation scores within peer groups, scaled by the group's least and largest.
 
-    A group's trees grow on a bounded sample (sample x trees rows by a hash of the key); every row is then scored in a map, so
+    A group's trees grow on a bounded sample (8 x sample rows by a hash of the key); every row is then scored in a map, so
     a group is never gathered.
     """
     held = rows.groupBy("group").agg(F.count("*").alias("_held"))

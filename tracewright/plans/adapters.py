@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOD = 1500
-UNTIL = "1995-06-30"
-
-
 def seconds(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
 
@@ -16,10 +12,6 @@ def seconds(c: str) -> Column:
 class Views:
     """Lazily built adapters over one folder of tables."""
 
-    #: Where the SQL of the graph queries and of q_clusters ends; None takes all orders.
-    until: str | None = UNTIL
-    owned_until: str | None = "1995-01-15"
-
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
@@ -30,14 +22,6 @@ class Views:
     def orders(self) -> DataFrame:
         return self.table("orders")
 
-    @property
-    def whole(self) -> Views:
-        """The same views over all orders."""
-        return Whole(self.spark, self.dir)
-
-    def before(self, day: str | None) -> DataFrame:
-        return self.orders if day is None else self.orders.where(F.col("o_orderdate") < F.lit(day).cast("timestamp"))
-
     @property
     def txs(self) -> DataFrame:
         return self.orders.select(F.concat(F.lit("T"), "o_orderkey").alias("txid"), seconds("o_orderdate").alias("ts"), F.lit(0.0).alias("fee"))
@@ -45,13 +29,13 @@ class Views:
     @property
     def ins(self) -> DataFrame:
         return self.orders.select(
-            F.concat(F.lit("T"), "o_orderkey").alias("txid"), F.lit(0).alias("idx"), F.concat(F.lit("A"), F.col("o_custkey") % MOD).alias("addr"), F.col("o_totalprice").alias("value")
+            F.concat(F.lit("T"), "o_orderkey").alias("txid"), F.lit(0).alias("idx"), F.concat(F.lit("A"), "o_custkey").alias("addr"), F.col("o_totalprice").alias("value")
         )
 
     @property
     def outs(self) -> DataFrame:
         return self.table("lineitem").select(
-            F.concat(F.lit("T"), "l_orderkey").alias("txid"), F.col("l_linenumber").alias("idx"), F.concat(F.lit("A"), F.col("l_partkey") % MOD).alias("addr"),
+            F.concat(F.lit("T"), "l_orderkey").alias("txid"), F.col("l_linenumber").alias("idx"), F.concat(F.lit("A"), "l_partkey").alias("addr"),
             (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"),
         )
 
@@ -59,20 +43,15 @@ class Views:
     def quantities(self) -> DataFrame:
         """Outputs valued by quantity, which are often equal."""
         return self.table("lineitem").select(
-            F.concat(F.lit("T"), "l_orderkey").alias("txid"), F.col("l_linenumber").alias("idx"), F.concat(F.lit("A"), F.col("l_partkey") % MOD).alias("addr"), F.col("l_quantity").alias("value")
+            F.concat(F.lit("T"), "l_orderkey").alias("txid"), F.col("l_linenumber").alias("idx"), F.concat(F.lit("A"), "l_partkey").alias("addr"), F.col("l_quantity").alias("value")
         )
 
-    @property
-    def early(self) -> DataFrame:
-        """Transactions of the graph window."""
-        return self.orders.where(F.col("o_orderdate") < F.lit(UNTIL).cast("timestamp")).select(F.concat(F.lit("T"), "o_orderkey").alias("txid"))
-
     @property
     def graph(self) -> DataFrame:
-        """Entity edges of the orders before until: src, dst, value, n, mix_n."""
-        o = self.before(self.until).select("o_orderkey", F.concat(F.lit("A"), F.col("o_custkey") % MOD).alias("src"))
+        """Entity edges of all orders: src, dst, value, n, mix_n."""
+        o = self.orders.select("o_orderkey", F.concat(F.lit("A"), "o_custkey").alias("src"))
         l = self.table("lineitem").select(  # noqa: E741
-            "l_orderkey", F.concat(F.lit("A"), F.col("l_partkey") % MOD).alias("dst"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value")
+            "l_orderkey", F.concat(F.lit("A"), "l_partkey").alias("dst"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value")
         )
         per = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).where("src <> dst").groupBy("o_orderkey", "src", "dst").agg(F.sum("value").alias("value"))
         return per.groupBy("src", "dst").agg(F.sum("value").alias("value"), F.count("*").alias("n"), F.lit(0).alias("mix_n"))
@@ -81,7 +60,7 @@ class Views:
     def events(self) -> DataFrame:
         return self.table("events").select(
             "event_id", seconds("ts").alias("ts"), F.concat(F.lit("U"), "user_id").alias("peer"), "event_type", "value",
-            F.concat(F.lit("K"), F.get_json_object("props", "$.k")).alias("txid"),
+            F.concat(F.lit("K"), F.get_json_object("props", "$.k"), F.lit("-"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400)).alias("txid"),
         )
 
     @property
@@ -96,22 +75,16 @@ class Views:
         return self.events.select("txid", F.col("peer").alias("src"), F.lead("peer").over(w).alias("dst"), "ts").where("dst is not null")
 
 
-class Whole(Views):
-    """The views without the date limits of the SQL."""
-
-    until = owned_until = None
-
-
 #: The same views as SQL common table expressions.
 SQL = {
     "tx": "tx AS (SELECT 'T' || o_orderkey AS txid, epoch_us(o_orderdate) / 1e6 AS ts FROM orders)",
-    "ins": f"ins AS (SELECT 'T' || o_orderkey AS txid, 'A' || (o_custkey % {MOD}) AS addr, o_totalprice AS value FROM orders)",
-    "outs": f"outs AS (SELECT 'T' || l_orderkey AS txid, l_linenumber AS idx, 'A' || (l_partkey % {MOD}) AS addr, l_extendedprice * (1 - l_discount) AS value FROM lineitem)",
-    "quant": f"quant AS (SELECT 'T' || l_orderkey AS txid, l_linenumber AS idx, 'A' || (l_partkey % {MOD}) AS addr, l_quantity AS value FROM lineitem)",
+    "ins": f"ins AS (SELECT 'T' || o_orderkey AS txid, 'A' || o_custkey AS addr, o_totalprice AS value FROM orders)",
+    "outs": f"outs AS (SELECT 'T' || l_orderkey AS txid, l_linenumber AS idx, 'A' || l_partkey AS addr, l_extendedprice * (1 - l_discount) AS value FROM lineitem)",
+    "quant": f"quant AS (SELECT 'T' || l_orderkey AS txid, l_linenumber AS idx, 'A' || l_partkey AS addr, l_quantity AS value FROM lineitem)",
     "graph": f"""graph AS (SELECT src, dst, sum(value) AS value, count(*) AS n FROM (
-        SELECT o_orderkey, 'A' || (o_custkey % {MOD}) AS src, 'A' || (l_partkey % {MOD}) AS dst, sum(l_extendedprice * (1 - l_discount)) AS value
-        FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate < TIMESTAMP '{UNTIL}' GROUP BY 1, 2, 3) WHERE src <> dst GROUP BY 1, 2)""",
-    "ev": "ev AS (SELECT event_id, epoch_us(ts) / 1e6 AS ts, 'U' || user_id AS peer, event_type, value, 'K' || json_extract_string(props, '$.k') AS txid FROM events)",
+        SELECT o_orderkey, 'A' || o_custkey AS src, 'A' || l_partkey AS dst, sum(l_extendedprice * (1 - l_discount)) AS value
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3) WHERE src <> dst GROUP BY 1, 2)""",
+    "ev": "ev AS (SELECT event_id, epoch_us(ts) / 1e6 AS ts, 'U' || user_id AS peer, event_type, value, 'K' || json_extract_string(props, '$.k') || '-' || CAST(floor(epoch_us(ts) / 86400e6) AS BIGINT) AS txid FROM events)",
     "hops": "hops AS (SELECT * FROM (SELECT txid, peer AS src, lead(peer) OVER (PARTITION BY txid ORDER BY ts, event_id) AS dst, ts FROM ev) WHERE dst IS NOT NULL)",
 }
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.config import DEFAULT
 from tracewright.operators import ledger
 from tracewright.operators.components import components
-from tracewright.plans.adapters import MOD, Views, with_
+from tracewright.plans.adapters import Views, with_
 from tracewright.plans.registry import query
 from tracewright.sources import records
 
@@ -112,12 +112,12 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "q_entity_of",
-    f"""WITH m AS (SELECT 'A' || (c_custkey % {MOD}) AS addr, min('N' || c_nationkey) AS c FROM customer WHERE c_acctbal > 0 GROUP BY 1), o AS (SELECT 'A' || (o_custkey % {MOD}) AS addr, o_totalprice AS value FROM orders)
+    f"""WITH m AS (SELECT 'A' || c_custkey AS addr, min('N' || c_nationkey) AS c FROM customer WHERE c_acctbal > 0 GROUP BY 1), o AS (SELECT 'A' || o_custkey AS addr, o_totalprice AS value FROM orders)
        SELECT coalesce(c, o.addr) AS entity, count(*) AS n, round(sum(value), 0) AS value FROM o LEFT JOIN m USING (addr) GROUP BY 1""",
 )
 def _(v: Views) -> DataFrame:
     """Address to entity with the address as default."""
-    m = v.table("customer").where("c_acctbal > 0").groupBy(F.concat(F.lit("A"), F.col("c_custkey") % MOD).alias("node")).agg(F.min(F.concat(F.lit("N"), "c_nationkey")).alias("component"))
+    m = v.table("customer").where("c_acctbal > 0").groupBy(F.concat(F.lit("A"), "c_custkey").alias("node")).agg(F.min(F.concat(F.lit("N"), "c_nationkey")).alias("component"))
     return ledger.named(v.ins, m).groupBy("entity").agg(F.count("*").alias("n"), _r(F.sum("value"), 0).alias("value"))
 
 
@@ -164,7 +164,7 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "q_change_votes",
-    with_("quant", body=f""" , i AS (SELECT 'T' || o_orderkey AS txid, 'A' || (o_custkey % {MOD}) AS a, 20.0 AS v FROM orders),
+    with_("quant", body=f""" , i AS (SELECT 'T' || o_orderkey AS txid, 'A' || o_custkey AS a, 20.0 AS v FROM orders),
        f AS (SELECT q.*, i.a = q.addr AS reuse, q.value < i.v AS small, min(q.value < i.v) OVER (PARTITION BY q.txid) AS all_small, count(*) OVER (PARTITION BY q.txid) AS n FROM quant q JOIN i USING (txid)),
        w AS (SELECT *, CAST(reuse AS INT) + CAST(small AND NOT all_small AS INT) AS votes FROM f), m AS (SELECT *, max(votes) OVER (PARTITION BY txid) AS top FROM w), k AS (SELECT *, sum(CAST(votes = top AS INT)) OVER (PARTITION BY txid) AS winners FROM m)
        SELECT txid, idx, addr, votes FROM k WHERE votes = top AND winners = 1 AND votes >= 1 AND n >= 2"""),
@@ -195,17 +195,22 @@ def _(v: Views) -> DataFrame:
     return rows.select("peer", _r(F.col("max_gap"), 6).alias("max_gap"), "burst")
 
 
+def _cluster_sql(rounds: int) -> str:
+    """Least labels passed on through transactions, more rounds than these tables need."""
+    steps = ["c0 AS (SELECT DISTINCT l_partkey AS p, l_partkey AS c FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) > 1))"]
+    for k in range(1, rounds + 1):
+        steps.append(f"t{k} AS (SELECT l_orderkey AS t, min(c) AS c FROM lineitem JOIN c{k - 1} ON p = l_partkey GROUP BY 1)")
+        steps.append(f"c{k} AS MATERIALIZED (SELECT l_partkey AS p, min(c) AS c FROM lineitem JOIN t{k} ON t = l_orderkey WHERE l_partkey IN (SELECT p FROM c0) GROUP BY 1)")
+    return "WITH " + ",\n".join(steps) + f" SELECT p AS node, c AS component FROM c{rounds}"
+
+
 @query(
     "q_clusters",
-    """WITH RECURSIVE p AS (SELECT DISTINCT a.l_partkey AS a, b.l_partkey AS b FROM lineitem a JOIN lineitem b USING (l_orderkey) JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate < TIMESTAMP '1995-01-15' AND a.l_partkey <> b.l_partkey),
-       r AS (SELECT a, a AS x FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.x)
-       SELECT a AS node, min(x) AS component FROM r GROUP BY 1""",
-    whole=True,
+    _cluster_sql(10),
 )
 def _(v: Views) -> DataFrame:
-    """Clusters by common ownership: connected components."""
-    days = v.before(v.owned_until).select(F.col("o_orderkey").alias("l_orderkey"))
-    held = v.table("lineitem").join(days, "l_orderkey").select("l_orderkey", F.col("l_partkey").alias("b"))
+    """Clusters by common ownership: connected components."""
+    held = v.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("b"))
     # Each member joins the least of its transaction: as many links as members, not pairs.
     return components(held.withColumn("a", F.min("b").over(Window.partitionBy("l_orderkey"))).select("a", "b"))
 

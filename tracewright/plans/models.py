@@ -43,7 +43,7 @@ def _(v: Views) -> DataFrame:
     """The alert queue in its total order, with places."""
     rows = scoring.weighted(_signals(v), {"rule": 0.6, "taint": 0.4}).where("risk >= 0.3").withColumn("risk", F.round("risk", 9))
     rows = rows.withColumn("rule_kinds", (F.col("rule") > 0).cast("int")).withColumn("taint_hops", F.when(F.col("taint") > 0.5, 1)).withColumn("lead_confidence", F.col("taint"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*scoring.alert_order()))).select("entity", "risk", "place")
+    return metrics.placed(rows, scoring.alert_order()).select("entity", "risk", "place")
 
 
 @query("q_alert_page", _SIG + " SELECT entity, tx_count FROM s ORDER BY tx_count DESC, entity LIMIT 20 OFFSET 10")

@@ -104,22 +104,6 @@ def _(v: Views) -> DataFrame:
     return relay.isolation(v.seen).select("txid", _r("first_gap", 3), _r("later_gap", 3))
 
 
-@query(
-    "q_validity",
-    with_("ev", body=""" , g AS (SELECT txid, ts - lag(ts) OVER w AS gap, row_number() OVER w AS rn FROM ev WINDOW w AS (PARTITION BY txid ORDER BY ts, peer)), i AS (SELECT txid, max(gap) FILTER (WHERE rn = 2) AS a, median(gap) FILTER (WHERE rn > 2) AS b FROM g GROUP BY 1),
-       f AS (SELECT txid, count(DISTINCT peer) <= 60 AS deg, bool_and(event_type <> 'zzz') AND CAST(substr(txid, 2) AS BIGINT) % 11 = 0 AS relays, CAST(substr(txid, 2) AS BIGINT) % 5 = 0 AS onion FROM ev GROUP BY 1),
-       x AS (SELECT txid, list_filter([CASE WHEN deg THEN 'DEGENERATE' END, CASE WHEN relays THEN 'NOT_REACHABLE' END, CASE WHEN onion THEN 'TOR_ONION' END, CASE WHEN b > 0 AND a / b >= 5 THEN 'DANDELION_STEM' END], lambda z: z IS NOT NULL) AS r FROM f JOIN i USING (txid))
-       SELECT txid, array_to_string(r, ',') AS reasons, coalesce(r[1], 'NONE') AS reason, CASE WHEN r[1] IN ('DEGENERATE', 'NOT_REACHABLE') THEN 'abstain' WHEN r[1] IS NULL THEN 'valid' ELSE 'weak' END AS tier FROM x"""),
-)
-def _(v: Views) -> DataFrame:
-    """Validity verdicts by severity."""
-    k = F.substring("txid", 2, 9).cast("long")
-    facts = v.seen.groupBy("txid").agg(F.countDistinct("peer").alias("p")).select(
-        "txid", F.when(F.col("p") <= 60, 1).otherwise(2).alias("n_candidates"), (k % 11 == 0).alias("all_relays"), F.lit(False).alias("coinjoin"), (k % 5 == 0).alias("onion")
-    )
-    return relay.verdicts(facts.join(relay.isolation(v.seen), "txid"))
-
-
 @query(
     "q_noise_floor",
     with_("ev", "hops", body=""" , f AS (SELECT txid, src, min(ts) AS ts FROM hops GROUP BY 1, 2), g AS (SELECT ts - lag(ts) OVER (PARTITION BY txid ORDER BY ts, src) AS gap FROM f)

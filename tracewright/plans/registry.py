@@ -11,13 +11,11 @@ from tracewright.plans.adapters import Views
 FOUND: dict[str, tuple[Callable[[Views], DataFrame], str | None]] = {}
 
 
-def query(name: str, sql: str | None = None, whole: bool = False):
-    """Register a query; whole: also as NAME_whole over all orders, without SQL, where its SQL ends at a date."""
+def query(name: str, sql: str | None = None):
+    """Register a query over whole tables."""
 
     def add(f: Callable[[Views], DataFrame]):
         FOUND[name] = (f, sql)
-        if whole:
-            FOUND[f"{name}_whole"] = (lambda v: f(v.whole), None)
         return f
 
     return add

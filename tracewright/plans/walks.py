@@ -25,7 +25,6 @@ def _seeds(v: Views) -> DataFrame:
     "q_reach",
     with_("graph", recursive=True, body=""" , r AS (SELECT min(src) AS node, 0 AS hop FROM graph UNION SELECT g.dst, r.hop + 1 FROM r JOIN graph g ON g.src = r.node WHERE r.hop < 3)
        SELECT node, min(hop) AS hop FROM r GROUP BY 1"""),
-    whole=True,
 )
 def _(v: Views) -> DataFrame:
     """Nodes within three hops."""
@@ -36,7 +35,6 @@ def _(v: Views) -> DataFrame:
     "q_subgraph",
     with_("graph", recursive=True, body=""" , u AS (SELECT src, dst FROM graph UNION SELECT dst, src FROM graph), r AS (SELECT min(src) AS node, 0 AS hop FROM graph UNION SELECT u.dst, r.hop + 1 FROM r JOIN u ON u.src = r.node WHERE r.hop < 2)
        SELECT node, min(hop) AS hop FROM r GROUP BY 1"""),
-    whole=True,
 )
 def _(v: Views) -> DataFrame:
     """Neighbourhood both ways within two hops (I16)."""
@@ -48,7 +46,6 @@ def _(v: Views) -> DataFrame:
     with_("graph", recursive=True, body=""" , r AS (SELECT min(src) AS node, 0 AS hops, [min(src)] AS path FROM graph UNION ALL SELECT g.dst, r.hops + 1, list_append(r.path, g.dst) FROM r JOIN graph g ON g.src = r.node WHERE r.hops < 3 AND NOT list_contains(r.path, g.dst)),
        b AS (SELECT node, hops, path, row_number() OVER (PARTITION BY node ORDER BY hops, path) AS k FROM r)
        SELECT node, power(0.5, hops) AS score, hops, array_to_string(path, '>') AS path FROM b WHERE k = 1"""),
-    whole=True,
 )
 def _(v: Views) -> DataFrame:
     """Taint with decay per hop and the least path."""
@@ -72,7 +69,7 @@ def _trace_sql(hops: int, tail: str) -> str:
     return with_("graph", body=",\n".join(parts) + tail)
 
 
-@query("q_value_trace", _trace_sql(3, " SELECT node, round(sum(amount), 2) AS received, round(sum(stays), 2) AS terminal FROM w GROUP BY 1"), whole=True)
+@query("q_value_trace", _trace_sql(3, " SELECT node, round(sum(amount), 2) AS received, round(sum(stays), 2) AS terminal FROM w GROUP BY 1"))
 def _(v: Views) -> DataFrame:
     """Haircut trace from one seed, layer by layer."""
     rows = paths.trace(v.graph, _seed(v), 3)
@@ -83,7 +80,6 @@ def _(v: Views) -> DataFrame:
     "q_exit_points",
     _trace_sql(3, """ , rec AS (SELECT node, sum(amount) AS received, sum(stays) AS terminal FROM w GROUP BY 1), tag AS (SELECT DISTINCT 'A' || (s_suppkey * 7) AS node, 'N' || s_nationkey AS label FROM supplier)
        SELECT node, label, round(received / (SELECT sum(terminal) FROM rec), 6) AS share, row_number() OVER (ORDER BY received DESC, node, label) AS rank FROM rec JOIN tag USING (node)"""),
-    whole=True,
 )
 def _(v: Views) -> DataFrame:
     """Tagged services ranked by the share that reaches them."""
@@ -94,7 +90,7 @@ def _(v: Views) -> DataFrame:
 @query("q_trace_paths")
 def _(v: Views) -> DataFrame:
     """The three best simple paths to each node."""
-    return paths.trace_paths(v.whole.graph, _seed(v.whole), 3).select("node", F.array_join("path", ">").alias("path"), F.round("confidence", 8).alias("confidence"), "rank")
+    return paths.trace_paths(v.graph, _seed(v), 3).select("node", F.array_join("path", ">").alias("path"), F.round("confidence", 8).alias("confidence"), "rank")
 
 
 @query(
@@ -103,7 +99,6 @@ def _(v: Views) -> DataFrame:
        d AS (SELECT node, min(hop) AS hop FROM r GROUP BY 1), p AS (SELECT d2.node, min(d1.node) AS parent, any_value(d2.hop) AS hop FROM d d1 JOIN graph g ON g.src = d1.node JOIN d d2 ON d2.node = g.dst AND d2.hop = d1.hop + 1 GROUP BY 1),
        w AS (SELECT p.hop AS step, p.node, p.parent FROM p, z WHERE p.node = z.b UNION ALL SELECT w.step - 1, p.node, p.parent FROM w JOIN p ON p.node = w.parent)
        SELECT step, node FROM w UNION ALL SELECT 0, a FROM z WHERE EXISTS (SELECT 1 FROM w)"""),
-    whole=True,
 )
 def _(v: Views) -> DataFrame:
     """A shortest directed path between the least sender and the largest receiver."""
@@ -114,7 +109,6 @@ def _(v: Views) -> DataFrame:
 @query(
     "q_neighbours",
     with_("graph", body=""" SELECT src, dst, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY value DESC, dst) AS r FROM graph) WHERE r <= 12"""),
-    whole=True,
 )
 def _(v: Views) -> DataFrame:
     """The twelve largest counterparties."""
@@ -128,7 +122,7 @@ def _peels(v: Views) -> DataFrame:
 
 
 _PEEL = """ , two AS (SELECT txid, arg_max(addr, (value, -idx)) AS addr FROM outs GROUP BY 1 HAVING count(*) = 2 AND min(value) / max(value) <= 0.8), sp AS (SELECT addr, arg_min(txid, (ts, txid)) AS nx FROM ins JOIN tx USING (txid) GROUP BY 1),
-       n AS (SELECT two.txid, nx FROM two JOIN sp USING (addr) WHERE nx IN (SELECT txid FROM two) AND nx <> two.txid), r AS (SELECT txid AS head, nx AS at, 1 AS hops FROM n WHERE txid NOT IN (SELECT nx FROM n) UNION ALL SELECT r.head, n.nx, r.hops + 1 FROM r JOIN n ON n.txid = r.at WHERE r.hops < 60)"""
+       n AS (SELECT two.txid, nx FROM two JOIN sp USING (addr) WHERE nx IN (SELECT txid FROM two) AND nx <> two.txid), r AS (SELECT txid AS head, nx AS at_ FROM n WHERE txid NOT IN (SELECT nx FROM n) UNION SELECT r.head, n.nx FROM r JOIN n ON n.txid = r.at_)"""
 
 
 @query("q_peel_links", with_("tx", "ins", "outs", body=_PEEL.split(" , r AS")[0].rsplit(", r AS", 1)[0] + " SELECT txid, nx AS next FROM n"))
@@ -137,7 +131,7 @@ def _(v: Views) -> DataFrame:
     return _peels(v)
 
 
-@query("q_peel_chains", with_("tx", "ins", "outs", recursive=True, body=_PEEL + " SELECT head, max(hops) AS hops FROM r GROUP BY 1 HAVING max(hops) < 60"))
+@query("q_peel_chains", with_("tx", "ins", "outs", recursive=True, body=_PEEL + " SELECT head, count(DISTINCT at_) AS hops FROM r GROUP BY 1"))
 def _(v: Views) -> DataFrame:
     """Chain heads and lengths by pointer doubling."""
     return paths.peel_chains(_peels(v), 1)
@@ -191,7 +185,6 @@ def _(v: Views) -> DataFrame:
     "q_message_passing",
     with_("graph", body=""" , x AS (SELECT src AS node, [CAST(count(*) AS DOUBLE), -5.0] AS x FROM graph GROUP BY 1)
        SELECT dst, CAST(k AS INT) AS k, round(sum(greatest(x[k + 1] + [1.0, CAST(n AS DOUBLE)][k + 1], 0.0)), 6) AS m FROM graph JOIN x ON x.node = src, (VALUES (0), (1)) AS s(k) GROUP BY 1, 2"""),
-    whole=True,
 )
 def _(v: Views) -> DataFrame:
     """One round of message passing along edges."""
@@ -203,7 +196,7 @@ def _(v: Views) -> DataFrame:
 @query("q_actors")
 def _(v: Views) -> DataFrame:
     """Actors from confident links: components, widest path, risk."""
-    graph = v.whole.graph
+    graph = v.graph
     e = graph.select(F.substring("src", 2, 9).cast("long").alias("a"), F.substring("dst", 2, 9).cast("long").alias("b"), "value").where("value > 90000")
     top = e.agg(F.max("value")).first()[0] or 1.0
     links = e.select("a", "b", (F.col("value") / top).alias("weight"))
