@@ -29,11 +29,13 @@ their names, and ``one_of_each`` returns them.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -145,14 +147,26 @@ def _prefix(h: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
     return h[np.argsort(key, kind="stable")[:k]]
 
 
+def _range(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(56)).astype(np.uint8)
+
+
+_POSTING = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("hist", pa.binary()), ("before", pa.binary())])
+_POSTING_DDL = "token long, cid long, n int, pos int, hist binary, before binary"
+
+
 def _postings(docs: DataFrame, rarity, n: int, percent: int) -> DataFrame:
-    """token, cid, n, pos: each class's prefix, rare first. rarity: the sketch, broadcast."""
+    """token, cid, n, pos: each class's prefix, rare first. rarity: the sketch, broadcast.
+
+    A row without pos is the class itself, with what the suffix filter reads: hist, its shingles by hash range (255 at
+    most), and before, the hash ranges of its prefix in order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                tokens, cids, sizes, places = [], [], [], []
+                tokens, cids, sizes, places, hists, befores = [], [], [], [], [], []
                 for raw in batch.column("raw").slice(a, 512).to_pylist():
                     h = shingles(raw, n)
                     if not len(h) or (cid := _signature(h)) in seen:
@@ -161,44 +175,40 @@ def _postings(docs: DataFrame, rarity, n: int, percent: int) -> DataFrame:
                         seen.clear()
                     seen.add(cid)
                     p = _prefix(h, rarity.value, percent)
-                    tokens.append(p)
-                    cids.append(np.full(len(p), cid, np.int64))
-                    sizes.append(np.full(len(p), len(h), np.int32))
-                    places.append(np.arange(len(p), dtype=np.int32))
+                    tokens += [np.array([cid], np.int64), p.view(np.int64)]
+                    cids.append(np.full(len(p) + 1, cid, np.int64))
+                    sizes.append(np.full(len(p) + 1, len(h), np.int32))
+                    places.append(np.arange(-1, len(p), dtype=np.int32))
+                    hists += [np.minimum(np.bincount(_range(h), minlength=_RANGES), 255).astype(np.uint8).tobytes(), *[None] * len(p)]
+                    befores += [_range(p).tobytes(), *[None] * len(p)]
                 if tokens:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
-                        ["token", "cid", "n", "pos"],
-                    )
+                    pos = np.concatenate(places)
+                    columns = [np.concatenate(tokens), np.concatenate(cids), np.concatenate(sizes), pa.array(pos, mask=pos < 0), hists, befores]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _POSTING, strict=True)], schema=_POSTING)
 
-    return docs.select("raw").mapInArrow(run, "token long, cid long, n int, pos int")
+    return docs.select("raw").mapInArrow(run, _POSTING_DDL)
 
 
-def _range(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(56)).astype(np.uint8)
-
-
-def _info(docs: DataFrame, wanted: DataFrame, rarity, n: int, percent: int) -> DataFrame:
-    """cid, n, items (packed set), hist (shingles a hash range, at most 255), before (hash ranges of the prefix, in order) of
-    the wanted classes (cid, rep): one document of each is hashed again."""
+def _sets(rows: DataFrame, classes: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """cid, items (packed set) of the classes ids (column cid): one document of each is hashed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 some = batch.slice(a, 512)
-                out = []
-                for cid, raw in zip(some.column("cid").to_pylist(), some.column("raw").to_pylist(), strict=True):
-                    h = shingles(raw, n)
-                    if len(h) and _signature(h) == cid:  # rows may share a doc_id
-                        hist = np.minimum(np.bincount(_range(h), minlength=_RANGES), 255).astype(np.uint8)
-                        out.append((cid, len(h), h.tobytes(), hist.tobytes(), _range(_prefix(h, rarity.value, percent)).tobytes()))
-                columns = zip(*out, strict=True) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["cid", "n", "items", "hist", "before"])
+                found = [(cid, h.tobytes()) for cid, raw in zip(some.column("cid").to_pylist(), some.column("raw").to_pylist(), strict=True) if len(h := shingles(raw, n)) and _signature(h) == cid]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([number + k for k in range(len(found))], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["cid", "u", "items"])
+                number += len(found)
 
-    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "raw")
-    found = rows.mapInArrow(run, "cid long, n int, items binary, hist binary, before binary")
-    # Rows that share a doc_id and a set give a class twice.
-    return written(found.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("n", "items", "hist", "before")]), "ngram-sets")
+    wanted = classes.join(ids.select("cid").distinct(), "cid").select("cid", "rep")
+    found = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "raw").mapInArrow(run, "cid long, u long, items binary")
+    found = written(found, "ngram-sets")
+    # Rows that share a doc_id and a set give a class more than once.
+    once = found.groupBy("cid").agg(F.min("u").alias("u"), F.count("*").alias("times"))
+    if not once.where("times > 1").isEmpty():
+        found = written(found.join(once.select("cid", "u"), ["cid", "u"]), "ngram-sets")
+    return found.select("cid", "items")
 
 
 def _need(a: str, b: str, percent: int) -> Column:
@@ -219,8 +229,8 @@ def _behind(hist: np.ndarray, before: bytes, pos: int) -> np.ndarray:
     return np.where(hist < 255, hist - gone, 1 << 30)
 
 
-def _judged(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked of each pair (a, b, pa, pb): by the suffix filter, then on the whole sets."""
+def _judged(pairs: DataFrame, info: DataFrame, sets_of, percent: int) -> DataFrame:
+    """a, b, linked of each pair (a, b, pa, pb): by the suffix filter, then on the whole sets, which sets_of(ids) gives."""
     pairs = written(pairs, "ngram-pairs")
     side = lambda k: info.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("hist").alias(f"h{k}"), F.col("before").alias(f"q{k}"))
 
@@ -244,8 +254,10 @@ def _judged(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
-    rows = tried.where("open").join(info.select(F.col("cid").alias("b"), F.col("items").alias("sb")), "b")
-    rows = rows.join(info.select(F.col("cid").alias("a"), F.col("items").alias("sa")), "a").select("a", "b", "sa", "sb")
+    left = tried.where("open").select("a", "b")
+    sets = sets_of(left.select(F.col("a").alias("cid")).unionByName(left.select(F.col("b").alias("cid"))))
+    rows = left.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("sb")), "b")
+    rows = rows.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("sa")), "a").select("a", "b", "sa", "sb")
     verified = written(rows.mapInArrow(verify, "a long, b long, linked boolean"), "ngram-links")
     return verified.unionByName(tried.where("not open").select("a", "b", F.lit(False).alias("linked")))
 
@@ -320,9 +332,19 @@ def _chunked(rest: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return own.unionByName(two).mapInArrow(run, "a long, b long, pa int, pb int")
 
 
-def _prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """members (doc_id, n, cid) of docs, classes (cid, n, rep, copies), prefix lists that two classes or more share, and
-    what is known of the classes in these."""
+@dataclass
+class _Prepared:
+    """members (doc_id, n, cid), classes (cid, n, rep, copies), prefix lists that two classes or more share, info (cid, n,
+    hist, before) of the classes, and sets_of(ids): the sets of some classes."""
+
+    members: DataFrame
+    classes: DataFrame
+    lists: DataFrame
+    info: DataFrame
+    sets_of: Callable[[DataFrame], DataFrame]
+
+
+def _prepared(docs: DataFrame, n: int, percent: int) -> _Prepared:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
     first = _first_pass(rows, n)
     members = first.where("part is null").select("doc_id", "n", "cid")
@@ -331,29 +353,32 @@ def _prepared(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     )
     rarity = docs.sparkSession.sparkContext.broadcast(_sketch(first))
     lists = _postings(rows, rarity, n, percent).repartition("token")
-    lists = lists.groupBy("token", "cid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    lists = lists.withColumn("pivot", F.min(F.struct("cid", "n", "pos")).over(Window.partitionBy("token", "n"))).withColumn("held", F.count("*").over(Window.partitionBy("token")))
-    lists = written(lists.where("held > 1"), "ngram-lists")
-    info = _info(rows, classes.join(lists.select("cid").distinct(), "cid").select("cid", "rep"), rarity, n, percent)
-    return members, classes, lists, info
+    whole = F.col("pos").isNull().alias("whole")
+    lists = lists.groupBy("token", "cid", whole).agg(*[F.first(c).alias(c) for c in ("n", "pos", "hist", "before")])
+    of_size, of_token = Window.partitionBy("token", "n", "whole"), Window.partitionBy("token", "whole")
+    lists = lists.withColumn("pivot", F.min(F.struct("cid", "n", "pos")).over(of_size)).withColumn("held", F.count("*").over(of_token))
+    lists = written(lists.where("held > 1 or whole"), "ngram-lists")
+    shared = lists.where("not whole").select("token", "cid", "n", "pos", "pivot", "held")
+    return _Prepared(members, classes, shared, lists.where("whole").select("cid", "n", "hist", "before"), lambda ids: _sets(rows, classes, ids, n))
 
 
-def _components(lists: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+def _components(p: _Prepared, percent: int) -> DataFrame:
     """node, component of the classes that link with another."""
+    lists, info = p.lists, p.info
     every = Window.partitionBy("token")
-    judged = _judged(_once(_starred(lists, percent), None), info, percent)
+    judged = _judged(_once(_starred(lists, percent), None), info, p.sets_of, percent)
 
     placed = _placed(lists.drop("pivot"), components(judged.where("linked"))).withColumn("crowd", F.count("*").over(Window.partitionBy("token", "comp")))
     pivot = F.min(F.struct((-F.col("crowd")).alias("crowd"), "comp", "cid", "n", "pos")).over(every)
     placed = written(placed.withColumn("pivot", pivot).where("comp <> pivot.comp"), "ngram-placed")
-    judged = judged.unionByName(_judged(_once(_starred(placed, percent), judged), info, percent))
+    judged = judged.unionByName(_judged(_once(_starred(placed, percent), judged), info, p.sets_of, percent))
 
     # What is still open: lists that touch several components, without their pivot, which has met all outside its own.
     rest = _placed(lists.where("held > 2").drop("pivot"), components(judged.where("linked")))
     met = placed.select("token", F.col("pivot.cid").alias("cid")).distinct()
     rest = rest.withColumn("lo", F.min("comp").over(every)).withColumn("hi", F.max("comp").over(every)).where("lo <> hi").join(met, ["token", "cid"], "left_anti")
     across = _once(_chunked(rest.select("token", "cid", "n", "pos", "comp"), info, percent), judged)
-    return components(judged.unionByName(_judged(across, info, percent)).where("linked"))
+    return components(judged.unionByName(_judged(across, info, p.sets_of, percent)).where("linked"))
 
 
 def _named(members: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -388,13 +413,13 @@ def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_pairs(classes: DataFrame, comps: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(p: _Prepared, comps: DataFrame, percent: int) -> DataFrame:
     """x, y: two blocks of one component's classes (cid, copies, items) whose sizes allow links; x and y may be one block."""
+    keys = comps.withColumnRenamed("node", "cid").join(p.classes.select("cid", "copies", "n"), "cid")
     within = Window.partitionBy("component").orderBy("n", "cid")
-    rows = comps.withColumnRenamed("node", "cid").join(classes.select("cid", "copies"), "cid").join(info.select("cid", "n", "items"), "cid")
-    keys = comps.withColumnRenamed("node", "cid").join(info.select("cid", "n"), "cid")
-    cut = F.floor((F.row_number().over(within) - 1) / BLOCK_SETS) + F.floor((F.sum(F.col("n").cast("long")).over(within) - F.col("n")) / BLOCK_SHINGLES)
-    rows = rows.join(keys.select("cid", cut.alias("k")), "cid")
+    cut = F.floor((F.row_number().over(within) - 1) / BLOCK_SETS) + F.floor((F.sum("n").over(within) - F.col("n")) / BLOCK_SHINGLES)
+    keys = written(keys.select("component", "cid", "copies", "n", cut.alias("k")), "ngram-keys")
+    rows = keys.join(p.sets_of(keys.select("cid")), "cid")
     blocks = rows.groupBy("component", "k").agg(F.collect_list(F.struct("cid", "copies", "items")).alias("x"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     blocks = written(blocks, "ngram-blocks")
     later = blocks.select("component", F.col("k").alias("l"), F.col("x").alias("y"), F.col("lo").alias("lo_y"))
@@ -429,26 +454,34 @@ def _compared(blocks: DataFrame, percent: int, list_pairs: bool) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long" if list_pairs else "cid long, others long")
 
 
+def _sized(comps: DataFrame) -> DataFrame:
+    return comps.join(comps.groupBy("component").agg(F.count("*").alias("size")), "component")
+
+
 def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """For every row of docs (doc_id, text): doc_id, n_shingles, component_id, n_links (rows that it links with, copies too)."""
-    members, classes, lists, info = _prepared(docs, n, percent)
-    comps = _components(lists, info, percent)
-    others = _compared(_block_pairs(classes, comps, info, percent), percent, False).groupBy("cid").agg(F.sum("others").alias("others"))
-    degree = classes.select("cid", "copies").join(others, "cid", "left").select("cid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    found = _named(members, classes, comps).join(degree, "cid", "left")
+    p = _prepared(docs, n, percent)
+    comps = written(_sized(_components(p, percent)), "ngram-comps")
+    many = _compared(_block_pairs(p, comps.where("size > 2").select("node", "component"), percent), percent, False)
+    # Two classes of a component by themselves are linked.
+    two = comps.where("size = 2").select(F.col("node").alias("cid"), "component").join(p.classes.select("cid", "copies"), "cid")
+    two = two.join(two.groupBy("component").agg(F.sum("copies").alias("all")), "component").select("cid", (F.col("all") - F.col("copies")).alias("others"))
+    others = many.unionByName(two).groupBy("cid").agg(F.sum("others").alias("others"))
+    degree = p.classes.select("cid", "copies").join(others, "cid", "left").select("cid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    found = _named(p.members, p.classes, comps.select("node", "component")).join(degree, "cid", "left")
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def pairs(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, cid) of every row of docs, and each link between classes of different sets once: a, b (a < b)."""
-    members, classes, lists, info = _prepared(docs, n, percent)
-    return members.select("doc_id", "cid"), _compared(_block_pairs(classes, _components(lists, info, percent), info, percent), percent, True)
+    p = _prepared(docs, n, percent)
+    return p.members.select("doc_id", "cid"), _compared(_block_pairs(p, _components(p, percent), percent), percent, True)
 
 
 def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
-    members, classes, lists, info = _prepared(docs, n, percent)
-    return _named(members, classes, _components(lists, info, percent)).drop("cid")
+    p = _prepared(docs, n, percent)
+    return _named(p.members, p.classes, _components(p, percent)).drop("cid")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -461,7 +494,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 #: Shingle sets, their links and components in SQL.
 SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
-    list_transform(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+    list_transform(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
 s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM d),
 c AS (SELECT dense_rank() OVER (ORDER BY list_sort(g)) AS c, doc_id, len(g) AS n, g FROM s),
