@@ -89,8 +89,17 @@ def _signature(h: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
 
 
+def _range(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(56)).astype(np.uint8)
+
+
+def _histogram(h: np.ndarray) -> bytes:
+    """The shingles of a set by hash range, 255 at most."""
+    return np.minimum(np.bincount(_range(h), minlength=_RANGES), 255).astype(np.uint8).tobytes()
+
+
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
-    names = ["doc_id", "n", "cid", "part", "counts"]
+    names = ["doc_id", "n", "cid", "hist", "part", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
@@ -105,6 +114,7 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
                         some.column("doc_id"),
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array([_signature(x) if len(x) else None for x in sets], pa.int64()),
+                        pa.array([_histogram(x) if len(x) else None for x in sets], pa.binary()),
                         pa.nulls(k, pa.int32()),
                         pa.nulls(k, pa.binary()),
                     ],
@@ -113,9 +123,9 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
         step = _SKETCH_PART
         rows = [(k // step, zlib.compress(total[k : k + step].astype("<i8").tobytes(), 1)) for k in range(0, SKETCH, step) if total[k : k + step].any()]
         k = len(rows)
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 3, pa.array([a for a, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 3, pa.nulls(k, pa.binary()), pa.array([a for a, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names)
 
-    return written(docs.mapInArrow(run, "doc_id long, n long, cid long, part int, counts binary"), "ngram-first")
+    return written(docs.mapInArrow(run, "doc_id long, n long, cid long, hist binary, part int, counts binary"), "ngram-first")
 
 
 def _sketch(first: DataFrame) -> np.ndarray:
@@ -147,26 +157,14 @@ def _prefix(h: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
     return h[np.argsort(key, kind="stable")[:k]]
 
 
-def _range(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(56)).astype(np.uint8)
-
-
-_POSTING = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("hist", pa.binary()), ("before", pa.binary())])
-_POSTING_DDL = "token long, cid long, n int, pos int, hist binary, before binary"
-
-
 def _postings(docs: DataFrame, rarity, n: int, percent: int) -> DataFrame:
-    """token, cid, n, pos: each class's prefix, rare first. rarity: the sketch, broadcast.
-
-    A row without pos is the class itself, with what the suffix filter reads: hist, its shingles by hash range (255 at
-    most), and before, the hash ranges of its prefix in order.
-    """
+    """token, cid, n, pos: each class's prefix, rare first. rarity: the sketch, broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                tokens, cids, sizes, places, hists, befores = [], [], [], [], [], []
+                tokens, cids, sizes, places = [], [], [], []
                 for raw in batch.column("raw").slice(a, 512).to_pylist():
                     h = shingles(raw, n)
                     if not len(h) or (cid := _signature(h)) in seen:
@@ -175,18 +173,17 @@ def _postings(docs: DataFrame, rarity, n: int, percent: int) -> DataFrame:
                         seen.clear()
                     seen.add(cid)
                     p = _prefix(h, rarity.value, percent)
-                    tokens += [np.array([cid], np.int64), p.view(np.int64)]
-                    cids.append(np.full(len(p) + 1, cid, np.int64))
-                    sizes.append(np.full(len(p) + 1, len(h), np.int32))
-                    places.append(np.arange(-1, len(p), dtype=np.int32))
-                    hists += [np.minimum(np.bincount(_range(h), minlength=_RANGES), 255).astype(np.uint8).tobytes(), *[None] * len(p)]
-                    befores += [_range(p).tobytes(), *[None] * len(p)]
+                    tokens.append(p)
+                    cids.append(np.full(len(p), cid, np.int64))
+                    sizes.append(np.full(len(p), len(h), np.int32))
+                    places.append(np.arange(len(p), dtype=np.int32))
                 if tokens:
-                    pos = np.concatenate(places)
-                    columns = [np.concatenate(tokens), np.concatenate(cids), np.concatenate(sizes), pa.array(pos, mask=pos < 0), hists, befores]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _POSTING, strict=True)], schema=_POSTING)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(cids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
+                        ["token", "cid", "n", "pos"],
+                    )
 
-    return docs.select("raw").mapInArrow(run, _POSTING_DDL)
+    return docs.select("raw").mapInArrow(run, "token long, cid long, n int, pos int")
 
 
 def _sets(rows: DataFrame, classes: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -223,9 +220,14 @@ def _possible(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
     return long_enough & (rest >= _need(na, nb, percent))
 
 
-def _behind(hist: np.ndarray, before: bytes, pos: int) -> np.ndarray:
-    """How many shingles of each hash range stand behind place pos; a full counter stays full, as its count is not known."""
-    gone = np.bincount(np.frombuffer(before, np.uint8, pos + 1), minlength=_RANGES)
+def _behind(hist: np.ndarray, before: list[int], pos: int) -> np.ndarray:
+    """How many shingles of each hash range stand behind place pos, at most; a full counter says nothing.
+
+    before: place << 8 | hash range of the prefix's shingles that other prefixes hold too, in order. Those no other prefix
+    holds are in no other set before this place, so what they add to the bound does no harm but to its sharpness.
+    """
+    at = np.asarray(before, np.int64)
+    gone = np.bincount(at[: np.searchsorted(at, (pos + 1) << 8)] & 255, minlength=_RANGES)
     return np.where(hist < 255, hist - gone, 1 << 30)
 
 
@@ -335,7 +337,7 @@ def _chunked(rest: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 @dataclass
 class _Prepared:
     """members (doc_id, n, cid), classes (cid, n, rep, copies), prefix lists that two classes or more share, info (cid, n,
-    hist, before) of the classes, and sets_of(ids): the sets of some classes."""
+    hist, before) of the classes in them, and sets_of(ids): the sets of some classes."""
 
     members: DataFrame
     classes: DataFrame
@@ -347,19 +349,19 @@ class _Prepared:
 def _prepared(docs: DataFrame, n: int, percent: int) -> _Prepared:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"))
     first = _first_pass(rows, n)
-    members = first.where("part is null").select("doc_id", "n", "cid")
+    members = first.where("part is null").select("doc_id", "n", "cid", "hist")
     classes = written(
-        members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies")), "ngram-classes"
+        members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("hist").alias("hist")), "ngram-classes"
     )
     rarity = docs.sparkSession.sparkContext.broadcast(_sketch(first))
     lists = _postings(rows, rarity, n, percent).repartition("token")
-    whole = F.col("pos").isNull().alias("whole")
-    lists = lists.groupBy("token", "cid", whole).agg(*[F.first(c).alias(c) for c in ("n", "pos", "hist", "before")])
-    of_size, of_token = Window.partitionBy("token", "n", "whole"), Window.partitionBy("token", "whole")
-    lists = lists.withColumn("pivot", F.min(F.struct("cid", "n", "pos")).over(of_size)).withColumn("held", F.count("*").over(of_token))
-    lists = written(lists.where("held > 1 or whole"), "ngram-lists")
-    shared = lists.where("not whole").select("token", "cid", "n", "pos", "pivot", "held")
-    return _Prepared(members, classes, shared, lists.where("whole").select("cid", "n", "hist", "before"), lambda ids: _sets(rows, classes, ids, n))
+    lists = lists.groupBy("token", "cid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    lists = lists.withColumn("pivot", F.min(F.struct("cid", "n", "pos")).over(Window.partitionBy("token", "n"))).withColumn("held", F.count("*").over(Window.partitionBy("token")))
+    lists = written(lists.where("held > 1"), "ngram-lists")
+    place = F.shiftleft("pos", 8).bitwiseOR(F.shiftrightunsigned("token", 56).cast("int"))
+    before = lists.groupBy("cid").agg(F.array_sort(F.collect_list(place)).alias("before"))
+    info = written(before.join(classes.select("cid", F.col("n").cast("int").alias("n"), "hist"), "cid"), "ngram-info")
+    return _Prepared(members.drop("hist"), classes.drop("hist"), lists, info, lambda ids: _sets(rows, classes, ids, n))
 
 
 def _components(p: _Prepared, percent: int) -> DataFrame:
