@@ -149,6 +149,19 @@ def widest(edges: DataFrame, anchors: DataFrame) -> DataFrame:
         state = seen
 
 
+def wallet_trace(ins: DataFrame, outs: DataFrame, seeds: DataFrame, hops: int, least: float = 0.0, forward: bool = True) -> DataFrame:
+    """node, hop, pruned: wallets reached from the seeds (column node) through transactions, by outputs of at least an amount.
+
+    pruned counts the outputs that a reached wallet's transactions had under it. Backward swaps the sides.
+    """
+    a, b = (ins, outs) if forward else (outs, ins)
+    paid = a.select("txid", F.col("addr").alias("src")).join(b.select("txid", F.col("addr").alias("dst"), "value"), "txid")
+    small = paid.where(F.col("value") < least).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"))
+    seen = reach(paid.where(F.col("value") >= least), seeds, hops)
+    rows = seen.join(small, "node", "left")
+    return rows.select("node", "hop", F.when(F.col("hop") < hops, F.coalesce("n", F.lit(0))).otherwise(0).alias("pruned"))
+
+
 def peel_links(features: DataFrame, outs: DataFrame, spender: DataFrame, ratio: float) -> DataFrame:
     """txid, next: both peel-shaped, next being the first spender of the larger output (the first one on ties)."""
     peels = features.where((F.col("n_in") == 1) & (F.col("n_out") == 2) & (F.col("peel_ratio") <= ratio)).select("txid")

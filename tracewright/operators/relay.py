@@ -178,31 +178,6 @@ def timing_signature(seen: DataFrame, least: int = 20) -> DataFrame:
     return stats.join(busiest, "peer")
 
 
-#: Reasons by severity, and what each leaves of an answer.
-REASONS = (("DEGENERATE", "abstain"), ("NOT_REACHABLE", "abstain"), ("COINJOIN", "weak"), ("TOR_ONION", "weak"), ("DANDELION_STEM", "weak"))
-
-
-def verdicts(facts: DataFrame, stem_ratio: float = 5.0) -> DataFrame:
-    """txid, reasons (comma list by severity), reason (worst), tier.
-
-    facts: txid, n_candidates, all_relays, coinjoin, onion, first_gap, later_gap.
-    """
-    fires = {
-        "DEGENERATE": F.col("n_candidates") <= 1,
-        "NOT_REACHABLE": F.col("all_relays"),
-        "COINJOIN": F.col("coinjoin"),
-        "TOR_ONION": F.col("onion"),
-        "DANDELION_STEM": (F.col("later_gap") > 0) & (F.col("first_gap") / F.col("later_gap") >= stem_ratio),
-    }
-    reasons = F.array_compact(F.array(*[F.when(F.coalesce(fires[name], F.lit(False)), name) for name, _ in REASONS]))
-    tier = F.lit("valid")
-    for name, level in reversed(REASONS):
-        tier = F.when(F.try_element_at("r", F.lit(1)) == name, level).otherwise(tier)
-    return facts.withColumn("r", reasons).select(
-        "txid", F.array_join("r", ",").alias("reasons"), F.coalesce(F.try_element_at("r", F.lit(1)), F.lit("NONE")).alias("reason"), tier.alias("tier")
-    )
-
-
 def ip_class(ip: Column, relay: Column, tor: Column, hosting: Column, high_risk: Column) -> Column:
     """By precedence: onion address, known relay, Tor exit, hosting network, high-risk network, else residential."""
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.plans import features, models, network, walks  # noqa: F401  they register their queries
+from tracewright.plans import evaluation, evidence, features, models, network, walks  # noqa: F401  they register their queries
 from tracewright.plans.adapters import Views
 from tracewright.plans.registry import FOUND
 

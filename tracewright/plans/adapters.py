@@ -74,6 +74,50 @@ class Views:
         w = Window.partitionBy("txid").orderBy("ts", "event_id")
         return self.events.select("txid", F.col("peer").alias("src"), F.lead("peer").over(w).alias("dst"), "ts").where("dst is not null")
 
+    @property
+    def captured(self) -> DataFrame:
+        """The events as those of two captures, in the capture readers' columns."""
+        u, e = F.col("user_id"), F.col("event_id")
+        of = lambda n: F.floor(u / n).cast("string") if n > 1 else u.cast("string")
+        octet = lambda n: (F.floor(u / n) % 256).cast("string")
+        ip = F.when(u % 7 == 0, F.concat(F.lit("u"), of(1), F.lit(".onion"))).otherwise(F.concat_ws(".", F.lit("10"), octet(65536), octet(256), octet(1)))
+        return self.table("events").select(
+            F.concat(F.lit("cap"), (u % 2).cast("string")).alias("capture"),
+            F.concat(F.lit("K"), F.get_json_object("props", "$.k"), F.lit("-"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400)).alias("txid"),
+            ip.alias("peer_ip"), F.when(e % 5 == 0, 9000).otherwise(8333).cast("int").alias("peer_port"), u.cast("long").alias("peer_id"),
+            F.when(u % 3 == 0, "/Satoshi:25.0/").when(u % 3 == 1, "/btcd:0.1/").alias("user_agent"), seconds("ts").alias("ts"), F.lit(None).cast("double").alias("mono"),
+            F.when(e % 11 == 0, "inv_wtx").when(e % 11 < 4, "tx").otherwise("inv").alias("message_type"), F.when(e % 13 == 0, "outbound").otherwise("inbound").alias("direction"),
+            F.when(u % 2 == 0, "pcap:a").otherwise("btcap:b").alias("source"), F.when(u % 4 == 1, "v2").alias("transport"), F.when(u % 2 == 0, u % 3).cast("long").alias("unreadable_flows"),
+            u.cast("long").alias("services"), e.alias("event_id"),
+        )
+
+    @property
+    def hosts(self) -> DataFrame:
+        """ip, ip_class of the captured peers."""
+        k = F.col("peer_id") % 7
+        return self.captured.select(F.col("peer_ip").alias("ip"), F.when(k == 0, "tor").when((k == 1) | (k == 3) | (k == 5), "relay").otherwise("residential").alias("ip_class")).distinct()
+
+    @property
+    def shapes(self) -> DataFrame:
+        """Transactions as they were built: addresses of several types, whole amounts, fees, construction fields."""
+        kind = lambda n: F.element_at(F.array(*[F.lit(x) for x in PREFIXES]), (n % 5 + 1).cast("int"))
+        o, c = F.col("o_orderkey"), F.col("o_custkey")
+        heads = self.orders.select(
+            o.alias("k"), F.concat(F.lit("T"), o).alias("txid"),
+            F.when(o % 3 == 0, F.array(F.concat(kind(c), c.cast("string")), F.concat(kind(o), c.cast("string")))).otherwise(F.array(F.concat(kind(c), c.cast("string")))).alias("in_addrs"),
+            (o % 40 * 250 / 1e8).alias("fee"), F.when(o % 5 > 0, o % 3 + 1).alias("version"), F.when(o % 5 > 0, F.when(o % 4 == 0, 0).when(o % 4 == 1, 600000000).otherwise(700000)).alias("locktime"),
+            F.when(o % 5 > 0, F.when(o % 7 == 0, F.array(F.lit(4294967293), F.lit(4294967295))).otherwise(F.array(4294967293 + o % 3))).alias("sequences"),
+            F.when(o % 2 == 0, F.array(F.concat(F.sha2(c.cast("string"), 256), F.lit(":1")), F.concat(F.sha2(o.cast("string"), 256), F.lit(":0")))).alias("outpoints"),
+        )
+        part = F.col("l_partkey")
+        line = F.struct("l_linenumber", F.concat(kind(part), part.cast("string")).alias("addr"), F.col("l_quantity").cast("double").alias("v"))
+        outs = self.table("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(line)).alias("l"))
+        return heads.join(outs, "k").withColumns({"in_vals": F.transform("in_addrs", lambda x: F.lit(1.0)), "out_addrs": F.transform("l", lambda x: x["addr"]), "out_vals": F.transform("l", lambda x: x["v"])}).drop("l")
+
+
+#: Address beginnings of five script types.
+PREFIXES = ("1x", "3x", "bc1q", "bc1p", "zz")
+
 
 #: The same views as SQL common table expressions.
 SQL = {
@@ -86,6 +130,20 @@ SQL = {
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3) WHERE src <> dst GROUP BY 1, 2)""",
     "ev": "ev AS (SELECT event_id, epoch_us(ts) / 1e6 AS ts, 'U' || user_id AS peer, event_type, value, 'K' || json_extract_string(props, '$.k') || '-' || CAST(floor(epoch_us(ts) / 86400e6) AS BIGINT) AS txid FROM events)",
     "hops": "hops AS (SELECT * FROM (SELECT txid, peer AS src, lead(peer) OVER (PARTITION BY txid ORDER BY ts, event_id) AS dst, ts FROM ev) WHERE dst IS NOT NULL)",
+    "cap": """cap AS (SELECT *, 'cap' || (peer_id % 2) AS capture FROM (SELECT event_id, 'K' || json_extract_string(props, '$.k') || '-' || CAST(floor(epoch_us(ts) / 86400e6) AS BIGINT) AS txid, user_id AS peer_id,
+        CASE WHEN user_id % 7 = 0 THEN 'u' || user_id || '.onion' ELSE '10.' || (user_id // 65536 % 256) || '.' || (user_id // 256 % 256) || '.' || (user_id % 256) END AS peer_ip, CASE WHEN event_id % 5 = 0 THEN 9000 ELSE 8333 END AS peer_port,
+        CASE user_id % 3 WHEN 0 THEN '/Satoshi:25.0/' WHEN 1 THEN '/btcd:0.1/' END AS user_agent, epoch_us(ts) / 1e6 AS ts, CASE WHEN event_id % 11 = 0 THEN 'inv_wtx' WHEN event_id % 11 < 4 THEN 'tx' ELSE 'inv' END AS message_type,
+        CASE WHEN event_id % 13 = 0 THEN 'outbound' ELSE 'inbound' END AS direction, CASE WHEN user_id % 2 = 0 THEN 'pcap:a' ELSE 'btcap:b' END AS source, CASE WHEN user_id % 4 = 1 THEN 'v2' END AS transport,
+        CASE WHEN user_id % 2 = 0 THEN user_id % 3 END AS unreadable_flows, user_id AS services, CASE user_id % 7 WHEN 0 THEN 'tor' WHEN 1 THEN 'relay' WHEN 3 THEN 'relay' WHEN 5 THEN 'relay' ELSE 'residential' END AS ip_class FROM events))""",
+    "used": "used AS (SELECT * FROM cap WHERE message_type IN ('inv', 'tx') AND direction = 'inbound')",
+    "cand": """cand AS (SELECT *, rank() OVER (PARTITION BY capture, txid ORDER BY ts) AS rank, count(*) OVER (PARTITION BY capture, txid) AS n FROM (SELECT capture, txid, peer_ip, min(ts) AS ts, any_value(announced) AS announced, any_value(ip_class) AS ip_class,
+        arg_min(peer_port, (ts, message_type, source, event_id)) AS peer_port, any_value(transport) AS transport, any_value(source) AS source, any_value(unreadable_flows) AS unreadable_flows, any_value(user_agent) AS user_agent, any_value(peer_id) AS peer_id
+        FROM (SELECT *, count(*) OVER (PARTITION BY capture, txid) AS announced FROM used) GROUP BY 1, 2, 3))""",
+    "shapes": """shapes AS (SELECT o_orderkey AS k, 'T' || o_orderkey AS txid, CASE WHEN o_orderkey % 3 = 0 THEN [pre[o_custkey % 5 + 1] || o_custkey, pre[o_orderkey % 5 + 1] || o_custkey] ELSE [pre[o_custkey % 5 + 1] || o_custkey] END AS in_addrs,
+        o_orderkey % 40 * 250 AS sats, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 3 + 1 END AS version, CASE WHEN o_orderkey % 5 > 0 THEN CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 600000000 ELSE 700000 END END AS locktime,
+        CASE WHEN o_orderkey % 5 > 0 THEN CASE WHEN o_orderkey % 7 = 0 THEN [4294967293, 4294967295] ELSE [4294967293 + o_orderkey % 3] END END AS sequences,
+        CASE WHEN o_orderkey % 2 = 0 THEN [sha256(CAST(o_custkey AS VARCHAR)), sha256(CAST(o_orderkey AS VARCHAR))] END AS prev, l.addrs AS out_addrs, l.vals AS out_vals
+        FROM orders JOIN (SELECT l_orderkey, list(pre[l_partkey % 5 + 1] || l_partkey ORDER BY l_linenumber, pre[l_partkey % 5 + 1] || l_partkey, l_quantity) AS addrs, list(l_quantity ORDER BY l_linenumber, pre[l_partkey % 5 + 1] || l_partkey, l_quantity) AS vals FROM lineitem, (SELECT ['1x', '3x', 'bc1q', 'bc1p', 'zz'] AS pre) GROUP BY 1) l ON l_orderkey = o_orderkey, (SELECT ['1x', '3x', 'bc1q', 'bc1p', 'zz'] AS pre))""",
 }
 
 
