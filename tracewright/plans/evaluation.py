@@ -153,12 +153,12 @@ def _(v: Views) -> DataFrame:
     return reports.pattern_counts(rows).select("pattern", "n", _r("mean_risk"))
 
 
-@query("q_pooled_edges", """WITH e AS (SELECT l_orderkey AS t, 'S' || l_suppkey AS a, 'P' || l_partkey AS b, l_discount AS s FROM lineitem), p AS (SELECT t, n, avg(s) AS s FROM (SELECT t, unnest([a, b]) AS n, s FROM e) GROUP BY 1, 2), m AS (SELECT 'P' || p_partkey AS n, p_brand AS c FROM part WHERE p_size > 20) SELECT coalesce(c, n) AS entity, round(avg(s), 6) AS mean, round(max(s), 6) AS most FROM p LEFT JOIN m USING (n) GROUP BY 1""")
+@query("q_pooled_edges", """WITH e AS (SELECT l_orderkey AS t, 'S' || l_suppkey AS a, 'P' || l_partkey AS b, l_discount AS s FROM lineitem), p AS (SELECT t, n, avg(s) AS s FROM (SELECT t, unnest([a, b]) AS n, s FROM e) GROUP BY 1, 2), m AS (SELECT 'P' || p_partkey AS n, p_brand AS c FROM part WHERE p_size > 20) SELECT coalesce(c, n) AS entity, round(avg(s), 9) AS mean, round(max(s), 6) AS most FROM p LEFT JOIN m USING (n) GROUP BY 1""")
 def _(v: Views) -> DataFrame:
     """Edge scores pooled over entities."""
     e = v.table("lineitem").select(F.col("l_orderkey").alias("txid"), F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.col("l_discount").alias("score"))
     m = v.table("part").where("p_size > 20").select(F.concat(F.lit("P"), "p_partkey").alias("node"), F.col("p_brand").alias("component"))
-    return reports.pooled_edges(e, m).select("entity", _r("mean"), _r("most"))
+    return reports.pooled_edges(e, m).select("entity", _r("mean", 9), _r("most"))
 
 
 @query("q_standardised", "SELECT c_custkey AS k, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER (), 6) AS x, 0.0 AS y FROM customer")

@@ -139,7 +139,7 @@ _TELLS = f""" , ty AS (SELECT *, list_transform(in_addrs, lambda a: {_TYPE}) AS
       CAST(ceil((40 + list_sum(list_transform(it, lambda t: CASE t WHEN 'p2pkh' THEN 592 WHEN 'p2sh' THEN 364 WHEN 'p2tr' THEN 230 ELSE 272 END)) + list_sum(list_transform(ot, lambda t: CASE t WHEN 'p2pkh' THEN 136 WHEN 'p2sh' THEN 128 WHEN 'p2tr' THEN 172 ELSE 124 END))
         + CASE WHEN len(list_filter(it, lambda t: t IN ('p2wpkh', 'p2tr', 'p2sh'))) > 0 THEN 2 ELSE 0 END) / 4) AS BIGINT) AS vsize, list_transform(range(1, no + 1), lambda i: {{'v': CAST(out_vals[i] AS DOUBLE), 'a': out_addrs[i]}}) AS ok,
       list_distinct(list_transform(sequences, lambda s: CASE WHEN s <= 4294967293 THEN 'rbf' WHEN s = 4294967294 THEN 'locktime_only' ELSE 'final' END)) AS sq, list_distinct(list_filter(it, lambda t: t <> '')) AS ts_ FROM cb),
-   oo AS (SELECT *, no >= 2 AND len(list_distinct(out_vals)) >= 2 AS outs_told, prev IS NOT NULL AS ins_told, ok = list_sort(ok) AS outs_ok, prev IS NULL OR array_to_string(list_reverse(regexp_extract_all(prev[1], '..')), '') <= array_to_string(list_reverse(regexp_extract_all(prev[2], '..')), '') AS ins_ok, sats / vsize AS rate FROM ci),
+   oo AS (SELECT *, no >= 2 AND len(list_distinct(out_vals)) >= 2 AS outs_told, prev IS NOT NULL AS ins_told, ok = list_sort(ok) AS outs_ok, prev IS NULL OR array_to_string(list_reverse(regexp_extract_all(prev[1], '..')), '') < array_to_string(list_reverse(regexp_extract_all(prev[2], '..')), '') AS ins_ok, sats / vsize AS rate FROM ci),
    te AS (SELECT txid, CASE version WHEN 1 THEN 'v1' WHEN 2 THEN 'v2' WHEN 3 THEN 'other' END AS version, CASE WHEN locktime = 0 THEN 'zero' WHEN locktime < 500000000 THEN 'height' WHEN locktime IS NOT NULL THEN 'time' END AS locktime, CASE WHEN len(sq) = 1 THEN sq[1] WHEN len(sq) > 1 THEN 'mixed' END AS sequence,
       CASE WHEN outs_told OR ins_told THEN CASE WHEN (NOT outs_told OR outs_ok) AND ins_ok THEN 'bip69' ELSE 'not_bip69' END END AS ordering, CASE WHEN c = 1 THEN 'first' WHEN c = no THEN 'last' WHEN c IS NOT NULL THEN 'middle' END AS change_position,
       CASE WHEN sats > 0 THEN CASE WHEN sats % 10000 = 0 THEN 'round_btc' WHEN rate >= 5 AND abs(rate / 5 - round_even(rate / 5, 0)) * 5 <= 0.01 THEN 'round_rate' WHEN abs(rate - round_even(rate, 0)) <= 0.01 THEN 'integer_rate' ELSE 'fractional_rate' END END AS fee,
