@@ -452,6 +452,34 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path):
     assert seen[3].where("n_chars <> char_length(text)").count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty, very long and repeated texts, ties and clashing names; stages against brute force where they decide."""
+    from tests.llm.test_pairs import brute_links, sentences
+
+    rng = random.Random(11)
+    base = [sentences(rng, 120, 4000) for _ in range(12)]
+    rows = [(k, t) for k, t in enumerate(base)] + [(20 + k, t + " one more") for k, t in enumerate(base[:6])] + [(40, base[0]), (40, base[0]), (41, None), (42, ""), (43, " \n"), (44, sentences(rng, 30_000, 4000)), (None, base[1])]
+    rows += [(50, base[2].replace(" ", " Mr John Smith said to me@x.org ", 1)), (51, "a a a " * 60)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for (i, t), s in zip(rows, ["s0", "s0", None, "s1"] * 20, strict=False)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(7) for c in ("_id", "_n", "row", "new", "thash", "found", "copies", "cid", "raw", "kept", "n", "id")})
+    stage = dict(corpus_pipeline.STAGES)
+    good = stage["quality_rules"](spark, docs, "")
+    kept = {r["doc_id"] for r in quality.measure(docs).where("kept").collect()}
+    assert good.columns == docs.columns and {r["doc_id"] for r in good.collect()} == kept and not kept & {41, 42, 43, 51} and good.where("doc_id = 40").count() == 2
+    one = stage["near_duplicates"](spark, docs, "")
+    want = sorted(str(d) for d, _, c in brute_links([(d if d is not None else 10**9, t) for d, t in rows], 5, 80) if d == c or d == 10**9)
+    assert one.columns == docs.columns and sorted(str(r["doc_id"] if r["doc_id"] is not None else 10**9) for r in one.collect()) == want
+    clean = stage["surrogates"](spark, docs, "")
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    assert clean.where("text like '%Smith%' or text like '%me@x.org%' or n_chars <> char_length(text)").count() == 0
+    mixed = stage["mix_sources"](spark, docs, "")
+    assert mixed.columns == docs.columns and mixed.where("row <> 7").count() == 0
+    assert {str(r["doc_id"]) for r in mixed.collect()} <= {str(d) for d, _ in rows}
+    out = stage["sentencepiece"](spark, docs, "").collect()
+    m = library()
+    assert sorted((str(r["doc_id"]), r["n_pieces"]) for r in out) == sorted((str(d), len(m.encode(t or ""))) for d, t in rows)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     docs = spark.read.parquet(str(TESTDATA / "sf0.001" / "documents.parquet")).where("false")
     assert corpus_pipeline.run(spark, saved(docs, tmp_path, "documents")).count() == 0
