@@ -72,7 +72,7 @@ def test_bundles_and_seals(spark, case, tmp_path):
     assert intel.read_bundle(spark, at).count() == 2
     with pytest.raises(ValueError, match="simulated"):
         intel.read_bundle(spark, at, real_case=True)
-    sealed = intel.seal(spark, at)
+    sealed = spark.createDataFrame(intel.seal(spark, at).collect())
     assert intel.seal_hash(sealed) == intel.seal_hash(sealed.orderBy(F.col("path").desc()))
     part = next((tmp_path / "bundle" / "tags").glob("part-*"))
     part.write_text(part.read_text() + "\n")
