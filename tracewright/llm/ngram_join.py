@@ -49,7 +49,7 @@ BLOCK_SETS = 256
 BLOCK_SHINGLES = 1 << 18
 _SKETCH_PART = 1 << 12
 #: Hash ranges of the suffix filter.
-_RANGES = 256
+_RANGES = 128
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
@@ -90,12 +90,19 @@ def _signature(h: np.ndarray) -> int:
 
 
 def _range(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(56)).astype(np.uint8)
+    return (h >> np.uint64(57)).astype(np.uint8)
 
 
 def _histogram(h: np.ndarray) -> bytes:
-    """The shingles of a set by hash range, 255 at most."""
-    return np.minimum(np.bincount(_range(h), minlength=_RANGES), 255).astype(np.uint8).tobytes()
+    """The shingles of a set by hash range: two counts a byte where they fit, else one, 255 at most."""
+    c = np.bincount(_range(h), minlength=_RANGES)
+    c = c[::2] << 4 | c[1::2] if c.max() < 16 else np.minimum(c, 255)
+    return c.astype(np.uint8).tobytes()
+
+
+def _counts(hist: bytes) -> np.ndarray:
+    c = np.frombuffer(hist, np.uint8).astype(np.int64)
+    return c if len(c) == _RANGES else np.stack([c >> 4, c & 15], 1).ravel()
 
 
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
@@ -220,15 +227,16 @@ def _possible(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
     return long_enough & (rest >= _need(na, nb, percent))
 
 
-def _behind(hist: np.ndarray, before: list[int], pos: int) -> np.ndarray:
+def _behind(hist: bytes, before: list[int], pos: int) -> np.ndarray:
     """How many shingles of each hash range stand behind place pos, at most; a full counter says nothing.
 
-    before: place << 8 | hash range of the prefix's shingles that other prefixes hold too, in order. Those no other prefix
+    before: place << 7 | hash range of the prefix's shingles that other prefixes hold too, in order. Those no other prefix
     holds are in no other set before this place, so what they add to the bound does no harm but to its sharpness.
     """
     at = np.asarray(before, np.int64)
-    gone = np.bincount(at[: np.searchsorted(at, (pos + 1) << 8)] & 255, minlength=_RANGES)
-    return np.where(hist < 255, hist - gone, 1 << 30)
+    held = _counts(hist)
+    gone = np.bincount(at[: np.searchsorted(at, (pos + 1) << 7)] & (_RANGES - 1), minlength=_RANGES)
+    return np.where(held < 255, held - gone, 1 << 30)
 
 
 def _judged(pairs: DataFrame, info: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -240,7 +248,7 @@ def _judged(pairs: DataFrame, info: DataFrame, sets_of, percent: int) -> DataFra
         for batch in batches:
             keep = []
             for na, nb, ha, hb, qa, qb, i, j in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ha", "hb", "qa", "qb", "pa", "pb")), strict=True):
-                x, y = (_behind(np.frombuffer(h, np.uint8).astype(np.int64), q, k) for h, q, k in ((ha, qa, i), (hb, qb, j)))
+                x, y = (_behind(h, q, k) for h, q, k in ((ha, qa, i), (hb, qb, j)))
                 most = min(i, j) + 1 + min(int(np.minimum(x, y).sum()), na - i - 1, nb - j - 1)
                 keep.append((100 + percent) * most >= percent * (na + nb))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "open"])
@@ -306,7 +314,7 @@ def _chunked(rest: DataFrame, info: DataFrame, percent: int) -> DataFrame:
         def read(rows: pa.StructScalar):
             s = rows.values
             get = lambda c: s.field(c).to_numpy(zero_copy_only=False)
-            hist = [np.frombuffer(h, np.uint8).astype(np.int64) for h in s.field("hist").to_pylist()]
+            hist = s.field("hist").to_pylist()
             pos = get("pos")
             behind = np.stack([_behind(h, q, k) for h, q, k in zip(hist, s.field("before").to_pylist(), pos.tolist(), strict=True)])
             return get("cid"), get("n").astype(np.int64), pos.astype(np.int64), get("comp"), behind
@@ -358,7 +366,7 @@ def _prepared(docs: DataFrame, n: int, percent: int) -> _Prepared:
     lists = lists.groupBy("token", "cid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     lists = lists.withColumn("pivot", F.min(F.struct("cid", "n", "pos")).over(Window.partitionBy("token", "n"))).withColumn("held", F.count("*").over(Window.partitionBy("token")))
     lists = written(lists.where("held > 1"), "ngram-lists")
-    place = F.shiftleft("pos", 8).bitwiseOR(F.shiftrightunsigned("token", 56).cast("int"))
+    place = F.shiftleft("pos", 7).bitwiseOR(F.shiftrightunsigned("token", 57).cast("int"))
     before = lists.groupBy("cid").agg(F.array_sort(F.collect_list(place)).alias("before"))
     info = written(before.join(classes.select("cid", F.col("n").cast("int").alias("n"), "hist"), "cid"), "ngram-info")
     return _Prepared(members.drop("hist"), classes.drop("hist"), lists, info, lambda ids: _sets(rows, classes, ids, n))

@@ -406,6 +406,7 @@ def encoded(docs: DataFrame, path: str = MODEL, with_ids: bool = True, block_byt
                         [pa.array([row["block"]] * len(part), pa.int64()), pa.array([c for c, _ in part], pa.int32()), pa.array([u for _, u in part], pa.string())],
                         ["block", "code", "unit"],
                     )
+                pa.default_memory_pool().release_unused()
 
     # Both users of the blocks read all their columns, and both of the questions too, so that either is shuffled once.
     asked = blocks.mapInArrow(ask, "block long, code int, unit string").repartition("unit")
@@ -433,6 +434,8 @@ def encoded(docs: DataFrame, path: str = MODEL, with_ids: bool = True, block_byt
             doc_id, null = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool)
             which = np.frombuffer(row["which"], np.int32).tolist()
             columns = [[done[t][c] for t in which] for c in range(4)]
+            del raw, said, codes
+            pa.default_memory_pool().release_unused()
             parts.append(pa.Table.from_arrays([pa.array(doc_id, mask=null), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[1:], strict=True))], schema=schema))
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
