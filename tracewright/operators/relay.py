@@ -28,28 +28,49 @@ def announcement_stats(seen: DataFrame) -> DataFrame:
     )
 
 
+def running_medians(rows: DataFrame, key: str) -> DataFrame:
+    """key, at, median: of the values at earlier places of a key; rows: key, at (a place of its own in the key), value (or null).
+
+    Order statistics by descent: a key's values are numbered in order, and each question goes down the bits of that number,
+    counting in each round how many earlier values share its prefix and go left. A round is one window of running counts,
+    and there are as many as the largest key's values have bits; no row ever holds a list of what was before.
+    """
+    elements = rows.where("value is not null").withColumn("leaf", F.row_number().over(Window.partitionBy(key).orderBy("value", "at")) - 1)
+    elements = written(elements.select(key, "at", "value", "leaf"), "medians")
+    top = elements.agg(F.max("leaf")).first()[0] or 0
+    before = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    asked = rows.select(key, "at", F.count("value").over(before).alias("n")).where("n > 0")
+    asked = asked.select(key, "at", F.lit(0).alias("node"), F.explode(F.array(F.struct(F.lit(1).alias("which"), F.floor((F.col("n") + 1) / 2).alias("k")), F.struct(F.lit(2).alias("which"), (F.floor(F.col("n") / 2) + 1).alias("k")))).alias("q"))
+    asked = asked.select(key, "at", "node", "q.which", "q.k")
+    for b in reversed(range(max(1, int(top).bit_length()))):
+        left = (F.shiftright("leaf", b).bitwiseAND(F.lit(1)) == 0).cast("long")
+        held = elements.select(key, "at", F.shiftright("leaf", b + 1).alias("node"), F.lit(0).alias("which"), F.lit(0).cast("long").alias("k"), F.lit(1).alias("held"), left.alias("left"))
+        both = held.unionByName(asked.select("*", F.lit(0).alias("held"), F.lit(0).cast("long").alias("left")))
+        earlier = Window.partitionBy(key, "node").orderBy("at", "held").rowsBetween(Window.unboundedPreceding, -1)
+        both = both.withColumn("lefts", F.coalesce(F.sum("left").over(earlier), F.lit(0))).where("held = 0")
+        goes = F.col("k") <= F.col("lefts")
+        asked = both.select(key, "at", F.when(goes, F.col("node") * 2).otherwise(F.col("node") * 2 + 1).alias("node"), "which", F.when(goes, F.col("k")).otherwise(F.col("k") - F.col("lefts")).alias("k"))
+    found = asked.join(elements.select(key, F.col("leaf").alias("node"), "value"), [key, "node"])
+    return found.groupBy(key, "at").agg(F.avg("value").alias("median"))
+
+
 def peer_history(seen: DataFrame) -> DataFrame:
-    """What was known of a peer strictly before each announcement: transactions, firsts, gap mean, median and deviation, rate."""
+    """What was known of a peer strictly before each announcement: transactions, firsts and their share, gap mean, median and
+    deviation, announcements a minute, and seconds since its first."""
     first = seen.groupBy("txid", "peer").agg(F.min("ts").alias("ts"))
     opened = F.row_number().over(Window.partitionBy("txid").orderBy("ts", "peer")) == 1
-    rows = first.withColumn("opened", opened.cast("int"))
     w = Window.partitionBy("peer").orderBy("ts", "txid")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("gap", F.col("ts") - F.lag("ts").over(w))
-    gaps = F.array_sort(F.collect_list("gap").over(before))
-    n = F.size("gaps")
-    rows = rows.select(
-        "txid", "peer", "ts", (F.row_number().over(w) - 1).alias("txids_before"),
-        F.coalesce(F.sum("opened").over(before), F.lit(0)).alias("firsts_before"), gaps.alias("gaps"),
-        F.avg("gap").over(before).alias("gap_mean"), F.stddev_samp("gap").over(before).alias("sd"),
-        (F.col("ts") - F.first("ts").over(w)).alias("elapsed"),
+    rows = first.withColumns({"opened": opened.cast("int"), "value": F.col("ts") - F.lag("ts").over(w), "at": F.row_number().over(w)})
+    rows = written(rows, "history")
+    before = Window.partitionBy("peer").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.col("at") - 1
+    rows = rows.join(running_medians(rows.select("peer", "at", "value"), "peer"), ["peer", "at"], "left").select(
+        "txid", "peer", n.alias("txids_before"), F.coalesce(F.sum("opened").over(before), F.lit(0)).alias("firsts_before"), F.avg("value").over(before).alias("gap_mean"), F.col("median").alias("gap_median"),
+        F.when(n == 2, 0.0).otherwise(F.stddev_samp("value").over(before)).alias("gap_sd"), (F.col("ts") - F.first("ts").over(Window.partitionBy("peer").orderBy("at"))).alias("elapsed"),
     )
-    at = lambda k: F.try_element_at("gaps", k.cast("int"))
     return rows.select(
-        "txid", "peer", "txids_before", "firsts_before", "gap_mean",
-        F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("gap_median"),
-        F.when(n == 1, 0.0).otherwise(F.col("sd")).alias("gap_sd"),
-        F.when(F.col("elapsed") > 0, F.col("txids_before") / (F.col("elapsed") / 60.0)).alias("rate"),
+        "txid", "peer", "txids_before", "firsts_before", "gap_mean", "gap_median", "gap_sd", F.when(F.col("elapsed") > 0, F.col("txids_before") / (F.col("elapsed") / 60.0)).alias("rate"),
+        F.when(F.col("txids_before") > 0, F.col("elapsed")).alias("age"), F.when(F.col("txids_before") > 0, F.col("firsts_before") / F.col("txids_before")).alias("first_share"),
     )
 
 

@@ -28,12 +28,13 @@ def _(v: Views) -> DataFrame:
 @query(
     "q_peer_history",
     with_("ev", body=""" , f AS (SELECT txid, peer, min(ts) AS ts FROM ev GROUP BY 1, 2), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY txid ORDER BY ts, peer) = 1 AS INT) AS opened, ts - lag(ts) OVER (PARTITION BY peer ORDER BY ts, txid) AS gap FROM f)
-       SELECT txid, peer, row_number() OVER (PARTITION BY peer ORDER BY ts, txid) - 1 AS txids_before, CAST(coalesce(sum(opened) OVER b, 0) AS BIGINT) AS firsts_before, round(avg(gap) OVER b, 2) AS gap_mean, round(median(gap) OVER b, 3) AS gap_median FROM o
-       WINDOW b AS (PARTITION BY peer ORDER BY ts, txid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
+       , h AS (SELECT *, row_number() OVER w - 1 AS n, coalesce(sum(opened) OVER b, 0) AS fb, avg(gap) OVER b AS gm, median(gap) OVER b AS gd, stddev_samp(gap) OVER b AS gs, ts - first_value(ts) OVER w AS el FROM o WINDOW w AS (PARTITION BY peer ORDER BY ts, txid), b AS (PARTITION BY peer ORDER BY ts, txid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+       SELECT txid, peer, n AS txids_before, CAST(fb AS BIGINT) AS firsts_before, round(gm, 2) AS gap_mean, round(gd, 3) AS gap_median, round(CASE WHEN n = 2 THEN 0.0 ELSE gs END, 2) AS gap_sd, round(CASE WHEN el > 0 THEN n / (el / 60.0) END, 6) AS rate, round(CASE WHEN n > 0 THEN el END, 3) AS age, round(CASE WHEN n > 0 THEN fb / n END, 6) AS first_share FROM h"""),
 )
 def _(v: Views) -> DataFrame:
-    """Strictly earlier history of a peer."""
-    return relay.peer_history(v.seen).select("txid", "peer", F.col("txids_before").cast("long").alias("txids_before"), "firsts_before", _r("gap_mean", 2), _r("gap_median", 3))
+    """Strictly earlier history of a peer, all of it."""
+    rows = relay.peer_history(v.seen)
+    return rows.select("txid", "peer", F.col("txids_before").cast("long").alias("txids_before"), "firsts_before", _r("gap_mean", 2), _r("gap_median", 3), _r("gap_sd", 2), _r("rate"), _r("age", 3), _r("first_share"))
 
 
 @query(
