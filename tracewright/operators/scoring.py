@@ -234,3 +234,38 @@ def naive_bayes(rows: DataFrame, tells: list[str], label: str = "label", key: st
     scored = scored.join(n_label, "label").withColumn("lp", F.col("lp") + F.log(F.col("n") / F.lit(float(total))))
     w = Window.partitionBy(key).orderBy(F.col("lp").desc(), "label")
     return scored.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, F.col("label").alias("guess"), F.col("lp").alias("log_p"), "novelty")
+
+
+def held_out_auc(train: DataFrame, test: DataFrame, features: list[str], label: str = "label") -> float | None:
+    """AUC of a stacker on rows it was not fitted to; None where either side has one class only."""
+    from tracewright.functions.metrics import auc
+
+    if min(d.select(label).distinct().count() for d in (train, test)) < 2:
+        return None
+    w, b = stacker(train, features, label)
+    return auc(stacked(test, w, b), "risk", label).first()["auc"]
+
+
+def ablation(train: DataFrame, test: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """feature, alone, without: held-out AUC of each signal by itself, and of all the others."""
+    rows = [(f, held_out_auc(train, test, [f], label), held_out_auc(train, test, [g for g in features if g != f] or [f], label)) for f in features]
+    return train.sparkSession.createDataFrame(rows, "feature string, alone double, without double")  # one row a feature
+
+
+def open_set(scored: DataFrame, known: DataFrame, least_tells: int = 4, quantile: float = 0.99) -> DataFrame:
+    """scored (txid, guess, novelty, n_tells) with answer: unknown where there are too few tells, or a transaction is more novel than that quantile of known ones."""
+    edge = quantiles(known, "novelty", [quantile])[0]
+    few, odd = F.col("n_tells") < least_tells, F.col("novelty") > F.lit(edge)
+    return scored.withColumn("answer", F.when(few | odd, "unknown").otherwise(F.col("guess")))
+
+
+def reasons(alerts: DataFrame, found: DataFrame, tainted: DataFrame, leads: DataFrame, most: int = 5) -> DataFrame:
+    """entity, risk, patterns, reasons: each alert with its rules' and taint's reasons, strongest first, and its leads, at most a number of each."""
+    listed = lambda rows, c: F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), F.col(c).alias("v")))), lambda x: x["v"]), 1, most)
+    rules = found.groupBy("entity").agg(listed(found, "reason").alias("why"), F.array_sort(F.collect_set("rule")).alias("patterns"))
+    near = tainted.select(F.col("node").alias("entity"), F.format_string("%d hops from a watched wallet", F.col("hops").cast("int")).alias("near"))
+    hosts = leads.groupBy("entity").agg(listed(leads, "ip").alias("leads"))
+    rows = alerts.join(rules, "entity", "left").join(near, "entity", "left").join(hosts, "entity", "left")
+    none = F.array().cast("array<string>")
+    hint = F.when(F.col("near").isNotNull(), F.array("near")).otherwise(none)
+    return rows.select("entity", "risk", F.coalesce("patterns", none).alias("patterns"), F.concat(F.coalesce("why", none), hint).alias("reasons"), F.coalesce("leads", none).alias("leads"))
