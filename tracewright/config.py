@@ -39,16 +39,17 @@ class Config:
     layering_outs: int = 4
     layering_ins: int = 3
     layering_traced: float = 0.5
+    ransom_senders: int = 5
+    ransom_new: float = 0.6
+    ransom_walk: int = 2
     single_row_confidence: float = 0.15
     low_confidence: float = 0.35
     masked_discount: float = 0.4
     asn_penalty: float = 0.2
     shared_from: int = 3
     shared_floor: float = 0.02
-    leads_kept: int = 3
     peer_quantiles: tuple[float, ...] = (0.5, 0.9, 0.99)
     peer_group_least: int = 30
-    contamination: float = 0.02
     class_weights: dict[str, float] = field(
         default_factory=lambda: {"residential": 1.0, "relay": 0.3, "hosting": 0.5, "tor": 0.2}
     )

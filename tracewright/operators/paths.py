@@ -184,6 +184,14 @@ def peel_chains(links: DataFrame, least: int) -> DataFrame:
     return heads.where(F.col("n") >= least).select(F.col("txid").alias("head"), F.col("n").alias("hops"))
 
 
+def walk_lengths(links: DataFrame) -> DataFrame:
+    """txid, hops: how many links follow a transaction; those that run into a cycle are left out."""
+    jump, ring = _jumps(links)
+    if ring is not None:
+        jump = jump.join(ring.withColumnRenamed("txid", "to"), "to", "left_anti")
+    return jump.select("txid", F.col("n").alias("hops"))
+
+
 def _jumps(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """txid, to, n: where each chain ends and after how many links; and the transactions on cycles, if there are any."""
     jump = written(links.select("txid", F.col("next").alias("to"), F.lit(1).cast("long").alias("n")), "peel")

@@ -43,8 +43,8 @@ def rule_ransomware(ins: DataFrame, outs: DataFrame, txs: DataFrame, walks: Data
     paid = outs.select("txid", F.col("addr").alias("entity")).distinct().join(i.withColumnRenamed("addr", "sender"), "txid").where("sender <> entity")
     per = paid.groupBy("entity", "sender").agg(F.max("first_time").alias("first_time"))
     per = per.groupBy("entity").agg(F.count("*").alias("senders"), F.avg("first_time").alias("new_share"))
-    rows = per.join(walks.withColumnRenamed("addr", "entity"), "entity").where("senders >= 5 and new_share >= 0.6 and hops >= 2")
-    half = 0.5 * ramp(F.col("senders").cast("double"), 5, 25, 0.0) + 0.5 * ramp(F.col("hops").cast("double"), 2, 8, 0.0)
+    rows = per.join(walks.withColumnRenamed("addr", "entity"), "entity").where((F.col("senders") >= c.ransom_senders) & (F.col("new_share") >= c.ransom_new) & (F.col("hops") >= c.ransom_walk))
+    half = 0.5 * ramp(F.col("senders").cast("double"), c.ransom_senders, 25, 0.0) + 0.5 * ramp(F.col("hops").cast("double"), c.ransom_walk, 8, 0.0)
     reason = F.format_string("%d senders, walk of %d peels", "senders", "hops")
     return rows.select("entity", F.lit("ransomware_collector").alias("rule"), (c.rule_base + (1 - c.rule_base) * half).alias("score"), reason.alias("reason"))
 

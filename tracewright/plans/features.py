@@ -23,14 +23,15 @@ def _r(c, n=4):
     "q_ingest_validation",
     """WITH v AS (SELECT l_orderkey AS k, l_linenumber AS n,
          concat_ws('; ', CASE WHEN l_quantity > 45 THEN 'port out of range' END, CASE WHEN l_discount = 0 THEN 'bad IP' END, CASE WHEN l_tax >= 0.08 THEN 'negative amount' END) AS reason FROM lineitem)
-       SELECT reason, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM v GROUP BY 1""",
+       SELECT CASE WHEN reason = '' THEN 'good' ELSE 'bad' END AS side, reason, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM v GROUP BY 1, 2""",
 )
 def _(v: Views) -> DataFrame:
     """Validation to reasons and the quarantine split."""
     checks = [("port out of range", F.col("l_quantity") <= 45), ("bad IP", F.col("l_discount") != 0), ("negative amount", F.col("l_tax") < 0.08)]
     rows = records.with_reasons(v.table("lineitem"), checks)
     good, bad = records.split(rows)
-    return good.unionByName(bad).groupBy("reason").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+    sides = good.withColumn("side", F.lit("good")).unionByName(bad.withColumn("side", F.lit("bad")))
+    return sides.groupBy("side", "reason").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
 @query(

@@ -153,32 +153,40 @@ def _(v: Views) -> DataFrame:
     return paths.layering(v.txs, f, v.ins, v.outs, ledger.first_spender(v.ins, v.txs), c).select("split", "merge", "hops")
 
 
+_WALK = _PEEL.split(", r AS")[0] + """, rr AS (SELECT txid AS h, nx AS at_ FROM n UNION SELECT rr.h, n.nx FROM rr JOIN n ON n.txid = rr.at_), wl AS (SELECT h AS txid, count(*) AS hops FROM rr WHERE h NOT IN (SELECT h FROM rr WHERE h = at_) GROUP BY 1)"""
+
+
 @query(
     "q_rule_alerts",
-    with_("quant", body=""" , c AS (SELECT a.txid, a.idx, (SELECT count(*) FROM quant b WHERE b.txid = a.txid AND abs(b.value - a.value) <= 0.02 * greatest(a.value, 1e-12)) AS n FROM quant a), g AS (SELECT txid, max(n) AS n, count(*) AS outs FROM c GROUP BY 1)
-       SELECT txid AS entity, 'coinjoin' AS rule, round(0.35 + 0.65 * least(1.0, (n - 3) / 7.0), 6) AS score, n || ' of ' || outs || ' outputs carry equal value' AS reason FROM g WHERE n >= 3 AND 0.35 + 0.65 * least(1.0, (n - 3) / 7.0) >= 0.35"""),
+    with_("tx", "ins", "outs", "quant", recursive=True, body=_PEEL + """ , c AS (SELECT a.txid, a.idx, (SELECT count(*) FROM quant b WHERE b.txid = a.txid AND abs(b.value - a.value) <= 0.02 * greatest(a.value, 1e-12)) AS n FROM quant a), g AS (SELECT txid, max(n) AS n, count(*) AS outs FROM c GROUP BY 1),
+       al AS (SELECT txid AS entity, 'coinjoin' AS rule, 0.35 + 0.65 * least(1.0, (n - 3) / 7.0) AS score, n || ' of ' || outs || ' outputs carry equal value' AS reason FROM g WHERE n >= 3
+       UNION ALL SELECT head, 'peel_chain', CASE WHEN hops < 1 THEN 0.0 ELSE 0.35 + 0.65 * least(1.0, (hops - 1) / 11.0) END, 'a chain of ' || hops || ' peels starts here' FROM (SELECT head, count(DISTINCT at_) AS hops FROM r GROUP BY 1))
+       SELECT entity, rule, round(score, 6)::DOUBLE AS score, reason FROM al WHERE score >= 0.35"""),
 )
 def _(v: Views) -> DataFrame:
-    """Detectors, ramps, reasons and the floor."""
-    found = scoring.rule_coinjoin(ledger.tx_features(v.txs, v.ins, v.quantities))
-    rows = scoring.run_rules(found, c=replace(DEFAULT, rule_keep=0.35))
+    """Two detectors, ramps, reasons and the floor."""
+    c = replace(DEFAULT, rule_keep=0.35, peel_hops=1)
+    mixes = scoring.rule_coinjoin(ledger.tx_features(v.txs, v.ins, v.quantities), c)
+    rows = scoring.run_rules(mixes, scoring.rule_peel_chain(paths.peel_chains(_peels(v), 1), c), c=c)
     return rows.select("entity", "rule", F.round("score", 6).alias("score"), "reason")
 
 
 @query(
     "q_ransomware",
-    with_("tx", "ins", "outs", body=""" , i AS (SELECT txid, addr, row_number() OVER (PARTITION BY addr ORDER BY ts, txid) = 1 AS f FROM ins JOIN tx USING (txid)), p AS (SELECT o.addr AS entity, i.addr AS sender, max(CAST(f AS INT)) AS f FROM outs o JOIN i USING (txid) WHERE o.addr <> i.addr GROUP BY 1, 2)
-       SELECT entity, count(*) AS senders, round(avg(f), 6) AS new_share FROM p GROUP BY 1 HAVING count(*) >= 5 AND avg(f) >= 0.6"""),
+    with_("tx", "ins", "outs", recursive=True, body=_WALK + """ , i AS (SELECT txid, addr, row_number() OVER (PARTITION BY addr ORDER BY ts, txid) = 1 AS f FROM ins JOIN tx USING (txid)), p AS (SELECT o.addr AS entity, i.addr AS sender, max(CAST(f AS INT)) AS f FROM outs o JOIN i USING (txid) WHERE o.addr <> i.addr GROUP BY 1, 2),
+       q AS (SELECT entity, count(*) AS senders, avg(f) AS new_share FROM p GROUP BY 1), w AS (SELECT addr AS entity, hops FROM sp JOIN wl ON wl.txid = sp.nx)
+       SELECT entity, senders, round(new_share, 6) AS new_share, hops, senders || ' senders, walk of ' || hops || ' peels' AS reason FROM q JOIN w USING (entity) WHERE senders >= 5 AND new_share >= 0.05 AND hops >= 1"""),
 )
 def _(v: Views) -> DataFrame:
-    """Collectors paid by many first-time senders."""
-    walks = v.outs.select("addr").distinct().withColumn("hops", F.lit(2))
-    hits = scoring.rule_ransomware(v.ins, v.outs, v.txs, walks)
+    """Collectors paid by many senders, some for the first time, with a peel walk leading away."""
+    c = replace(DEFAULT, ransom_new=0.05, ransom_walk=1)
+    walks = ledger.first_spender(v.ins, v.txs).select("addr", "txid").join(paths.walk_lengths(_peels(v)), "txid").select("addr", "hops")
+    hits = scoring.rule_ransomware(v.ins, v.outs, v.txs, walks, c)
     i = v.ins.join(v.txs.select("txid", "ts"), "txid")
     i = i.withColumn("f", (F.row_number().over(Window.partitionBy("addr").orderBy("ts", "txid")) == 1).cast("int"))
     per = v.outs.select("txid", F.col("addr").alias("entity")).join(i.select("txid", F.col("addr").alias("sender"), "f"), "txid").where("sender <> entity").groupBy("entity", "sender").agg(F.max("f").alias("f"))
     per = per.groupBy("entity").agg(F.count("*").alias("senders"), F.round(F.avg("f"), 6).alias("new_share"))
-    return per.join(hits.select("entity"), "entity", "left_semi")
+    return per.join(hits.select("entity", "reason"), "entity").join(walks.withColumnRenamed("addr", "entity"), "entity").select("entity", "senders", "new_share", "hops", "reason")
 
 
 @query(
