@@ -429,11 +429,16 @@ def _block_pairs(p: _Prepared, comps: DataFrame, percent: int) -> DataFrame:
     within = Window.partitionBy("component").orderBy("n", "cid")
     cut = F.floor((F.row_number().over(within) - 1) / BLOCK_SETS) + F.floor((F.sum("n").over(within) - F.col("n")) / BLOCK_SHINGLES)
     keys = written(keys.select("component", "cid", "copies", "n", cut.alias("k")), "ngram-keys")
-    rows = keys.join(p.sets_of(keys.select("cid")), "cid")
-    blocks = rows.groupBy("component", "k").agg(F.collect_list(F.struct("cid", "copies", "items")).alias("x"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    last = keys.groupBy("component").agg(F.max("k").alias("last"))
+    rows = keys.join(p.sets_of(keys.select("cid")), "cid").join(last, "component")
+    blocks = rows.groupBy("component", "k").agg(F.collect_list(F.struct("cid", "copies", "items")).alias("x"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("last").alias("last"))
     blocks = written(blocks, "ngram-blocks")
-    later = blocks.select("component", F.col("k").alias("l"), F.col("x").alias("y"), F.col("lo").alias("lo_y"))
-    return blocks.join(later, "component").where((F.col("k") <= F.col("l")) & (100 * F.col("hi") >= percent * F.col("lo_y"))).select("x", "y", (F.col("k") == F.col("l")).alias("same"))
+    # Most components are one block, which meets itself where it is.
+    own = blocks.select("x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"), F.lit(True).alias("same"))
+    some = blocks.where("last > 0")
+    later = some.select("component", F.col("k").alias("l"), F.col("x").alias("y"), F.col("lo").alias("lo_y"))
+    two = some.join(later, "component").where((F.col("k") < F.col("l")) & (100 * F.col("hi") >= percent * F.col("lo_y")))
+    return own.unionByName(two.select("x", "y", F.lit(False).alias("same")))
 
 
 def _compared(blocks: DataFrame, percent: int, list_pairs: bool) -> DataFrame:
