@@ -49,7 +49,7 @@ BLOCK_SETS = 256
 BLOCK_SHINGLES = 1 << 18
 _SKETCH_PART = 1 << 12
 #: Hash ranges of the suffix filter.
-_RANGES = 128
+_RANGES = 512
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
@@ -90,19 +90,22 @@ def _signature(h: np.ndarray) -> int:
 
 
 def _range(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(57)).astype(np.uint8)
+    return (h >> np.uint64(55)).astype(np.int64)
 
 
 def _histogram(h: np.ndarray) -> bytes:
-    """The shingles of a set by hash range: two counts a byte where they fit, else one, 255 at most."""
+    """The shingles of a set by hash range: four or two counts a byte where they fit, else one, 255 at most."""
     c = np.bincount(_range(h), minlength=_RANGES)
-    c = c[::2] << 4 | c[1::2] if c.max() < 16 else np.minimum(c, 255)
-    return c.astype(np.uint8).tobytes()
+    each = 2 if c.max() < 4 else 4 if c.max() < 16 else 8
+    c = np.minimum(c, 255).reshape(-1, 8 // each)
+    return sum(c[:, k] << (each * k) for k in range(8 // each)).astype(np.uint8).tobytes()
 
 
 def _counts(hist: bytes) -> np.ndarray:
     c = np.frombuffer(hist, np.uint8).astype(np.int64)
-    return c if len(c) == _RANGES else np.stack([c >> 4, c & 15], 1).ravel()
+    per = _RANGES // len(c)
+    each = 8 // per
+    return np.stack([c >> (each * k) & ((1 << each) - 1) for k in range(per)], 1).ravel()
 
 
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
@@ -230,12 +233,12 @@ def _possible(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
 def _behind(hist: bytes, before: list[int], pos: int) -> np.ndarray:
     """How many shingles of each hash range stand behind place pos, at most; a full counter says nothing.
 
-    before: place << 7 | hash range of the prefix's shingles that other prefixes hold too, in order. Those no other prefix
+    before: place << 9 | hash range of the prefix's shingles that other prefixes hold too, in order. Those no other prefix
     holds are in no other set before this place, so what they add to the bound does no harm but to its sharpness.
     """
     at = np.asarray(before, np.int64)
     held = _counts(hist)
-    gone = np.bincount(at[: np.searchsorted(at, (pos + 1) << 7)] & (_RANGES - 1), minlength=_RANGES)
+    gone = np.bincount(at[: np.searchsorted(at, (pos + 1) << 9)] & (_RANGES - 1), minlength=_RANGES)
     return np.where(held < 255, held - gone, 1 << 30)
 
 
@@ -366,7 +369,7 @@ def _prepared(docs: DataFrame, n: int, percent: int) -> _Prepared:
     lists = lists.groupBy("token", "cid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     lists = lists.withColumn("pivot", F.min(F.struct("cid", "n", "pos")).over(Window.partitionBy("token", "n"))).withColumn("held", F.count("*").over(Window.partitionBy("token")))
     lists = written(lists.where("held > 1"), "ngram-lists")
-    place = F.shiftleft("pos", 7).bitwiseOR(F.shiftrightunsigned("token", 57).cast("int"))
+    place = F.shiftleft("pos", 9).bitwiseOR(F.shiftrightunsigned("token", 55).cast("int"))
     before = lists.groupBy("cid").agg(F.array_sort(F.collect_list(place)).alias("before"))
     info = written(before.join(classes.select("cid", F.col("n").cast("int").alias("n"), "hist"), "cid"), "ngram-info")
     return _Prepared(members.drop("hist"), classes.drop("hist"), lists, info, lambda ids: _sets(rows, classes, ids, n))
