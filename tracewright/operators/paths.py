@@ -162,7 +162,7 @@ def wallet_trace(ins: DataFrame, outs: DataFrame, seeds: DataFrame, hops: int, l
     return rows.select("node", "hop", F.when(F.col("hop") < hops, F.coalesce("n", F.lit(0))).otherwise(0).alias("pruned"))
 
 
-def peel_links(features: DataFrame, outs: DataFrame, spender: DataFrame, ratio: float) -> DataFrame:
+def peel_links(features: DataFrame, outs: DataFrame, spender: DataFrame, ratio: float = DEFAULT.peel_ratio) -> DataFrame:
     """txid, next: both peel-shaped, next being the first spender of the larger output (the first one on ties)."""
     peels = features.where((F.col("n_in") == 1) & (F.col("n_out") == 2) & (F.col("peel_ratio") <= ratio)).select("txid")
     larger = outs.join(peels, "txid", "left_semi").groupBy("txid").agg(F.max_by("addr", F.struct("value", -F.col("idx"))).alias("addr"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.config import DEFAULT
 from tracewright.operators.ledger import equal_group, script_type
 
 TELLS = ("version", "locktime", "sequence", "ordering", "change_position", "fee", "script_mix", "change_type", "io_shape", "batching")
@@ -120,7 +121,7 @@ def corroborated(merges: DataFrame, spends: DataFrame, labels: DataFrame, doubt:
     return per.groupBy("cluster").agg(F.count("*").alias("merges"), F.sum((F.col("labels") > 1).cast("long")).alias("doubtful"), F.min(sure).alias("confidence"))
 
 
-def collapsed(members: DataFrame, most: int) -> DataFrame:
+def collapsed(members: DataFrame, most: int = DEFAULT.cluster_guard) -> DataFrame:
     """component, wallets: clusters too large to be one owner."""
     return members.groupBy("component").agg(F.count("*").alias("wallets")).where(F.col("wallets") > most)
 
