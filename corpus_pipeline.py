@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tracewright.llm import mixing, ngram_join, pieces, pii, quality
 from tracewright.session import written
 
+#: Smaller blocks than the operator's own: its tasks follow those of other stages in the same Python workers.
+BLOCK_BYTES = 4 << 20
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects.
@@ -54,7 +57,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have no pieces; texts and words may be of any length; repeated rows each get a row; other columns
     are ignored; an empty table gives no rows.
     """
-    return pieces.encoded(docs, with_ids=False).drop("ids")
+    return pieces.encoded(docs, with_ids=False, block_bytes=BLOCK_BYTES).drop("ids")
 
 
 STAGES = [

@@ -199,14 +199,12 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMP
     """The rows of docs that no rule rejects, with all their columns."""
     cascade = ordered(docs, rules, rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(a, _SLICE)
-                good = [_passes(Text(x and x.encode("utf-8", "replace")), cascade) for x in part.column("text").to_pylist()]
-                yield part.filter(pa.array(good, pa.bool_()))
+    def passes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in texts:
+            yield pa.array([_passes(Text(x), cascade) for a in range(0, len(some), _SLICE) for x in some.slice(a, _SLICE).to_pylist()], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    # Only the text goes to Python; the rows wait in the JVM.
+    return docs.where(F.arrow_udf(passes, "boolean")(docs["text"].cast("binary")))
 
 
 #: The verdict in SQL: the same rules, all of them, over every document.
