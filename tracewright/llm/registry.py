@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, langid, manifest, mixing, ngram_join, pieces, pii, quality, repeats, simhash, warc
+from tracewright.llm import chat, langid, manifest, mixing, ngram_join, periods, pieces, pii, quality, repeats, simhash, warc
 
 
 def pipeline(spark, sf_dir: str):
@@ -25,6 +25,7 @@ def queries() -> dict:
         "op9_warc": warc.op9_warc,
         "op10_pii": pii.op10_pii,
         "op11_manifest": manifest.op11_manifest,
+        "op12_periods": periods.op12_periods,
     }
 
 
