@@ -22,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.slices import sliced
+
 EXPONENT = 4
 SHORTEST = 6
 #: Words that a run of EXPONENT periods and SHORTEST words repeats one period later, at least.
@@ -222,16 +223,6 @@ def _slice(raw: list[bytes | None], exponent: int, shortest: int) -> tuple[list[
     return runs, out
 
 
-def _sliced(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of about SLICE_BYTES, of one text at least."""
-    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    a = 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + SLICE_BYTES, "right")))
-        yield a, b
-        a = b
-
-
 def collapsed(docs: DataFrame, exponent: int = EXPONENT, shortest: int = SHORTEST) -> DataFrame:
     """doc_id, runs (array of start, length, period, by start, then period), collapsed: the text without all but the first
     period of each run, its words joined by a space."""
@@ -241,7 +232,7 @@ def collapsed(docs: DataFrame, exponent: int = EXPONENT, shortest: int = SHORTES
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("raw")
-            for a, b in _sliced(raw):
+            for a, b in sliced(raw, SLICE_BYTES):
                 runs, texts = _slice(raw.slice(a, b - a).to_pylist(), exponent, shortest)
                 flat = np.concatenate([*runs, np.zeros((0, 3), np.int64)])
                 struct = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in range(3)], fields=list(RUN))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, langid, manifest, mixing, ngram_join, periods, pieces, pii, quality, repeats, simhash, warc
+from tracewright.llm import chat, langid, maincut, manifest, mixing, ngram_join, periods, pieces, pii, quality, repeats, simhash, warc
 
 
 def pipeline(spark, sf_dir: str):
@@ -26,11 +26,12 @@ def queries() -> dict:
         "op10_pii": pii.op10_pii,
         "op11_manifest": manifest.op11_manifest,
         "op12_periods": periods.op12_periods,
+        "op13_main_text": maincut.op13_main_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": ngram_join.SQL, "op3_chat_format": chat.SQL, "op4_suffix_dedup": repeats.SQL, "op7_quality_rules": quality.SQL, "op9_warc": warc.SQL,
-        "op11_manifest": manifest.SQL,
+        "op11_manifest": manifest.SQL, "op13_main_text": maincut.SQL,
     }
