@@ -35,6 +35,11 @@ def H(*parts: Column) -> Column:
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
+def hexed(h: Column) -> Column:
+    """A digest as text; tables and shuffles hold its 32 bytes."""
+    return F.lower(F.hex(h))
+
+
 def part(value: Column) -> Column:
     """A value as it enters a leaf: its UTF-8 byte count, a colon, and itself."""
     text = value.cast("string")
@@ -42,17 +47,16 @@ def part(value: Column) -> Column:
 
 
 def leaves(docs: DataFrame) -> DataFrame:
-    """tree, doc_id, h, tampered: a row's leaf, and its leaf after the tampering that some rows suffer."""
+    """tree, doc_id, h, tampered: a row's leaf, and its leaf after the tampering, where it suffers some."""
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     text = F.col("text").cast("string")
     parts = [part(F.col(c)) for c in PARTS[:-1]]
-    rows = docs.select(
+    return docs.select(
         F.coalesce(F.concat(F.lit("1"), F.col("source").cast("string")), F.lit("0")).alias("tree"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        H(*parts, part(text)).alias("h"),
-        F.when(hit & text.contains("\n"), H(*parts, part(F.replace(text, F.lit("\n"), F.lit(""))))).alias("tampered"),
+        F.unhex(H(*parts, part(text))).alias("h"),
+        F.when(hit & text.contains("\n"), F.unhex(H(*parts, part(F.replace(text, F.lit("\n"), F.lit("")))))).alias("tampered"),
     )
-    return rows.withColumn("tampered", F.coalesce("tampered", "h"))
 
 
 def indexed(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -79,12 +83,12 @@ def _levels(n: str = "n") -> Column:
 def nodes_of(rows: DataFrame) -> DataFrame:
     """The node table of one tier over rows (tree, n, idx, h): tree, n, deep, level, idx, h."""
     block = F.expr(f"idx div {_POWERS[TIER]}L")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("idx", "h"))), lambda x: x["h"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("idx", "h"))), lambda x: hexed(x["h"]))
     out = rows.groupBy("tree", "n", block.alias("block")).agg(ordered.alias("l0")).withColumn("deep", _levels())
     for k in range(TIER):
         up = f"transform(sequence(0, (size(l{k}) - 1) div {ARITY}), r -> sha2(concat_ws('', slice(l{k}, r * {ARITY} + 1, {ARITY})), 256))"
         out = out.withColumn(f"l{k + 1}", F.expr(f"if(deep > {k}, {up}, cast(array() as array<string>))"))
-    every = [f"transform(l{k}, (h, i) -> named_struct('level', {k}, 'idx', block * {_POWERS[TIER - k]}L + i, 'h', h))" for k in range(TIER + 1)]
+    every = [f"transform(l{k}, (h, i) -> named_struct('level', {k}, 'idx', block * {_POWERS[TIER - k]}L + i, 'h', unhex(h)))" for k in range(TIER + 1)]
     return out.select("tree", "n", "deep", F.explode(F.expr(f"concat({', '.join(every)})")).alias("x")).select("tree", "n", "deep", "x.*")
 
 
@@ -94,9 +98,9 @@ _SIBLINGS = f"""flatten(transform(slice({_POWER}, 1, deep), (p, l) -> filter(
     s -> s.sibling != idx div p and s.sibling < (n + p - 1) div p)))"""
 #: Siblings in order, as the text before and the text after the folded node on each level.
 _STEPS = f"""transform(slice({_POWER}, 1, deep), (p, l) -> named_struct(
-    'before', concat_ws('', transform(filter(found, s -> s.level = l and s.sibling < idx div p), s -> s.h)),
-    'after', concat_ws('', transform(filter(found, s -> s.level = l and s.sibling > idx div p), s -> s.h))))"""
-_FOUND = "array<struct<level:int,sibling:bigint,h:string>>"
+    'before', concat_ws('', transform(filter(found, s -> s.level = l and s.sibling < idx div p), s -> lower(hex(s.h)))),
+    'after', concat_ws('', transform(filter(found, s -> s.level = l and s.sibling > idx div p), s -> lower(hex(s.h))))))"""
+_FOUND = "array<struct<level:int,sibling:bigint,h:binary>>"
 
 
 def _steps(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -153,8 +157,8 @@ def siblings(steps: Column) -> Column:
 def _sources(roots: DataFrame) -> DataFrame:
     """tree, steps, subroot, root: the tree over the sources' roots."""
     rows = indexed(roots.select(F.lit("").alias("tree"), F.col("tree").alias("of"), "h"), ["of"])
-    top = lambda r: r.select("tree", F.array().cast("array<struct<before:string,after:string>>").alias("steps"), F.col("h").alias("root"))
-    return proven(rows, top).select(F.col("of").alias("tree"), "steps", F.col("h").alias("subroot"), "root")
+    top = lambda r: r.select("tree", F.array().cast("array<struct<before:string,after:string>>").alias("steps"), hexed(F.col("h")).alias("root"))
+    return proven(rows, top).select(F.col("of").alias("tree"), "steps", hexed(F.col("h")).alias("subroot"), "root")
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -163,9 +167,9 @@ def manifest(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    rows = manifest(docs).withColumn("folded_root", folded(F.col("tampered"), F.col("steps")))
+    rows = manifest(docs).withColumn("folded_root", folded(hexed(F.coalesce("tampered", "h")), F.col("steps")))
     return rows.select(
-        "doc_id", F.col("h").alias("leaf"), "subroot", "root", H(siblings(F.col("steps"))).alias("proof_sha256"), "folded_root",
+        "doc_id", hexed(F.col("h")).alias("leaf"), "subroot", "root", H(siblings(F.col("steps"))).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
 
