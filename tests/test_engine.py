@@ -40,7 +40,9 @@ def test_read_api(spark, case):
     assert rows(e.path("a1", "e"), "step", "node") == [(0, "a1"), (1, "b"), (2, "d"), (3, "e")]
     assert {r["node"]: r["score"] for r in e.taint("b").collect()} == {"b": 1.0, "c": 0.5, "d": 0.5, "e": 0.25}
     assert {r["node"]: round(r["received"], 6) for r in e.value("a1", 3).collect()} == {"b": 10.0, "c": 3.0, "d": 7.0, "e": 7.0}
-    assert rows(e.exits("a1", 3), "node", "label", "rank") == [("e", "X", 1)]
+    assert rows(e.exits("a1", 3).candidates, "node", "rank") == [("e", 1)]
+    assert rows(e.exits("a2", 3, kind="address").candidates, "seed", "node") == [("a1", "e")]
+    assert e.exits("a1", 3, category="exchange/VASP").candidates.count() == 0
     assert rows(e.cluster("a1"), "node", "sent") == [("a1", 6.0), ("a2", 4.0)]
     assert [r["entity"] for r in e.queue().orderBy("place").collect()] == ["d", "b", "e"]
     assert [(r["entity"], r["total"]) for r in e.page(1, 1, 0.5).collect()] == [("b", 2)]

@@ -14,6 +14,8 @@ LONG_WITNESS = 50
 
 @dataclass(frozen=True)
 class Config:
+    """The engine's published thresholds."""
+
     equal_tolerance: float = 0.02
     dust: float = 0.0000273
     coinjoin_inputs: int = 3
@@ -32,6 +34,10 @@ class Config:
     taint_floor: float = 0.01
     trace_hops: int = 8
     trace_share: float = 0.001
+    trace_value: float = 0.001
+    trace_paths: int = 3
+    exit_candidates: int = 10
+    exit_sink: float = 0.05
     peel_ratio: float = 0.35
     peel_hops: int = 3
     layering_hops: int = 6

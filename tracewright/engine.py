@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewright.config import DEFAULT, Config
 from tracewright.functions import metrics
-from tracewright.operators import ledger, paths, scoring, tags
+from tracewright.operators import ledger, paths, scoring, tags, tracing
 from tracewright.operators.components import components
 from tracewright.session import written
 
@@ -91,10 +91,15 @@ class Engine:
     def value(self, entity: str, hops: int | None = None, poison: bool = False) -> DataFrame:
         return paths.trace(self.graph, entity, hops or self.config.trace_hops, self.config.trace_share, poison)
 
-    def exits(self, entity: str, hops: int | None = None) -> DataFrame:
-        """Tagged entities by the share of an entity's value that reaches them."""
-        named = ledger.named(self.case.tags.select("address", "label"), self.members, addr="address")
-        return paths.exit_points(self.value(entity, hops), named.select(F.col("entity").alias("node"), "label"), self.config)
+    def exits(self, subject: str, hops: int | None = None, kind: str = "entity", category: str | None = None, actors: DataFrame | None = None) -> tracing.Exits:
+        """Where the value of an entity, of an address' entity, or of each member of an actor leaves: tagged entities, sinks, mixes.
+
+        category: the tags that make a service; any by default. Edges only mixes made are not crossed.
+        """
+        tagged = self.case.tags.where(F.col("category") == category) if category else self.case.tags
+        services = ledger.named(tagged.select("address"), self.members, addr="address").select(F.col("entity").alias("node"))
+        seeds = tracing.seeds_of(kind, subject, self.members, actors)
+        return tracing.exit_points(self.graph, seeds, services, c=replace(self.config, trace_hops=hops or self.config.trace_hops))
 
     def cluster(self, component: str) -> DataFrame:
         """The wallets of a cluster with what each sent and received."""

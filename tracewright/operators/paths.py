@@ -1,4 +1,4 @@
-"""Graph operators: reach, taint, value trace, shortest path, widest path, peel walks, layering, message passing.
+"""Graph operators: reach, taint, shortest path, widest path, peel walks, layering, message passing.
 
 One kernel serves them: a frontier that joins the edge table once a round, keeps its best row per node, and is cut to the
 shared folder each round. Hubs are never gathered; each round is a join and a partial aggregation.
@@ -6,10 +6,13 @@ shared folder each round. Hubs are never gathered; each round is a join and a pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import replace
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.config import DEFAULT, Config
+from tracewright.operators import tracing
 from tracewright.session import written
 
 
@@ -52,63 +55,17 @@ def taint(edges: DataFrame, seeds: DataFrame, c: Config = DEFAULT) -> DataFrame:
 
 
 def trace(edges: DataFrame, seed: str, hops: int, share: float = 0.001, poison: bool = False) -> DataFrame:
-    """node, received, terminal: value followed from one seed along edges, layer by layer.
-
-    Haircut: a node passes on its amount in proportion to its outgoing edges and keeps what its inflow exceeds its outflow
-    by. Poison: each edge passes its whole value. Amounts under share of the seed's outflow end where they are.
-    """
-    e = written(edges.where("src <> dst").select("src", "dst", "value"), "edges")
-    out = e.groupBy(F.col("src").alias("node")).agg(F.sum("value").alias("ext_out"))
-    into = e.groupBy(F.col("dst").alias("node")).agg(F.sum("value").alias("ext_in"))
-    flows = written(out.join(into, "node", "left").na.fill(0.0, ["ext_in"]), "flows")
-    first = flows.where(F.col("node") == seed).select("ext_out").first()
-    total = first[0] if first else 0.0
-    front = flows.sparkSession.createDataFrame([(seed, float(total or 0.0))], "node string, amount double")
-    done = None
-    for hop in range(hops):
-        at = front.join(flows, "node")
-        keep = F.when(F.col("node") == seed, 1.0).otherwise(F.col("ext_out") / F.greatest("ext_in", "ext_out"))
-        moved = at.withColumn("forward", F.col("amount") * keep).join(e.withColumnRenamed("src", "node"), "node").where(F.col("dst") != seed)
-        carried = F.col("value") if poison else F.col("forward") * F.col("value") / F.col("ext_out")
-        new = moved.groupBy(F.col("dst").alias("node")).agg(F.sum(carried).alias("amount")).where(F.col("amount") >= share * total)
-        front = written(new.withColumn("layer", F.lit(hop + 1)), "trace")
-        done = front if done is None else done.unionByName(front)
-        if front.isEmpty():
-            break
-        front = front.drop("layer")
-    rows = done.join(flows, "node", "left")
-    stays = F.when(F.col("ext_out").isNull() | (F.col("layer") == hops), F.col("amount")).otherwise(
-        F.col("amount") * (1 - F.col("ext_out") / F.greatest("ext_in", "ext_out"))
-    )
-    return rows.groupBy("node").agg(F.sum("amount").alias("received"), F.sum(stays).alias("terminal"))
-
-
-def exit_points(received: DataFrame, tags: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Tagged nodes by the share of traced value that reaches them: node, label, share, rank."""
-    total = received.agg(F.sum("terminal")).first()[0] or 0.0
-    rows = received.join(tags.select("node", "label").distinct(), "node")
-    rows = rows.select("node", "label", (F.col("received") / F.lit(float(total) or 1.0)).alias("share"))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("share").desc(), "node", "label")))  # tagged nodes only
+    """node, received, terminal: value followed from one seed (tracing.trace, which takes many)."""
+    c = replace(DEFAULT, trace_hops=hops, trace_share=share, trace_value=share)
+    seeds = edges.sparkSession.createDataFrame([(seed,)], "node string")
+    return tracing.trace(edges, seeds, c=c, poison=poison).received.drop("seed")
 
 
 def trace_paths(edges: DataFrame, seed: str, hops: int, k: int = 3) -> DataFrame:
-    """node, path, confidence, rank: the k best simple paths to each node, by the product of edge shares.
-
-    A path to a node is kept only while it is among the node's k best of its length, so a round holds at most k rows a node.
-    """
-    e = edges.where("src <> dst").withColumn("p", F.col("value") / F.sum("value").over(Window.partitionBy("src"))).select("src", "dst", "p")
-    e = written(e, "edges")
-    front = e.sparkSession.createDataFrame([(seed, [seed], 1.0)], "node string, path array<string>, confidence double")
-    found = None
-    best = Window.partitionBy("node").orderBy(F.col("confidence").desc(), F.size("path"), "path")
-    for _ in range(hops):
-        new = front.join(e, front["node"] == e["src"]).where(~F.array_contains("path", F.col("dst")))
-        new = new.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), (F.col("confidence") * F.col("p")).alias("confidence"))
-        front = written(new.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "paths")
-        if front.isEmpty():
-            break
-        found = front if found is None else found.unionByName(front)
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    """node, path, confidence, rank: the k best simple paths from one seed to each node, by the product of edge shares."""
+    c = replace(DEFAULT, trace_hops=hops, trace_share=0.0)
+    traced = tracing.trace(edges, edges.sparkSession.createDataFrame([(seed,)], "node string"), c=c)
+    return tracing.best_paths(edges, traced, c=c, k=k).select("node", "path", "confidence", "rank")
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str, hops: int = 30) -> DataFrame:

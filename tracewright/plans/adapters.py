@@ -56,6 +56,14 @@ class Views:
         per = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).where("src <> dst").groupBy("o_orderkey", "src", "dst").agg(F.sum("value").alias("value"))
         return per.groupBy("src", "dst").agg(F.sum("value").alias("value"), F.count("*").alias("n"), F.lit(0).alias("mix_n"))
 
+    @property
+    def mixed(self) -> DataFrame:
+        """The entity edges, mix_n counting the orders with three or more outputs of about equal quantity."""
+        from tracewright.operators import ledger
+
+        mixes = ledger.tx_features(self.txs, self.ins, self.quantities).where("equal_outputs >= 3").select("txid")
+        return ledger.entity_edges(self.ins, self.outs, self.txs, mixes).select("src", "dst", "value", "n", "mix_n")
+
     @property
     def events(self) -> DataFrame:
         return self.table("events").select(
@@ -128,6 +136,9 @@ SQL = {
     "graph": f"""graph AS (SELECT src, dst, sum(value) AS value, count(*) AS n FROM (
         SELECT o_orderkey, 'A' || o_custkey AS src, 'A' || l_partkey AS dst, sum(l_extendedprice * (1 - l_discount)) AS value
         FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3) WHERE src <> dst GROUP BY 1, 2)""",
+    "mixed": """mxt AS (SELECT DISTINCT txid FROM (SELECT a.txid, (SELECT count(*) FROM quant b WHERE b.txid = a.txid AND abs(b.value - a.value) <= 0.02 * greatest(a.value, 1e-12)) AS c FROM quant a) WHERE c >= 3),
+        mixed AS (SELECT src, dst, sum(value) AS value, count(*) AS n, count(mxt.txid) AS mix_n FROM (SELECT ins.txid, ins.addr AS src, outs.addr AS dst, sum(outs.value) AS value FROM ins JOIN outs USING (txid) GROUP BY 1, 2, 3)
+        LEFT JOIN mxt USING (txid) WHERE src <> dst GROUP BY 1, 2)""",
     "ev": "ev AS (SELECT event_id, epoch_us(ts) / 1e6 AS ts, 'U' || user_id AS peer, event_type, value, 'K' || json_extract_string(props, '$.k') || '-' || CAST(floor(epoch_us(ts) / 86400e6) AS BIGINT) AS txid FROM events)",
     "hops": "hops AS (SELECT * FROM (SELECT txid, peer AS src, lead(peer) OVER (PARTITION BY txid ORDER BY ts, event_id) AS dst, ts FROM ev) WHERE dst IS NOT NULL)",
     "cap": """cap AS (SELECT *, 'cap' || (peer_id % 2) AS capture FROM (SELECT event_id, 'K' || json_extract_string(props, '$.k') || '-' || CAST(floor(epoch_us(ts) / 86400e6) AS BIGINT) AS txid, user_id AS peer_id,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.config import DEFAULT
-from tracewright.operators import ledger, paths, scoring
+from tracewright.operators import ledger, paths, scoring, tracing
 from tracewright.plans.adapters import Views, with_
 from tracewright.plans.registry import query
 
@@ -53,44 +53,127 @@ def _(v: Views) -> DataFrame:
     return rows.select("node", "score", "hops", F.array_join("path", ">").alias("path"))
 
 
-def _trace_sql(hops: int, tail: str) -> str:
-    parts = [
-        " , f AS (SELECT s.node, s.ext_out, coalesce(i.ext_in, 0) AS ext_in FROM (SELECT src AS node, sum(value) AS ext_out FROM graph GROUP BY 1) s LEFT JOIN (SELECT dst AS node, sum(value) AS ext_in FROM graph GROUP BY 1) i USING (node))",
-        "z AS (SELECT min(src) AS node FROM graph)",
-        "t AS (SELECT ext_out AS total FROM f JOIN z USING (node))",
-        "l0 AS (SELECT node, total AS amount FROM z, t)",
-    ]
+def _trace_sql(hops: int, tail: str, poison: bool = False, prefix: str = "") -> str:
+    """The layers of a trace from every supplier's account, services being stops, as common table expressions."""
+    p = prefix
+    goes = lambda k: f"(node = seed OR (NOT stop AND keep > 0{'' if k < hops else ' AND false'}))"
+    parts = [] if p else [
+        " , mflow AS (SELECT node, sum(i) AS ext_in, sum(o) AS ext_out FROM (SELECT src AS node, 0.0 AS i, value AS o FROM mixed UNION ALL SELECT dst, value, 0.0 FROM mixed) GROUP BY 1)",
+        "mf AS (SELECT *, node IN (SELECT 'A' || (s_suppkey * 7) FROM supplier) AS stop, CASE WHEN ext_out > 0 THEN ext_out / greatest(ext_in, ext_out) ELSE 0.0 END AS keep FROM mflow)",
+    ]
+    parts.append(f"{p}l0 AS (SELECT node AS seed, node, ext_out AS amount, ext_out AS total FROM mf WHERE ext_out > 0 AND node IN (SELECT 'A' || s_suppkey FROM supplier))")
+    carried = "value" if poison else "amount * CASE WHEN node = seed THEN 1.0 ELSE keep END * value / ext_out"
     for k in range(1, hops + 1):
-        parts.append(
-            f"l{k} AS (SELECT g.dst AS node, sum(l.amount * CASE WHEN l.node = z.node THEN 1.0 ELSE f.ext_out / greatest(f.ext_in, f.ext_out) END * g.value / f.ext_out) AS amount FROM l{k - 1} l JOIN f USING (node) JOIN graph g ON g.src = l.node, z, t WHERE g.dst <> z.node GROUP BY 1, total HAVING sum(l.amount * CASE WHEN l.node = z.node THEN 1.0 ELSE f.ext_out / greatest(f.ext_in, f.ext_out) END * g.value / f.ext_out) >= 0.001 * total)"
-        )
-    union = " UNION ALL ".join(f"SELECT node, amount, {k} AS layer FROM l{k}" for k in range(1, hops + 1))
-    parts.append(f"w AS (SELECT u.node, amount, CASE WHEN f.ext_out IS NULL OR layer = {hops} THEN amount ELSE amount * (1 - f.ext_out / greatest(f.ext_in, f.ext_out)) END AS stays FROM ({union}) u LEFT JOIN f USING (node))")
-    return with_("graph", body=",\n".join(parts) + tail)
+        spent = " AND ".join(f"(seed, node) NOT IN (SELECT (seed, node) FROM {p}l{j})" for j in range(k - 1)) or "true"
+        parts.append(f"{p}m{k} AS (SELECT seed, src, dst, total, {carried} AS carried, mix_n >= n AS mix, {spent} AS fresh FROM {p}l{k - 1} JOIN mf USING (node) JOIN mixed ON src = node WHERE {goes(k - 1)} AND dst <> seed)")
+        floor = "0.001" if poison else "0.001 * total"
+        parts.append(f"{p}l{k} AS (SELECT seed, dst AS node, sum(carried) AS amount, total FROM {p}m{k} WHERE NOT mix{' AND fresh' if poison else ''} GROUP BY seed, dst, total HAVING sum(carried) >= {floor})")
+    union = " UNION ALL ".join(f"SELECT seed, node, amount, {goes(k)} AS goes, keep, stop, {k} AS depth FROM {p}l{k} JOIN mf USING (node)" for k in range(1, hops + 1))
+    parts.append(f"{p}w AS ({union})")
+    parts.append(f"{p}rec AS (SELECT seed, node, sum(amount) AS received, sum(CASE WHEN goes THEN amount * (1 - keep) ELSE amount END) AS terminal FROM {p}w GROUP BY 1, 2)")
+    body = ",\n".join(parts) + tail
+    return body if p else with_("ins", "outs", "quant", "mixed", body=body)
 
 
-@query("q_value_trace", _trace_sql(3, " SELECT node, round(sum(amount), 2) AS received, round(sum(stays), 2) AS terminal FROM w GROUP BY 1"))
+_MIXES = " UNION ALL ".join(f"SELECT seed, src, dst, carried AS value, {k} AS depth FROM m{k} WHERE mix AND fresh" for k in (1, 2, 3))
+_HOPS = replace(DEFAULT, trace_hops=3)
+
+
+def _services(v: Views) -> DataFrame:
+    return v.table("supplier").select(F.concat(F.lit("A"), F.col("s_suppkey") * 7).alias("node"))
+
+
+def _accounts(v: Views) -> DataFrame:
+    return v.table("supplier").select(F.concat(F.lit("A"), "s_suppkey").alias("node"))
+
+
+def _traced(v: Views, poison: bool = False) -> tracing.Traced:
+    return tracing.trace(v.mixed, _accounts(v), _services(v), _HOPS, poison)
+
+
+def _amounts(t: tracing.Traced) -> DataFrame:
+    return t.received.select("seed", "node", F.round("received", 2).alias("received"), F.round("terminal", 2).alias("terminal"))
+
+
+_AMOUNTS = " SELECT seed, node, round(received, 2) AS received, round(terminal, 2) AS terminal FROM rec"
+
+
+@query("q_value_trace", _trace_sql(3, _AMOUNTS))
+def _(v: Views) -> DataFrame:
+    """Haircut trace from every supplier's account at once, up to services, across no mix."""
+    return _amounts(_traced(v))
+
+
+@query("q_poison_trace", _trace_sql(3, _AMOUNTS, poison=True))
+def _(v: Views) -> DataFrame:
+    """The same under poison, each edge counted once."""
+    return _amounts(_traced(v, True))
+
+
+@query("q_trace_mixes", _trace_sql(3, f" SELECT seed, src, dst, round(value, 2) AS value, depth FROM ({_MIXES})"))
 def _(v: Views) -> DataFrame:
-    """Haircut trace from one seed, layer by layer."""
-    rows = paths.trace(v.graph, _seed(v), 3)
-    return rows.select("node", F.round("received", 2).alias("received"), F.round("terminal", 2).alias("terminal"))
+    """Where traced value met edges that only mixes made."""
+    return _traced(v).mixes.select("seed", "src", "dst", F.round("value", 2).alias("value"), "depth")
+
+
+@query("q_trace_limit", _trace_sql(3, " SELECT seed, round(sum(amount * keep), 2) AS amount FROM w WHERE depth = 3 AND NOT stop GROUP BY 1"))
+def _(v: Views) -> DataFrame:
+    """What the depth limit kept from going on."""
+    return _traced(v).limit.select("seed", F.round("amount", 2).alias("amount"))
+
+
+def _best_sql(p: str, share: str) -> str:
+    """The confidence of each node's best path: products only fall, so the best walk is a simple path."""
+    live = f"{p}e AS (SELECT r.seed, src, dst, {share} AS f FROM mixed JOIN mf ON mf.node = src JOIN {p}rec r ON r.node = dst WHERE mix_n < n AND dst <> r.seed AND (src = r.seed OR (NOT stop AND keep > 0 AND (r.seed, src) IN (SELECT (seed, node) FROM {p}rec))))"
+    steps = [f"{p}b0 AS (SELECT seed, seed AS node, 1.0::DOUBLE AS c FROM l0)"]
+    steps += [f"{p}b{k} AS (SELECT seed, dst AS node, max(c * f) AS c FROM {p}b{k - 1} JOIN {p}e USING (seed) WHERE src = node GROUP BY 1, 2)" for k in (1, 2, 3)]
+    return ",\n".join([live, *steps, f"{p}best AS (SELECT seed, node, max(c) AS c FROM (SELECT * FROM {p}b1 UNION ALL SELECT * FROM {p}b2 UNION ALL SELECT * FROM {p}b3) GROUP BY 1, 2)"])
+
+
+_EXITS = (
+    ",\n" + _best_sql("", "value / ext_out") + ",\n" + _trace_sql(3, "", poison=True, prefix="p") + ",\n" + _best_sql("p", "1.0::DOUBLE")
+    + """, x AS (SELECT seed, node, coalesce(h.received, 0) / total AS share, coalesce(b.c, 0) AS confidence, coalesce(p.received, 0) / total AS poison_share, coalesce(pb.c, 0) AS poison_confidence, coalesce(h.terminal, 0) AS kept, coalesce(p.terminal, 0) AS poison_kept
+       FROM rec h FULL JOIN prec p USING (seed, node) LEFT JOIN best b USING (seed, node) LEFT JOIN pbest pb USING (seed, node) JOIN (SELECT seed, total FROM l0) USING (seed)),
+       sv AS (SELECT 'A' || (s_suppkey * 7) AS node FROM supplier)"""
+)
 
 
 @query(
     "q_exit_points",
-    _trace_sql(3, """ , rec AS (SELECT node, sum(amount) AS received, sum(stays) AS terminal FROM w GROUP BY 1), tag AS (SELECT DISTINCT 'A' || (s_suppkey * 7) AS node, 'N' || s_nationkey AS label FROM supplier)
-       SELECT node, label, round(received / (SELECT sum(terminal) FROM rec), 6) AS share, row_number() OVER (ORDER BY received DESC, node, label) AS rank FROM rec JOIN tag USING (node)"""),
+    _trace_sql(3, _EXITS + """ SELECT seed, node, round(share, 6) AS share, round(confidence, 6) AS confidence, round(share * confidence, 6) AS score, round(poison_share, 6) AS poison_share, round(poison_share * poison_confidence, 6) AS poison_score, rank
+       FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY share * confidence DESC, poison_share * poison_confidence DESC, node) AS rank FROM x SEMI JOIN sv USING (node)) WHERE rank <= 10"""),
 )
 def _(v: Views) -> DataFrame:
-    """Tagged services ranked by the share that reaches them."""
-    tags = v.table("supplier").select(F.concat(F.lit("A"), F.col("s_suppkey") * 7).alias("node"), F.concat(F.lit("N"), "s_nationkey").alias("label"))
-    return paths.exit_points(paths.trace(v.graph, _seed(v), 3), tags).select("node", "label", F.round("share", 6).alias("share"), "rank")
+    """The ten best services of every seed, by share times path confidence under both models."""
+    rows = tracing.exit_points(v.mixed, _accounts(v), _services(v), c=_HOPS).candidates
+    return rows.select("seed", "node", *[F.round(c, 6).alias(c) for c in ("share", "confidence", "score", "poison_share", "poison_score")], "rank")
 
 
-@query("q_trace_paths")
+@query("q_exit_sinks", _trace_sql(3, _EXITS + """ SELECT seed, node, round(kept, 2) AS kept, round(poison_kept, 2) AS poison_kept, round(kept / total, 6) AS share_kept FROM x ANTI JOIN sv USING (node) JOIN (SELECT seed, total FROM l0) USING (seed) WHERE kept / total >= 0.05"""))
 def _(v: Views) -> DataFrame:
-    """The three best simple paths to each node."""
-    return paths.trace_paths(v.graph, _seed(v), 3).select("node", F.array_join("path", ">").alias("path"), F.round("confidence", 8).alias("confidence"), "rank")
+    """Nodes that are no service and keep a twentieth of a seed's outflow or more."""
+    rows = tracing.exit_points(v.mixed, _accounts(v), _services(v), c=_HOPS).sinks
+    return rows.select("seed", "node", F.round("kept", 2).alias("kept"), F.round("poison_kept", 2).alias("poison_kept"), F.round("share_kept", 6).alias("share_kept"))
+
+
+@query(
+    "q_trace_paths",
+    with_("graph", recursive=True, body=""" , t AS (SELECT src, sum(value) AS s FROM graph GROUP BY 1), r AS (SELECT min(src) AS node, [min(src)] AS path, 1.0::DOUBLE AS c FROM graph
+       UNION ALL SELECT dst, list_append(path, dst), c * value / s FROM r JOIN graph ON src = node JOIN t USING (src) WHERE len(path) <= 3 AND NOT list_contains(path, dst)),
+       k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY c DESC, len(path), path) AS rank FROM r WHERE len(path) > 1)
+       SELECT node, round(c, 8) AS confidence, rank FROM k WHERE rank <= 3"""),
+)
+def _(v: Views) -> DataFrame:
+    """The confidences of the three best simple paths to each node."""
+    return paths.trace_paths(v.graph, _seed(v), 3).select("node", F.round("confidence", 8).alias("confidence"), "rank")
+
+
+@query("q_weighted_taint")
+def _(v: Views) -> DataFrame:
+    """Taint from the suppliers' accounts, each of its own weight, across no mix."""
+    seeds = v.table("supplier").select(F.concat(F.lit("A"), "s_suppkey").alias("node"), (F.lit(0.25) + F.col("s_suppkey") % 4 * 0.25).alias("weight"))
+    rows = tracing.weighted_taint(v.mixed, seeds, replace(DEFAULT, taint_hops=3))
+    return rows.select("node", "score", "hops", F.array_join("path", ">").alias("path"))
 
 
 @query(
