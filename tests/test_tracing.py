@@ -90,7 +90,7 @@ def brute_paths(g, seed, received, stops, poison, merge):
                 go([*path, b], conf * f * merge.get(b, 1.0), fraction * f)
 
     go([seed], 1.0, 1.0)
-    return {x: sorted(p)[:3] for x, p in found.items()}
+    return {x: sorted(p) for x, p in found.items()}
 
 
 @pytest.mark.parametrize("poison", [False, True])
@@ -122,10 +122,13 @@ def test_trace_and_paths_of_many_seeds(spark, poison):
         assert {x: got[s, x][1] for s, x in got if s == seed} == pytest.approx({x: terminal[x] for x in received})
         assert {k[1:]: v for k, v in mixes.items() if k[0] == seed} == {k: (pytest.approx(v), d) for k, (v, d) in want_mixes.items()}
         assert limit.get(seed, 0.0) == pytest.approx(at_limit)
-        want = brute_paths(g, seed, received, stops, poison, merge)
+        whole = brute_paths(g, seed, received, stops, poison, merge)
+        want = {x: p[:3] for x, p in whole.items()}
         assert {x for s, x in paths if s == seed} == set(want)
         for x, rows in want.items():
-            assert [(pytest.approx(-c), size, pytest.approx(f)) for c, size, _, f in rows] == [(c, size, f) for c, size, _, f in paths[seed, x]]
+            assert [(pytest.approx(-c), size) for c, size, *_ in rows] == [(c, size) for c, size, *_ in paths[seed, x]]
+            every = {tuple(p): (-c, f) for c, _, p, f in whole[x]}
+            assert all(every[tuple(p)] == (pytest.approx(c), pytest.approx(f)) for c, _, p, f in paths[seed, x])
             n += len(rows)
     assert n > 100 and (mixes or poison)
 
@@ -144,19 +147,20 @@ def test_poison_counts_an_edge_once(spark):
 
 def test_no_edges_no_hops_no_seeds(spark):
     e = table(spark, {("a", "b"): (10.0, 1, 0)})
-    for edges, seeds, c in ((e.limit(0), ["a"], DEFAULT), (e, ["b"], DEFAULT), (e, [], DEFAULT), (e, ["a"], replace(DEFAULT, trace_hops=0))):
+    two = replace(DEFAULT, trace_hops=2)
+    for edges, seeds, c in ((e.limit(0), ["a"], two), (e, ["b"], two), (e, [], two), (e, ["a"], replace(two, trace_hops=0))):
         t = tracing.trace(edges, names(spark, seeds), c=c)
         assert t.received.count() + t.mixes.count() + t.limit.count() == 0
         if c.trace_hops:
             assert tracing.best_paths(edges, t, c=c).count() == 0
-    assert tracing.exit_points(e, names(spark, []), names(spark, ["b"])).candidates.count() == 0
+    assert tracing.exit_points(e, names(spark, []), names(spark, ["b"]), c=two).candidates.count() == 0
 
 
 def test_exit_points_of_an_actor(spark):
     e = table(spark, {("a", "x"): (6.0, 1, 0), ("x", "v"): (3.0, 1, 0), ("a", "v"): (4.0, 1, 0), ("b", "w"): (1.0, 1, 0), ("v", "z"): (9.0, 1, 0)})
     actors = spark.createDataFrame([("A-1", "a"), ("A-1", "b"), ("A-2", "x")], "actor string, entity string")
     seeds = tracing.seeds_of("actor", "A-1", names(spark, []), actors)
-    got = tracing.exit_points(e, seeds, names(spark, ["v"]))
+    got = tracing.exit_points(e, seeds, names(spark, ["v"]), c=replace(DEFAULT, trace_hops=3))
     rows = {(r["seed"], r["node"]): (r["amount"], r["share"], round(r["confidence"], 6), round(r["score"], 6), r["rank"]) for r in got.candidates.collect()}
     assert rows == {("a", "v"): (7.0, 0.7, 0.6, 0.42, 1)}  # a-x-v: 0.6 * 1, a-v: 0.4; nothing goes on behind the service
     assert sorted((r["seed"], r["node"], r["share_kept"]) for r in got.sinks.collect()) == [("a", "x", 0.3), ("b", "w", 1.0)]

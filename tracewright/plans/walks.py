@@ -54,14 +54,14 @@ def _(v: Views) -> DataFrame:
 
 
 def _trace_sql(hops: int, tail: str, poison: bool = False, prefix: str = "") -> str:
-    """The layers of a trace from every supplier's account, services being stops, as common table expressions."""
+    """The layers of a trace from every watched account, services being stops, as common table expressions."""
     p = prefix
     goes = lambda k: f"(node = seed OR (NOT stop AND keep > 0{'' if k < hops else ' AND false'}))"
     parts = [] if p else [
         " , mflow AS (SELECT node, sum(i) AS ext_in, sum(o) AS ext_out FROM (SELECT src AS node, 0.0 AS i, value AS o FROM mixed UNION ALL SELECT dst, value, 0.0 FROM mixed) GROUP BY 1)",
         "mf AS (SELECT *, node IN (SELECT 'A' || (s_suppkey * 7) FROM supplier) AS stop, CASE WHEN ext_out > 0 THEN ext_out / greatest(ext_in, ext_out) ELSE 0.0 END AS keep FROM mflow)",
     ]
-    parts.append(f"{p}l0 AS (SELECT node AS seed, node, ext_out AS amount, ext_out AS total FROM mf WHERE ext_out > 0 AND node IN (SELECT 'A' || s_suppkey FROM supplier))")
+    parts.append(f"{p}l0 AS (SELECT node AS seed, node, ext_out AS amount, ext_out AS total FROM mf WHERE ext_out > 0 AND node IN (SELECT 'A' || s_suppkey FROM supplier WHERE s_acctbal < 0))")
     carried = "value" if poison else "amount * CASE WHEN node = seed THEN 1.0 ELSE keep END * value / ext_out"
     for k in range(1, hops + 1):
         spent = " AND ".join(f"(seed, node) NOT IN (SELECT (seed, node) FROM {p}l{j})" for j in range(k - 1)) or "true"
@@ -84,7 +84,8 @@ def _services(v: Views) -> DataFrame:
 
 
 def _accounts(v: Views) -> DataFrame:
-    return v.table("supplier").select(F.concat(F.lit("A"), "s_suppkey").alias("node"))
+    """The watched accounts: those of suppliers in debt."""
+    return v.table("supplier").where("s_acctbal < 0").select(F.concat(F.lit("A"), "s_suppkey").alias("node"))
 
 
 def _traced(v: Views, poison: bool = False) -> tracing.Traced:
@@ -92,15 +93,15 @@ def _traced(v: Views, poison: bool = False) -> tracing.Traced:
 
 
 def _amounts(t: tracing.Traced) -> DataFrame:
-    return t.received.select("seed", "node", F.round("received", 2).alias("received"), F.round("terminal", 2).alias("terminal"))
+    return t.received.select("seed", "node", F.round("received", 4).alias("received"), F.round("terminal", 4).alias("terminal"))
 
 
-_AMOUNTS = " SELECT seed, node, round(received, 2) AS received, round(terminal, 2) AS terminal FROM rec"
+_AMOUNTS = " SELECT seed, node, round(received, 4) AS received, round(terminal, 4) AS terminal FROM rec"
 
 
 @query("q_value_trace", _trace_sql(3, _AMOUNTS))
 def _(v: Views) -> DataFrame:
-    """Haircut trace from every supplier's account at once, up to services, across no mix."""
+    """Haircut trace from every watched account at once, up to services, across no mix."""
     return _amounts(_traced(v))
 
 
@@ -110,10 +111,10 @@ def _(v: Views) -> DataFrame:
     return _amounts(_traced(v, True))
 
 
-@query("q_trace_mixes", _trace_sql(3, f" SELECT seed, src, dst, round(value, 2) AS value, depth FROM ({_MIXES})"))
+@query("q_trace_mixes", _trace_sql(3, f" SELECT seed, src, dst, round(value, 4) AS value, depth FROM ({_MIXES})"))
 def _(v: Views) -> DataFrame:
     """Where traced value met edges that only mixes made."""
-    return _traced(v).mixes.select("seed", "src", "dst", F.round("value", 2).alias("value"), "depth")
+    return _traced(v).mixes.select("seed", "src", "dst", F.round("value", 4).alias("value"), "depth")
 
 
 @query("q_trace_limit", _trace_sql(3, " SELECT seed, round(sum(amount * keep), 2) AS amount FROM w WHERE depth = 3 AND NOT stop GROUP BY 1"))
@@ -149,11 +150,11 @@ def _(v: Views) -> DataFrame:
     return rows.select("seed", "node", *[F.round(c, 6).alias(c) for c in ("share", "confidence", "score", "poison_share", "poison_score")], "rank")
 
 
-@query("q_exit_sinks", _trace_sql(3, _EXITS + """ SELECT seed, node, round(kept, 2) AS kept, round(poison_kept, 2) AS poison_kept, round(kept / total, 6) AS share_kept FROM x ANTI JOIN sv USING (node) JOIN (SELECT seed, total FROM l0) USING (seed) WHERE kept / total >= 0.05"""))
+@query("q_exit_sinks", _trace_sql(3, _EXITS + """ SELECT seed, node, round(kept, 4) AS kept, round(poison_kept, 4) AS poison_kept, round(kept / total, 6) AS share_kept FROM x ANTI JOIN sv USING (node) JOIN (SELECT seed, total FROM l0) USING (seed) WHERE kept / total >= 0.05"""))
 def _(v: Views) -> DataFrame:
     """Nodes that are no service and keep a twentieth of a seed's outflow or more."""
-    rows = tracing.exit_points(v.mixed, _accounts(v), _services(v), c=_HOPS).sinks
-    return rows.select("seed", "node", F.round("kept", 2).alias("kept"), F.round("poison_kept", 2).alias("poison_kept"), F.round("share_kept", 6).alias("share_kept"))
+    rows = tracing.exit_sinks(v.mixed, _accounts(v), _services(v), _HOPS)
+    return rows.select("seed", "node", F.round("kept", 4).alias("kept"), F.round("poison_kept", 4).alias("poison_kept"), F.round("share_kept", 6).alias("share_kept"))
 
 
 @query(
