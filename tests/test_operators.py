@@ -97,13 +97,6 @@ def test_stacker_weights_are_not_negative(spark):
     assert w["good"] > 0 and w["bad"] >= 0
 
 
-def test_actor_risk_is_weighted_by_the_weakest_link(spark):
-    links = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.9), (7, 8, 1.0)], "a long, b long, weight double")
-    risk = spark.createDataFrame([(1, 0.8), (3, 0.2), (8, 0.1)], "node long, risk double")
-    got = {r["component"]: (r["members"], round(r["risk"], 6), r["anchor"]) for r in scoring.actors(links, risk).collect()}
-    assert got == {1: (3, 0.8, 1), 7: (2, 0.1, 8)}
-
-
 def test_auc_without_one_class(spark):
     got = metrics.auc(spark.createDataFrame([(0.1, 0), (0.2, 0)], "p double, y int"), "p", "y").first()
     assert got["positives"] == 0 and got["auc"] is None

@@ -36,23 +36,6 @@ def test_trace_paths_over_all_orders(spark):
     assert got == pytest.approx(best, abs=1e-7)
 
 
-def test_actors_over_all_orders(spark):
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for (a, b), v in _graph().items():
-        if v > 90000:
-            a, b = find(int(a[1:])), find(int(b[1:]))
-            root[max(a, b)] = min(a, b)
-    want = Counter(find(x) for x in list(root))
-    got = {r["component"]: r["members"] for r in plans.queries()["q_actors"](spark, str(SF)).collect()}
-    assert got == want
-
-
 def test_peel_chains_of_any_length_and_into_cycles(spark):
     rng = random.Random(3)
     nxt = {f"a{k}": f"a{k + 1}" for k in range(150)} | {f"c{k}": f"c{(k + 1) % 7}" for k in range(7)} | {f"t{k}": f"t{k + 1}" for k in range(4)} | {"t4": "c3", "d0": "d1", "d1": "d0"}

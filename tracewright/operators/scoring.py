@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tracewright.config import DEFAULT, Config
 from tracewright.functions.metrics import quantiles
-from tracewright.operators.components import components
-from tracewright.operators.paths import widest
 
 
 def ramp(value: Column, floor: float, target: float, base: float) -> Column:
@@ -116,20 +114,6 @@ def alert_order() -> list[Column]:
     return [F.col("risk").desc(), F.col("rule_kinds").desc(), F.coalesce("taint_hops", F.lit(1_000_000)).asc(), F.col("lead_confidence").desc(), F.col("tx_count").desc(), F.col("entity").asc()]
 
 
-def actors(links_: DataFrame, signals_: DataFrame) -> DataFrame:
-    """Actors: components of confident entity-peer links, with the largest weighted risk and the least link confidence.
-
-    links_: a, b (longs), weight. signals_: node (long), risk.
-    """
-    members = components(links_.select("a", "b"))
-    conf = links_.join(members, F.col("a") == F.col("node")).groupBy("component").agg(F.min("weight").alias("membership"))
-    anchor = members.join(signals_, "node").groupBy("component").agg(F.max_by("node", F.struct("risk", -F.col("node"))).alias("node"))
-    reach = widest(links_, anchor.select("node"))
-    rows = members.join(reach, "node").join(signals_, "node", "left").na.fill(0.0, ["risk"])
-    out = rows.groupBy("component").agg(F.count("*").alias("members"), F.max(F.col("risk") * F.col("width")).alias("risk"))
-    return out.join(conf, "component").join(anchor.select("component", F.col("node").alias("anchor")), "component")
-
-
 def peer_groups(rows: DataFrame, dims: list[str], c: Config = DEFAULT) -> DataFrame:
     """group: per dimension how many distinct quantile edges a value exceeds; small groups are pooled as 'all'."""
     edges = {d: sorted(set(quantiles(rows, d, list(c.peer_quantiles))) - {None}) for d in dims}
