@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import metrics
-from tracewright.operators import scoring
+from tracewright.operators import openset, scoring, tells
 from tracewright.plans.adapters import Views
 from tracewright.plans.registry import query
 
@@ -169,3 +169,27 @@ def _(v: Views) -> DataFrame:
     return rows.groupBy("k").agg(F.round(F.avg("y"), 6).alias("precision"), F.round(F.sum("y") / F.lit(float(total)), 6).alias("recall"))
 
 
+
+
+@query(
+    "q_isotonic",
+    """WITH r AS (SELECT c_mktsegment AS kind, round(c_acctbal / 500.0)::BIGINT AS x, c_nationkey % 2 AS y FROM customer), d AS (SELECT kind, x, sum(y) AS s, count(*) AS n FROM r GROUP BY 1, 2),
+       c AS (SELECT kind, x, sum(s) OVER w AS cs, sum(n) OVER w AS cn, s, n FROM d WINDOW w AS (PARTITION BY kind ORDER BY x)),
+       m AS (SELECT a.kind, a.x AS j, b.x AS k, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)::DOUBLE AS mean FROM c a JOIN c b ON a.kind = b.kind AND a.x <= b.x),
+       lo AS (SELECT i.kind, i.x, m.j, min(m.mean) AS v FROM c i JOIN m ON m.kind = i.kind AND m.j <= i.x AND m.k >= i.x GROUP BY 1, 2, 3)
+       SELECT kind, x, round(max(v), 8) AS fit FROM lo GROUP BY 1, 2""",
+)
+def _(v: Views) -> DataFrame:
+    """Isotonic fits of all segments in one pass, read at every value (K9)."""
+    rows = v.table("customer").select(F.col("c_mktsegment").alias("kind"), F.round(F.col("c_acctbal") / 500.0).cast("long").alias("x"), (F.col("c_nationkey") % 2).alias("y"))
+    fits = openset.isotonic(rows, ["kind"], "x", "y")
+    return rows.select("kind", "x").distinct().join(fits, "kind").select("kind", "x", F.round(openset.mapped(F.col("x"), F.col("xs"), F.col("ys")), 8).alias("fit"))
+
+
+@query("q_leave_one_out")
+def _(v: Views) -> DataFrame:
+    """How models that never saw a class answer for it, with the novelty check and without."""
+    k = F.substring("txid", 2, 12).cast("long")
+    role = F.when(k % 5 < 3, "train").when(k % 5 == 3, "calibration").otherwise("test")
+    rows = tells.tells(v.shapes).withColumns({"key": F.col("txid"), "label": F.concat(F.lit("L"), F.coalesce("version", F.lit("0")), F.coalesce("change_type", F.lit("-"))), "role": role})
+    return openset.leave_one_out(rows)
