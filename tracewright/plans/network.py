@@ -185,3 +185,26 @@ def _(v: Views) -> DataFrame:
     from tracewright.streaming import arrivals
 
     return arrivals.windowed(v.spark, f"{v.dir}/events.parquet", v.table("events").schema)
+
+
+@query("q_staged_arrivals", """WITH u AS (SELECT user_id, count(*) AS n, sum(value) AS v FROM events WHERE value >= 0 GROUP BY 1)
+   SELECT 'U' || user_id AS subject, n, v > 3000 AS alerted FROM u""")
+def _(v: Views) -> DataFrame:
+    """Files taken in two phases, a third of the events in them twice: rows once, each alert raised once (Q2, Q3, Q5)."""
+    from tracewright.session import shared_dir
+    from tracewright.streaming import staged
+
+    at = f"{shared_dir(v.spark)}/staged-{uuid.uuid4().hex}"
+    events = v.table("events").where("value >= 0").select("event_id", "user_id", "value")
+    events.repartition(2, "event_id").write.parquet(f"{at}/inbox")
+    events.where("event_id % 3 = 0").coalesce(1).write.mode("append").parquet(f"{at}/inbox")
+
+    def score(new: DataFrame, known: DataFrame) -> DataFrame:
+        rows = new.select("user_id", "value", F.lit(0).alias("old")).unionByName(known.select("user_id", "value", F.lit(1).alias("old")))
+        sums = rows.groupBy("user_id").agg(F.sum("value").alias("now"), F.coalesce(F.sum(F.when(F.col("old") == 1, F.col("value"))), F.lit(0.0)).alias("before"))
+        return sums.where("now > 3000 and not before > 3000").select(F.concat(F.lit("U"), "user_id").alias("subject"), F.col("now").alias("detail"))
+
+    box = staged.Inbox(v.spark, f"{at}/inbox", f"{at}/case", events.schema, "event_id", score, files=2).drain()
+    raised = box.alerts().groupBy("subject").agg(F.count("*").alias("times"))
+    rows = box.rows().groupBy(F.concat(F.lit("U"), "user_id").alias("subject")).agg(F.count("*").alias("n"))
+    return rows.join(raised, "subject", "left").select("subject", "n", (F.coalesce("times", F.lit(0)) == 1).alias("alerted"))
