@@ -293,6 +293,7 @@ def enhanced(contexts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, n
     ctx = np.repeat(np.arange(len(contexts)), n)
     off = np.arange(len(ctx)) - np.repeat(np.cumsum(n) - n, n)
     view = sliding_window_view(flat.reshape(-1), wide)
+    zeros = any(b"\0" in c for c in contexts)
     parts = -(-len(ctx) // SUFFIXES)
     if parts > 1:
         head = sliding_window_view(flat.reshape(-1), 8)[ctx * 2 * wide + off + length - 8]
@@ -302,7 +303,12 @@ def enhanced(contexts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, n
         if not len(mine):
             continue
         rows = view[ctx[mine] * 2 * wide + off[mine]]
-        order = np.argsort(np.ascontiguousarray(rows).view(f"S{wide}").ravel(), kind="stable")
+        keys, ends = np.ascontiguousarray(rows).view(f"S{wide}").ravel(), size[ctx[mine]] - off[mine]
+        if zeros:  # padded keys of a suffix that ends and of one that goes on with zeros are equal: the shorter comes first
+            by_end = np.argsort(ends, kind="stable")
+            order = by_end[np.argsort(keys[by_end], kind="stable")]
+        else:
+            order = np.argsort(keys, kind="stable")
         rows, c, o = rows[order], ctx[mine][order], off[mine][order]
         lcp = np.zeros(len(rows), np.int64)
         differ = rows[1:] != rows[:-1]
