@@ -287,7 +287,7 @@ def _(v: Views) -> DataFrame:
 
 _ACTORS = """ w AS (SELECT 'A' || o_custkey AS entity, max(o_totalprice) / 600000.0 AS rules, (o_custkey % 10) / 10.0 AS taint, (o_custkey % 7) / 9.0 AS anomaly FROM orders GROUP BY o_custkey),
        sg AS (SELECT *, 1 / (1 + exp(-(2.0 * rules + 1.5 * taint + 0.5 * anomaly - 2.0))) AS risk FROM w),
-       al AS (SELECT 'A' || o_custkey AS entity, 'P' || CAST(o_orderdate AS DATE) || o_orderpriority AS peer, o_totalprice / 600000.0 AS confidence, epoch(o_orderdate)::BIGINT // 86400 % 3 = 0 AS fit, o_orderpriority IN ('1-URGENT', '2-HIGH') AS based FROM orders WHERE o_orderstatus <> 'P'),
+       al AS (SELECT 'A' || o_custkey AS entity, 'P' || CAST(o_orderdate AS DATE) || o_orderpriority AS peer, o_totalprice / 1000000.0 AS confidence, epoch(o_orderdate)::BIGINT // 86400 % 3 = 0 AS fit, o_orderpriority IN ('1-URGENT', '2-HIGH') AS based FROM orders WHERE o_orderstatus <> 'P'),
        ed AS (SELECT peer AS a, entity AS b, max(confidence) AS c FROM al WHERE fit AND based GROUP BY 1, 2), both_ AS (SELECT a AS x, b AS y, c FROM ed UNION ALL SELECT b, a, c FROM ed),
        cc AS (SELECT entity AS root, entity AS x FROM sg UNION SELECT root, y FROM cc JOIN both_ USING (x)),
        mb AS (SELECT sg.*, root FROM (SELECT x AS entity, min(root) AS root FROM cc GROUP BY 1) JOIN sg USING (entity)),
@@ -300,7 +300,7 @@ _ACTORS = """ w AS (SELECT 'A' || o_custkey AS entity, max(o_totalprice) / 60000
 
 @query(
     "q_actors",
-    "WITH RECURSIVE" + _ACTORS + """ SELECT 'A-' || row_number() OVER (ORDER BY root) AS actor, anchor, members, coalesce(peers, 0) AS peers, round(1 / (1 + exp(-(2.0 * rules + 1.5 * taint + 0.5 * anomaly - 2.0))), 6) AS risk, round(coalesce(membership, 1.0), 6) AS membership
+    "WITH RECURSIVE" + _ACTORS + """ SELECT 'A-' || row_number() OVER (ORDER BY root) AS actor, anchor, members, coalesce(peers, 0) AS peers, round(1 / (1 + exp(-(2.0 * rules + 1.5 * taint + 0.5 * anomaly - 2.0))), 6) AS risk, round(coalesce(membership, 1.0), 8) AS membership
        FROM ag JOIN an USING (root) LEFT JOIN lk USING (root)""",
 )
 def _(v: Views) -> DataFrame:
@@ -310,8 +310,8 @@ def _(v: Views) -> DataFrame:
     signals = signals.select("entity", "rules", (F.col("o_custkey") % 10 / 10.0).alias("taint"), (F.col("o_custkey") % 7 / 9.0).alias("anomaly"))
     day = F.col("o_orderdate").cast("timestamp")
     links = o.select(
-        F.concat(F.lit("P"), day.cast("date").cast("string"), "o_orderpriority").alias("peer"), entity.alias("entity"), (F.col("o_totalprice") / 600000.0).alias("confidence"), F.lit("IP").alias("peer_kind"),
+        F.concat(F.lit("P"), day.cast("date").cast("string"), "o_orderpriority").alias("peer"), entity.alias("entity"), (F.col("o_totalprice") / 1000000.0).alias("confidence"), F.lit("IP").alias("peer_kind"),
         F.when(F.floor(F.unix_seconds(day) / 86400) % 3 == 0, "residential").otherwise("hosting").alias("ip_class"), F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "both").otherwise("correlation").alias("basis"), (F.col("o_orderstatus") == "P").alias("mixed"),
     )
     rows = actors.actors(signals, links, {"rules": 2.0, "taint": 1.5, "anomaly": 0.5}, -2.0)
-    return rows.select("actor", "anchor", "members", "peers", F.round("risk", 6).alias("risk"), F.round("membership", 6).alias("membership"))
+    return rows.select("actor", "anchor", "members", "peers", F.round("risk", 6).alias("risk"), F.round("membership", 8).alias("membership"))
