@@ -7,7 +7,10 @@ full name and the last name without the title. Names without any title in their
 Each distinct entity of the whole table gets one keyed surrogate of its own kind, so the same entity reads the same
 everywhere (coreference) and different entities stay different: surrogates that meet each other or any real entity of the
 kind are drawn again, in a form that widens after ``NARROW`` draws, until none does. A last name alone, with a title or
-without, is the person of that last name whom its document names in full. A surrogate keeps its occurrence's format:
+without, is the one person of that last name whom its document names in full and whose titles its own title does not
+contradict; if several fit, the one whose titles have its gender; if that leaves none or several, it is a person of its own,
+kept apart by the gender of its title (Mr. and Ms. Brown are two; a neutral title takes the gender with which the document
+uses the last name, if that is one). A surrogate keeps its occurrence's format:
 digits replace digits in place, case and separators stay, a phone keeps its country code, a Luhn-valid number stays
 Luhn-valid, an IBAN has right check digits, an address valid octets, a name its title, the gender of the titles it is met
 with (a neutral given name if these are none or both), its script, number of words and case.
@@ -40,6 +43,8 @@ _FEMALE_TITLES = r"Mrs|Ms|Miss|Frau|Señora|Sra|Señorita|Doña|Madame|Mme|Madem
 _NEUTRAL_TITLES = r"Dr|Prof|Professor|Doctor|Mx"
 _TITLES = f"{_MALE_TITLES}|{_FEMALE_TITLES}|{_NEUTRAL_TITLES}"
 _TITLED = rf"^(?:{_TITLES})\.? "
+#: Stands in no name; parts a last name from its gender where nothing else tells who is meant.
+_OWN = "~"
 _NAME_WORD = r"(?:\p{Lu}\p{Ll}+|\p{Lu}{2,})"
 #: kind -> pattern, in order of precedence.
 KINDS = {
@@ -86,19 +91,51 @@ def untitled(mention: Column) -> Column:
     return F.lower(F.regexp_replace(mention, _TITLED, ""))
 
 
+def gender_of(mention: Column) -> Column:
+    """m or f by the title of a mention; null for a neutral title or none."""
+    of_title = lambda t: mention.rlike(rf"^(?:{t})\.? ")
+    return F.when(of_title(_FEMALE_TITLES), "f").when(of_title(_MALE_TITLES), "m")
+
+
+def people_of(found: Column) -> Column:
+    """array<struct<name, gender>>: the titled names among the mentions found, each with the one gender of its titles, or null.
+
+    A last name alone is listed once a gender it is met with.
+    """
+    titled = F.filter(found, lambda m: m.rlike(_TITLED))
+    met = F.array_distinct(F.transform(titled, lambda m: F.struct(untitled(m).alias("name"), gender_of(m).alias("gender"))))
+    full = F.array_distinct(F.filter(F.transform(met, lambda x: x["name"]), lambda n: n.contains(" ")))
+    known = F.filter(met, lambda x: x["gender"].isNotNull())
+
+    def one(n: Column) -> Column:
+        mine = F.filter(known, lambda x: x["name"] == n)
+        return F.struct(n.alias("name"), F.when(F.size(mine) == 1, F.get(mine, F.lit(0))["gender"]).alias("gender"))
+
+    return F.concat(F.transform(full, one), F.filter(known, lambda x: ~x["name"].contains(" ")))
+
+
+def meant_by(name: Column, gender: Column, people: Column) -> Column:
+    """Whom a last name alone means, as the module says; a person of its own is the name, "~" and the gender, if there is one."""
+    fits = F.filter(people, lambda p: F.endswith(p["name"], F.concat(F.lit(" "), name)) & (gender.isNull() | p["gender"].isNull() | (p["gender"] == gender)))
+    sure = F.filter(fits, lambda p: p["gender"] == gender)
+    only = lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))["name"])
+    alone = F.filter(people, lambda p: p["name"] == name)
+    own = F.coalesce(gender, F.when(F.size(alone) == 1, F.get(alone, F.lit(0))["gender"]))
+    return F.coalesce(only(fits), only(sure), F.concat_ws(_OWN, name, own))
+
+
 def canonical(kind: Column, value: Column, people: Column) -> Column:
     """What makes two mentions one entity: digits of numbers, letters of mail and secrets in lower case, names without title.
 
-    people: the full names of the document; a last name alone is the first of them that ends with it.
+    people: the persons of the document (``people_of``), among whom a last name alone is looked up.
     """
     digits = F.regexp_replace(value, r"\D", "")
     name = untitled(value)
-    meant = F.get(F.filter(people, lambda p: F.endswith(p, F.concat(F.lit(" "), name))), F.lit(0))
     return (
         F.when(kind.isin("ssn", "number"), digits)
         .when(kind == "phone", F.when(value.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits))
         .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
-        .when(kind == "name", F.when(name.contains(" "), name).otherwise(F.coalesce(meant, name)))
+        .when(kind == "name", F.when(name.contains(" "), name).otherwise(meant_by(name, gender_of(value), people)))
         .when(kind == "ip", value)
         .otherwise(F.lower(value))
     )
@@ -188,7 +225,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         drawn = _draw(left, key).withColumn("form", F.lower("surrogate")).withColumn("old", F.lit(False))
         rows = drawn if settled is None else drawn.unionByName(settled)
         first = F.row_number().over(Window.partitionBy("kind", "form").orderBy(F.col("old").desc(), "value"))
-        taken = real.select("kind", F.lower("value").alias("form"), F.lit(True).alias("is_real")).distinct()
+        taken = real.select("kind", F.when(F.col("kind") == "name", F.substring_index(F.lower("value"), _OWN, 1)).otherwise(F.lower("value")).alias("form"), F.lit(True).alias("is_real")).distinct()
         rows = rows.withColumn("k", first).join(taken, ["kind", "form"], "left")
         rows = written(rows.withColumn("ok", (F.col("k") == 1) & F.col("is_real").isNull()), "pii-round").drop("k", "is_real")
         settled = rows.where("ok").drop("ok").withColumn("old", F.lit(True))
@@ -240,12 +277,10 @@ def mentions(texts: DataFrame) -> DataFrame:
     """thash, pos, kind, original, value, gender of every entity of each distinct text; texts: thash, text, found, pattern."""
     named = F.size(_titled(F.col("found"))) > 0
     every = F.when(named, F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).otherwise(F.col("found"))
-    people = F.filter(F.transform(_titled(F.col("found")), lambda p: F.lower(p)), lambda p: p.contains(" "))
-    found = texts.select("thash", every.alias("found"), people.alias("people"))
+    found = texts.select("thash", every.alias("found"), people_of(F.col("found")).alias("people"))
     found = found.groupBy("thash").agg(F.first("found").alias("found"), F.first("people").alias("people"))
     rows = found.select("thash", "people", F.posexplode("found").alias("pos", "original")).withColumn("kind", kind_of(F.col("original")))
-    of_title = lambda t: F.col("original").rlike(rf"^(?:{t})\.? ")
-    gender = F.when(F.col("kind") == "name", F.when(of_title(_FEMALE_TITLES), "f").when(of_title(_MALE_TITLES), "m"))
+    gender = F.when(F.col("kind") == "name", gender_of(F.col("original")))
     value = canonical(F.col("kind"), F.col("original"), F.col("people"))
     return rows.select("thash", "pos", "kind", "original", value.alias("value"), gender.alias("gender"))
 
