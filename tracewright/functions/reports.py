@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.metrics import quantiles
+from tracewright.functions.metrics import before, quantiles
 
 
 def ceiling(truth: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -54,6 +54,74 @@ def saturation(queue: DataFrame, score: str, key: list[str], places: int = 4) ->
     return out.join(by_key.agg(F.count("*").alias("keys"), F.max("k").alias("largest")))  # one row each
 
 
+#: Fixed value: the linear score from which on three places show no difference.
+FLAT = 7.6
+
+
+def alerts_of(rows: DataFrame, weights: dict[str, float], bias: float, threshold: float) -> DataFrame:
+    """The signals of the rows whose score reaches the threshold, with logit and score; a signal that is null weighs 0."""
+    z = F.lit(bias)
+    for s, w in weights.items():
+        z = z + F.coalesce(F.col(s).cast("double"), F.lit(0.0)) * w
+    out = rows.select(*[F.col(s).cast("double").alias(s) for s in weights], z.alias("logit"))
+    return out.withColumn("score", 1 / (1 + F.exp(-F.col("logit")))).where(F.col("score") >= threshold)
+
+
+def diagnosis(alerts: DataFrame, signals: list[str], places: int = 3, flat: float = FLAT) -> DataFrame:
+    """One row: where a score (``alerts_of``) loses its resolution.
+
+    alerts; shown and vectors, the distinct scores as shown and the distinct inputs; largest and sharing, the largest group of
+    equal inputs and the alerts in such groups; logit_min, logit_max, logits; above_flat; collapsed, the distinct inputs beyond
+    the first behind one shown score. Each alert then has one cause: own_score (no other alert shows its score), equal_inputs
+    (another has its inputs too), capped (its score is flat), rounded (else). Null inputs are equal to each other alone.
+
+    Alerts are counted by inputs and shown score first. What is joined back is one row a shown score, 10^places + 1 at most.
+    """
+    inputs = F.struct(*[F.round(s, 6).alias(s) for s in signals])
+    rows = alerts.select(inputs.alias("inputs"), F.round("score", places).alias("shown"), "logit")
+    n, logit = F.count("*").alias("n"), F.col("logit")
+    cells = rows.groupBy("inputs", "shown").agg(n, F.min(logit).alias("lo"), F.max(logit).alias("hi"), F.sum((logit >= flat).cast("long")).alias("above"))
+    by_shown = cells.groupBy("shown").agg(F.count("*").alias("vectors"), F.sum("n").alias("all"))
+    by_inputs = cells.groupBy("inputs").agg(F.sum("n").alias("n"))
+    shares = by_inputs.agg(F.count("*").alias("vectors"), F.max("n").alias("largest"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("sharing"))
+    scores = by_shown.agg(F.count("*").alias("shown"), F.coalesce(F.sum(F.col("vectors") - 1), F.lit(0)).alias("collapsed"))
+    cause = F.when(F.col("all") == 1, "own_score").when(F.col("n") > 1, "equal_inputs").when(F.col("lo") >= flat, "capped").otherwise("rounded")
+    told = cells.join(F.broadcast(by_shown.select("shown", "all")), "shown").withColumn("cause", cause)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    causes = [total(F.when(F.col("cause") == c, F.col("n"))).alias(c) for c in ("own_score", "equal_inputs", "capped", "rounded")]
+    sums = told.agg(total("n").alias("alerts"), F.min("lo").alias("logit_min"), F.max("hi").alias("logit_max"), total("above").alias("above_flat"), *causes)
+    logits = rows.agg(F.countDistinct(F.round(logit, 6)).alias("logits"))
+    return sums.join(shares).join(scores).join(logits)  # one row each
+
+
+def input_spread(alerts: DataFrame, signals: list[str]) -> DataFrame:
+    """signal, min, median, max, distinct (to six places), at_max, zero of each signal among alerts: is it full before it is summed?
+
+    Nulls count nowhere. Values are counted first; medians are looked up among the running counts of all signals at once.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("v")) for s in signals])).alias("p")
+    held = alerts.select(pairs).select("p.*").where("v is not null").groupBy("signal", "v").agg(F.count("*").alias("n"))
+    held = before(held, [F.col("signal").asc(), F.col("v").asc()], start=F.col("n"))
+    ends = held.groupBy("signal").agg(F.min("start").alias("first"), F.sum("n").alias("total"), F.max("v").alias("top"))
+    x = held.join(F.broadcast(ends), "signal").withColumn("at", F.col("start") - F.col("first"))  # one row a signal
+    rank = lambda r: F.max(F.when((F.col("at") <= r) & (F.col("at") + F.col("n") > r), F.col("v")))
+    last = F.col("total") - 1
+    out = x.groupBy("signal").agg(
+        F.min("v").alias("min"), ((rank(F.floor(last / 2)) + rank(F.ceil(last / 2))) / 2).alias("median"), F.max("v").alias("max"), F.countDistinct(F.round("v", 6)).alias("distinct"),
+        F.sum(F.when(F.col("v") >= F.col("top") - 1e-9, F.col("n")).otherwise(0)).alias("at_max"), F.sum(F.when(F.col("v") <= 1e-12, F.col("n")).otherwise(0)).alias("zero"),
+    )
+    return out
+
+
+def nearest_deciles(rows: DataFrame, value: str) -> DataFrame:
+    """decile, value: values that some row has, at the ranks nearest to the tenths (a half to the even rank); no row, no deciles."""
+    held = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    held = before(held, [F.col("v").asc()], start=F.col("n")).join(held.agg((F.sum("n") - 1).alias("last")))  # one row
+    ranks = F.array(*[F.struct(F.lit(k).alias("decile"), F.bround(F.col("last") * k / 10.0).cast("long").alias("r")) for k in range(11)])
+    mine = F.filter(ranks, lambda x: (x["r"] >= F.col("start")) & (x["r"] < F.col("start") + F.col("n")))
+    return held.select(F.explode(mine).alias("x"), F.col("v").alias("value")).select("x.decile", "value")
+
+
 def deciles(rows: DataFrame, value: str) -> DataFrame:
     """decile, value: exact deciles of a column."""
     got = quantiles(rows, value, [k / 10 for k in range(11)])

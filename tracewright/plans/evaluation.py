@@ -74,6 +74,41 @@ def _(v: Views) -> DataFrame:
     return reports.saturation(q.withColumn("coarse", F.round("risk", 2)), "risk", ["coarse", "hops", "kind"])
 
 
+_ALERTS = """WITH sg AS (SELECT round(c_acctbal / 5000.0, 1) AS taint, CASE WHEN c_custkey % 4 > 0 THEN (c_nationkey % 5) / 4.0 END AS rules, least(length(c_mktsegment) / 9.0, 1.0) AS anomaly FROM customer),
+  al AS (SELECT *, 1 / (1 + exp(-logit)) AS score FROM (SELECT *, -1.0 + coalesce(taint, 0) * 4 + coalesce(rules, 0) * 2 + coalesce(anomaly, 0) * 1.5 AS logit FROM sg) WHERE 1 / (1 + exp(-logit)) >= 0.6)"""
+_WEIGHTS = {"taint": 4.0, "rules": 2.0, "anomaly": 1.5}
+
+
+def _alerts(v: Views) -> DataFrame:
+    c, share = v.table("customer"), F.col("c_nationkey") % 5 / 4.0
+    rows = c.select(F.round(F.col("c_acctbal") / 5000.0, 1).alias("taint"), F.when(F.col("c_custkey") % 4 > 0, share).alias("rules"), F.least(F.length("c_mktsegment") / 9.0, F.lit(1.0)).alias("anomaly"))
+    return reports.alerts_of(rows, _WEIGHTS, -1.0, 0.6)
+
+
+@query("q_saturation_causes", _ALERTS + """ , r AS (SELECT round(taint, 6) AS t, round(rules, 6) AS u, round(anomaly, 6) AS a, round(score, 3) AS shown, logit FROM al), ce AS (SELECT t, u, a, shown, count(*) AS n, min(logit) AS lo, max(logit) AS hi FROM r GROUP BY ALL), sh AS (SELECT shown, count(*) AS vectors, sum(n) AS everyone FROM ce GROUP BY 1), ve AS (SELECT sum(n) AS n FROM ce GROUP BY t, u, a),
+  tc AS (SELECT *, CASE WHEN everyone = 1 THEN 'own' WHEN n > 1 THEN 'equal' WHEN lo >= 7.6 THEN 'capped' ELSE 'rounded' END AS cause FROM ce JOIN sh USING (shown))
+       SELECT (SELECT count(*) FROM r) AS alerts, (SELECT count(*) FROM sh) AS shown, (SELECT CAST(sum(vectors - 1) AS BIGINT) FROM sh) AS collapsed, (SELECT count(*) FROM ve) AS vectors, (SELECT CAST(max(n) AS BIGINT) FROM ve) AS largest, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM ve WHERE n > 1) AS sharing, (SELECT count(*) FROM r WHERE logit >= 7.6) AS above_flat, (SELECT count(DISTINCT round(logit, 6)) FROM r) AS logits, round(min(lo), 6) AS logit_min, round(max(hi), 6) AS logit_max,
+       CAST(coalesce(sum(n) FILTER (WHERE cause = 'own'), 0) AS BIGINT) AS own_score, CAST(coalesce(sum(n) FILTER (WHERE cause = 'equal'), 0) AS BIGINT) AS equal_inputs, CAST(coalesce(sum(n) FILTER (WHERE cause = 'capped'), 0) AS BIGINT) AS capped, CAST(coalesce(sum(n) FILTER (WHERE cause = 'rounded'), 0) AS BIGINT) AS rounded FROM tc""")
+def _(v: Views) -> DataFrame:
+    """Why alerts share a score: equal inputs, a flat score, or rounding."""
+    got = reports.diagnosis(_alerts(v), list(_WEIGHTS))
+    return got.withColumns({c: F.round(c, 6) for c in ("logit_min", "logit_max")})
+
+
+@query("q_input_spread", _ALERTS + """ , p AS (SELECT 'taint' AS signal, taint AS v FROM al UNION ALL SELECT 'rules', rules FROM al UNION ALL SELECT 'anomaly', anomaly FROM al), q AS (SELECT *, max(v) OVER (PARTITION BY signal) AS top FROM p WHERE v IS NOT NULL)
+       SELECT signal, round(min(v), 6) AS min, round(median(v), 6) AS median, round(max(v), 6) AS max, count(DISTINCT round(v, 6)) AS "distinct", CAST(count(*) FILTER (WHERE v >= top - 1e-9) AS BIGINT) AS at_max, CAST(count(*) FILTER (WHERE v <= 1e-12) AS BIGINT) AS zero FROM q GROUP BY 1""")
+def _(v: Views) -> DataFrame:
+    """Each signal among alerts: its range, and how often it is full or empty."""
+    return reports.input_spread(_alerts(v), list(_WEIGHTS)).select("signal", _r("min"), _r("median"), _r("max"), "distinct", "at_max", "zero")
+
+
+@query("q_logit_deciles", _ALERTS + """ , l AS (SELECT list(logit ORDER BY logit) AS z FROM al) SELECT CAST(k AS INT) AS decile, round(z[CAST(round_even((len(z) - 1) * k / 10.0, 0) AS BIGINT) + 1], 6) AS logit, round(1 / (1 + exp(-z[CAST(round_even((len(z) - 1) * k / 10.0, 0) AS BIGINT) + 1])), 3) AS shown FROM l, range(11) AS t(k)""")
+def _(v: Views) -> DataFrame:
+    """The linear score's tenths, as values that alerts have, and what is shown of them."""
+    d = reports.nearest_deciles(_alerts(v), "logit")
+    return d.select("decile", F.round("value", 6).alias("logit"), F.round(1 / (1 + F.exp(-F.col("value"))), 3).alias("shown"))
+
+
 @query("q_deciles", "WITH a AS (SELECT quantile_cont(o_totalprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM orders) SELECT CAST(k - 1 AS INT) AS decile, round(q[k], 4) AS value FROM a, range(1, 12) AS t(k)")
 def _(v: Views) -> DataFrame:
     """Exact deciles without one ordered task."""

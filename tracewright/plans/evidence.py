@@ -12,7 +12,7 @@ from tracewright.operators.components import components
 from tracewright.plans.adapters import Views, with_
 from tracewright.plans.registry import query
 from tracewright.session import shared_dir
-from tracewright.sources import captures, intel
+from tracewright.sources import captures, intel, networks
 
 OBSERVER = {"192.0.2.1"}
 
@@ -194,6 +194,48 @@ def _(v: Views) -> DataFrame:
     return intel.located(v.captured.select(F.col("peer_ip").alias("ip")), ranges)
 
 
+_NETWORKS = """WITH ev AS (SELECT event_id, user_id AS u, CASE user_id % 4 WHEN 0 THEN '' WHEN 2 THEN '::FFFF:' ELSE NULL END || concat_ws('.', 10, user_id // 65536 % 256, user_id // 256 % 256, user_id % 256) AS v4 FROM events),
+  ip AS (SELECT event_id, u, coalesce(v4, CASE WHEN u % 4 = 1 THEN '2001:DB8:' || format('{:X}', u % 16) || '::' || format('{:X}', u % 65536) ELSE 'u' || u || '.onion' END) AS ip,
+         CASE WHEN v4 IS NOT NULL THEN replace(v4, '::FFFF:', '') WHEN u % 4 = 1 THEN '2001:db8:' || format('{:x}', u % 16) || '::' || format('{:x}', u % 65536) END AS canonical,
+         CASE WHEN v4 IS NOT NULL THEN (65535::HUGEINT << 32) + (10 << 24) + u % 16777216 WHEN u % 4 = 1 THEN (8193::HUGEINT << 112) + (3512::HUGEINT << 96) + ((u % 16)::HUGEINT << 80) + u % 65536 END AS n FROM ev),
+  nt AS (SELECT s_suppkey AS asn, 'N' || s_nationkey AS country, CASE WHEN s_suppkey % 2 = 0 THEN 96 + 12 + 4 * (s_suppkey // 2 % 5) ELSE 32 + 16 * (s_suppkey // 2 % 3) END AS length,
+         CASE WHEN s_suppkey % 2 = 0 THEN (65535::HUGEINT << 32) + (10 << 24) + s_suppkey * 7 ELSE (8193::HUGEINT << 112) + (3512::HUGEINT << 96) + ((s_suppkey % 16)::HUGEINT << 80) END AS base FROM supplier),
+  hit AS (SELECT d.ip, nt.*, row_number() OVER (PARTITION BY d.ip ORDER BY length DESC, asn, country) AS k FROM (SELECT DISTINCT ip, n FROM ip) d JOIN nt ON d.n >> (128 - length)::INT = base >> (128 - length)::INT),
+  fo AS (SELECT * FROM hit WHERE k = 1)"""
+
+
+def _places(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Events with addresses of both kinds in several forms, and networks that nest."""
+    u, s = F.col("user_id"), F.col("s_suppkey")
+    part = lambda n: (F.floor(u / n) % 256).cast("string")
+    v4 = F.concat_ws(".", F.lit("10"), part(65536), part(256), part(1))
+    v6 = F.concat(F.lit("2001:DB8:"), F.hex(u % 16), F.lit("::"), F.hex(u % 65536))
+    ip = F.when(u % 4 == 0, v4).when(u % 4 == 1, v6).when(u % 4 == 2, F.concat(F.lit("::FFFF:"), v4)).otherwise(F.concat(F.lit("u"), u.cast("string"), F.lit(".onion")))
+    at, half = s * 7, F.floor(s / 2)
+    low = F.concat(F.lit("10."), F.concat_ws(".", *[(F.floor(at / n) % 256).cast("string") for n in (65536, 256, 1)]), F.lit("/"), (12 + 4 * (half % 5)).cast("string"))
+    high = F.concat(F.lit("2001:db8:"), F.hex(s % 16), F.lit("::/"), (32 + 16 * (half % 3)).cast("string"))
+    nets = v.table("supplier").select(F.when(s % 2 == 0, low).otherwise(high).alias("cidr"), s.alias("asn"), F.concat(F.lit("N"), "s_nationkey").alias("country"))
+    return v.table("events").select("event_id", ip.alias("src_ip")), nets
+
+
+@query("q_networks", _NETWORKS + " SELECT DISTINCT ip.ip, canonical, CAST(length AS INT) AS length, asn, country FROM ip LEFT JOIN fo USING (ip)")
+def _(v: Views) -> DataFrame:
+    """Addresses of both kinds in the narrowest of nested networks, and their one form."""
+    rows, nets = _places(v)
+    got = networks.narrowest(rows.select(F.col("src_ip").alias("ip")), nets)
+    return got.select("ip", networks.canonical_ip(F.col("ip")).alias("canonical"), "length", "told.asn", "told.country")
+
+
+@query("q_geo_enriched", _NETWORKS + """ , x AS (SELECT fo.asn AS a, CASE WHEN event_id % 3 > 0 THEN event_id % 50 END AS own, coalesce(fo.country, CASE WHEN event_id % 3 = 1 THEN 'own' END) AS geo_country FROM ip LEFT JOIN fo USING (ip))
+       SELECT CASE WHEN a IS NOT NULL THEN 'geoip' WHEN own IS NOT NULL THEN 'dataset' ELSE 'none' END AS asn_source, geo_country, coalesce(a, own) AS asn, count(*) AS n FROM x GROUP BY ALL""")
+def _(v: Views) -> DataFrame:
+    """Rows by the network of their address, else by what they say themselves, and which it was."""
+    rows, nets = _places(v)
+    e = F.col("event_id")
+    own = rows.withColumns({"asn": F.when(e % 3 > 0, e % 50), "geo_country": F.when(e % 3 == 1, "own")})
+    return networks.enriched(own, nets).groupBy("asn_source", "geo_country", "asn").agg(F.count("*").alias("n"))
+
+
 _TAGS = """WITH mb AS (SELECT 'A' || c_custkey AS node, 'N' || (c_custkey % 300) AS component FROM customer), tg AS (SELECT 'A' || s_suppkey AS address, 'S' || (s_suppkey % 5) AS label, (['exchange/VASP', 'mixer', 'scam', 'sanctioned'])[s_suppkey % 4 + 1] AS category, 0.5 + (s_suppkey % 5) / 10.0 AS confidence, CASE WHEN s_suppkey % 3 = 0 THEN 'address' ELSE 'cluster' END AS applies_to FROM supplier),
   sz AS (SELECT component AS entity, count(*) AS size FROM mb GROUP BY 1), ap AS (SELECT coalesce(component, address) AS entity, address, label, category, applies_to = 'cluster' OR coalesce(size, 1) = 1 AS applies, round(confidence * CASE WHEN applies_to = 'cluster' AND coalesce(size, 1) > 1 THEN 0.8 ELSE 1.0 END, 4)::DOUBLE AS effective FROM tg LEFT JOIN mb ON node = address LEFT JOIN sz ON sz.entity = component)"""
 
