@@ -10,6 +10,8 @@ behind its length are ignored; of repeated networks the one with the least colum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,47 +19,66 @@ _QUAD = r"(?:^|:)((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?
 _MAPPED = 96
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def groups(ip: Column) -> Column:
     """array<long>: the eight groups of an address, which may be shortened or end in an IPv4 address; null for all else."""
-    quad = F.regexp_extract(ip, _QUAD, 1)
-    octets = F.transform(F.split(quad, r"\."), lambda x: x.try_cast("int"))
-    pair = lambda k: F.lower(F.hex(F.get(octets, F.lit(k)) * 256 + F.get(octets, F.lit(k + 1))))
-    head = F.when(quad == ip, F.lit("::ffff:")).otherwise(F.substr(ip, F.lit(1), F.length(ip) - F.length(quad)))
-    text = F.lower(F.when(quad == "", ip).otherwise(F.concat(head, pair(0), F.lit(":"), pair(2))))
-    halves = F.split(text, "::", -1)
-    parts = lambda k: F.when(F.coalesce(F.get(halves, F.lit(k)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(halves, F.lit(k)), ":", -1))
-    left, right = parts(0), parts(1)
-    gap = 8 - F.size(left) - F.size(right)
-    short = F.size(halves) == 2
-    ok = (F.size(halves) <= 2) & F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$")) & F.when(short, gap > 0).otherwise(gap == 0)
-    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
-    return F.when(ok, F.transform(every, lambda g: F.conv(g, 16, 10).cast("long")))
+
+    def spelled(quad: Column) -> Column:
+        """The address in lower case, its IPv4 part as two groups."""
+        octets = F.transform(F.split(quad, r"\."), lambda x: x.try_cast("int"))
+        pairs = _let(octets, lambda o: F.concat_ws(":", *[F.lower(F.hex(F.get(o, F.lit(k)) * 256 + F.get(o, F.lit(k + 1)))) for k in (0, 2)]))
+        head = F.when(quad == ip, F.lit("::ffff:")).otherwise(F.substr(ip, F.lit(1), F.length(ip) - F.length(quad)))
+        return F.lower(F.when(quad == "", ip).otherwise(F.concat(head, pairs)))
+
+    none = F.array().cast("array<string>")
+    parts = lambda half: F.when(half == "", none).otherwise(F.split(half, ":", -1))
+
+    def filled(sides: Column) -> Column:
+        """The groups of one side or two, with zeros between two."""
+        left, right = F.get(sides, F.lit(0)), F.coalesce(F.get(sides, F.lit(1)), none)
+        return _let(
+            8 - F.size(left) - F.size(right),
+            lambda gap: F.when(
+                F.when(F.size(sides) == 2, gap > 0).otherwise((F.size(sides) == 1) & (gap == 0)) & F.forall(F.flatten(sides), lambda g: g.rlike("^[0-9a-f]{1,4}$")),
+                F.concat(left, F.array_repeat(F.lit("0"), gap), right),
+            ),
+        )
+
+    text = _let(F.regexp_extract(ip, _QUAD, 1), spelled)
+    every = _let(F.transform(F.split(text, "::", -1), parts), filled)
+    return F.transform(every, lambda g: F.conv(g, 16, 10).cast("long"))
 
 
 def number(ip: Column) -> Column:
     """struct<hi, lo> of an address."""
-    g = groups(ip)
-    half = lambda start: F.aggregate(F.slice(g, start, 4), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 16).bitwiseOR(x))
-    return F.when(g.isNotNull(), F.struct(half(1).alias("hi"), half(5).alias("lo")))
+    half = lambda g, start: F.aggregate(F.slice(g, start, 4), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 16).bitwiseOR(x))
+    return _let(groups(ip), lambda g: F.when(g.isNotNull(), F.struct(half(g, 1).alias("hi"), half(g, 5).alias("lo"))))
 
 
 def canonical_ip(ip: Column) -> Column:
     """One text per address: IPv4 dotted, also where it was mapped; IPv6 in lower case, its longest run of zero groups (two at
     least, the first of equal ones) as ``::``."""
-    g = groups(ip)
-    at = lambda k: F.get(g, F.lit(k))
-    high, low = (lambda k: F.shiftright(at(k), 8).cast("string")), (lambda k: (at(k) % 256).cast("string"))
-    dotted = F.concat_ws(".", high(6), low(6), high(7), low(7))
-    mapped = (at(5) == 65535) & F.forall(F.slice(g, 1, 5), lambda x: x == 0)
-    text = F.concat(F.lit(":"), F.array_join(F.transform(g, lambda x: F.lower(F.hex(x))), ":"), F.lit(":"))
-    short = F.lit(None).cast("string")
-    for k in range(2, 9):
-        run = ":0" * k + ":"
-        before = F.substring_index(text, run, 1)
-        cut = F.concat(before, F.lit("::"), F.substr(text, F.length(before) + len(run) + 1))
-        short = F.when(text.contains(run), cut).otherwise(short)  # longer runs are asked first
-    trimmed = F.regexp_replace(F.regexp_replace(F.coalesce(short, text), "^:(?!:)", ""), "(?<!:):$", "")
-    return F.when(mapped, dotted).otherwise(trimmed)
+
+    def shortened(text: Column) -> Column:
+        """``:a:b:...:h:`` without its longest run of zeros and the colons at its ends."""
+        out = text
+        for k in range(2, 9):
+            run = ":0" * k + ":"
+            before = F.substring_index(text, run, 1)
+            out = F.when(text.contains(run), F.concat(before, F.lit("::"), F.substr(text, F.length(before) + len(run) + 1))).otherwise(out)  # longer runs are asked first
+        return F.regexp_replace(F.regexp_replace(out, "^:(?!:)", ""), "(?<!:):$", "")
+
+    def written(g: Column) -> Column:
+        octets = F.flatten(F.transform(F.slice(g, 7, 2), lambda x: F.array(F.shiftright(x, 8).cast("string"), (x % 256).cast("string"))))
+        mapped = (F.get(g, F.lit(5)) == 65535) & F.forall(F.slice(g, 1, 5), lambda x: x == 0)
+        text = F.concat(F.lit(":"), F.array_join(F.transform(g, lambda x: F.lower(F.hex(x))), ":"), F.lit(":"))
+        return F.when(mapped, F.array_join(octets, ".")).otherwise(_let(text, shortened))
+
+    return _let(groups(ip), written)
 
 
 def _masks(length: Column) -> tuple[Column, Column]:
