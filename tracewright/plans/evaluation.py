@@ -26,12 +26,12 @@ def _(v: Views) -> DataFrame:
     return reports.ceiling(truth, relay.tree_nodes(v.hops)).select(_r("all"), _r("multi"), "n_all", "n_multi")
 
 
-@query("q_cases", """WITH ac AS (SELECT o_custkey % 90 AS actor, o_orderpriority AS typology, o_custkey AS entity FROM orders WHERE o_custkey % 7 = 0), al AS (SELECT DISTINCT o_custkey AS entity FROM orders WHERE o_totalprice > 300000), re AS (SELECT DISTINCT o_custkey AS entity FROM orders WHERE o_totalprice > 200000),
+@query("q_cases", """WITH ac AS (SELECT o_custkey % 90 AS actor, o_orderpriority AS typology, o_custkey AS entity FROM orders), al AS (SELECT DISTINCT o_custkey AS entity FROM orders WHERE o_totalprice > 300000), re AS (SELECT DISTINCT o_custkey AS entity FROM orders WHERE o_totalprice > 200000),
        p AS (SELECT typology, actor, max(CAST(al.entity IS NOT NULL AS INT)) AS hit, avg(CASE WHEN re.entity IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM ac LEFT JOIN al USING (entity) LEFT JOIN re USING (entity) GROUP BY 1, 2) SELECT typology, count(*) AS cases, CAST(sum(hit) AS BIGINT) AS detected, round(avg(share), 6) AS coverage FROM p GROUP BY 1""")
 def _(v: Views) -> DataFrame:
     """Cases detected and covered, by kind."""
     o = v.orders.withColumn("entity", F.col("o_custkey"))
-    actors = o.where("o_custkey % 7 = 0").select((F.col("o_custkey") % 90).alias("actor"), F.col("o_orderpriority").alias("typology"), "entity")
+    actors = o.select((F.col("o_custkey") % 90).alias("actor"), F.col("o_orderpriority").alias("typology"), "entity")
     return reports.cases(actors, o.where("o_totalprice > 300000"), o.where("o_totalprice > 200000")).select("typology", "cases", "detected", _r("coverage"))
 
 

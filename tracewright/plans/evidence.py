@@ -290,9 +290,9 @@ def _(v: Views) -> DataFrame:
     return v.orders.where("o_orderkey % 10 = 3").select(F.concat(F.lit("T"), "o_orderkey").alias("txid")).join(known, "txid", "left_anti")
 
 
-@query("q_linked_clusters", """WITH e AS (SELECT DISTINCT o_custkey AS a, 100000000 + o_orderkey % 400 AS b FROM orders WHERE o_orderkey % 9 = 0), c0 AS (SELECT a AS n, a AS c FROM e UNION SELECT b, b FROM e),""" + ",".join(
+@query("q_linked_clusters", """WITH e AS (SELECT DISTINCT o_custkey AS a, 100000000 + CAST(floor(o_totalprice) AS BIGINT) AS b FROM orders), c0 AS (SELECT a AS n, a AS c FROM e UNION SELECT b, b FROM e),""" + ",".join(
     f" c{k} AS MATERIALIZED (SELECT n, min(c) AS c FROM (SELECT n, c FROM c{k - 1} UNION ALL SELECT e.a, x.c FROM e JOIN c{k - 1} x ON x.n = e.b UNION ALL SELECT e.b, x.c FROM e JOIN c{k - 1} x ON x.n = e.a) GROUP BY 1)" for k in range(1, 25)) + " SELECT n AS node, c AS component FROM c24")
 def _(v: Views) -> DataFrame:
     """Clusters joined through the peers that announced for them."""
-    e = v.orders.where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("a"), (F.lit(100000000) + F.col("o_orderkey") % 400).alias("b")).distinct()
+    e = v.orders.select(F.col("o_custkey").alias("a"), (F.lit(100000000) + F.floor("o_totalprice")).alias("b")).distinct()
     return components(e)
