@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import metrics
-from tracewright.operators import openset, scoring, tells
+from tracewright.operators import edgenet, openset, scoring, tells
 from tracewright.plans.adapters import Views
 from tracewright.plans.registry import query
 
@@ -193,3 +193,19 @@ def _(v: Views) -> DataFrame:
     role = F.when(k % 5 < 3, "train").when(k % 5 == 3, "calibration").otherwise("test")
     rows = tells.tells(v.shapes).withColumns({"key": F.col("txid"), "label": F.concat(F.lit("L"), F.coalesce("version", F.lit("0")), F.coalesce("change_type", F.lit("-"))), "role": role})
     return openset.leave_one_out(rows)
+
+
+@query("q_edge_network")
+def _(v: Views) -> DataFrame:
+    """An edge network trained on the early order lines (large quantity or not), its scores of all lines pooled."""
+    o = v.orders.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    price, off = F.col("l_extendedprice").cast("double"), F.col("l_discount").cast("double")
+    lines = v.table("lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("T"), "l_orderkey").alias("txid"), F.concat(F.lit("A"), "o_custkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"),
+        F.unix_seconds("at").alias("ts"), (F.col("l_quantity") > 40).cast("int").alias("y"), F.array(price, off).alias("f"), price.alias("value"),
+    )
+    ends = lines.select(F.col("src").alias("node"), "value", F.lit(1).alias("out")).unionByName(lines.select(F.col("dst").alias("node"), "value", F.lit(0).alias("out")))
+    nodes = ends.groupBy("node").agg(F.array(F.log1p(F.count("*").cast("double")), F.sum("value"), F.avg("value"), F.max("out").cast("double")).alias("f"))
+    model = edgenet.fit(nodes, lines, hidden=8, layers=2, epochs=3, rate=0.02)
+    scores = edgenet.scored(model, nodes, lines).join(lines.select("id", "txid"), "id")
+    return edgenet.pooled(scores).select("level", "id", F.round("score", 6).alias("score"))
