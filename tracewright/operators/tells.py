@@ -127,8 +127,9 @@ def collapsed(members: DataFrame, most: int = DEFAULT.cluster_guard) -> DataFram
 
 
 def defining(rows: DataFrame, label: str = "label", least: float = 0.8) -> DataFrame:
-    """label, tell, value: the values that at least this share of a label's transactions with the tell carries."""
-    long = rows.select(F.col(label).alias("label"), F.explode(F.array(*[F.struct(F.lit(t).alias("tell"), F.col(t).alias("value")) for t in TELLS])).alias("x")).select("label", "x.tell", "x.value").where("value is not null")
-    held = long.groupBy("label", "tell", "value").agg(F.count("*").alias("k"))
+    """label, tell, value: the values that at least this share of a label's transactions with the tell carries. n: how many a row stands for."""
+    times = F.col("n") if "n" in rows.columns else F.lit(1)
+    long = rows.select(F.col(label).alias("label"), times.alias("n"), F.explode(F.array(*[F.struct(F.lit(t).alias("tell"), F.col(t).alias("value")) for t in TELLS])).alias("x")).select("label", "n", "x.tell", "x.value").where("value is not null")
+    held = long.groupBy("label", "tell", "value").agg(F.sum("n").alias("k"))
     share = F.col("k") / F.sum("k").over(Window.partitionBy("label", "tell"))
     return held.withColumn("share", share).where(F.col("share") >= least).select("label", "tell", "value", "share")
