@@ -207,3 +207,18 @@ def test_weighted_taint_over_all_orders(spark):
     want = brute_taint(g, seeds, replace(DEFAULT, taint_hops=3), False)
     got = {r["node"]: (r["score"], r["hops"], r["path"].split(">")) for r in plans.queries()["q_weighted_taint"](spark, str(sf)).collect()}
     assert got == want
+
+
+def test_exits_need_no_paths(spark, monkeypatch):
+    g = {}
+    for k in range(2):
+        g |= {(f"{k}{a}", f"{k}{b}"): x for (a, b), x in graph(k).items()}
+    e, s, v = table(spark, g), names(spark, [f"{k}n0" for k in range(2)]), names(spark, [f"{k}n{x}" for k in range(2) for x in (3, 7)])
+    c = replace(C, exit_sink=0.01, trace_hops=2)
+    whole = tracing.exit_points(e, s, v, c=c)
+    best = {("haircut", r["seed"], r["node"]): r["confidence"] for r in whole.paths.where("model = 'haircut' and rank = 1").collect()}
+    sinks = {tuple(r) for r in tracing.exit_sinks(e, s, v, c).selectExpr("seed", "node", "round(kept, 9)", "round(poison_kept, 9)").collect()}
+    assert sinks == {tuple(r) for r in whole.sinks.selectExpr("seed", "node", "round(kept, 9)", "round(poison_kept, 9)").collect()} != set()
+    monkeypatch.setattr(tracing, "_walked", None)
+    rows = tracing.exit_points(e, s, v, c=c).candidates.collect()
+    assert rows and all(r["confidence"] == pytest.approx(best.get(("haircut", r["seed"], r["node"]), 0.0)) for r in rows)
