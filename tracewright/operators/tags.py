@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tracewright.sources.intel import RISK
 
+#: Parts that an entity's wallets are dealt out to; result rows a task, and tasks at most.
+PARTS, TASK_ROWS, MOST_TASKS = 64, 5_000_000, 2000
+
 
 def seed_entities(watch: DataFrame, members: DataFrame) -> DataFrame:
     """entity, weight: the largest weight of a watched address (addr, weight) of each entity."""
@@ -49,4 +52,10 @@ def address_tags(tags: DataFrame, members: DataFrame, sure: DataFrame) -> DataFr
     own = tags.select("address", "label", "category", F.col("address").alias("via"), F.col("confidence").alias("effective"))
     m = members.select(F.col("node").alias("address"), F.col("component").alias("entity"))
     wide = applied(tags.where("applies_to = 'cluster'"), members, sure).select("entity", F.col("address").alias("via"), "label", "category", "effective")
-    return own.unionByName(wide.join(m, "entity").where("via <> address").select("address", "label", "category", "via", "effective"))
+    # An entity gives a row for each of its tags and wallets: its wallets are dealt out by what they give, so no entity is one task.
+    per = wide.groupBy("entity").agg(F.count("*").alias("n")).join(m.groupBy("entity").agg(F.count("*").alias("held")), "entity")
+    rows = per.agg(F.sum(F.col("n").cast("double") * F.col("held"))).first()[0] or 0.0
+    tasks = min(MOST_TASKS, int(rows // TASK_ROWS) + int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    m = m.withColumn("part", F.pmod(F.xxhash64("address"), F.lit(PARTS))).repartition(tasks, "entity", "part")
+    wide = wide.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>"))).repartition(tasks, "entity", "part")
+    return own.unionByName(wide.join(m, ["entity", "part"]).where("via <> address").select("address", "label", "category", "via", "effective"))
