@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import tags
+from tracewright.operators import scoring, tags
 
 
 def test_one_entity_is_not_one_task(spark):
@@ -13,3 +13,16 @@ def test_one_entity_is_not_one_task(spark):
     got = tags.address_tags(rows, members, spark.createDataFrame([("e", 0.8)], "component string, confidence double"))
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 5 + 5 * 1999 and max(sizes) < sum(sizes) / 2
+
+
+def test_the_model_goes_to_the_rows(spark):
+    rows = spark.createDataFrame([(k, "ab"[k % 2], "x", "y" if k % 2 else None) for k in range(40)] + [(40, None, "x", None), (41, "a", None, None), (1, "b", "x", "y")], "txid long, label string, s string, t string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = scoring.naive_bayes(rows, ["s", "t"])
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        said = {r["txid"]: r["guess"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert said.keys() == set(range(41)) and all(said[k] == "b" for k in range(1, 40, 2))

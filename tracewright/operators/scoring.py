@@ -11,6 +11,10 @@ from tracewright.config import DEFAULT, Config
 from tracewright.functions.metrics import quantiles
 
 
+#: Rows a task groups by key.
+TASK_ROWS = 2_000_000
+
+
 def ramp(value: Column, floor: float, target: float, base: float) -> Column:
     """0 below the floor, then from base up to 1 at the target."""
     return F.when(value < floor, 0.0).otherwise(base + (1 - base) * F.least(F.lit(1.0), (value - floor) / (target - floor)))
@@ -210,14 +214,25 @@ def naive_bayes(rows: DataFrame, tells: list[str], label: str = "label", key: st
     values = held.groupBy("tell").agg(F.countDistinct("value").alias("v"))
     overall = long.groupBy("tell", "value").agg(F.count("*").alias("k_all"))
     totals = long.groupBy("tell").agg(F.count("*").alias("n_all"))
-    classes = F.explode(F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["n"]).alias("n")) for r in n_label.collect()])).alias("c")  # one row a class
+    sizes = sorted(((r["label"], r["n"]) for r in n_label.collect()), key=lambda x: (x[0] is not None, x[0]))  # one row a class
+    classes = F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.lit(n).alias("n")) for x, n in sizes])).alias("c")
     grid = overall.select("*", classes).select("tell", "value", "k_all", "c.label", "c.n").join(held, ["label", "tell", "value"], "left").join(values, "tell").join(totals, "tell")
     model = grid.select("label", "tell", "value", F.log((F.coalesce("k", F.lit(0)) + 1.0) / (F.col("n") + F.col("v"))).alias("lp"), (-F.log((F.col("k_all") + 1.0) / (F.col("n_all") + F.col("v")))).alias("surprise"))
     total = rows.count()
-    scored = long.drop("label").join(model, ["tell", "value"]).groupBy(key, "label").agg(F.sum("lp").alias("lp"), F.max("surprise").alias("novelty"))
-    scored = scored.join(n_label, "label").withColumn("lp", F.col("lp") + F.log(F.col("n") / F.lit(float(total))))
-    w = Window.partitionBy(key).orderBy(F.col("lp").desc(), "label")
-    return scored.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, F.col("label").alias("guess"), F.col("lp").alias("log_p"), "novelty")
+    # The model is a vocabulary: it goes to the rows, a row a key is all that is shuffled, in tasks of a fixed number of rows.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) + total // TASK_ROWS
+    scored = rows.select(key, *[F.col(t).cast("string").alias(f"_v{j}") for j, t in enumerate(tells)])
+    for j, t in enumerate(tells):
+        said = model.where(F.col("tell") == t).groupBy(F.col("value").alias(f"_v{j}")).agg(F.max("surprise").alias(f"_s{j}"), *[F.max(F.when(F.col("label").eqNullSafe(F.lit(x)), F.col("lp"))).alias(f"_p{j}_{i}") for i, (x, _) in enumerate(sizes)])
+        scored = scored.join(F.broadcast(said), f"_v{j}", "left")
+    surest = F.array_compact(F.array(*[F.col(f"_s{j}") for j in range(len(tells))]))
+    sums = [sum((F.coalesce(f"_p{j}_{i}", F.lit(0.0)) for j in range(len(tells))), F.lit(0.0)).alias(f"_l{i}") for i in range(len(sizes))]
+    scored = scored.select(key, F.array_max(surest).alias("novelty"), *sums).where("novelty is not null").repartition(parts, key)
+    scored = scored.groupBy(key).agg(F.max("novelty").alias("novelty"), *[F.sum(f"_l{i}").alias(f"_l{i}") for i in range(len(sizes))])
+    told = [F.struct((F.col(f"_l{i}") + F.log(F.lit(n) / F.lit(float(total)))).alias("lp"), F.lit(-i).alias("order"), F.lit(x).alias("label")) for i, (x, n) in enumerate(sizes) if x is not None]
+    if not told:
+        return scored.select(key, F.lit(None).cast("string").alias("guess"), F.lit(None).cast("double").alias("log_p"), "novelty").limit(0)
+    return scored.withColumn("best", F.array_max(F.array(*told))).select(key, F.col("best.label").alias("guess"), F.col("best.lp").alias("log_p"), "novelty")
 
 
 def held_out_auc(train: DataFrame, test: DataFrame, features: list[str], label: str = "label") -> float | None:
