@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tests.conftest import TESTDATA
 from tracewright.operators import scoring, tags
+from tracewright.plans import adapters
+from tracewright.plans.adapters import Views
 
 
 def test_one_entity_is_not_one_task(spark):
@@ -26,3 +29,12 @@ def test_the_model_goes_to_the_rows(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert said.keys() == set(range(41)) and all(said[k] == "b" for k in range(1, 40, 2))
+
+
+def test_tasks_of_the_graph_grow_with_its_lines(spark, monkeypatch):
+    v = Views(spark, str(TESTDATA / "sf0.001"))
+    monkeypatch.setattr(adapters, "LINES_A_TASK", 300)
+    n = v.table("lineitem").count()
+    assert v.parts >= n / 300
+    sizes = [r["count"] for r in v.graph.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 900  # the session has 8 partitions
