@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.config import DEFAULT, Config
 from tracewright.functions.metrics import quantiles
+from tracewright.session import written
 
 
 #: Rows a task groups by key.
@@ -148,12 +149,46 @@ def _path(n: float) -> float:
     return 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
+def _flat(tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tree as arrays: feature (of leaves 0), cut, the left child (the right one follows it; a leaf leads to itself), path length."""
+    rows, at, todo = [[0, np.inf, 0, 0.0]], 0, [(tree, 0)]
+    while at < len(todo):
+        node, depth = todo[at]
+        if isinstance(node, tuple):
+            f, cut, a, b = node
+            rows[at] = [f, cut, len(todo), 0.0]
+            todo += [(a, depth + 1), (b, depth + 1)]
+            rows += [[0, np.inf, 0, 0.0], [0, np.inf, 0, 0.0]]
+        else:
+            rows[at] = [0, np.inf, at, depth + _path(node)]
+        at += 1
+    f, cut, left, path = zip(*rows, strict=True)
+    return np.array(f, np.int64), np.array(cut, float), np.array(left, np.int64), np.array(path, float)
+
+
+def _depths(forest: list[tuple], x: np.ndarray) -> np.ndarray:
+    """Mean path length of each row over flat trees: all rows go down a tree together, a step a level."""
+    flat = np.ascontiguousarray(x).ravel()
+    start = np.arange(len(x)) * x.shape[1]
+    total = np.zeros(len(x))
+    for f, cut, left, path in forest:
+        at = np.zeros(len(x), np.int64)
+        while True:
+            down = left[at] + ~(flat[start + f[at]] <= cut[at])
+            if (down == at).all():
+                break
+            at = down
+        total += path[at]
+    return total / len(forest)
+
+
 def isolation_forest(rows: DataFrame, features: list[str], key: str = "entity", trees: int = 100, sample: int = 256, seed: int = 7) -> DataFrame:
     """key, group, score in [0, 1]: isolation scores within peer groups, scaled by the group's least and largest.
 
     A group's trees grow on a bounded sample (8 x sample rows by a hash of the key); every row is then scored in a map, so
-    a group is never gathered.
+    a group is never gathered. Rows are made once, and scored once for the groups' ends and the scores.
     """
+    rows = written(rows.select(key, "group", *features), "forest-rows")
     held = rows.groupBy("group").agg(F.count("*").alias("_held"))
     cap = sample * 8
     u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
@@ -164,7 +199,7 @@ def isolation_forest(rows: DataFrame, features: list[str], key: str = "entity",
 
         part = part.sort_values(key)
         x = part[features].fillna(0.0).to_numpy(float)
-        return pd.DataFrame({"group": [part["group"].iloc[0]], "forest": [pickle.dumps(_forest(x, trees, sample, seed))], "size": [min(sample, len(x))]})
+        return pd.DataFrame({"group": [part["group"].iloc[0]], "forest": [pickle.dumps([_flat(t) for t in _forest(x, trees, sample, seed)])], "size": [min(sample, len(x))]})
 
     forests = picked.groupBy("group").applyInPandas(fit, "group string, forest binary, size int")
     by = {r["group"]: (bytes(r["forest"]), r["size"]) for r in forests.collect()}  # one row a group: at most 4^dims
@@ -174,29 +209,18 @@ def isolation_forest(rows: DataFrame, features: list[str], key: str = "entity",
         import pickle
 
         known = {g: (pickle.loads(f), n) for g, (f, n) in shared.value.items()}
-
-        def depth(tree, x, at=0):
-            out = np.zeros(len(x))
-            if isinstance(tree, tuple):
-                f, cut, a, b = tree
-                left = x[:, f] <= cut
-                out[left] = depth(a, x[left], at + 1)
-                out[~left] = depth(b, x[~left], at + 1)
-                return out
-            return out + at + _path(tree)
-
         for frame in frames:
             got = np.zeros(len(frame))
             for g, idx in frame.groupby("group").indices.items():
                 forest, n = known.get(g, ([], 0))
                 if n >= 2:
                     x = frame.iloc[idx][features].fillna(0.0).to_numpy(float)
-                    mean = np.mean([depth(t, x) for t in forest], axis=0)
-                    got[idx] = 2.0 ** (-mean / max(_path(n), 1e-9))
+                    got[idx] = 2.0 ** (-_depths(forest, x) / max(_path(n), 1e-9))
             yield pd.DataFrame({key: frame[key], "group": frame["group"], "raw": got})
 
     kind = dict(rows.dtypes)[key]
-    raw = rows.select(key, "group", *features).mapInPandas(score, f"{key} {kind}, group string, raw double")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work
+    raw = written(rows.repartition(parts, key).mapInPandas(score, f"{key} {kind}, group string, raw double"), "forest-scores")
     ends = raw.groupBy("group").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     return raw.join(F.broadcast(ends), "group").select(key, "group", scaled.alias("score"))
