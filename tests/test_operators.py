@@ -151,3 +151,14 @@ def test_arrivals_take_each_key_once(spark, tmp_path):
 def test_new_alerts(spark):
     f = lambda *xs: spark.createDataFrame([(x,) for x in xs], "entity string")
     assert [r[0] for r in arrivals.new_alerts(f("a", "b", "c"), f("a"), f("a", "b")).collect()] == ["b"]
+
+
+def test_sizes_and_peel_ratios_gather_no_list(spark):
+    from tracewright.operators import ledger
+
+    txs = spark.createDataFrame([("a", 1.0, 0.0), ("b", 2.0, 0.0), ("c", 3.0, 0.0), ("d", 4.0, 0.0)], "txid string, ts double, fee double")
+    outs = spark.createDataFrame([("a", 0, "x", 4.0), ("a", 1, "y", 1.0), ("b", 0, "x", 1.0), ("c", 0, "x", None), ("c", 1, "x", 2.0)], "txid string, idx int, addr string, value double")
+    ins = outs.select("txid", "idx", "addr", "value")
+    f = ledger.tx_features(txs, ins, outs).select("txid", "n_in", "n_out", "peel_ratio")
+    assert {tuple(r) for r in f.collect()} == {("a", 2, 2, 0.25), ("b", 1, 1, None), ("c", 1, 2, 1.0), ("d", 0, 0, None)}
+    assert "collect_list" not in f._jdf.queryExecution().optimizedPlan().toString()
