@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright.config import DEFAULT
 from tracewright.functions import metrics
 from tracewright.operators import paths, relay, scoring
 from tracewright.operators.components import components
@@ -162,3 +164,21 @@ def test_sizes_and_peel_ratios_gather_no_list(spark):
     f = ledger.tx_features(txs, ins, outs).select("txid", "n_in", "n_out", "peel_ratio")
     assert {tuple(r) for r in f.collect()} == {("a", 2, 2, 0.25), ("b", 1, 1, None), ("c", 1, 2, 1.0), ("d", 0, 0, None)}
     assert "collect_list" not in f._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_layering_works_features_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(n):
+        seen.add(1)
+        return n
+
+    txs = spark.createDataFrame([("s", 0.0), ("m", 1.0), ("z", 2.0)], "txid string, ts double")
+    n_out = F.udf(told, "int")(F.when(F.col("txid") == "s", 3).otherwise(1))
+    f = txs.withColumns({"n_in": F.lit(9), "n_out": n_out, "coinjoin": F.lit(False)})
+    outs = spark.createDataFrame([("s", "a"), ("s", "b"), ("s", "c"), ("m", "d")], "txid string, addr string")
+    ins = spark.createDataFrame([("m", "a"), ("m", "b"), ("m", "c"), ("z", "d")], "txid string, addr string")
+    spender = ins.join(txs, "txid")
+    c = replace(DEFAULT, layering_outs=3, layering_ins=1, layering_hops=1)
+    assert [tuple(r)[:3] for r in paths.layering(txs, f, ins, outs, spender, c).collect()] == [("s", "m", 1)]
+    assert seen.value == 3
