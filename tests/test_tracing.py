@@ -9,11 +9,12 @@ from collections import defaultdict
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import TESTDATA
 from tracewright import plans
 from tracewright.config import DEFAULT
-from tracewright.operators import tracing
+from tracewright.operators import ledger, tracing
 from tracewright.plans.adapters import Views
 
 C = replace(DEFAULT, trace_hops=4, trace_share=0.02, trace_value=2.0)
@@ -200,6 +201,17 @@ def test_weighted_taint(spark, both, seed):
     assert {r["node"]: (r["score"], r["hops"], r["path"]) for r in got.collect()} == want
 
 
+def test_mixes_are_seen_from_neighbours(spark):
+    rng = random.Random(7)
+    rows = [(f"t{t}", k, rng.choice([None, 0.0, -1.0, *[100.0 * 1.012**j for j in range(9)]])) for t in range(300) for k in range(rng.randint(1, 9))]
+    outs = spark.createDataFrame(rows, "txid string, idx int, value double")
+    listed = outs.groupBy("txid").agg(ledger.equal_group(F.array_sort(F.collect_list("value")), 0.02)["n"].alias("n"))
+    for least in (2, 3, 4):
+        got = {r["txid"]: r["mix"] for r in ledger.in_mixes(outs, least).select("txid", "mix").distinct().collect()}
+        want = {r["txid"]: bool((r["n"] or 0) >= least) for r in listed.collect()}
+        assert got == want and set(want.values()) == {False, True}
+
+
 def test_weighted_taint_over_all_orders(spark):
     sf = TESTDATA / "sf0.001"
     g = {(r["src"], r["dst"]): r["mix_n"] >= r["n"] for r in Views(spark, str(sf)).mixed.collect()}
