@@ -201,6 +201,18 @@ def test_weighted_taint(spark, both, seed):
     assert {r["node"]: (r["score"], r["hops"], r["path"]) for r in got.collect()} == want
 
 
+def test_weighted_taint_ends_where_labels_hang_on_each_other(spark):
+    c = replace(DEFAULT, taint_hops=1)  # every other label ends the next one's, more often than there were rounds
+    pairs = {(f"n{k}", f"n{k + 1}"): False for k in range(5)}
+    seeds = {f"n{k}": w for k, w in enumerate((1.0, 0.4, 0.15, 0.06, 0.025, 0.0105))}
+    edges = table(spark, {k: (1.0, 1, 0) for k in pairs})
+    got = tracing.weighted_taint(edges, spark.createDataFrame([*seeds.items(), ("none", 0.0), ("nan", float("nan"))], "node string, weight double"), c)
+    found = {r["node"]: (r["score"], r["hops"], r["path"]) for r in got.collect()}
+    assert found == brute_taint(pairs, seeds, c, False) and found["n5"] == (0.0125, 1, ["n4", "n5"])
+    with pytest.raises(ValueError, match="fade"):
+        tracing.weighted_taint(edges, edges.selectExpr("src AS node", "1.0 AS weight"), replace(c, taint_decay=1.0))
+
+
 def test_mixes_are_seen_from_neighbours(spark):
     rng = random.Random(7)
     rows = [(f"t{t}", k, rng.choice([None, 0.0, -1.0, *[100.0 * 1.012**j for j in range(9)]])) for t in range(300) for k in range(rng.randint(1, 9))]
