@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators import relay
+from tracewright.session import written
 
 ANNOUNCED = ("inv", "tx")
 #: Part of a user agent in lower case -> family, first match wins.
@@ -68,45 +69,69 @@ def quarantined(events: DataFrame) -> DataFrame:
     return events.where("message_type = 'inv_wtx'").select(F.concat_ws(":", "capture", "source").alias("source_file"), "txid", reason.alias("reason"), F.to_json(F.struct(*events.columns)).alias("raw"))
 
 
-def candidate_scores(events: DataFrame, observer: str) -> DataFrame:
-    """capture, txid, peer_ip, score, place: first-timestamp scores with the observer struck out and places closed up."""
-    hops = relay_frame(events.withColumn("txid", F.concat_ws("\x1f", "capture", "txid")), observer)
-    scored = relay.first_timestamp(relay.tree_nodes(hops)).where(F.col("ip") != observer)
-    place = F.row_number().over(Window.partitionBy("txid").orderBy(F.col("score").desc(), "ip"))
-    key = F.split("txid", "\x1f")
-    return scored.select(key[0].alias("capture"), key[1].alias("txid"), F.col("ip").alias("peer_ip"), "score", place.alias("place"))
+def candidate_scores(rows: DataFrame) -> DataFrame:
+    """rows (capture, txid, peer_ip, ts: a candidate's first announcement) with est_first_timestamp and its place.
 
+    These are relay.first_timestamp's scores with the observer struck out and places closed up. As every hop ends at the
+    observer, it is first seen with the earliest candidates and comes behind them, so the scores are read off the places.
+    """
+    tx = Window.partitionBy("capture", "txid")
+    place, n = F.row_number().over(tx.orderBy("ts", "peer_ip")), F.count("*").over(tx) + 1
+    ahead = place - 1 + (F.col("ts") > F.min("ts").over(tx)).cast("int")
+    return rows.withColumns({"est_first_timestamp": (n - ahead) / n, "est_first_timestamp_place": place})
 
-def matrix(events: DataFrame, classes: DataFrame, observers: set[str], basis: str = "explicit", sure: dict[str, float] | None = None) -> DataFrame:
-    """The matrix. A peer that announced a transaction twice is one candidate, timed from its first announcement.
 
-    Windows run over the candidates of a transaction of a capture; a peer's agent and services are those of its capture.
-    """
-    used = announcements(events, observers)
+def _known(events: DataFrame, classes: DataFrame) -> DataFrame:
+    """capture, peer_ip, user_agent (the latest), services, ip_class of every peer of a capture."""
+    told = F.max(F.when(F.col("user_agent").isNotNull(), F.col("ts"))).alias("told")
+    per = events.where("peer_ip is not null").groupBy("capture", "peer_ip", "user_agent").agg(told, F.max("services").alias("services"))
+    per = per.groupBy("capture", "peer_ip").agg(F.max_by("user_agent", "told").alias("user_agent"), F.max("services").alias("services"))
+    return per.join(classes.select(F.col("ip").alias("peer_ip"), "ip_class"), "peer_ip", "left")
+
+
+def candidates(events: DataFrame, classes: DataFrame, observers: set[str], basis: str = "explicit", sure: dict[str, float] | None = None) -> DataFrame:
+    """The matrix without history and scores, with ts beside announce_ts."""
+    return _compared(_first(events, classes, observers), observers, basis, sure)
+
+
+def _first(events: DataFrame, classes: DataFrame, observers: set[str]) -> DataFrame:
+    """One row a candidate: its first announcement of the transaction, and what is known of it."""
+    used = announcements(events, observers).select("capture", "txid", "peer_ip", "ts", "message_type", "peer_port", "transport", "unreadable_flows", "source")
+    at = F.row_number().over(Window.partitionBy("capture", "txid", "peer_ip").orderBy("ts", "message_type", "source"))
+    rows = used.withColumn("announced", F.count("*").over(Window.partitionBy("capture", "txid"))).withColumn("k", at).where("k = 1").drop("k", "message_type")
+    return rows.join(_known(events, classes), ["capture", "peer_ip"], "left").withColumn("ip_class", F.coalesce("ip_class", F.lit("residential")))
+
+
+def _compared(rows: DataFrame, observers: set[str], basis: str, sure: dict[str, float] | None, *rest: str) -> DataFrame:
     observer = min(observers)
     tx = Window.partitionBy("capture", "txid")
-    rows = used.withColumn("announced", F.count("*").over(tx))
-    first = F.min_by(F.struct("ts", "peer_port", "transport", "unreadable_flows", "source", "announced"), F.struct("ts", "message_type", "source")).alias("e")
-    rows = rows.groupBy("capture", "txid", "peer_ip").agg(first).select("capture", "txid", "peer_ip", "e.*")
-    facts = events.where("peer_ip is not null").groupBy("capture", "peer_ip").agg(F.max_by("user_agent", F.when(F.col("user_agent").isNotNull(), F.col("ts"))).alias("user_agent"), F.max("services").alias("services"))
-    known = classes.select(F.col("ip").alias("peer_ip"), "ip_class")
-    rows = rows.join(known, "peer_ip", "left").withColumn("ip_class", F.coalesce("ip_class", F.lit("residential"))).join(facts, ["capture", "peer_ip"], "left")
     sd = F.coalesce(F.stddev_samp("ts").over(tx), F.lit(0.0))
     rank = F.rank().over(tx.orderBy("ts"))
-    seen = rows.select(F.concat_ws("\x1f", "capture", "txid").alias("txid"), F.concat_ws("\x1f", "capture", "peer_ip").alias("peer"), "ts")
-    past = relay.peer_history(seen).withColumns({"capture": F.split("txid", "\x1f")[0], "peer_ip": F.split("peer", "\x1f")[1], "txid": F.split("txid", "\x1f")[1]}).drop("peer")
-    out = rows.select(
+    return rows.select(
         "capture", "txid", "peer_ip", F.lit(observer).alias("observer_ip"), F.lit(",".join(sorted(observers))).alias("observer_ips"), F.lit("inbound").alias("direction"),
         F.lit(basis).alias("direction_basis"), F.lit((sure or {}).get(basis, 1.0)).alias("direction_confidence"), "source", F.col("ts").alias("announce_ts"), rank.alias("announce_rank"),
         (rank == 1).alias("is_first"), F.count("*").over(tx).alias("candidate_count"), (F.col("ts") - F.min("ts").over(tx)).alias("delta_first"), (F.col("ts") - F.median("ts").over(tx)).alias("delta_median"),
         F.when(sd > 0, (F.col("ts") - F.avg("ts").over(tx)) / sd).otherwise(0.0).alias("delta_z"), (F.max("ts").over(tx) - F.min("ts").over(tx)).alias("span"), "announced", "peer_port",
         (F.col("peer_port").isNotNull() & (F.col("peer_port") != STANDARD_PORT)).alias("non_standard_port"), is_v6(F.col("peer_ip")).alias("is_v6"), is_onion(F.col("peer_ip")).alias("is_onion"),
         F.coalesce(F.col("transport") == "v2", F.lit(False)).alias("transport_v2"), "unreadable_flows", "user_agent", agent_family(F.col("user_agent")).alias("agent_family"), "services", "ip_class",
-        (F.count("*").over(tx) <= 1).alias("degenerate"), F.min(F.col("ip_class").isin(*RELAYS)).over(tx).alias("scope_out"),
+        (F.count("*").over(tx) <= 1).alias("degenerate"), F.min(F.col("ip_class").isin(*RELAYS)).over(tx).alias("scope_out"), "ts", *rest,
     )
-    out = out.join(past, ["capture", "txid", "peer_ip"], "left")
-    scores = candidate_scores(used, observer).select("capture", "txid", "peer_ip", F.col("score").alias("est_first_timestamp"), F.col("place").alias("est_first_timestamp_place"))
-    return out.join(scores, ["capture", "txid", "peer_ip"], "left")
+
+
+def matrix(events: DataFrame, classes: DataFrame, observers: set[str], basis: str = "explicit", sure: dict[str, float] | None = None, medians: bool = True) -> DataFrame:
+    """The matrix. A peer that announced a transaction twice is one candidate, timed from its first announcement.
+
+    Windows run over the candidates of a transaction of a capture; a peer's agent, services and history are those of its
+    capture. Rows go to their peer once, for all that is known of it, and to their transaction. Running medians of gaps take
+    several passes (relay.running_medians); without medians there is no gap_median.
+    """
+    past = ["txids_before", "firsts_before", "gap_mean", "gap_sd", "rate", "age", "first_share"]
+    rows = relay.earlier(_first(events, classes, observers), ("capture", "txid"), ("capture", "peer_ip"))
+    if medians:
+        rows = written(rows.withColumn("peer", F.concat_ws("\x1f", "capture", "peer_ip")), "matrix-history")
+        rows = rows.join(relay.running_medians(rows.select("peer", "at", "value"), "peer"), ["peer", "at"], "left").withColumnRenamed("median", "gap_median")
+        past.insert(3, "gap_median")
+    return candidate_scores(_compared(rows, observers, basis, sure, *past)).drop("ts")
 
 
 def pooled(parts: list[DataFrame], across: bool = False) -> DataFrame:

@@ -54,24 +54,27 @@ def running_medians(rows: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key, "at").agg(F.avg("value").alias("median"))
 
 
+def earlier(first: DataFrame, tx: tuple[str, ...] = ("txid",), peer: tuple[str, ...] = ("peer",)) -> DataFrame:
+    """first, one row a transaction and peer (by these keys, the last of which orders), with what was known of the peer strictly
+    before: all of peer_history but the median; and at, value: the row's place among the peer's, the gap that it closes."""
+    opened = F.row_number().over(Window.partitionBy(*tx).orderBy("ts", peer[-1])) == 1
+    w = Window.partitionBy(*peer).orderBy("ts", tx[-1])
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = first.withColumn("opened", opened.cast("int")).withColumns({"value": F.col("ts") - F.lag("ts").over(w), "at": F.row_number().over(w), "elapsed": F.col("ts") - F.first("ts").over(w)})
+    n = F.col("at") - 1
+    rows = rows.withColumns({
+        "txids_before": n, "firsts_before": F.coalesce(F.sum("opened").over(before), F.lit(0)), "gap_mean": F.avg("value").over(before),
+        "gap_sd": F.when(n == 2, 0.0).otherwise(F.stddev_samp("value").over(before)), "rate": F.when(F.col("elapsed") > 0, n / (F.col("elapsed") / 60.0)), "age": F.when(n > 0, F.col("elapsed")),
+    })
+    return rows.withColumn("first_share", F.when(n > 0, F.col("firsts_before") / n)).drop("opened", "elapsed")
+
+
 def peer_history(seen: DataFrame) -> DataFrame:
     """What was known of a peer strictly before each announcement: transactions, firsts and their share, gap mean, median and
     deviation, announcements a minute, and seconds since its first."""
-    first = seen.groupBy("txid", "peer").agg(F.min("ts").alias("ts"))
-    opened = F.row_number().over(Window.partitionBy("txid").orderBy("ts", "peer")) == 1
-    w = Window.partitionBy("peer").orderBy("ts", "txid")
-    rows = first.withColumns({"opened": opened.cast("int"), "value": F.col("ts") - F.lag("ts").over(w), "at": F.row_number().over(w)})
-    rows = written(rows, "history")
-    before = Window.partitionBy("peer").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.col("at") - 1
-    rows = rows.join(running_medians(rows.select("peer", "at", "value"), "peer"), ["peer", "at"], "left").select(
-        "txid", "peer", n.alias("txids_before"), F.coalesce(F.sum("opened").over(before), F.lit(0)).alias("firsts_before"), F.avg("value").over(before).alias("gap_mean"), F.col("median").alias("gap_median"),
-        F.when(n == 2, 0.0).otherwise(F.stddev_samp("value").over(before)).alias("gap_sd"), (F.col("ts") - F.first("ts").over(Window.partitionBy("peer").orderBy("at"))).alias("elapsed"),
-    )
-    return rows.select(
-        "txid", "peer", "txids_before", "firsts_before", "gap_mean", "gap_median", "gap_sd", F.when(F.col("elapsed") > 0, F.col("txids_before") / (F.col("elapsed") / 60.0)).alias("rate"),
-        F.when(F.col("txids_before") > 0, F.col("elapsed")).alias("age"), F.when(F.col("txids_before") > 0, F.col("firsts_before") / F.col("txids_before")).alias("first_share"),
-    )
+    rows = written(earlier(seen.groupBy("txid", "peer").agg(F.min("ts").alias("ts"))), "history")
+    rows = rows.join(running_medians(rows.select("peer", "at", "value"), "peer"), ["peer", "at"], "left")
+    return rows.select("txid", "peer", "txids_before", "firsts_before", "gap_mean", F.col("median").alias("gap_median"), "gap_sd", "rate", "age", "first_share")
 
 
 def relatives(scores: DataFrame) -> DataFrame:
