@@ -64,8 +64,9 @@ def answers(rows: DataFrame, policy: str = "tiered") -> DataFrame:
     return out.withColumns({"ip": F.when(~onion, F.col("peer")), "onion": F.when(onion, F.col("peer")), "input_ownership": F.when(has("COINJOIN") & told, NOT_OWNERS)})
 
 
-def of_matrix(matrix: DataFrame, named: DataFrame, shapes: DataFrame) -> DataFrame:
-    """One verdict per capture and transaction of a relay matrix, about the peer that named (capture, txid, peer) says.
+def of_matrix(matrix: DataFrame, named: DataFrame | None, shapes: DataFrame) -> DataFrame:
+    """One verdict per capture and transaction of a relay matrix, about the peer that named (capture, txid, peer) says; without
+    named, about the first to announce.
 
     shapes: txid, equal_outputs, coinjoin.
     """
@@ -74,8 +75,11 @@ def of_matrix(matrix: DataFrame, named: DataFrame, shapes: DataFrame) -> DataFra
     facts = rows.groupBy("capture", "txid").agg(
         F.max("candidate_count").alias("n_candidates"), F.max("scope_out").alias("scope_out"), F.count("*").alias("n"), F.max(F.when(F.col("at") == 2, F.col("gap"))).alias("first_gap"),
         F.median(F.when(F.col("at") > 2, F.col("gap"))).alias("later_gap"), F.min("source").alias("source"), F.max("unreadable_flows").alias("unreadable_flows"),
+        F.max(F.when(F.col("at") == 1, F.col("peer_ip"))).alias("peer"),
     )
-    facts = facts.join(named.select("capture", "txid", "peer"), ["capture", "txid"], "left").join(shapes.select("txid", "equal_outputs", "coinjoin"), "txid", "left")
+    if named is not None:
+        facts = facts.drop("peer").join(named.select("capture", "txid", "peer"), ["capture", "txid"], "left")
+    facts = facts.join(shapes.select("txid", "equal_outputs", "coinjoin"), "txid", "left")
     return verdicts(facts, "capture", "txid", "peer")
 
 
@@ -91,9 +95,7 @@ def of_links(observations: DataFrame, verdicts_: DataFrame) -> DataFrame:
 
 def policy_table(decided: DataFrame) -> DataFrame:
     """policy, answered, right: decided (tier, right 0/1) under each policy."""
-    rows = None
-    for name in POLICIES:
-        told = ~withholds(F.col("tier"), name)
-        part = decided.agg(F.sum(told.cast("long")).alias("answered"), F.sum((told & (F.col("right") == 1)).cast("long")).alias("right")).withColumn("policy", F.lit(name))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.select("policy", "answered", "right")
+    told = {name: ~withholds(F.col("tier"), name) for name in POLICIES}
+    sums = lambda t: (F.coalesce(F.sum(t.cast("long")), F.lit(0)), F.coalesce(F.sum((t & (F.col("right") == 1)).cast("long")), F.lit(0)))
+    row = decided.agg(F.array(*[F.struct(F.lit(name).alias("policy"), a.alias("answered"), b.alias("right")) for name, t in told.items() for a, b in [sums(t)]]).alias("p"))
+    return row.select(F.inline("p"))
