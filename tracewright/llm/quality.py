@@ -201,7 +201,10 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMP
 
     def passes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for some in texts:
-            yield pa.array([_passes(Text(x), cascade) for a in range(0, len(some), _SLICE) for x in some.slice(a, _SLICE).to_pylist()], pa.bool_())
+            kept = pa.array([_passes(Text(x), cascade) for a in range(0, len(some), _SLICE) for x in some.slice(a, _SLICE).to_pylist()], pa.bool_())
+            del some  # a batch is gone before the next one is read
+            pa.default_memory_pool().release_unused()
+            yield kept
 
     # Only the text goes to Python; the rows wait in the JVM.
     return docs.where(F.arrow_udf(passes, "boolean")(docs["text"].cast("binary")))
