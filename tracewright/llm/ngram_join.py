@@ -50,9 +50,10 @@ BLOCK_SHINGLES = 1 << 18
 _SKETCH_PART = 1 << 12
 #: Hash ranges of the suffix filter.
 _RANGES = 512
+#: Bits of the sketch of wanted ids, by which other documents stay where they are: 2 MB, whatever the input.
+_WANTED_BITS = 24
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
 
 
 def shingles(raw: bytes | None, n: int) -> np.ndarray:
@@ -62,15 +63,7 @@ def shingles(raw: bytes | None, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(words) < n:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    if len(_words) > 400_000:
-        _words.clear()
-    get, digest = _words.get, xxhash.xxh64_intdigest
-    hashed = [get(w) for w in words]
-    if None in hashed:
-        for k, h in enumerate(hashed):
-            if h is None:
-                hashed[k] = _words[words[k]] = digest(words[k])
-    h = np.array(hashed, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     out = h[: len(h) - n + 1].copy()
     for k in range(1, n):
         out *= _MUL
@@ -78,7 +71,8 @@ def shingles(raw: bytes | None, n: int) -> np.ndarray:
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -196,6 +190,15 @@ def _postings(docs: DataFrame, rarity, n: int, percent: int) -> DataFrame:
     return docs.select("raw").mapInArrow(run, "token long, cid long, n int, pos int")
 
 
+def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc_id is a rep of wanted, and a few others: texts that nobody wants are dropped before they are shuffled."""
+    at = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - _WANTED_BITS)  # noqa: E731  a null has a hash too
+    one = wanted.select(at("rep").alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    words = F.broadcast(one.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    asked = rows.select("doc_id", "raw", at("doc_id").alias("at")).withColumn("word", F.shiftright("at", 6))
+    return asked.join(words, "word").where(F.getbit("bits", F.col("at").bitwiseAND(63).cast("int")) == 1).select("doc_id", "raw")
+
+
 def _sets(rows: DataFrame, classes: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """cid, items (packed set) of the classes ids (column cid): one document of each is hashed again."""
 
@@ -208,8 +211,8 @@ def _sets(rows: DataFrame, classes: DataFrame, ids: DataFrame, n: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([number + k for k in range(len(found))], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["cid", "u", "items"])
                 number += len(found)
 
-    wanted = classes.join(ids.select("cid").distinct(), "cid").select("cid", "rep")
-    found = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["rep"])).select("cid", "raw").mapInArrow(run, "cid long, u long, items binary")
+    wanted = written(classes.join(ids.select("cid").distinct(), "cid").select("cid", "rep"), "ngram-wanted")
+    found = _maybe(rows, wanted).join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "raw").mapInArrow(run, "cid long, u long, items binary")
     found = written(found, "ngram-sets")
     # Rows that share a doc_id and a set give a class more than once.
     once = found.groupBy("cid").agg(F.min("u").alias("u"), F.count("*").alias("times"))
@@ -230,16 +233,20 @@ def _possible(na: str, pa_: str, nb: str, pb: str, percent: int) -> Column:
     return long_enough & (rest >= _need(na, nb, percent))
 
 
-def _behind(hist: bytes, before: list[int], pos: int) -> np.ndarray:
-    """How many shingles of each hash range stand behind place pos, at most; a full counter says nothing.
+def _behind(hist: bytes, gone: np.ndarray) -> np.ndarray:
+    """How many shingles of each hash range stand behind a place, at most; a full counter says nothing.
 
-    before: place << 9 | hash range of the prefix's shingles that other prefixes hold too, in order. Those no other prefix
-    holds are in no other set before this place, so what they add to the bound does no harm but to its sharpness.
+    gone: hash ranges of the prefix's shingles up to that place that other prefixes hold too. Those no other prefix holds
+    are in no other set before this place, so what they add to the bound does no harm but to its sharpness.
     """
-    at = np.asarray(before, np.int64)
     held = _counts(hist)
-    gone = np.bincount(at[: np.searchsorted(at, (pos + 1) << 9)] & (_RANGES - 1), minlength=_RANGES)
-    return np.where(held < 255, held - gone, 1 << 30)
+    return np.where(held < 255, held - np.bincount(gone, minlength=_RANGES), 1 << 30).astype(np.int32)
+
+
+def _gone(before: list[int], pos: int) -> np.ndarray:
+    """before, as info has it (place << 9 | hash range, in order), up to place pos."""
+    at = np.asarray(before, np.int64)
+    return at[: np.searchsorted(at, (pos + 1) << 9)] & (_RANGES - 1)
 
 
 def _judged(pairs: DataFrame, info: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -251,8 +258,8 @@ def _judged(pairs: DataFrame, info: DataFrame, sets_of, percent: int) -> DataFra
         for batch in batches:
             keep = []
             for na, nb, ha, hb, qa, qb, i, j in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ha", "hb", "qa", "qb", "pa", "pb")), strict=True):
-                x, y = (_behind(h, q, k) for h, q, k in ((ha, qa, i), (hb, qb, j)))
-                most = min(i, j) + 1 + min(int(np.minimum(x, y).sum()), na - i - 1, nb - j - 1)
+                x, y = (_behind(h, _gone(q, k)) for h, q, k in ((ha, qa, i), (hb, qb, j)))
+                most = min(i, j) + 1 + min(int(np.minimum(x, y).sum(dtype=np.int64)), na - i - 1, nb - j - 1)
                 keep.append((100 + percent) * most >= percent * (na + nb))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "open"])
 
@@ -302,16 +309,28 @@ def _placed(lists: DataFrame, comps: DataFrame) -> DataFrame:
 def _chunked(rest: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """The pairs of rest's lists (token, cid, n, pos, comp) across components that all filters allow, worked out in tasks.
 
-    A list is cut, in order of size, into chunks of CHUNK classes; a row is two chunks of a list, never a pair of classes.
+    A list of more than CHUNK classes is cut, in order of size, into chunks; a row is one chunk, which meets itself, or two of
+    a list, never a pair of classes. What the filter needs of a class goes to its lists, and is written for cut lists alone.
     """
-    place = F.row_number().over(Window.partitionBy("token").orderBy("n", "cid")) - 1
-    rest = rest.withColumn("chunk", F.floor(place / CHUNK)).join(info.select("cid", "hist", "before"), "cid")
-    row = F.struct("cid", "n", "pos", "comp", "hist", "before")
-    chunks = written(rest.groupBy("token", "chunk").agg(F.collect_list(row).alias("rows"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")), "ngram-chunks")
-    own = chunks.where("c0 <> c1").select(F.col("rows").alias("x"), F.col("rows").alias("y"))
-    later = chunks.select("token", F.col("chunk").alias("chunk_y"), F.col("rows").alias("y"), F.col("lo").alias("lo_y"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+    every = Window.partitionBy("token")
+    place = F.row_number().over(every.orderBy("n", "cid")) - 1
+    rest = rest.withColumn("chunk", F.floor(place / CHUNK)).withColumn("held", F.count("*").over(every))
+    rest = rest.withColumn("lo", F.min("comp").over(every)).withColumn("hi", F.max("comp").over(every)).where("lo <> hi")
+    rest = written(rest.drop("lo", "hi"), "ngram-rest")
+
+    def filled(some: DataFrame, *keys: str) -> DataFrame:
+        some = some.join(info.select("cid", "hist", "before"), "cid")
+        gone = F.transform(F.filter("before", lambda at: at < F.shiftleft(F.col("pos") + 1, 9)), lambda at: at.bitwiseAND(_RANGES - 1).cast("short"))
+        row = F.struct("cid", "n", "pos", "comp", "hist", gone.alias("gone"))
+        some = some.select(*keys, row.alias("row"))
+        return some.groupBy(*keys).agg(F.collect_list("row").alias("x"), *(f(f"row.{c}").alias(k) for k, f, c in (("lo", F.min, "n"), ("hi", F.max, "n"), ("c0", F.min, "comp"), ("c1", F.max, "comp"))))
+
+    whole = filled(rest.where(F.col("held") <= CHUNK), "token")
+    chunks = written(filled(rest.where(F.col("held") > CHUNK), "token", "chunk"), "ngram-chunks")
+    alone = lambda own: own.select("x", F.lit(None).cast(own.schema["x"].dataType).alias("y"))
+    later = chunks.select("token", F.col("chunk").alias("chunk_y"), F.col("x").alias("y"), F.col("lo").alias("lo_y"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     apart = F.expr("not (c0 = c1 and d0 = d1 and c0 = d0)")
-    two = chunks.join(later, "token").where((F.col("chunk_y") > F.col("chunk")) & (100 * F.col("hi") >= percent * F.col("lo_y")) & apart).select(F.col("rows").alias("x"), "y")
+    two = chunks.join(later, "token").where((F.col("chunk_y") > F.col("chunk")) & (100 * F.col("hi") >= percent * F.col("lo_y")) & apart).select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read(rows: pa.StructScalar):
@@ -319,13 +338,16 @@ def _chunked(rest: DataFrame, info: DataFrame, percent: int) -> DataFrame:
             get = lambda c: s.field(c).to_numpy(zero_copy_only=False)
             hist = s.field("hist").to_pylist()
             pos = get("pos")
-            behind = np.stack([_behind(h, q, k) for h, q, k in zip(hist, s.field("before").to_pylist(), pos.tolist(), strict=True)])
+            gone = s.field("gone")
+            ends, ranges = gone.offsets.to_numpy(), gone.values.to_numpy()
+            behind = np.stack([_behind(h, ranges[a:b]) for h, a, b in zip(hist, ends[:-1], ends[1:], strict=True)])
+            behind = behind.astype(np.uint8) if behind.max() < 255 else behind
             return get("cid"), get("n").astype(np.int64), pos.astype(np.int64), get("comp"), behind
 
         for batch in batches:
             for k in range(batch.num_rows):
                 xc, xn, xp, xo, xb = read(batch.column("x")[k])
-                same = batch.column("y")[k].values.field("cid")[0].as_py() == xc[0]
+                same = not batch.column("y")[k].is_valid
                 yc, yn, yp, yo, yb = (xc, xn, xp, xo, xb) if same else read(batch.column("y")[k])
                 out = []
                 for i in range(len(xc)):
@@ -337,12 +359,12 @@ def _chunked(rest: DataFrame, info: DataFrame, percent: int) -> DataFrame:
                         ok[: i + 1] = False
                     some = np.flatnonzero(ok)
                     if len(some):
-                        most = np.minimum(np.minimum(xb[i], yb[some]).sum(1), left[some]) + ahead[some]
+                        most = np.minimum(np.minimum(xb[i], yb[some]).sum(1, dtype=np.int64), left[some]) + ahead[some]
                         out += [(int(xc[i]), int(yc[j]), int(xp[i]), int(yp[j])) for j in some[most >= need[some]].tolist()]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["a", "b", "pa", "pb"])
 
-    return own.unionByName(two).mapInArrow(run, "a long, b long, pa int, pb int")
+    return alone(whole).unionByName(alone(chunks.where("c0 <> c1"))).unionByName(two).mapInArrow(run, "a long, b long, pa int, pb int")
 
 
 @dataclass
