@@ -344,6 +344,7 @@ def _chunked(rest: DataFrame, info: DataFrame, percent: int) -> DataFrame:
             behind = behind.astype(np.uint8) if behind.max() < 255 else behind
             return get("cid"), get("n").astype(np.int64), pos.astype(np.int64), get("comp"), behind
 
+        met: set[tuple[int, int]] = set()  # the filters hold at any shingle that two sets share, so a pair is put out once a task
         for batch in batches:
             for k in range(batch.num_rows):
                 xc, xn, xp, xo, xb = read(batch.column("x")[k])
@@ -360,7 +361,13 @@ def _chunked(rest: DataFrame, info: DataFrame, percent: int) -> DataFrame:
                     some = np.flatnonzero(ok)
                     if len(some):
                         most = np.minimum(np.minimum(xb[i], yb[some]).sum(1, dtype=np.int64), left[some]) + ahead[some]
-                        out += [(int(xc[i]), int(yc[j]), int(xp[i]), int(yp[j])) for j in some[most >= need[some]].tolist()]
+                        for j in some[most >= need[some]].tolist():
+                            pair = (x, y) if (x := int(xc[i])) < (y := int(yc[j])) else (y, x)
+                            if pair not in met:
+                                met.add(pair)
+                                out.append((x, y, int(xp[i]), int(yp[j])))
+                if len(met) > 100_000:
+                    met.clear()
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["a", "b", "pa", "pb"])
 
