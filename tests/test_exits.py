@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from dataclasses import replace
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.test_tracing import graph, names, table
 from tracewright import plans
+from tracewright.config import DEFAULT
+from tracewright.operators import tracing
 
 
 def tables(spark, folder, payments, suppliers):
@@ -21,3 +31,50 @@ def test_a_service_behind_more_than_three_hops(spark, agree, tmp_path):
     got = plans.queries()["q_exit_points"](spark, at)
     assert agree(got, plans.oracle_sql()["q_exit_points"], at) == 1
     assert [(r["seed"], r["node"], r["share"]) for r in got.collect()] == [("A1", "A14", 1.0)]
+
+
+def test_bits_of_seeds_give_what_whole_poison_traces_give(spark, monkeypatch):
+    g = {}
+    for k in range(6):
+        g |= {(f"{k}{a}", f"{k}{b}"): x for (a, b), x in graph(k).items()}
+    seeds = names(spark, [f"{k}n{x}" for k in range(6) for x in (0, 3, 5)])
+    services = names(spark, [f"{k}n{x}" for k in range(6) for x in (2, 3, 6, 7)])
+    c = replace(DEFAULT, trace_hops=3, trace_share=0.2, exit_candidates=2)
+    merge = names(spark, []).selectExpr("node", "1.0d AS confidence")  # with merges the poison trace is made whole
+    want = [tuple(r) for r in tracing.exit_points(table(spark, g), seeds, services, merge, c=c).candidates.orderBy("seed", "rank").collect()]
+    whole, models = tracing._trace, []
+    with monkeypatch.context() as m:
+        m.setattr(tracing, "SEEDS", 3)
+        m.setattr(tracing, "NEAR", 2)
+        m.setattr(tracing, "SPELLED", 5)
+        m.setattr(tracing, "_trace", lambda *a, **k: models.append(a[4]) or whole(*a, **k))
+        exits = tracing.exit_points(table(spark, g), seeds, services, c=c)
+        got = [tuple(r) for r in exits.candidates.orderBy("seed", "rank").collect()]
+        assert models == [False]  # no poison trace by pairs of seeds and nodes
+        assert exits.limit.count() >= 0 and models == [False, True]
+    assert len(got) == len(want) > 10
+    assert all(x == pytest.approx(y) for a, b in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
+
+
+def test_edges_of_little_value_are_summed_before_they_are_judged(spark):
+    """Two edges under trace_value that together reach it: bits would not tell, so the trace is made whole."""
+    e = table(spark, {("a", "b"): (5.0, 1, 0), ("a", "c"): (5.0, 1, 0), ("b", "v"): (0.0006, 1, 0), ("c", "v"): (0.0006, 1, 0), ("b", "w"): (0.0006, 1, 0)})
+    got = tracing.exit_points(e, names(spark, ["a"]), names(spark, ["v", "w"])).candidates.collect()
+    assert [(r["node"], r["poison_amount"]) for r in got] == [("v", pytest.approx(0.0012))]
+
+
+def test_a_write_leaves_no_shuffle(spark, tmp_path):
+    from tracewright.session import released, written
+
+    gone = lambda: spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    blocks = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files, before = lambda: {x for x in blocks.rglob("shuffle_*.data")}, gone()
+    held = files()
+    out = written(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    for _ in range(50):
+        if left := files() - held:
+            time.sleep(0.1)
+    assert not left and gone() == before
+    assert out.count() == 7
+    released(out)
+    assert not Path(out._written_to.removeprefix("file://")).exists()
